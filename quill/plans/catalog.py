@@ -19,6 +19,7 @@ _REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
 # Modules holding ``@query`` definitions, in build order.
 _MODULES = (
     "quill.plans.q_text",
+    "quill.plans.q_results",
 )
 
 
