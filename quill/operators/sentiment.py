@@ -30,20 +30,21 @@ def attach_sentiment(df: DataFrame, probs_col: str = "probs", out: str = "sentim
     return df.withColumn(out, vx.label_from_probs(vx.collapse_to_three(F.col(probs_col))))
 
 
-def score_lexicon(df: DataFrame, tokens_col: str, lexicon: DataFrame, key: str = "doc_id") -> DataFrame:
+def score_lexicon(df: DataFrame, tokens_col: str, lexicon: DataFrame, key="doc_id") -> DataFrame:
     """M1 (a): sum of lexicon weights over a document's tokens.
 
     The lexicon (word, weight) is a dimension table; it is broadcast only
     when it is small enough (autoBroadcastJoinThreshold), else shuffled.
     Result: key, lex_score, n_hits, label (sign of the score).
     """
-    toks = df.select(key, F.explode(tokens_col).alias("word"))
+    keys = [key] if isinstance(key, str) else list(key)
+    toks = df.select(*keys, F.explode(tokens_col).alias("word"))
     hits = toks.join(lexicon, "word")
-    agg = hits.groupBy(key).agg(F.sum("weight").alias("lex_score"), F.count("*").alias("n_hits"))
-    res = df.select(key).join(agg, key, "left")
+    agg = hits.groupBy(*keys).agg(F.sum("weight").alias("lex_score"), F.count("*").alias("n_hits"))
+    res = df.select(*keys).join(agg, keys, "left")
     s = F.coalesce(F.col("lex_score"), F.lit(0.0))
     return res.select(
-        key, s.alias("lex_score"), F.coalesce("n_hits", F.lit(0)).cast("bigint").alias("n_hits"),
+        *keys, s.alias("lex_score"), F.coalesce("n_hits", F.lit(0)).cast("bigint").alias("n_hits"),
         F.when(s > 0, "positive").when(s < 0, "negative").otherwise("neutral").alias("label"))
 
 

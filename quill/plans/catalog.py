@@ -20,6 +20,7 @@ _REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
 _MODULES = (
     "quill.plans.q_text",
     "quill.plans.q_results",
+    "quill.plans.q_reports",
 )
 
 
