@@ -16,8 +16,14 @@ from quill.functions import text as tx
 from quill.functions.vectors import SENTIMENT_LABELS
 from quill.operators.entities import entities_long
 
-SENT = F.col("sentiment.label")
-SCORE = F.col("sentiment.score")
+
+
+def sent_label() -> Column:
+    return F.col("sentiment.label")
+
+
+def sent_score() -> Column:
+    return F.col("sentiment.score")
 
 
 def n_entities(c: str = "entities") -> Column:
@@ -30,7 +36,7 @@ def _total(results: DataFrame) -> Column:
 
 
 def sentiment_counts(prefix: str = "n_") -> list[Column]:
-    return [F.count_if(SENT == lab).cast("bigint").alias(prefix + lab) for lab in SENTIMENT_LABELS]
+    return [F.count_if(sent_label() == lab).cast("bigint").alias(prefix + lab) for lab in SENTIMENT_LABELS]
 
 
 def summary_stats(results: DataFrame) -> DataFrame:
@@ -42,8 +48,8 @@ def summary_stats(results: DataFrame) -> DataFrame:
         F.coalesce(F.try_divide(F.count_if(F.coalesce(F.col("error"), F.lit("")) == ""), F.count("*")),
                    F.lit(0.0)).alias("success_rate"),
         *sentiment_counts(),
-        F.coalesce(F.avg(SCORE), F.lit(0.0)).alias("avg_confidence"),
-        F.coalesce(F.stddev_samp(SCORE), F.lit(0.0)).alias("std_confidence"),
+        F.coalesce(F.avg(sent_score()), F.lit(0.0)).alias("avg_confidence"),
+        F.coalesce(F.stddev_samp(sent_score()), F.lit(0.0)).alias("std_confidence"),
         F.coalesce(F.sum(F.when(has_ents, F.size("entities"))), F.lit(0)).cast("bigint").alias("total_entities"),
         F.coalesce(F.avg(F.when(has_ents, F.size("entities"))), F.lit(0.0)).alias("avg_entities_per_doc"),
         F.coalesce(F.avg(F.length("text")), F.lit(0.0)).alias("avg_length"),
@@ -56,10 +62,10 @@ def agg_by_sentiment(results: DataFrame) -> DataFrame:
     """A3: per sentiment label; the percentage base is all results."""
     total = _total(results)
     wc = tx.word_count(F.col("text"))
-    return (results.filter(SENT.isNotNull()).groupBy(SENT.alias("sentiment"))
+    return (results.filter(sent_label().isNotNull()).groupBy(sent_label().alias("sentiment"))
             .agg(F.count("*").cast("bigint").alias("count"),
                  (F.count("*") * 100.0 / total).alias("percentage"),
-                 F.coalesce(F.avg(SCORE), F.lit(0.0)).alias("avg_confidence"),
+                 F.coalesce(F.avg(sent_score()), F.lit(0.0)).alias("avg_confidence"),
                  F.avg(F.length("text")).alias("avg_length"), F.avg(wc).alias("avg_words"),
                  F.sum(F.length("text")).cast("bigint").alias("total_chars"),
                  F.sum(wc).cast("bigint").alias("total_words")))
@@ -100,7 +106,7 @@ def agg_by_window(results: DataFrame, size: str = "1 day", ts: str = "processed_
     docs = (results.filter(F.col(ts).isNotNull()).groupBy(F.window(ts, size).alias("w"))
             .agg(F.count("*").cast("bigint").alias("document_count"), *sentiment_counts(),
                  F.sum(n_entities()).cast("bigint").alias("entity_count"),
-                 F.coalesce(F.avg(SCORE), F.lit(0.0)).alias("avg_confidence")))
+                 F.coalesce(F.avg(sent_score()), F.lit(0.0)).alias("avg_confidence")))
     ents = (entities_long(results, keep=(ts,)).groupBy(F.window(ts, size).alias("w"))
             .agg(F.countDistinct("text").cast("bigint").alias("unique_entities")))
     return (docs.join(ents, "w", "left")
@@ -143,7 +149,7 @@ def entity_cooccurrence(results: DataFrame, min_count: int = 3) -> DataFrame:
 
 def metric_values(results: DataFrame, metric: str) -> DataFrame | None:
     if metric == "sentiment_confidence":
-        return results.filter(SCORE.isNotNull()).select("document_id", SCORE.cast("double").alias("value"))
+        return results.filter(sent_score().isNotNull()).select("document_id", sent_score().cast("double").alias("value"))
     if metric == "entity_count":
         return results.select("document_id", n_entities().cast("double").alias("value"))
     if metric == "text_length":
@@ -175,8 +181,8 @@ def trend_sentiment(results: DataFrame, ts: str = "processed_at") -> DataFrame:
     """Per label, first/last daily share over the days the label occurs."""
     day, daily = _daily(results, ts)
     n_days = daily.select(F.count("*")).scalar()
-    per = (results.filter(F.col(ts).isNotNull() & SENT.isNotNull())
-           .groupBy(day.alias("day"), SENT.alias("sentiment")).agg(F.count("*").alias("n"))
+    per = (results.filter(F.col(ts).isNotNull() & sent_label().isNotNull())
+           .groupBy(day.alias("day"), sent_label().alias("sentiment")).agg(F.count("*").alias("n"))
            .join(daily, "day").withColumn("share", F.col("n") / F.col("docs")))
     out = per.groupBy("sentiment").agg(F.min_by("share", "day").alias("start_value"),
                                        F.max_by("share", "day").alias("end_value"))

@@ -25,8 +25,8 @@ def quality_metrics(results: DataFrame) -> DataFrame:
     ent = e.agg(F.coalesce(F.avg("score"), F.lit(0.0)).alias("a"),
                 F.coalesce(F.try_divide(F.count_if(F.col("score") > 0.8), F.count("score")), F.lit(0.0)).alias("h"))
     return results.agg(
-        F.coalesce(F.avg(ag.SCORE), F.lit(0.0)).alias("avg_sentiment_confidence"),
-        F.coalesce(F.try_divide(F.count_if(ag.SCORE > 0.8), F.count(ag.SCORE)), F.lit(0.0))
+        F.coalesce(F.avg(ag.sent_score()), F.lit(0.0)).alias("avg_sentiment_confidence"),
+        F.coalesce(F.try_divide(F.count_if(ag.sent_score() > 0.8), F.count(ag.sent_score())), F.lit(0.0))
         .alias("high_confidence_sentiments"),
     ).select("*", ent.select("a").scalar().alias("avg_entity_confidence"),
              ent.select("h").scalar().alias("high_confidence_entities"))
@@ -34,14 +34,14 @@ def quality_metrics(results: DataFrame) -> DataFrame:
 
 def report_summary(results: DataFrame) -> DataFrame:
     """G1: processing summary, sentiment shares over labelled rows, entities, text, quality."""
-    labelled = F.count(ag.SENT)
+    labelled = F.count(ag.sent_label())
     wc = tx.word_count(F.col("text"))
     uniq = entities_long(results, keep=()).select(F.countDistinct("text").cast("bigint")).scalar()
     base = results.agg(
         F.count("*").cast("bigint").alias("total_documents"),
         F.count_if(F.coalesce(F.col("error"), F.lit("")) == "").cast("bigint").alias("successful"),
         F.count_if(F.coalesce(F.col("error"), F.lit("")) != "").cast("bigint").alias("failed"),
-        *[F.try_divide(F.count_if(ag.SENT == lab) * 100.0, labelled).alias(f"pct_{lab}") for lab in SENTIMENT_LABELS],
+        *[F.try_divide(F.count_if(ag.sent_label() == lab) * 100.0, labelled).alias(f"pct_{lab}") for lab in SENTIMENT_LABELS],
         F.sum(ag.n_entities()).cast("bigint").alias("total_entities"),
         F.try_divide(F.sum(ag.n_entities()), F.count("*")).alias("entities_per_document"),
         F.coalesce(F.avg(F.length("text")), F.lit(0.0)).alias("avg_length"),
@@ -56,7 +56,7 @@ def report_summary(results: DataFrame) -> DataFrame:
 
 def dominant_sentiment(results: DataFrame) -> DataFrame:
     """The most frequent label (ties by label)."""
-    return (results.filter(ag.SENT.isNotNull()).groupBy(ag.SENT.alias("sentiment"))
+    return (results.filter(ag.sent_label().isNotNull()).groupBy(ag.sent_label().alias("sentiment"))
             .agg(F.count("*").cast("bigint").alias("count"))
             .orderBy(F.desc("count"), F.asc("sentiment")).limit(1))
 
@@ -64,16 +64,16 @@ def dominant_sentiment(results: DataFrame) -> DataFrame:
 def report_sentiment(results: DataFrame) -> DataFrame:
     """Per label (missing label -> neutral): count and mean confidence."""
     s = results.filter(F.col("sentiment").isNotNull())
-    return (s.groupBy(F.coalesce(ag.SENT, F.lit("neutral")).alias("sentiment"))
+    return (s.groupBy(F.coalesce(ag.sent_label(), F.lit("neutral")).alias("sentiment"))
             .agg(F.count("*").cast("bigint").alias("count"),
-                 F.avg(F.coalesce(ag.SCORE, F.lit(0.0))).alias("avg_confidence")))
+                 F.avg(F.coalesce(ag.sent_score(), F.lit(0.0))).alias("avg_confidence")))
 
 
 def report_sentiment_detail(results: DataFrame) -> DataFrame:
     """G4 detail rows with a 100-character preview."""
     return results.filter(F.col("sentiment").isNotNull()).select(
-        "document_id", F.coalesce(ag.SENT, F.lit("neutral")).alias("sentiment"),
-        F.coalesce(ag.SCORE, F.lit(0.0)).alias("confidence"),
+        "document_id", F.coalesce(ag.sent_label(), F.lit("neutral")).alias("sentiment"),
+        F.coalesce(ag.sent_score(), F.lit(0.0)).alias("confidence"),
         tx.preview(F.coalesce(F.col("text"), F.lit(""))).alias("text_preview"))
 
 
@@ -142,7 +142,7 @@ def document_report(results: DataFrame) -> DataFrame:
     n = ag.n_entities()
     return results.select(
         "document_id", "processed_at", F.length(F.coalesce(F.col("text"), F.lit(""))).cast("bigint").alias("text_length"),
-        wc.alias("word_count"), ag.SENT.alias("sentiment_label"), ag.SCORE.alias("sentiment_confidence"),
+        wc.alias("word_count"), ag.sent_label().alias("sentiment_label"), ag.sent_score().alias("sentiment_confidence"),
         n.alias("total_found"), (n / F.greatest(wc, F.lit(1))).alias("entity_density"),
         F.col("classification.label").alias("classification"))
 
@@ -170,14 +170,14 @@ def chart_sentiment(results: DataFrame) -> DataFrame:
     """Counts per label plus the total."""
     total = results.filter(F.col("sentiment").isNotNull()).select(F.count("*")).scalar()
     return (results.filter(F.col("sentiment").isNotNull())
-            .groupBy(F.coalesce(ag.SENT, F.lit("unknown")).alias("sentiment"))
+            .groupBy(F.coalesce(ag.sent_label(), F.lit("unknown")).alias("sentiment"))
             .agg(F.count("*").cast("bigint").alias("count")).withColumn("total", total))
 
 
 def chart_confidence_box(results: DataFrame) -> DataFrame:
     """Box statistics per label with linear quartiles (exact, distributed)."""
     s = results.filter(F.col("sentiment").isNotNull()).select(
-        F.coalesce(ag.SENT, F.lit("unknown")).alias("sentiment"), F.coalesce(ag.SCORE, F.lit(0.0)).alias("v"))
+        F.coalesce(ag.sent_label(), F.lit("unknown")).alias("sentiment"), F.coalesce(ag.sent_score(), F.lit(0.0)).alias("v"))
     q = st.quantiles_linear(s, ["sentiment"], "v", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     m = s.groupBy("sentiment").agg(F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"),
                                    F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("sd"))
@@ -194,7 +194,7 @@ def chart_entity_types(results: DataFrame, top: int | None = None) -> DataFrame:
 def chart_timeline(results: DataFrame, ts: str = "processed_at") -> DataFrame:
     """Documents per timestamp and label."""
     return (results.filter(F.col("sentiment").isNotNull() & F.col(ts).isNotNull())
-            .groupBy(F.col(ts).cast("timestamp_ntz").alias("ts"), F.coalesce(ag.SENT, F.lit("unknown")).alias("sentiment"))
+            .groupBy(F.col(ts).cast("timestamp_ntz").alias("ts"), F.coalesce(ag.sent_label(), F.lit("unknown")).alias("sentiment"))
             .agg(F.count("*").cast("bigint").alias("count")))
 
 
@@ -224,7 +224,7 @@ def dashboard_tables(results: DataFrame) -> DataFrame:
                                                F.col("count").cast("double").alias("value"))
     p3 = ag.top_entities(results, 10).select(F.lit("top_entities").alias("panel"), F.col("text").alias("key"),
                                              F.col("count").cast("double").alias("value"))
-    box = chart_confidence_box(results.filter(ag.SENT.isin(*SENTIMENT_LABELS)))
+    box = chart_confidence_box(results.filter(ag.sent_label().isin(*SENTIMENT_LABELS)))
     p4 = box.select(F.lit("confidence_median").alias("panel"), F.col("sentiment").alias("key"),
                     F.col("median").alias("value"))
     return p1.unionByName(p2).unionByName(p3).unionByName(p4)

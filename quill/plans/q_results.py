@@ -140,8 +140,8 @@ def q_ab_compare(spark, d):
     r = R(spark, d)
     return round_doubles(r.groupBy(se.ab_arm(F.col("document_id")).alias("arm")).agg(
         F.count("*").cast("bigint").alias("n_docs"),
-        F.count_if(ag.SENT == "positive").cast("bigint").alias("n_positive"),
-        F.coalesce(F.avg(ag.SCORE), F.lit(0.0)).alias("avg_confidence")))
+        F.count_if(ag.sent_label() == "positive").cast("bigint").alias("n_positive"),
+        F.coalesce(F.avg(ag.sent_score()), F.lit(0.0)).alias("avg_confidence")))
 
 
 @query("score_lexicon", f"""
@@ -307,7 +307,7 @@ SELECT {name}, entity, CAST(cnt AS BIGINT) AS count, CAST(rk AS BIGINT) AS rank
 
 @query("agg_by_sentiment_entities", _top_sql("d.sent_label", "sentiment", 10, "d.sent_label IS NOT NULL"))
 def q_agg_by_sentiment_entities(spark, d):
-    return ag.top_entities_by(R(spark, d), ag.SENT, "sentiment", 10)
+    return ag.top_entities_by(R(spark, d), ag.sent_label(), "sentiment", 10)
 
 
 @query("agg_by_entity_type", f"""

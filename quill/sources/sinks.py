@@ -20,7 +20,7 @@ def flat_results_table(results: DataFrame, include_entities: bool = True, text_l
     cols = [F.coalesce(F.col("document_id"), F.lit("")).alias("document_id"),
             F.substring(t, 1, text_limit).alias("text"), F.length(t).cast("bigint").alias("text_length"),
             tx.word_count(t).alias("word_count"),
-            ag.SENT.alias("sentiment_label"), ag.SCORE.alias("sentiment_score"),
+            ag.sent_label().alias("sentiment_label"), ag.sent_score().alias("sentiment_score"),
             F.col("classification.label").alias("classification_label"),
             F.col("classification.score").alias("classification_score")]
     if include_entities:
@@ -52,8 +52,8 @@ def report_rows_table(results: DataFrame, n: int = 100, n_entities: int = 5) ->
     more = F.greatest(ag.n_entities() - n_entities, F.lit(0))
     return (results.orderBy("document_id").limit(n)
             .select("document_id", tx.preview(F.coalesce(F.col("text"), F.lit(""))).alias("text_preview"),
-                    F.coalesce(ag.SENT, F.lit("N/A")).alias("sentiment_label"),
-                    F.format_string("%.3f", F.round(F.coalesce(ag.SCORE, F.lit(0.0)), 3)).alias("sentiment_score"),
+                    F.coalesce(ag.sent_label(), F.lit("N/A")).alias("sentiment_label"),
+                    F.format_string("%.3f", F.round(F.coalesce(ag.sent_score(), F.lit(0.0)), 3)).alias("sentiment_score"),
                     tags.alias("entity_tags"), more.cast("bigint").alias("more_entities")))
 
 
@@ -61,8 +61,8 @@ def workbook_results_table(results: DataFrame) -> DataFrame:
     """S19 'Results' sheet."""
     return results.select(F.col("document_id").alias("Document ID"),
                           tx.preview(F.coalesce(F.col("text"), F.lit(""))).alias("Text Preview"),
-                          F.coalesce(ag.SENT, F.lit("")).alias("Sentiment"),
-                          F.coalesce(ag.SCORE, F.lit(0.0)).alias("Sentiment Score"),
+                          F.coalesce(ag.sent_label(), F.lit("")).alias("Sentiment"),
+                          F.coalesce(ag.sent_score(), F.lit(0.0)).alias("Sentiment Score"),
                           ag.n_entities().alias("Entity Count"),
                           tx.word_count(F.coalesce(F.col("text"), F.lit(""))).alias("Word Count"))
 
@@ -105,7 +105,7 @@ def prediction_cache_rows(results: DataFrame, model_type: str = "sentiment") ->
     """Rows of the prediction cache: (text_hash, model_type, prediction_data, confidence, created_at)."""
     return results.filter(F.col("sentiment").isNotNull()).select(
         F.md5("text").alias("text_hash"), F.lit(model_type).alias("model_type"),
-        ag.SENT.alias("prediction_data"), ag.SCORE.alias("confidence"), F.col("processed_at").alias("created_at"))
+        ag.sent_label().alias("prediction_data"), ag.sent_score().alias("confidence"), F.col("processed_at").alias("created_at"))
 
 
 def upsert_predictions(existing: DataFrame, new: DataFrame) -> DataFrame:
