@@ -53,6 +53,17 @@ WORD_TOKEN = r"[\p{L}\p{N}]+(?:'\p{L}+)?|[^\s\p{L}\p{N}]"
 SENTENCE_BREAK = r"(?<=[.!?])\s+"
 
 
+def let(value: Column, fn) -> Column:
+    """Bind ``value`` once and use it in ``fn``.
+
+    Catalyst does not share sub-expressions inside lambda bodies, so an
+    array expression referenced inside ``transform``/``aggregate`` would be
+    recomputed for every element.  Passing it through a one-element
+    ``transform`` evaluates it once per row.
+    """
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
 # ---------------------------------------------------------------------------
 # Unicode fold (NFKD, combining marks dropped)
 # ---------------------------------------------------------------------------
@@ -257,9 +268,9 @@ def sentences(c: Column) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """contiguous n-grams joined by one blank (empty when too short)."""
-    return F.when(F.size(tokens) >= n, F.transform(
-        F.sequence(F.lit(1), F.size(tokens) - n + 1),
-        lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    return let(tokens, lambda tk: F.when(F.size(tk) >= n, F.transform(
+        F.sequence(F.lit(1), F.size(tk) - n + 1),
+        lambda i: F.array_join(F.slice(tk, i, n), " "))).otherwise(F.array().cast("array<string>")))
 
 
 # ---------------------------------------------------------------------------

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quill.functions.text import let
+
 # Entity label -> display type (unknown labels are kept as is).
 ENTITY_TYPES = {
     "PERSON": "Person",
@@ -60,17 +62,21 @@ def match_spans(text: Column, pattern: str) -> Column:
     t = F.coalesce(text, F.lit(""))
     ms = F.regexp_extract_all(t, F.lit(pattern), 0)
     gaps = F.split(t, pattern, -1)
-    init = F.struct(F.array().cast(f"array<{SPAN_STRUCT}>").alias("spans"),
-                    F.lit(0).alias("p"), F.lit(0).alias("k"))
 
-    def step(acc, m):
-        s = acc["p"] + F.length(F.get(gaps, acc["k"]))
-        e = s + F.length(m)
-        span = F.struct(m.alias("text"), s.alias("start"), e.alias("end"))
-        return F.struct(F.concat(acc["spans"], F.array(span)).alias("spans"), e.alias("p"),
-                        (acc["k"] + 1).alias("k"))
+    def run(g):
+        init = F.struct(F.array().cast(f"array<{SPAN_STRUCT}>").alias("spans"),
+                        F.lit(0).alias("p"), F.lit(0).alias("k"))
+
+        def step(acc, m):
+            s = acc["p"] + F.length(F.get(g, acc["k"]))
+            e = s + F.length(m)
+            span = F.struct(m.alias("text"), s.alias("start"), e.alias("end"))
+            return F.struct(F.concat(acc["spans"], F.array(span)).alias("spans"), e.alias("p"),
+                            (acc["k"] + 1).alias("k"))
+
+        return F.aggregate(ms, init, step, lambda acc: acc["spans"])
 
-    return F.aggregate(ms, init, step, lambda acc: acc["spans"])
+    return let(gaps, run)
 
 
 def _labelled(spans: Column, label: str, score: float) -> Column:
@@ -131,13 +137,15 @@ def entities_by_type(results: DataFrame, types=None) -> DataFrame:
 
 def entity_context(text: Column, entities: Column, window: int = 50) -> Column:
     """Context of +-``window`` characters around each entity, clamped."""
-    def ctx(e):
-        s = F.greatest(e["start"] - window, F.lit(0))
-        t = F.least(e["end"] + window, F.length(text))
-        return F.struct(e["text"].alias("text"), e["label"].alias("label"),
-                        F.substring(text, s + 1, t - s).alias("context"),
-                        (e["start"] - s).alias("rel_start"), (e["end"] - s).alias("rel_end"))
-    return F.transform(entities, ctx)
+    def with_len(n):
+        def ctx(e):
+            s = F.greatest(e["start"] - window, F.lit(0))
+            t = F.least(e["end"] + window, n)
+            return F.struct(e["text"].alias("text"), e["label"].alias("label"),
+                            F.substring(text, s + 1, t - s).alias("context"),
+                            (e["start"] - s).alias("rel_start"), (e["end"] - s).alias("rel_end"))
+        return F.transform(entities, ctx)
+    return let(F.length(text), with_len)
 
 
 ISLAND_STRUCT = "struct<start:int,end:int,n_spans:bigint,label:string,best_len:int>"

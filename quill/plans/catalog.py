@@ -21,6 +21,7 @@ _MODULES = (
     "quill.plans.q_text",
     "quill.plans.q_results",
     "quill.plans.q_reports",
+    "quill.plans.q_eval",
 )
 
 
