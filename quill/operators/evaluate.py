@@ -141,13 +141,13 @@ def curve_points(pred: DataFrame, k: int) -> DataFrame:
     ex = pred.select("y_true", "probs", F.explode(_class_list(pred, k)).alias("cls"))
     sc = score_counts(ex, ["cls"], F.get(F.col("probs"), F.col("cls")), F.col("y_true") == F.col("cls"))
     cum = running_sums(sc, ["cls"], [F.desc("score")], ["p", "q"])
-    tot = sc.groupBy("cls").agg(F.sum("p").alias("P"), F.sum("q").alias("N"))
+    tot = sc.groupBy("cls").agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"))
     j = cum.join(tot, "cls")
     return j.select(F.col("cls").cast("int").alias("cls"), F.col("score").alias("threshold"),
                     F.col("cum_p").cast("bigint").alias("tps"), F.col("cum_q").cast("bigint").alias("fps"),
-                    F.try_divide(F.col("cum_p"), F.col("P")).alias("tpr"), F.try_divide(F.col("cum_q"), F.col("N")).alias("fpr"),
+                    F.try_divide(F.col("cum_p"), F.col("n_pos")).alias("tpr"), F.try_divide(F.col("cum_q"), F.col("n_neg")).alias("fpr"),
                     (F.col("cum_p") / (F.col("cum_p") + F.col("cum_q"))).alias("precision"),
-                    F.try_divide(F.col("cum_p"), F.col("P")).alias("recall"))
+                    F.try_divide(F.col("cum_p"), F.col("n_pos")).alias("recall"))
 
 
 def roc_points(pred: DataFrame, k: int) -> DataFrame:
