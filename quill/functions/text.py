@@ -1,8 +1,8 @@
 """Text cleaning, statistics and token expressions (Column -> Column).
 
-All of these stay inside the JVM (whole-stage codegen) except the Unicode
-fold of the rare rows whose characters expand to several characters, which
-go through one Arrow-batched pandas UDF.
+All of these stay inside the JVM except the Unicode fold of the rare rows
+whose characters expand to several characters, which go through one
+Arrow-batched pandas UDF.
 """
 
 from __future__ import annotations
@@ -71,29 +71,22 @@ def _fold_py(s: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
 
 
-def _ranges_class(cps: list[int]) -> str:
-    parts, i = [], 0
-    while i < len(cps):
-        j = i
-        while j + 1 < len(cps) and cps[j + 1] == cps[j] + 1:
-            j += 1
-        parts.append(f"\\x{{{cps[i]:x}}}" if i == j else f"\\x{{{cps[i]:x}}}-\\x{{{cps[j]:x}}}")
-        i = j + 1
-    return "".join(parts)
+# A noncharacter marks "this row needs the exact Python fold".
+SENTINEL = "\uffff"
 
 
 @functools.lru_cache(maxsize=None)
-def fold_tables() -> tuple[str, str, str]:
-    """(from, to, expander-regex) derived from ``unicodedata`` by rule.
+def fold_tables() -> tuple[str, str]:
+    """(from, to) for ``translate``, derived from ``unicodedata`` by rule.
 
     The fold is per character (combining marks, the only characters canonical
-    reordering moves, are dropped), so a character-to-character ``translate``
-    is exact for every BMP character whose fold is one character or empty.
-    Characters folding to several characters, and astral characters, are
-    routed to the UDF.
+    reordering moves, are dropped), so a character map is exact for every
+    character whose fold is one character (mapped) or empty (deleted).
+    Characters folding to several characters map to :data:`SENTINEL`, which
+    routes their rows to the UDF.
     """
     src, dst, dele, expand = [], [], [], []
-    for cp in range(0x80, 0x10000):
+    for cp in range(0x80, 0x110000):
         if 0xD800 <= cp <= 0xDFFF:
             continue
         ch = chr(cp)
@@ -106,9 +99,8 @@ def fold_tables() -> tuple[str, str, str]:
         elif not f:
             dele.append(ch)
         else:
-            expand.append(cp)
-    expander = "[" + _ranges_class(expand) + r"\x{10000}-\x{10ffff}]"
-    return "".join(src) + "".join(dele), "".join(dst), expander
+            expand.append(ch)
+    return "".join(src) + "".join(expand) + "".join(dele), "".join(dst) + SENTINEL * len(expand)
 
 
 @F.pandas_udf(T.StringType())
@@ -117,9 +109,15 @@ def _fold_udf(s: pd.Series) -> pd.Series:
 
 
 def fold_unicode(c: Column) -> Column:
-    """NFKD + drop combining marks; JVM ``translate`` for all but expanders."""
-    frm, to, expander = fold_tables()
-    return F.coalesce(_fold_udf(F.when(c.rlike(expander), c)), F.translate(c, frm, to))
+    """NFKD + drop combining marks.
+
+    One JVM ``translate`` does the whole fold for almost every row; only rows
+    holding a character that expands to several characters (ligatures,
+    fractions, Hangul syllables, ...) are sent, alone, to the pandas UDF.
+    """
+    frm, to = fold_tables()
+    t = F.translate(c, frm, to)
+    return F.coalesce(_fold_udf(F.when(F.instr(t, SENTINEL) > 0, c)), t)
 
 
 # ---------------------------------------------------------------------------
