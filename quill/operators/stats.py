@@ -6,9 +6,10 @@ rows, so neither ``Window.partitionBy(group).orderBy(v)`` nor exact
 
 1. collapse to distinct ``(group, value, count)`` rows (combined map-side);
 2. range-partition by ``(group, value)`` so a big group spans many tasks;
-3. running sums inside each partition plus the totals of the earlier
-   partitions of the same group (a small table) give the exact cumulative
-   count ``cum`` of every distinct value;
+3. the range-partitioned frame is checkpointed (so every consumer sees
+   the same partition assignment), then running sums inside each partition
+   plus the totals of the earlier partitions of the same group (a small
+   table) give the exact cumulative count ``cum`` of every distinct value;
 4. a quantile at rank ``k`` is the value with ``cum - count < k <= cum``,
    picked with a conditional aggregate (no range join).
 """
@@ -20,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quill.session import cut_lineage
+
 
 def _parts(df: DataFrame, n: int | None) -> int:
     return n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -35,6 +38,9 @@ def running_sums(d: DataFrame, group: Sequence[str], order: Sequence[Column], co
     group = list(group)
     r = d.repartitionByRange(_parts(d, n_parts), *[F.col(g) for g in group], *order) \
          .withColumn("_pid", F.spark_partition_id())
+    # Both branches below must see the same range assignment; a reliable
+    # checkpoint (shared checkpoint folder) fixes it and cuts the lineage.
+    r = cut_lineage(r)
     tot = r.groupBy(*group, "_pid").agg(*[F.sum(c).alias("_t_" + c) for c in cols])
     wo = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*group, "_pid", *[F.coalesce(F.sum("_t_" + c).over(wo), F.lit(0)).alias("_o_" + c)

@@ -22,6 +22,7 @@ _MODULES = (
     "quill.plans.q_results",
     "quill.plans.q_reports",
     "quill.plans.q_eval",
+    "quill.plans.q_monitor",
 )
 
 
