@@ -23,6 +23,7 @@ _MODULES = (
     "quill.plans.q_reports",
     "quill.plans.q_eval",
     "quill.plans.q_monitor",
+    "quill.plans.q_features",
 )
 
 
