@@ -24,6 +24,8 @@ _MODULES = (
     "quill.plans.q_eval",
     "quill.plans.q_monitor",
     "quill.plans.q_features",
+    "quill.plans.q_stream",
+    "quill.plans.q_sources",
 )
 
 

@@ -1,14 +1,34 @@
 """Structured Streaming entry points.
 
-Every function here works on batch and streaming DataFrames alike unless
-its docstring says otherwise, so a stream result can be checked against the
-same function run on the batch table.
+Every transformation here works on batch and streaming DataFrames alike
+unless its docstring says otherwise, so a stream result can be checked
+against the same function run on the batch table.  Sources and sinks are
+thin option mappings over ``readStream`` / ``writeStream``; checkpoints go
+to the shared folder named by ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import time
+import uuid
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+from quill.session import scratch_path
+
+# Message schema of the document stream (all fields nullable), plus the
+# column that keeps undecodable messages.
+MESSAGE_SCHEMA = T.StructType([
+    T.StructField("id", T.StringType()), T.StructField("text", T.StringType()),
+    T.StructField("metadata", T.StringType()), T.StructField("timestamp", T.TimestampType()),
+    T.StructField("_corrupt_record", T.StringType()),
+])
 
 
 def filter_nonempty(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -17,3 +37,206 @@ def filter_nonempty(df: DataFrame, text_col: str = "text") -> DataFrame:
     return (df.filter(t.isNotNull() & (F.length(t) > 0))
               .withColumn("text_length", F.length(t).cast("bigint"))
               .withColumn("processed_timestamp", F.current_timestamp()))
+
+
+# --- sources (X1) -------------------------------------------------------------------
+def kafka_options(servers: str, topic: str, starting_offsets: str = "latest",
+                  max_offsets_per_trigger: int | None = 1000) -> dict:
+    """Options of the Kafka source (rate cap, no failure on data loss)."""
+    opts = {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": starting_offsets,
+            "failOnDataLoss": "false"}
+    if max_offsets_per_trigger:
+        opts["maxOffsetsPerTrigger"] = str(max_offsets_per_trigger)
+    return opts
+
+
+def kafka_stream(spark: SparkSession, servers: str, topic: str, **kw) -> DataFrame:
+    """Kafka source as (key, value, kafka_timestamp); needs the Kafka connector on the classpath."""
+    raw = spark.readStream.format("kafka").options(**kafka_options(servers, topic, **kw)).load()
+    return raw.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"),
+                      F.col("timestamp").alias("kafka_timestamp"))
+
+
+def file_stream(spark: SparkSession, path: str, fmt: str = "text", schema: T.StructType | None = None,
+                max_files_per_trigger: int | None = None, glob: str | None = None) -> DataFrame:
+    """X1 (file form): any file source; ``text`` yields one ``value`` per line."""
+    r = spark.readStream.format(fmt)
+    if schema is not None:
+        r = r.schema(schema)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    if glob:
+        r = r.option("pathGlobFilter", glob)
+    return r.load(path)
+
+
+# --- parse, transform, dead letter (X2, X3, X9) -------------------------------------------
+def parse_messages(df: DataFrame, value: str = "value", schema: T.StructType = MESSAGE_SCHEMA) -> DataFrame:
+    """JSON value -> flat columns; broker time kept apart as ``kafka_timestamp``.
+
+    PERMISSIVE parsing keeps undecodable messages in ``_corrupt_record``.
+    """
+    parsed = F.from_json(F.col(value), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    keep = [c for c in df.columns if c in ("key", "kafka_timestamp")]
+    return df.select(*keep, parsed.alias("data")).select(*keep, "data.*")
+
+
+def valid_messages(parsed: DataFrame) -> DataFrame:
+    return parsed.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+
+
+def dead_letters(parsed: DataFrame) -> DataFrame:
+    """Undecodable messages, for a dead-letter sink."""
+    return parsed.filter(F.col("_corrupt_record").isNotNull()).select(
+        F.col("_corrupt_record").alias("raw"), F.current_timestamp().alias("failed_at"))
+
+
+def to_message_json(df: DataFrame, key: str = "id") -> DataFrame:
+    """Kafka-style payload: key = id, value = JSON of the whole row."""
+    return df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*df.columns)).alias("value"))
+
+
+# --- sinks, triggers, progress (X4-X6) --------------------------------------------------
+def start_sink(df: DataFrame, fmt: str, path: str | None = None, checkpoint: str | None = None,
+               output_mode: str = "append", trigger: dict | None = None, query_name: str | None = None,
+               options: dict | None = None):
+    """Start a streaming write (parquet / json / console / memory / kafka)."""
+    if fmt not in ("parquet", "json", "console", "memory", "kafka", "noop", "text"):
+        raise ValueError(f"unsupported sink {fmt}")
+    w = df.writeStream.format(fmt).outputMode(output_mode).options(**(options or {}))
+    if checkpoint:
+        w = w.option("checkpointLocation", checkpoint)
+    if path and fmt not in ("memory", "console", "kafka"):
+        w = w.option("path", path)
+    if query_name:
+        w = w.queryName(query_name)
+    w = w.trigger(**(trigger or {"availableNow": True}))
+    return w.start()
+
+
+def progress_rows(spark: SparkSession, query) -> DataFrame:
+    """The query's progress reports as rows (batch id, rows, rates, durations, source offsets)."""
+    rows = []
+    for p in query.recentProgress:
+        d = p if isinstance(p, dict) else json.loads(p.json)
+        rows.append((int(d.get("batchId", -1)), int(d.get("numInputRows", 0)),
+                     float(d.get("inputRowsPerSecond") or 0.0), float(d.get("processedRowsPerSecond") or 0.0),
+                     int((d.get("durationMs") or {}).get("triggerExecution", 0)),
+                     json.dumps([s.get("endOffset") for s in d.get("sources", [])])))
+    return spark.createDataFrame(rows, "batch_id long, num_input_rows long, input_rows_per_second double, "
+                                       "processed_rows_per_second double, trigger_ms long, end_offsets string")
+
+
+def run_to_table(df: DataFrame, name: str, output_mode: str = "append", trigger: dict | None = None,
+                 timeout_s: int = 600):
+    """Drain a streaming frame (availableNow) into parquet under the checkpoint folder.
+
+    Returns (batch DataFrame of the sink, the finished query).
+    """
+    spark = df.sparkSession
+    base = scratch_path(spark, f"streams/{name}-{uuid.uuid4().hex[:8]}")
+    q = start_sink(df, "parquet", f"{base}/data", f"{base}/ckpt", output_mode, trigger)
+    q.awaitTermination(timeout_s)
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return spark.read.schema(df.schema).parquet(f"{base}/data"), q
+
+
+# --- reliable micro-batch processing (X8, X12) ---------------------------------------------
+def retrying_batch(fn: Callable[[DataFrame, int], None], dead_letter_path: str | None = None,
+                   attempts: int = 3, backoff_s: float = 1.0):
+    """A ``foreachBatch`` function retrying ``fn`` with back-off 1 s, 2 s, ...
+
+    After the last failure the batch goes to ``dead_letter_path/batch_id=N``
+    (overwrite, so a replayed batch id stays idempotent) instead of failing
+    the query.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        for i in range(attempts):
+            try:
+                fn(batch, batch_id)
+                return
+            except Exception:  # noqa: BLE001
+                if i == attempts - 1:
+                    if dead_letter_path:
+                        batch.write.mode("overwrite").parquet(f"{dead_letter_path}/batch_id={batch_id}")
+                    return
+                time.sleep(backoff_s * (2 ** i))
+    return run
+
+
+def idempotent_append(path: str) -> Callable[[DataFrame, int], None]:
+    """Write each micro-batch to its own ``batch_id=N`` folder (replays overwrite, not duplicate)."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    return write
+
+
+# --- windows (X14) -------------------------------------------------------------------------
+def windowed_counts(events: DataFrame, ts: str = "ts", size: str = "1 hour", delay: str = "1 hour",
+                    slide: str | None = None, key: str = "event_type") -> DataFrame:
+    """Event-time windows with a watermark (append mode emits closed windows only)."""
+    w = F.window(ts, size, slide) if slide else F.window(ts, size)
+    return (events.withWatermark(ts, delay).groupBy(key, w.alias("w"))
+            .agg(F.count("*").cast("bigint").alias("n"), F.sum("value").alias("total")))
+
+
+# --- stateful alerts (X15) -----------------------------------------------------------------
+ALERT_STATE = T.StructType([T.StructField("last_fired", T.TimestampType()), T.StructField("active", T.StringType())])
+ALERT_OUT = T.StructType([T.StructField("rule", T.StringType()), T.StructField("event_id", T.LongType()),
+                          T.StructField("ts", T.TimestampType()), T.StructField("key", T.StringType()),
+                          T.StructField("event", T.StringType()), T.StructField("value", T.DoubleType())])
+
+
+def _alert_state_fn(key, pdfs, state):
+    """Cooldown state machine of one rule across micro-batches (state: last fire, active keys)."""
+    rule = key[0]
+    if state.exists:
+        lf, act = state.get
+        last_fired = pd.Timestamp(lf) if lf is not None else None
+        active = set(json.loads(act or "[]"))
+    else:
+        last_fired, active = None, set()
+    pdf = pd.concat(list(pdfs)) if pdfs else pd.DataFrame()
+    out = []
+    if len(pdf):
+        pdf = pdf.sort_values(["ts", "event_id"], kind="mergesort")
+        cool = pd.Timedelta(seconds=int(pdf["cooldown_s"].iloc[0]))
+        for ts, eid, k, value, cond in zip(pdf["ts"], pdf["event_id"], pdf["key"], pdf["value"], pdf["cond"]):
+            if last_fired is not None and ts - last_fired < cool:
+                continue
+            if cond:
+                if k not in active:
+                    active.add(k)
+                    last_fired = ts
+                    out.append((rule, int(eid), ts, k, "fired", float(value)))
+            elif k in active:
+                active.discard(k)
+                out.append((rule, int(eid), ts, k, "resolved", float(value)))
+    state.update((last_fired.to_pydatetime() if last_fired is not None else None, json.dumps(sorted(active))))
+    yield pd.DataFrame(out, columns=[f.name for f in ALERT_OUT.fields])
+
+
+def match_rules_stream(metrics: DataFrame, rules: DataFrame) -> DataFrame:
+    """Stream-static rule matching: the bounded rule table is broadcast (prefix test per point)."""
+    from quill.operators.alerts import condition
+    from quill.operators.metrics import metric_key
+    j = metrics.join(F.broadcast(rules.withColumnRenamed("name", "rule")),
+                     F.col("name").startswith(F.col("source")))
+    return j.select("rule", "event_id", "ts", metric_key(F.col("name"), F.col("labels")).alias("key"), "value",
+                    condition(F.col("op"), F.col("value"), F.col("threshold")).alias("cond"), "cooldown_s")
+
+
+def stateful_alerts(points: DataFrame) -> DataFrame:
+    """K12-K14 on a stream, state kept per rule by ``applyInPandasWithState``.
+
+    ``points`` = matched metric points (rule, event_id, ts, key, value, cond, cooldown_s).
+    """
+    return points.groupBy("rule").applyInPandasWithState(
+        _alert_state_fn, ALERT_OUT, ALERT_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def hybrid(batch: DataFrame, stream: DataFrame, name: str = "hybrid") -> DataFrame:
+    """Historical batch frame + a bounded (availableNow) stream, unioned by name."""
+    drained, _ = run_to_table(stream, name)
+    return batch.unionByName(drained, allowMissingColumns=True)
