@@ -184,3 +184,42 @@ def merge_entities(entities: Column) -> Column:
                       .otherwise(F.concat(acc["done"], F.array(acc["cur"]))))
     return F.transform(out, lambda i: F.struct(i["start"].alias("start"), i["end"].alias("end"),
                                                i["n_spans"].alias("n_spans"), i["label"].alias("label")))
+
+
+def entity_relations(docs: DataFrame, key: str, text: str, entity_pattern: str = r"^[A-Z][a-z]+$") -> DataFrame:
+    """Entity pairs of one sentence with verbs between them.
+
+    Per sentence (row-local, no join): entity tokens match ``entity_pattern``,
+    verbs come from the part-of-speech tags (N4).  A pair (e1, e2), e1 before
+    e2, is kept when at least one verb lies strictly between them; the
+    relation is those verbs joined by a blank.  Work is bounded by the
+    sentence, never by the corpus or the document.
+    """
+    from quill.functions.text import sentences, word_tokens
+    from quill.operators.features import pos_tags
+
+    s = docs.select(key, F.posexplode(sentences(F.col(text))).alias("sent_no", "sentence"))
+
+    def rel(tg):
+        n = F.size(tg)
+        idx = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+        def with_lists(ents, verbs):
+            def pairs_of(a):
+                between = lambda b: F.filter(verbs, lambda v: (v > a) & (v < b))
+                keep = F.filter(ents, lambda b: (b > a) & F.exists(verbs, lambda v: (v > a) & (v < b)))
+                return F.transform(keep, lambda b: F.struct(
+                    a.cast("bigint").alias("p1"), b.cast("bigint").alias("p2"),
+                    F.get(tg, a)["token"].alias("entity1"), F.get(tg, b)["token"].alias("entity2"),
+                    F.array_join(F.transform(between(b), lambda v: F.get(tg, v)["token"]), " ").alias("relation")))
+            return F.flatten(F.transform(ents, pairs_of))
+
+        def with_idx(ix):
+            # bind the entity and verb position lists once per sentence
+            return let(F.filter(ix, lambda i: F.get(tg, i)["token"].rlike(entity_pattern)), lambda ents: let(
+                F.filter(ix, lambda i: F.get(tg, i)["pos"] == "VERB"), lambda verbs: with_lists(ents, verbs)))
+        return let(idx, with_idx)
+
+    rels = let(pos_tags(word_tokens(F.col("sentence"))), rel)
+    return (s.select(key, F.col("sent_no").cast("bigint").alias("sent_no"), F.explode(rels).alias("r"))
+            .select(key, "sent_no", "r.*"))

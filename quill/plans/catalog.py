@@ -26,6 +26,7 @@ _MODULES = (
     "quill.plans.q_features",
     "quill.plans.q_stream",
     "quill.plans.q_sources",
+    "quill.plans.q_train",
 )
 
 

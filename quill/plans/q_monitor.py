@@ -325,3 +325,12 @@ def q_system_stats(spark, d):
     out = c.agg(F.count("*").cast("bigint").alias("n_series"), F.sum("count").cast("bigint").alias("n_points"),
                 F.sum("total").alias("value_total"))
     return round_doubles(out.select("*", hs.select(F.first("overall")).scalar().alias("health")))
+
+
+@query("metric_labels", f"""
+WITH {MET} SELECT DISTINCT key, 'k' AS label_name, k AS label_value FROM m
+""")
+def q_metric_labels(spark, d):
+    """K6: label maps parsed back out of the distinct metric keys."""
+    keys = mt.counters(M(spark, d)).select("key")
+    return keys.select("key", F.explode(mt.parse_metric_key(F.col("key"))).alias("label_name", "label_value"))

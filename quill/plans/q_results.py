@@ -488,3 +488,39 @@ SELECT doc_id, text, lang, source, n_chars FROM (
 """)
 def q_dedup_documents(spark, d):
     return ag.dedup_documents(table(spark, d, "documents"))
+
+
+def _relations_sql() -> str:
+    from quill.plans.q_features import _pos_sql
+    return f"""
+WITH sl AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS l FROM documents),
+s AS (SELECT doc_id, unnest(l) AS sentence, generate_subscripts(l, 1) - 1 AS sent_no FROM sl),
+tk AS (SELECT doc_id, sent_no, regexp_extract_all(sentence, {lit(tx.WORD_TOKEN)}) AS toks FROM s),
+t AS (SELECT doc_id, sent_no, unnest(toks) AS token, generate_subscripts(toks, 1) - 1 AS pos FROM tk),
+tg AS (SELECT *, {_pos_sql()} AS tag FROM t),
+e AS (SELECT doc_id, sent_no, pos, token FROM tg WHERE regexp_full_match(token, '[A-Z][a-z]+')),
+v AS (SELECT doc_id, sent_no, pos, token FROM tg WHERE tag = 'VERB'),
+p AS (SELECT a.doc_id, a.sent_no, a.pos AS p1, b.pos AS p2, a.token AS entity1, b.token AS entity2
+      FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.sent_no = b.sent_no AND a.pos < b.pos)
+SELECT p.doc_id, CAST(p.sent_no AS BIGINT) AS sent_no, CAST(p.p1 AS BIGINT) AS p1, CAST(p.p2 AS BIGINT) AS p2,
+       p.entity1, p.entity2, string_agg(v.token, ' ' ORDER BY v.pos) AS relation
+FROM p JOIN v ON v.doc_id = p.doc_id AND v.sent_no = p.sent_no AND v.pos > p.p1 AND v.pos < p.p2
+GROUP BY p.doc_id, p.sent_no, p.p1, p.p2, p.entity1, p.entity2
+"""
+
+
+@query("entity_relations", _relations_sql())
+def q_entity_relations(spark, d):
+    return en.entity_relations(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("agg_by_window_entities", f"""
+WITH {FX}, c AS (SELECT date_trunc('day', processed_at) AS window_start, text AS entity, count(*) AS n FROM fx_ents GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY n DESC, entity) AS rk FROM c)
+SELECT window_start, entity, CAST(n AS BIGINT) AS count, CAST(rk AS BIGINT) AS rank FROM r WHERE rk <= 10
+""")
+def q_agg_by_window_entities(spark, d):
+    """A5: the entities of each day window (top 10 by count, then text)."""
+    r = R(spark, d)
+    w = F.window("processed_at", "1 day")
+    return (ag.top_entities_by(r.withColumn("w", w.start.cast("timestamp_ntz")), F.col("w"), "window_start", 10))
