@@ -8,7 +8,10 @@ from __spark_entry__ import oracle_sql, queries
 SF = "/root/testdata/sf0.001"
 FAST = ["docs_by_lang", "clean_full", "clean_multilingual", "text_stats", "split_sentences", "batch_analyze",
         "sentiment_distribution", "summary_stats", "agg_by_entity_type", "entity_cooccurrence",
-        "chart_confidence_box", "eval_per_class", "auc_ovo", "roc_points", "merge_entities"]
+        "chart_confidence_box", "eval_per_class", "auc_ovo", "roc_points", "merge_entities",
+        "alert_cooldown", "stream_alerts", "stream_window", "metric_histograms", "quantiles_exclusive",
+        "entity_relations", "tfidf", "encode_ids", "detect_language", "augment_dataset", "scan_directory",
+        "health_failures", "stratified_split", "report_summary", "extract_entities", "stream_analyze"]
 
 
 def norm(v):
