@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quill.functions import text as tx
 from quill.functions.vectors import SENTIMENT_LABELS
 from quill.operators.entities import entities_long
+from quill.session import cut_lineage
 
 
 
@@ -138,7 +139,8 @@ def entity_cooccurrence(results: DataFrame, min_count: int = 3) -> DataFrame:
     total = _total(results)
     de = entities_long(results, keep=()).select("document_id", "text").distinct()
     frequent = de.groupBy("text").agg(F.count("*").alias("df")).filter(F.col("df") >= min_count).select("text")
-    de = de.join(frequent, "text", "left_semi")
+    # the pruned (document, text) pairs feed both sides of the self-join: write them once
+    de = cut_lineage(de.join(frequent, "text", "left_semi"))
     a, b = de.alias("a"), de.alias("b")
     pairs = a.join(b, (F.col("a.document_id") == F.col("b.document_id")) & (F.col("a.text") < F.col("b.text")))
     return (pairs.groupBy(F.col("a.text").alias("entity1"), F.col("b.text").alias("entity2"))

@@ -37,13 +37,23 @@ def term_rows(docs: DataFrame, key: str, text: str, n: int = 1) -> DataFrame:
     return docs.select(key, F.explode(t).alias("term"))
 
 
+def term_counts(rows: DataFrame, key: str) -> DataFrame:
+    """(key, term, tf): term frequency per document (repeats combined map-side)."""
+    return rows.groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def term_stats(tf: DataFrame) -> DataFrame:
+    """(term, cnt, df) from per-document counts: one aggregation, no distinct-count expansion."""
+    return tf.groupBy("term").agg(F.sum("tf").alias("cnt"), F.count("*").alias("df"))
+
+
 def vocabulary(rows: DataFrame, key: str, max_features: int | None = None, min_df: int = 1) -> DataFrame:
     """Terms kept by document frequency >= ``min_df`` and the top ``max_features`` corpus counts.
 
     The top-k is a TakeOrdered over the per-term aggregate, so the result
     is bounded by ``max_features`` and safe to broadcast.
     """
-    stats = rows.groupBy("term").agg(F.count("*").alias("cnt"), F.countDistinct(key).alias("df"))
+    stats = term_stats(term_counts(rows, key))
     stats = stats.filter(F.col("df") >= min_df)
     if max_features:
         stats = stats.orderBy(F.desc("cnt"), F.asc("term")).limit(max_features)
@@ -53,18 +63,18 @@ def vocabulary(rows: DataFrame, key: str, max_features: int | None = None, min_d
 def count_vector(docs: DataFrame, key: str, text: str, max_features: int = 1000, min_df: int = 1,
                  binary: bool = False, n: int = 1) -> DataFrame:
     """long-form bag of words (key, term, count) over the kept vocabulary."""
-    rows = term_rows(docs, key, text, n)
-    vocab = vocabulary(rows, key, max_features, min_df).select("term")
-    tf = rows.join(F.broadcast(vocab), "term").groupBy(key, "term").agg(F.count("*").cast("bigint").alias("count"))
-    return tf.withColumn("count", F.lit(1).cast("bigint")) if binary else tf
+    tf = term_counts(term_rows(docs, key, text, n), key)
+    stats = term_stats(tf).filter(F.col("df") >= min_df)
+    vocab = stats.orderBy(F.desc("cnt"), F.asc("term")).limit(max_features).select("term")
+    out = tf.join(F.broadcast(vocab), "term").select(key, "term", F.col("tf").cast("bigint").alias("count"))
+    return out.withColumn("count", F.lit(1).cast("bigint")) if binary else out
 
 
 def tfidf_fit(docs: DataFrame, key: str, text: str, max_features: int = 10000, min_df: int = 1,
               max_df: float = 1.0, n: int = 1) -> DataFrame:
     """F2/F3 fit: vocabulary with smooth idf = ln((1+N)/(1+df)) + 1 (a small table to save)."""
-    rows = term_rows(docs, key, text, n)
     n_docs = docs.select(F.count("*")).scalar()
-    stats = rows.groupBy("term").agg(F.count("*").alias("cnt"), F.countDistinct(key).alias("df"))
+    stats = term_stats(term_counts(term_rows(docs, key, text, n), key))
     upper = F.lit(max_df) * n_docs if max_df <= 1.0 else F.lit(max_df)
     stats = stats.filter((F.col("df") >= min_df) & (F.col("df") <= upper))
     top = stats.orderBy(F.desc("cnt"), F.asc("term")).limit(max_features)
@@ -76,6 +86,22 @@ def tfidf_transform(docs: DataFrame, key: str, text: str, model: DataFrame, subl
     """F2/F3 transform: (key, term, weight), L2-normalised per document; unknown terms ignored."""
     rows = term_rows(docs, key, text, n).join(F.broadcast(model.select("term", "idf")), "term")
     tf = rows.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("idf").alias("idf"))
+    return _weights(tf, key, sublinear_tf)
+
+
+def tfidf(docs: DataFrame, key: str, text: str, max_features: int = 10000, min_df: int = 1,
+          max_df: float = 1.0, sublinear_tf: bool = True, n: int = 1) -> DataFrame:
+    """F2 fit + transform on the same corpus: term frequencies computed once and reused."""
+    tf = term_counts(term_rows(docs, key, text, n), key)
+    n_docs = docs.select(F.count("*")).scalar()
+    upper = F.lit(max_df) * n_docs if max_df <= 1.0 else F.lit(max_df)
+    stats = term_stats(tf).filter((F.col("df") >= min_df) & (F.col("df") <= upper))
+    model = stats.orderBy(F.desc("cnt"), F.asc("term")).limit(max_features).select(
+        "term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
+    return _weights(tf.join(F.broadcast(model), "term"), key, sublinear_tf)
+
+
+def _weights(tf: DataFrame, key: str, sublinear_tf: bool) -> DataFrame:
     w = (1 + F.log("tf") if sublinear_tf else F.col("tf")) * F.col("idf")
     tw = tf.withColumn("w", w)
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
@@ -217,6 +243,9 @@ def build_vocab(docs: DataFrame, text: str, vocab_size: int = 1000, min_frequenc
     return ranked.select("token", "id", "count")
 
 
+# Token -> id lookups use a broadcast hash join on the bounded vocabulary and
+# a per-document regroup: Spark map lookups are linear in the map size, so a
+# vocabulary literal would cost O(vocab) per token.
 def encode_ids(docs: DataFrame, key: str, text: str, vocab: DataFrame, max_length: int = 512) -> DataFrame:
     """T5: [CLS] ids [SEP], truncated to ``max_length``, padded with [PAD]; attention mask.
 

@@ -55,9 +55,7 @@ w AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN v USING (term))
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w
 """)
 def q_tfidf(spark, d):
-    dd = docs(spark, d)
-    model = fe.tfidf_fit(dd, "doc_id", "text", max_features=200)
-    return round_doubles(fe.tfidf_transform(dd, "doc_id", "text", model))
+    return round_doubles(fe.tfidf(docs(spark, d), "doc_id", "text", max_features=200))
 
 
 @query("tfidf_transform", f"""
