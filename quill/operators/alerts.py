@@ -34,15 +34,28 @@ def condition(op: Column, value: Column, threshold: Column) -> Column:
             .when(op == "==", value == threshold).when(op == "!=", value != threshold).otherwise(F.lit(False)))
 
 
+def name_prefixes(name: Column) -> Column:
+    """Every non-empty prefix of a metric name (names are short identifiers)."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda i: F.substring(name, 1, i))
+
+
+def match_pairs(names: DataFrame, rules: DataFrame) -> DataFrame:
+    """(name, rule...) for every rule whose ``source`` is a prefix of the name.
+
+    The prefix test is an equi-join: names are exploded into their prefixes
+    and hash-joined to the bounded, broadcast rule table on ``source``.
+    """
+    pre = names.select("*", F.explode(name_prefixes(F.col("name"))).alias("source"))
+    return pre.join(F.broadcast(rules.withColumnRenamed("name", "rule")), "source")
+
+
 def match_rules(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     """Points x matching rules, with the condition evaluated.
 
     Names are matched on the distinct name list, so the prefix test never
     runs per point; the rule table is bounded (MAX_RULES) and broadcast.
     """
-    names = metrics.select("name").distinct()
-    pairs = names.join(F.broadcast(rules.withColumnRenamed("name", "rule")),
-                       F.col("name").startswith(F.col("source")) | (F.col("name") == F.col("source")))
+    pairs = match_pairs(metrics.select("name").distinct(), rules)
     pts = metrics.join(pairs, "name")
     return pts.withColumn("key", metric_key(F.col("name"), F.col("labels"))) \
               .withColumn("cond", condition(F.col("op"), F.col("value"), F.col("threshold")))

@@ -222,13 +222,16 @@ def hashing_embedder(dim: int = 64) -> Callable[[list], np.ndarray]:
 def cosine_topk(vectors: DataFrame, key: str, vec: str, query: DataFrame, k: int = 10) -> DataFrame:
     """cosine similarity to one query vector (a one-row frame ``q``), top ``k`` (score desc, key).
 
-    The query row is attached with a broadcast equi-join on a constant key
-    (one row, proven size), then scoring is row-local.
+    The single query vector is a bounded parameter: it is read once and
+    inlined as a literal, so scoring is row-local (no join) and the top-k is
+    a TakeOrdered.
     """
     from quill.functions.vectors import cosine, to_double_array
-    q1 = query.limit(1).select(F.lit(1).alias("_k"), to_double_array(F.col("q")).alias("_q"))
-    j = vectors.withColumn("_k", F.lit(1)).join(F.broadcast(q1), "_k")
-    return (j.select(key, cosine(to_double_array(F.col(vec)), F.col("_q")).alias("score"))
+    row = query.select("q").limit(1).collect()
+    if not row:
+        raise ValueError("empty query vector")
+    q = F.array(*[F.lit(float(x)).cast("double") for x in row[0]["q"]])
+    return (vectors.select(key, cosine(to_double_array(F.col(vec)), q).alias("score"))
             .orderBy(F.desc("score"), F.asc(key)).limit(k))
 
 

@@ -218,11 +218,10 @@ def _alert_state_fn(key, pdfs, state):
 
 
 def match_rules_stream(metrics: DataFrame, rules: DataFrame) -> DataFrame:
-    """Stream-static rule matching: the bounded rule table is broadcast (prefix test per point)."""
-    from quill.operators.alerts import condition
+    """Stream-static rule matching: prefixes of each point's name hash-joined to the broadcast rules."""
+    from quill.operators.alerts import condition, match_pairs
     from quill.operators.metrics import metric_key
-    j = metrics.join(F.broadcast(rules.withColumnRenamed("name", "rule")),
-                     F.col("name").startswith(F.col("source")))
+    j = match_pairs(metrics, rules).drop("source")
     return j.select("rule", "event_id", "ts", metric_key(F.col("name"), F.col("labels")).alias("key"), "value",
                     condition(F.col("op"), F.col("value"), F.col("threshold")).alias("cond"), "cooldown_s")
 
