@@ -119,14 +119,10 @@ def throughput(metrics: DataFrame, spans=(60, 300, 900)) -> DataFrame:
     return s.select(F.col("sec").cast("bigint").alias("sec"), *cols)
 
 
-def quantiles_exclusive(metrics: DataFrame) -> DataFrame:
+def quantiles_exclusive(metrics: DataFrame, group=("name",)) -> DataFrame:
     """Median, exclusive p90/p95/p99 (max when the series is too short), mean, min, max."""
-    v = metrics.select("name", "value")
-    q = st.quantiles_exclusive(v, ["name"], "value", {"q90": 90, "q95": 95, "q99": 99}, k=100)
-    med = st.quantiles_linear(v, ["name"], "value", {"p50": 0.5}).select("name", "p50")
-    basic = v.groupBy("name").agg(F.avg("value").alias("mean"), F.max("value").alias("max"), F.min("value").alias("min"))
-    j = q.join(med, "name").join(basic, "name")
-    return j.select("name", "p50",
+    q = st.quantile_summary(metrics, list(group), "value", {"p50": 0.5}, {"q90": 90, "q95": 95, "q99": 99})
+    return q.select(*group, "p50",
                     F.when(F.col("n") >= 10, F.col("q90")).otherwise(F.col("max")).alias("p90"),
                     F.when(F.col("n") >= 20, F.col("q95")).otherwise(F.col("max")).alias("p95"),
                     F.when(F.col("n") >= 100, F.col("q99")).otherwise(F.col("max")).alias("p99"),
@@ -142,8 +138,8 @@ def run_summary(requests: DataFrame, ts: str = "ts") -> DataFrame:
         F.count_if(~F.col("success")).cast("bigint").alias("failed_requests"),
         F.coalesce(F.try_divide(F.count_if("success"), F.count("*")), F.lit(0.0)).alias("success_rate"),
         (dur / 1e6).alias("total_duration_seconds"))
-    lat = requests.filter("success").select(F.lit("all").alias("name"), F.col("latency").alias("value"))
-    q = quantiles_exclusive(lat)
+    lat = requests.filter("success").select(F.col("latency").alias("value"))
+    q = quantiles_exclusive(lat, group=())
     out = base.withColumn("requests_per_second", F.try_divide(F.col("total_requests"), F.col("total_duration_seconds"))) \
               .withColumn("successful_requests_per_second",
                           F.try_divide(F.col("successful_requests"), F.col("total_duration_seconds")))

@@ -62,15 +62,18 @@ def cumulative_counts(df: DataFrame, group: Sequence[str], value: str,
     """(group, value, c, cum_c, n): exact cumulative counts in ascending value order."""
     vc = value_counts(df, group, value)
     cum = running_sums(vc, group, [F.col(value)], ["c"], n_parts)
+    if not group:  # one global total: a scalar subquery, not a join
+        return cum.withColumn("n", vc.select(F.sum("c")).scalar())
     n = vc.groupBy(*group).agg(F.sum("c").alias("n"))
-    return cum.join(n, list(group)) if group else cum.join(n)
+    return cum.join(n, list(group))
 
 
-def pick_ranks(cum: DataFrame, group: Sequence[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+def pick_ranks(cum: DataFrame, group: Sequence[str], value: str, ranks: dict[str, Column],
+               extra: Sequence[Column] = ()) -> DataFrame:
     """For each name -> rank expression (of ``n``), the value at that 1-based rank."""
     lo = F.col("cum_c") - F.col("c")
     aggs = [F.max(F.when((lo < k) & (k <= F.col("cum_c")), F.col(value))).alias(name) for name, k in ranks.items()]
-    return cum.groupBy(*group).agg(F.max("n").cast("bigint").alias("n"), *aggs)
+    return cum.groupBy(*group).agg(F.max("n").cast("bigint").alias("n"), *aggs, *extra)
 
 
 def quantiles_linear(df: DataFrame, group: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
@@ -114,3 +117,29 @@ def quantiles_exclusive(df: DataFrame, group: Sequence[str], value: str, ks: dic
         delta = m * i - j * k
         cols.append(((F.col(name + "__j") * (k - delta) + F.col(name + "__j1") * delta) / k).alias(name))
     return picked.select(*group, "n", *cols)
+
+
+def quantile_summary(df: DataFrame, group: Sequence[str], value: str, linear: dict[str, float],
+                     exclusive: dict[str, int], k: int = 100) -> DataFrame:
+    """n, mean, min, max, linear quantiles and exclusive quantiles in one aggregation."""
+    cum = cumulative_counts(df, group, value)
+    m = F.col("n") + 1
+    ranks = {}
+    for name, p in linear.items():
+        pos = (F.col("n") - 1) * F.lit(p)
+        ranks[name + "__lo"], ranks[name + "__hi"] = F.floor(pos) + 1, F.ceil(pos) + 1
+    jx = {name: F.least(F.greatest(F.floor(m * i / k), F.lit(1)), F.col("n") - 1) for name, i in exclusive.items()}
+    for name, j in jx.items():
+        ranks[name + "__j"], ranks[name + "__j1"] = j, j + 1
+    extra = [(F.sum(F.col(value) * F.col("c")) / F.sum("c")).alias("mean"), F.min(value).alias("min"),
+             F.max(value).alias("max")]
+    picked = pick_ranks(cum, group, value, ranks, extra)
+    cols = []
+    for name, p in linear.items():
+        pos = (F.col("n") - 1) * F.lit(p)
+        frac = pos - F.floor(pos)
+        cols.append((F.col(name + "__lo") + (F.col(name + "__hi") - F.col(name + "__lo")) * frac).alias(name))
+    for name, i in exclusive.items():
+        delta = m * i - jx[name] * k
+        cols.append(((F.col(name + "__j") * (k - delta) + F.col(name + "__j1") * delta) / k).alias(name))
+    return picked.select(*group, "n", "mean", "min", "max", *cols)
