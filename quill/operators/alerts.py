@@ -24,7 +24,7 @@ from quill.operators.metrics import metric_key
 
 SEVERITIES = ["low", "medium", "high", "critical"]
 RULE_SCHEMA = "name string, source string, op string, threshold double, severity string, cooldown_s long, template string"
-EVENT_SCHEMA = "rule string, event_id long, ts timestamp, key string, event string, value double"
+EVENT_SCHEMA = "rule string, event_id long, ts timestamp_ntz, key string, event string, value double"
 MAX_RULES = 100_000  # rules are broadcast; beyond this they must be sharded
 
 
@@ -86,7 +86,7 @@ def _run_rule(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def alert_events(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     """Fire and resolve events with per-rule cooldowns (one task per rule)."""
-    m = match_rules(metrics, rules).select("rule", "event_id", F.col("ts").cast("timestamp").alias("ts"),
+    m = match_rules(metrics, rules).select("rule", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"),
                                            "key", "value", "cond", "cooldown_s")
     ev = m.groupBy("rule").applyInPandas(_run_rule, EVENT_SCHEMA)
     info = rules.select(F.col("name").alias("rule"), "severity", "template", "threshold")

@@ -111,7 +111,8 @@ def per_minute(metrics: DataFrame) -> DataFrame:
 
 def throughput(metrics: DataFrame, spans=(60, 300, 900)) -> DataFrame:
     """K9: trailing throughput (ops/s) over ``spans`` seconds at every second with points."""
-    s = metrics.groupBy(F.unix_seconds(F.col("ts").cast("timestamp")).alias("sec")).agg(F.count("*").alias("c"))
+    sec = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
+    s = metrics.groupBy(sec.alias("sec")).agg(F.count("*").alias("c"))
     cols = []
     for sp in spans:
         w = Window.orderBy("sec").rangeBetween(-sp, 0)
@@ -131,7 +132,7 @@ def quantiles_exclusive(metrics: DataFrame, group=("name",)) -> DataFrame:
 
 def run_summary(requests: DataFrame, ts: str = "ts") -> DataFrame:
     """Request-run summary (success flag, latency of successes, duration from timestamps)."""
-    dur = F.unix_micros(F.max(F.col(ts).cast("timestamp"))) - F.unix_micros(F.min(F.col(ts).cast("timestamp")))
+    dur = F.timestamp_diff("MICROSECOND", F.min(F.col(ts)), F.max(F.col(ts)))
     base = requests.agg(
         F.count("*").cast("bigint").alias("total_requests"),
         F.count_if("success").cast("bigint").alias("successful_requests"),

@@ -46,7 +46,7 @@ def sentiment_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def processed_at(doc_id: Column) -> Column:
-    return (F.lit(FX_EPOCH).cast("timestamp")
+    return (F.lit(FX_EPOCH).cast("timestamp_ntz")
             + F.make_dt_interval(F.pmod(doc_id, F.lit(30)).cast("int"), F.pmod(doc_id, F.lit(24)).cast("int")))
 
 

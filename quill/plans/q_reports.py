@@ -322,7 +322,7 @@ u AS (SELECT text_hash, model_type, arg_max(prediction_data, (created_at, predic
 
 def _cache(spark, d):
     rows = sk.prediction_cache_rows(R(spark, d))
-    cut = F.lit("2024-01-15 00:00:00").cast("timestamp")
+    cut = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
     return sk.upsert_predictions(rows.filter(F.col("created_at") < cut), rows.filter(F.col("created_at") >= cut))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -16,6 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` with ``ts`` as TIMESTAMP (session zone UTC) so watermarks accept it."""
-    ev = table(spark, sf_dir, "events")
-    return ev.withColumn("ts", F.col("ts").cast("timestamp"))
+    """``events`` as stored: ``ts`` is TIMESTAMP_NTZ (wall clock, independent of the
+    session time zone).  Streams cast it to TIMESTAMP for watermarks."""
+    return table(spark, sf_dir, "events")
