@@ -187,13 +187,12 @@ def pool_tokens(docs: DataFrame, key: str, text: str, wv: DataFrame, dim: int, h
 def embed_with_model(df: DataFrame, text: str, model_factory: Callable[[], Callable], dim: int,
                      out: str = "embedding") -> DataFrame:
     """a user embedding model over Arrow batches (factory runs once per Python worker)."""
-    state: dict = {}
+    from quill.operators.sentiment import cached_model
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def _embed(texts: pd.Series) -> pd.Series:
-        if "m" not in state:
-            state["m"] = model_factory()
-        arr = np.asarray(state["m"](texts.fillna("").tolist()), dtype=np.float32).reshape(len(texts), dim)
+        model = cached_model(model_factory)
+        arr = np.asarray(model(texts.fillna("").tolist()), dtype=np.float32).reshape(len(texts), dim)
         return pd.Series(list(arr))
 
     return df.withColumn(out, _embed(F.col(text)))

@@ -54,17 +54,26 @@ def score_with_model(df: DataFrame, text_col: str, model_factory: Callable[[], C
 
     The model maps a list of texts to a list of probability rows.
     """
-    state: dict = {}
-
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def _score(texts: pd.Series) -> pd.Series:
-        if "m" not in state:
-            state["m"] = model_factory()
-        return pd.Series([list(map(float, p)) for p in state["m"](texts.fillna("").tolist())])
+        model = cached_model(model_factory)
+        return pd.Series([list(map(float, p)) for p in model(texts.fillna("").tolist())])
 
     return df.withColumn(out, _score(F.col(text_col)))
 
 
+_MODELS: dict = {}
+
+
+def cached_model(factory: Callable[[], Callable]):
+    """One model per Python worker process and factory (workers are reused across tasks)."""
+    key = (getattr(factory, "__module__", ""), getattr(factory, "__qualname__", ""), id(factory.__code__)
+           if hasattr(factory, "__code__") else id(factory))
+    if key not in _MODELS:
+        _MODELS[key] = factory()
+    return _MODELS[key]
+
+
 def sentiment_distribution(df: DataFrame, sentiment_col: str = "sentiment") -> DataFrame:
     """M4: counts of all three classes (zeros kept), shares, mean and population std."""
     lab = F.col(f"{sentiment_col}.label")

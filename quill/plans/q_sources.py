@@ -107,7 +107,12 @@ def q_scan_directory(spark, d):
 
 @query("load_stats", None)
 def q_load_stats(spark, d):
-    return rd.load_stats(rd.load_directory(spark, _mixed_dir(spark, d)))
+    """Stats of two loads appended to a stats table; the latest row is read back."""
+    p = scratch(spark, "stats")
+    loaded = rd.load_directory(spark, _mixed_dir(spark, d))
+    rd.save_load_stats(rd.load_stats(loaded.filter("lang = 'en'")), p, "run-1")
+    rd.save_load_stats(rd.load_stats(loaded), p, "run-2")
+    return rd.last_load_stats(spark, p).select("run_id", "files", "records", "errors")
 
 
 @query("load_union", "SELECT doc_id, CAST(length(text) AS BIGINT) AS n FROM documents")

@@ -151,6 +151,17 @@ def load_stats(df: DataFrame) -> DataFrame:
                   (F.count_if(F.col(CORRUPT).isNotNull()) if has_corrupt else F.lit(0)).cast("bigint").alias("errors"))
 
 
+def save_load_stats(stats: DataFrame, path: str, run_id: str) -> None:
+    """Append one stats row (with run id and time) to a parquet table kept between runs."""
+    stats.withColumns({"run_id": F.lit(run_id), "saved_at": F.current_timestamp()}).write.mode("append").parquet(path)
+
+
+def last_load_stats(spark: SparkSession, path: str) -> DataFrame:
+    """The most recent stats row of the table (``max_by`` on the save time)."""
+    df = spark.read.parquet(path)
+    return df.agg(F.max_by(F.struct(*df.columns), "saved_at").alias("s")).select("s.*")
+
+
 def enrich_batch(df: DataFrame) -> DataFrame:
     """Tag historical rows: ``source = 'batch'`` and ``processed_at``."""
     return df.withColumns({"source": F.lit("batch"), "processed_at": F.current_timestamp()})
