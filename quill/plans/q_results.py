@@ -36,7 +36,7 @@ def lexicon_df(spark):
     return spark.createDataFrame(LEXICON, "word string, weight double")
 
 
-LEX_SQL = "(VALUES " + ", ".join(f"({lit(w)}, {v})" for w, v in LEXICON) + ") AS lx(word, weight)"
+LEX_SQL = "(VALUES " + ", ".join(f"({lit(w)}, CAST({v} AS DOUBLE))" for w, v in LEXICON) + ") AS lx(word, weight)"
 
 
 def d_spans(src: str, id_col: str, text_col: str, pattern: str, label: str) -> str:
@@ -94,7 +94,7 @@ e AS (SELECT vec_id, list_transform(x5, lambda v: exp(v - list_max(x5))) AS e5,
 p AS (SELECT vec_id, list_transform(e5, lambda v: v / list_sum(e5)) AS p5,
              list_transform(e2, lambda v: v / list_sum(e2)) AS p2 FROM e)
 SELECT vec_id, round(p5[1] + p5[2], 6) AS neg5, round(p5[3], 6) AS neu5, round(p5[4] + p5[5], 6) AS pos5,
-       round(p2[1], 6) AS neg2, 0.0 AS neu2, round(p2[2], 6) AS pos2
+       round(p2[1], 6) AS neg2, CAST(0.0 AS DOUBLE) AS neu2, round(p2[2], 6) AS pos2
 FROM p
 """)
 def q_sentiment_collapse(spark, d):

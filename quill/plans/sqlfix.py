@@ -19,7 +19,7 @@ fx_docs AS (
   SELECT CAST(d.doc_id AS VARCHAR) AS document_id, d.doc_id, d.text, d.lang, d.source, d.n_chars,
          s.label AS sent_label, s.score AS sent_score,
          CASE WHEN l.doc_id IS NULL THEN NULL WHEN l.quality = 1 THEN 'high' ELSE 'low' END AS cls_label,
-         CASE WHEN l.doc_id IS NOT NULL THEN 1.0 END AS cls_score,
+         CASE WHEN l.doc_id IS NOT NULL THEN CAST(1.0 AS DOUBLE) END AS cls_score,
          TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(d.doc_id % 30 AS INTEGER)) + to_hours(CAST(d.doc_id % 24 AS INTEGER)) AS processed_at,
          d.n_chars / 10000.0 AS processing_time,
          CASE WHEN d.n_chars < 20 THEN 'too_short' END AS error,
