@@ -9,8 +9,10 @@ once into :func:`entities_long`.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quill.functions.text import let
 
@@ -223,3 +225,91 @@ def entity_relations(docs: DataFrame, key: str, text: str, entity_pattern: str =
     rels = let(pos_tags(word_tokens(F.col("sentence"))), rel)
     return (s.select(key, F.col("sent_no").cast("bigint").alias("sent_no"), F.explode(rels).alias("r"))
             .select(key, "sent_no", "r.*"))
+
+
+TOKEN_PATTERN = r"[\p{L}\p{N}]+"
+
+
+def _token_spans_py(texts):
+    import regex
+    pat = regex.compile(TOKEN_PATTERN)
+    return [[{"text": m.group(), "start": m.start(), "end": m.end()} for m in pat.finditer(t or "")] for t in texts]
+
+
+_SPAN_SCHEMA = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("start", T.IntegerType()),
+                                         T.StructField("end", T.IntegerType())]))
+
+
+@F.pandas_udf(_SPAN_SCHEMA)
+def _token_spans_udf(texts: pd.Series) -> pd.Series:
+    return pd.Series(_token_spans_py(texts.tolist()))
+
+
+def token_spans(text: Column) -> Column:
+    """Word tokens with offsets, linear per text (Arrow-batched helper).
+
+    ``match_spans`` accumulates offsets with ``aggregate``, whose array
+    copies are quadratic in the number of matches: right for sparse entity
+    patterns, too slow for every word of a long document.
+    """
+    return _token_spans_udf(text)
+
+
+def phrase_spans(text: Column, max_n: int = 2) -> Column:
+    """Word n-grams (1..``max_n``) with character offsets: array<struct<text,start,end>>.
+
+    ``text`` of an n-gram is its lower-cased words joined by one blank, so it
+    can be hash-joined to a dictionary of phrases.
+    """
+    def gram_of(sp, k):
+        # one-argument lambda (a second parameter would be read as the element index)
+        return lambda i: F.struct(
+            F.lower(F.array_join(F.transform(F.slice(sp, i + 1, k), lambda s: s["text"]), " ")).alias("text"),
+            F.get(sp, i)["start"].alias("start"), F.get(sp, i + k - 1)["end"].alias("end"))
+
+    def grams(sp):
+        n = F.size(sp)
+        parts = []
+        for k in range(1, max_n + 1):
+            idx = F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
+            parts.append(F.transform(idx, gram_of(sp, k)))
+        return F.concat(*parts) if len(parts) > 1 else parts[0]
+    return let(token_spans(text), grams)
+
+
+def extract_gazetteer(docs: DataFrame, key: str, text: str, gazetteer: DataFrame, max_n: int = 2) -> DataFrame:
+    """N1 (b): dictionary entities: document n-grams hash-joined to a (phrase, label) table.
+
+    The dictionary is a bounded dimension (broadcast); documents are never
+    shuffled, only the matching n-gram rows come out.  Long form
+    (key, text, label, type, start, end).
+    """
+    grams = docs.select(key, F.explode(phrase_spans(F.col(text), max_n)).alias("g")).select(
+        key, F.col("g.text").alias("phrase"), F.col("g.start").alias("start"), F.col("g.end").alias("end"))
+    hits = grams.join(F.broadcast(gazetteer.select(F.lower("phrase").alias("phrase"), "label")), "phrase")
+    return hits.select(key, F.col("phrase").alias("text"), "label", entity_type(F.col("label")).alias("type"),
+                       "start", "end")
+
+
+def extract_with_model(df: DataFrame, text: str, model_factory, out: str = "entities") -> DataFrame:
+    """N1 (c): a user NER model over Arrow batches; it returns, per text, a list of
+    (text, label, start, end, score) tuples.  The factory runs once per Python worker."""
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from quill.operators.sentiment import cached_model
+
+    schema = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("label", T.StringType()),
+                                       T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
+                                       T.StructField("score", T.DoubleType())]))
+
+    @F.pandas_udf(schema)
+    def _ner(texts: pd.Series) -> pd.Series:
+        model = cached_model(model_factory)
+        return pd.Series([[dict(zip(("text", "label", "start", "end", "score"), e)) for e in ents]
+                          for ents in model(texts.fillna("").tolist())])
+
+    raw = df.withColumn("_ner", _ner(F.col(text)))
+    return raw.withColumn(out, F.transform("_ner", lambda e: F.struct(
+        e["text"].alias("text"), e["label"].alias("label"), entity_type(e["label"]).alias("type"),
+        e["start"].alias("start"), e["end"].alias("end"), e["score"].alias("score")))).drop("_ner")

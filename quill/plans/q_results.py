@@ -524,3 +524,43 @@ def q_agg_by_window_entities(spark, d):
     r = R(spark, d)
     w = F.window("processed_at", "1 day")
     return (ag.top_entities_by(r.withColumn("w", w.start.cast("timestamp_ntz")), F.col("w"), "window_start", 10))
+
+
+# Gazetteer: the 30 most frequent capitalised words and the 10 most frequent word pairs
+# of the corpus, derived from the documents (so the work grows with them).
+def gazetteer(spark, d):
+    docs = table(spark, d, "documents")
+    toks = docs.select(F.explode(F.regexp_extract_all("text", F.lit(en.TOKEN_PATTERN), 0)).alias("w"))
+    words = toks.filter(F.col("w").rlike("^[A-Z][a-z]+$")).select(F.lower("w").alias("phrase"))
+    top_w = (words.groupBy("phrase").agg(F.count("*").alias("n"))
+             .orderBy(F.desc("n"), F.asc("phrase")).limit(30).select("phrase", F.lit("ORG").alias("label")))
+    pairs = docs.select(F.explode(en.phrase_spans(F.col("text"), 2)).alias("g")).filter(F.col("g.text").contains(" "))
+    top_p = (pairs.groupBy(F.col("g.text").alias("phrase")).agg(F.count("*").alias("n"))
+             .orderBy(F.desc("n"), F.asc("phrase")).limit(10).select("phrase", F.lit("EVENT").alias("label")))
+    return top_w.unionByName(top_p)
+
+
+_TOK_SPANS = d_spans("documents", "doc_id", "text", en.TOKEN_PATTERN, "T")
+GAZ_SQL = f"""
+t AS (SELECT id AS doc_id, lower(text) AS w, start_pos, end_pos,
+             row_number() OVER (PARTITION BY id ORDER BY start_pos) AS i FROM ({_TOK_SPANS}) x),
+g AS (SELECT doc_id, w AS phrase, start_pos, end_pos FROM t
+      UNION ALL SELECT a.doc_id, a.w || ' ' || b.w, a.start_pos, b.end_pos FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.i = a.i + 1),
+cw AS (SELECT lower(w) AS phrase FROM (SELECT unnest(regexp_extract_all(text, {lit(en.TOKEN_PATTERN)})) AS w FROM documents)
+       WHERE regexp_full_match(w, '[A-Z][a-z]+')),
+tw AS (SELECT phrase, 'ORG' AS label FROM (SELECT phrase, count(*) AS n FROM cw GROUP BY 1 ORDER BY n DESC, phrase LIMIT 30)),
+tp AS (SELECT phrase, 'EVENT' AS label FROM (SELECT phrase, count(*) AS n FROM g WHERE phrase LIKE '% %' GROUP BY 1
+                                             ORDER BY n DESC, phrase LIMIT 10)),
+gz AS (SELECT * FROM tw UNION ALL SELECT * FROM tp)
+"""
+
+
+@query("extract_gazetteer", f"""
+WITH {GAZ_SQL}
+SELECT g.doc_id, g.phrase AS text, gz.label, CASE gz.label WHEN 'ORG' THEN 'Organization' ELSE 'Event' END AS type,
+       CAST(g.start_pos AS INTEGER) AS start, CAST(g.end_pos AS INTEGER) AS "end"
+FROM g JOIN gz USING (phrase)
+""")
+def q_extract_gazetteer(spark, d):
+    """N1 (b): dictionary matching of word n-grams (n <= 2) with character offsets."""
+    return en.extract_gazetteer(table(spark, d, "documents"), "doc_id", "text", gazetteer(spark, d), 2)
