@@ -9,9 +9,24 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
+# Tables whose rows carry long texts: per-row work is CPU-heavy regex work.
+TEXT_TABLES = ("documents", "conversations", "pages", "benchmark")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet scan; Catalyst prunes columns and pushes filters into it."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Parquet scan; Catalyst prunes columns and pushes filters into it.
+
+    A text table stored in fewer files than the cluster has cores (here: one
+    file with one row group) would be processed by a single task; such a scan
+    is spread round-robin over ``defaultParallelism`` tasks.  Large inputs
+    (many files) are read as they are, without this extra shuffle.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in TEXT_TABLES:
+        par = spark.sparkContext.defaultParallelism
+        if len(df.inputFiles()) < par:
+            df = df.repartition(par)
+    return df
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
