@@ -310,3 +310,50 @@ def pos_tags(tokens: Column) -> Column:
                 .when(t.rlike(r"^\p{Lu}"), "PROPN").otherwise("NOUN"))
         return F.struct(t.alias("token"), F.coalesce(F.try_element_at(lex, lt), rule).alias("pos"))
     return F.transform(tokens, tag)
+
+
+def wordpiece_factory(vocab: dict[str, int], max_length: int):
+    """A WordPiece tokenizer (lower-casing, BERT pre-tokenization, [CLS]/[SEP], padding)."""
+    def make():
+        from tokenizers import Tokenizer
+        from tokenizers.models import WordPiece
+        from tokenizers.normalizers import BertNormalizer
+        from tokenizers.pre_tokenizers import BertPreTokenizer
+        from tokenizers.processors import TemplateProcessing
+        tok = Tokenizer(WordPiece(vocab, unk_token="[UNK]"))
+        tok.normalizer = BertNormalizer(lowercase=True)
+        tok.pre_tokenizer = BertPreTokenizer()
+        tok.post_processor = TemplateProcessing(single="[CLS] $A [SEP]",
+                                                special_tokens=[("[CLS]", vocab["[CLS]"]), ("[SEP]", vocab["[SEP]"])])
+        tok.enable_truncation(max_length)
+        tok.enable_padding(length=max_length, pad_id=vocab["[PAD]"], pad_token="[PAD]")
+        return tok
+    import hashlib
+    digest = hashlib.md5("\n".join(f"{k}\t{v}" for k, v in sorted(vocab.items())).encode("utf-8")).hexdigest()
+    make.cache_key = ("wordpiece", digest, max_length)
+    return make
+
+
+_ENC_SCHEMA = T.StructType([T.StructField("input_ids", T.ArrayType(T.IntegerType())),
+                            T.StructField("attention_mask", T.ArrayType(T.IntegerType()))])
+
+
+def encode_wordpiece(docs: DataFrame, key: str, text: str, vocab: DataFrame, max_length: int = 512) -> DataFrame:
+    """T5 with a real subword tokenizer: WordPiece over the learned vocabulary, in Arrow batches.
+
+    The vocabulary is bounded by ``vocab_size`` (like a fitted model it is held
+    by the driver and shipped with the task); each Python worker builds the
+    tokenizer once and encodes whole batches.
+    """
+    from quill.operators.sentiment import cached_model
+    vmap = {t: i for i, t in enumerate(SPECIAL_TOKENS)}
+    vmap.update({r.token: int(r.id) for r in vocab.select("token", "id").collect()})
+    factory = wordpiece_factory(vmap, max_length)
+
+    @F.pandas_udf(_ENC_SCHEMA)
+    def _enc(texts: pd.Series) -> pd.DataFrame:
+        tok = cached_model(factory)
+        enc = tok.encode_batch(texts.fillna("").tolist())
+        return pd.DataFrame({"input_ids": [e.ids for e in enc], "attention_mask": [e.attention_mask for e in enc]})
+
+    return docs.select(key, _enc(F.col(text)).alias("e")).select(key, "e.input_ids", "e.attention_mask")

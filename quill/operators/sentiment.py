@@ -66,9 +66,15 @@ _MODELS: dict = {}
 
 
 def cached_model(factory: Callable[[], Callable]):
-    """One model per Python worker process and factory (workers are reused across tasks)."""
-    key = (getattr(factory, "__module__", ""), getattr(factory, "__qualname__", ""), id(factory.__code__)
-           if hasattr(factory, "__code__") else id(factory))
+    """One model per Python worker process and factory (workers are reused across tasks).
+
+    The factory is unpickled per task, so it is keyed by its definition site,
+    or by an explicit ``cache_key`` attribute when one site makes several models.
+    """
+    code = getattr(factory, "__code__", None)
+    key = getattr(factory, "cache_key", None) or (
+        getattr(factory, "__module__", ""), getattr(factory, "__qualname__", ""),
+        code.co_filename if code else "", code.co_firstlineno if code else 0)
     if key not in _MODELS:
         _MODELS[key] = factory()
     return _MODELS[key]

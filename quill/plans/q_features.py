@@ -267,3 +267,11 @@ def q_pos_lookup(spark, d):
     tags = fe.pos_tags(tx.word_tokens(F.col("text")))
     return (docs(spark, d).select("doc_id", F.posexplode(tags).alias("pos", "t"))
             .select("doc_id", F.col("pos").cast("bigint").alias("pos"), "t.token", F.col("t.pos").alias("tag")))
+
+
+@query("encode_wordpiece", None)
+def q_encode_wordpiece(spark, d):
+    """T5: subword ids from a WordPiece tokenizer built on the learned vocabulary."""
+    e = fe.encode_wordpiece(docs(spark, d), "doc_id", "text", vocab(spark, d), 512)
+    return e.select("doc_id", F.size("input_ids").cast("bigint").alias("length"),
+                    F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_attended"))
