@@ -179,6 +179,18 @@ def q_stream_window(spark, d):
                                     F.col("w.end").cast("timestamp_ntz").alias("window_end"), "n", "total"))
 
 
+@query("stream_late_rows", None)
+def q_stream_late_rows(spark, d):
+    """Rows dropped by the watermark (10 minutes), counted from the progress reports."""
+    ev = table(spark, d, "events")
+    s = xs.file_stream(spark, d, "parquet", schema=ev.schema, glob="events.parquet")
+    agg = xs.windowed_counts(s.withColumn("ts", F.col("ts").cast("timestamp")), size="1 hour", delay="10 minutes")
+    _, q = xs.run_to_table(agg, "late", output_mode="append")
+    return xs.progress_rows(spark, q).agg(F.count("*").cast("bigint").alias("batches"),
+                                          F.sum("num_input_rows").cast("bigint").alias("rows"),
+                                          F.sum("rows_dropped_by_watermark").cast("bigint").alias("dropped"))
+
+
 @query("stream_alerts", COOLDOWN_EVENTS + "SELECT rule, event_id, ts, key, event, value FROM ev")
 def q_stream_alerts(spark, d):
     """The cooldown alert state machine on the event stream (state per rule)."""

@@ -119,12 +119,14 @@ def progress_rows(spark: SparkSession, query) -> DataFrame:
     rows = []
     for p in query.recentProgress:
         d = p if isinstance(p, dict) else json.loads(p.json)
+        dropped = sum(int(op.get("numRowsDroppedByWatermark", 0) or 0) for op in d.get("stateOperators", []))
         rows.append((int(d.get("batchId", -1)), int(d.get("numInputRows", 0)),
                      float(d.get("inputRowsPerSecond") or 0.0), float(d.get("processedRowsPerSecond") or 0.0),
                      int((d.get("durationMs") or {}).get("triggerExecution", 0)),
-                     json.dumps([s.get("endOffset") for s in d.get("sources", [])])))
+                     json.dumps([s.get("endOffset") for s in d.get("sources", [])]), dropped))
     return spark.createDataFrame(rows, "batch_id long, num_input_rows long, input_rows_per_second double, "
-                                       "processed_rows_per_second double, trigger_ms long, end_offsets string")
+                                       "processed_rows_per_second double, trigger_ms long, end_offsets string, "
+                                       "rows_dropped_by_watermark long")
 
 
 def run_to_table(df: DataFrame, name: str, output_mode: str = "append", trigger: dict | None = None,
