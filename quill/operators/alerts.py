@@ -98,9 +98,10 @@ def alert_events(metrics: DataFrame, rules: DataFrame) -> DataFrame:
 def alert_fire(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     """K12 without cooldown: fire at a true point whose previous point (same rule and
     label set) was false or absent; resolve at the first false point after it."""
-    m = match_rules(metrics, rules)
-    w = Window.partitionBy("rule", "key").orderBy("ts", "event_id")
-    prev = F.coalesce(F.lag("cond").over(w), F.lit(False))
+    m = match_rules(metrics, rules).select("rule", "key", "event_id", "ts", "value", "severity", "cond")
+    # lag per (rule, label set) with distributed prefix logic: a hot series is not one task
+    m = st.previous_value(m, ["rule", "key"], [F.col("ts"), F.col("event_id")], "cond", "prev_cond")
+    prev = F.coalesce(F.col("prev_cond"), F.lit(False))
     e = m.withColumn("event", F.when(F.col("cond") & ~prev, "fired").when(~F.col("cond") & prev, "resolved"))
     return e.filter(F.col("event").isNotNull()).select(
         "rule", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "key", "event", "value", "severity")

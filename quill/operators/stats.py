@@ -143,3 +143,26 @@ def quantile_summary(df: DataFrame, group: Sequence[str], value: str, linear: di
         delta = m * i - jx[name] * k
         cols.append(((F.col(name + "__j") * (k - delta) + F.col(name + "__j1") * delta) / k).alias(name))
     return picked.select(*group, "n", "mean", "min", "max", *cols)
+
+
+def previous_value(d: DataFrame, group: Sequence[str], order: Sequence[Column], col: str, out: str = "prev",
+                   n_parts: int | None = None) -> DataFrame:
+    """``lag(col)`` within each group in ``order``, without one task per group.
+
+    Rows are range-partitioned (and checkpointed, as in :func:`running_sums`);
+    inside a partition the ordinary ``lag`` applies, and the first row of a
+    partition takes the last value of the same group from the previous
+    partition (a table of one row per group and partition).
+    """
+    group = list(group)
+    r = d.repartitionByRange(_parts(d, n_parts), *[F.col(g) for g in group], *order) \
+         .withColumn("_pid", F.spark_partition_id())
+    r = cut_lineage(r)
+    wl = Window.partitionBy(*group, "_pid").orderBy(*order)
+    local = r.withColumn("_lag", F.lag(col).over(wl)).withColumn("_rn", F.row_number().over(wl))
+    lasts = local.groupBy(*group, "_pid").agg(F.max_by(F.col(col), F.col("_rn")).alias("_last"))
+    wp = Window.partitionBy(*group).orderBy("_pid")
+    carry = lasts.select(*group, "_pid", F.lag("_last").over(wp).alias("_carry"))
+    j = local.join(carry, [*group, "_pid"])
+    prev = F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_lag"))
+    return j.select(*[c for c in d.columns], prev.alias(out))

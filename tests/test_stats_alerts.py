@@ -53,3 +53,14 @@ def test_alert_cooldown_matches_loop(spark):
     got = {(r.rule, r.event_id, r.event) for r in al.alert_events(m, rules_df(spark)).collect()}
     pdf = m.select("event_id", "ts", "name", F.col("labels")["k"].alias("k"), "value").toPandas()
     assert got == brute_alerts(pdf, RULES)
+
+
+def test_previous_value_matches_window_lag(spark):
+    from pyspark.sql import Window
+    ev = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "ts", "event_type", "value")
+    got = st.previous_value(ev, ["event_type"], [F.col("ts"), F.col("event_id")], "value", "prev", n_parts=7)
+    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
+    ref = ev.withColumn("ref", F.lag("value").over(w))
+    j = got.join(ref.select("event_id", "ref"), "event_id")
+    assert j.count() == ev.count()
+    assert j.filter(~F.col("prev").eqNullSafe(F.col("ref"))).count() == 0
