@@ -280,7 +280,12 @@ def ngrams(tokens: Column, n: int) -> Column:
 @functools.lru_cache(maxsize=None)
 def default_stopwords(language: str = "english") -> tuple[str, ...]:
     import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
+    dirs = [os.path.join(os.path.dirname(pyspark.__file__), "jars")]
+    if os.environ.get("SPARK_HOME"):
+        dirs.append(os.path.join(os.environ["SPARK_HOME"], "jars"))
+    jars = [j for d in dirs for j in glob.glob(os.path.join(d, "spark-mllib_*.jar"))]
+    if not jars:
+        raise FileNotFoundError("spark-mllib jar with the stop-word lists not found")
     with zipfile.ZipFile(jars[0]) as z:
         body = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8")
     return tuple(w for w in body.split("\n") if w)

@@ -306,7 +306,28 @@ def q_workbook_summary(spark, d):
     return sk.workbook_summary_table(R(spark, d))
 
 
-@query("summary_lines", None)
+@query("summary_lines", f"""
+WITH {FX},
+s AS (SELECT count(*) AS total_documents, count(*) FILTER (WHERE coalesce(error, '') = '') / count(*) AS success_rate,
+             count(*) FILTER (WHERE sent_label = 'negative') AS n_negative, count(*) FILTER (WHERE sent_label = 'neutral') AS n_neutral,
+             count(*) FILTER (WHERE sent_label = 'positive') AS n_positive, coalesce(avg(sent_score), 0) AS avg_confidence,
+             coalesce(stddev_samp(sent_score), 0) AS std_confidence, sum(n_entities) AS total_entities,
+             avg(n_entities) AS avg_entities_per_doc, avg(length(text)) AS avg_length, avg({d_word_count('text')}) AS avg_words,
+             (SELECT count(DISTINCT text) FROM fx_ents) AS unique_entities FROM fx_docs)
+SELECT CAST(seq AS BIGINT) AS seq, section, line FROM (
+  SELECT 0 AS seq, 'Overview' AS section, printf('- **Total Documents**: %d', total_documents) AS line FROM s
+  UNION ALL SELECT 1, 'Overview', printf('- **Success Rate**: %.1f%%', round(success_rate * 100, 1)) FROM s
+  UNION ALL SELECT 2, 'Sentiment Analysis', printf('- **negative**: %d', n_negative) FROM s
+  UNION ALL SELECT 3, 'Sentiment Analysis', printf('- **neutral**: %d', n_neutral) FROM s
+  UNION ALL SELECT 4, 'Sentiment Analysis', printf('- **positive**: %d', n_positive) FROM s
+  UNION ALL SELECT 5, 'Sentiment Analysis', printf('- **Average Confidence**: %.3f', round(avg_confidence, 3)) FROM s
+  UNION ALL SELECT 6, 'Sentiment Analysis', printf('- **Confidence Std Dev**: %.3f', round(std_confidence, 3)) FROM s
+  UNION ALL SELECT 7, 'Entity Analysis', printf('- **Total Entities**: %d', total_entities) FROM s
+  UNION ALL SELECT 8, 'Entity Analysis', printf('- **Unique Entities**: %d', unique_entities) FROM s
+  UNION ALL SELECT 9, 'Entity Analysis', printf('- **Average per Document**: %.2f', round(avg_entities_per_doc, 2)) FROM s
+  UNION ALL SELECT 10, 'Text Statistics', printf('- **Average Length**: %d characters', CAST(round(avg_length, 0) AS BIGINT)) FROM s
+  UNION ALL SELECT 11, 'Text Statistics', printf('- **Average Words**: %d words', CAST(round(avg_words, 0) AS BIGINT)) FROM s)
+""")
 def q_summary_lines(spark, d):
     return sk.summary_lines_table(ag.summary_stats(R(spark, d)))
 

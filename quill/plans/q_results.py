@@ -564,3 +564,20 @@ FROM g JOIN gz USING (phrase)
 def q_extract_gazetteer(spark, d):
     """N1 (b): dictionary matching of word n-grams (n <= 2) with character offsets."""
     return en.extract_gazetteer(table(spark, d, "documents"), "doc_id", "text", gazetteer(spark, d), 2)
+
+
+@query("score_model", None)
+def q_score_model(spark, d):
+    """M1 (c): a user model in Arrow batches (factory run once per Python worker)."""
+    from quill.operators.models import lexicon_model
+    scored = se.attach_sentiment(se.score_with_model(table(spark, d, "documents").select("doc_id", "text"), "text",
+                                                     lexicon_model(LEXICON)))
+    return scored.select("doc_id", F.col("sentiment.label").alias("label"), F.col("sentiment.score").alias("score"))
+
+
+@query("extract_model", None)
+def q_extract_model(spark, d):
+    """N1 (c): a user entity model in Arrow batches, results in the canonical entity struct."""
+    from quill.operators.models import email_model
+    out = en.extract_with_model(table(spark, d, "documents").select("doc_id", "text"), "text", email_model)
+    return out.select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.text", "e.label", "e.start", "e.end")
