@@ -50,7 +50,7 @@ def processed_at(doc_id: Column) -> Column:
             + F.make_dt_interval(F.pmod(doc_id, F.lit(30)).cast("int"), F.pmod(doc_id, F.lit(24)).cast("int")))
 
 
-def results(spark: SparkSession, d: str, with_text: bool = True) -> DataFrame:
+def results(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     sent = sentiment_scores(spark, d).select("doc_id", "sentiment")
     lab = table(spark, d, "labels").select(

@@ -145,6 +145,17 @@ def q_stream_analyze(spark, d):
     return round_doubles(spark.read.parquet(f"{base}/data").drop("batch_id"))
 
 
+@query("stream_running_counts", """
+SELECT lang, CAST(count(*) AS BIGINT) AS n FROM documents WHERE doc_id % 50 <> 0 GROUP BY lang
+""")
+def q_stream_running_counts(spark, d):
+    """A12 streaming: running counts per language in complete mode over the message stream."""
+    s = xs.valid_messages(parsed_stream(spark, d, max_files_per_trigger=2)).select(
+        F.get_json_object("metadata", "$.lang").alias("lang"))
+    path, _ = xs.running_counts(s, "lang", "running")
+    return spark.read.parquet(path)
+
+
 @query("hybrid_union", """
 SELECT 'batch' AS origin, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents
 UNION ALL

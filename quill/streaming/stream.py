@@ -174,6 +174,25 @@ def idempotent_append(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def running_counts(stream: DataFrame, key: str, name: str):
+    """A12 on a stream: a running count per ``key`` kept current in complete mode.
+
+    Each micro-batch overwrites the sink with the full updated aggregate
+    (idempotent on replay); returns (sink path, finished query).
+    """
+    spark = stream.sparkSession
+    base = scratch_path(spark, f"streams/{name}-{uuid.uuid4().hex[:8]}")
+    agg = stream.groupBy(key).agg(F.count("*").cast("bigint").alias("n"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/data")
+
+    q = (agg.writeStream.outputMode("complete").foreachBatch(write)
+         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination(600)
+    return f"{base}/data", q
+
+
 # --- windows (X14) -------------------------------------------------------------------------
 def windowed_counts(events: DataFrame, ts: str = "ts", size: str = "1 hour", delay: str = "1 hour",
                     slide: str | None = None, key: str = "event_type") -> DataFrame:
