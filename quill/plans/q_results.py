@@ -575,7 +575,8 @@ def q_score_model(spark, d):
     return scored.select("doc_id", F.col("sentiment.label").alias("label"), F.col("sentiment.score").alias("score"))
 
 
-@query("extract_model", None)
+@query("extract_model", "SELECT id AS doc_id, text, label, start_pos AS start, end_pos AS \"end\" FROM ("
+       + d_spans("documents", "doc_id", "text", r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+\.[a-z]+", "EMAIL") + ") s")
 def q_extract_model(spark, d):
     """N1 (c): a user entity model in Arrow batches, results in the canonical entity struct."""
     from quill.operators.models import email_model

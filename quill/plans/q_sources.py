@@ -40,13 +40,17 @@ def q_scan_json(spark, d):
     return rd.read_json(spark, p, schema=DOC_SCHEMA)
 
 
-@query("error_policy", None)
+@query("error_policy", """
+SELECT 'skip' AS policy, count(*) AS rows, CAST(0 AS BIGINT) AS errors FROM documents
+UNION ALL SELECT 'log', 2 * count(*), count(*) FROM documents
+""")
 def q_error_policy(spark, d):
     """The same files (documents plus undecodable lines) under skip / log policies."""
     p = scratch(spark, "bad")
     docs(spark, d).write.json(f"{p}/good")
-    table(spark, d, "documents").select(F.substring(F.to_json(F.struct("doc_id", "text")), 1, 30).alias("value")) \
-        .write.text(f"{p}/bad")
+    # one unterminated JSON object per document: always undecodable
+    table(spark, d, "documents").select(F.concat(F.lit('{"doc_id": '), F.col("doc_id").cast("string"),
+                                                 F.lit(', "text": ')).alias("value")).write.text(f"{p}/bad")
     schema = DOC_SCHEMA + ", _corrupt_record string"
     skip = rd.read_json(spark, f"{p}/*", errors="skip", schema=DOC_SCHEMA).agg(F.count("*").alias("rows"))
     log = rd.read_json(spark, f"{p}/*", errors="log", schema=schema).agg(
@@ -83,7 +87,7 @@ def q_scan_yaml(spark, d):
         "doc_id", "lang", "source")
 
 
-@query("load_by_extension", None)
+@query("load_by_extension", "SELECT doc_id, text, lang FROM documents")
 def q_load_by_extension(spark, d):
     p = scratch(spark, "ext")
     docs(spark, d).write.option("header", True).option("escape", '"').csv(p + "/data.csv")
@@ -126,9 +130,10 @@ def q_load_union(spark, d):
     return u.select("doc_id", "n")
 
 
-@query("enrich_batch", None)
+@query("enrich_batch", "SELECT doc_id, 'batch' AS source, true AS has_processed_at FROM documents")
 def q_enrich_batch(spark, d):
-    return rd.enrich_batch(docs(spark, d)).select("doc_id", "source", "processed_at")
+    return rd.enrich_batch(docs(spark, d)).select("doc_id", "source",
+                                                  F.col("processed_at").isNotNull().alias("has_processed_at"))
 
 
 @query("label_index", """
@@ -159,7 +164,9 @@ def q_sink_json(spark, d):
     return spark.read.json(p).select("document_id", "text")
 
 
-@query("export_batch", None)
+@query("export_batch", """
+SELECT f AS format, count(*) AS n FROM documents, (VALUES ('json'), ('csv'), ('parquet')) t(f) GROUP BY f
+""")
 def q_export_batch(spark, d):
     p = scratch(spark, "export")
     paths = sk.export_batch(fx.results(spark, d), p)
@@ -181,6 +188,10 @@ SELECT split, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY split
 """
 
 
+_SPLIT_COUNTS_MISSING = ("SELECT split, n, 'validation' AS missing FROM (" + _SPLIT_COUNTS
+                         + ") x WHERE split <> 'validation'")
+
+
 @query("save_splits", _SPLIT_COUNTS)
 def q_save_splits(spark, d):
     p = scratch(spark, "splits")
@@ -190,7 +201,7 @@ def q_save_splits(spark, d):
     return df.groupBy("split").agg(F.count("*").cast("bigint").alias("n"))
 
 
-@query("load_splits", None)
+@query("load_splits", _SPLIT_COUNTS_MISSING)
 def q_load_splits(spark, d):
     """Saved splits read back; the report lists splits that are absent."""
     p = scratch(spark, "splits2")

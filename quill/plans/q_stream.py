@@ -106,7 +106,7 @@ def q_stream_progress(spark, d):
     return xs.progress_rows(spark, q)
 
 
-@query("stream_retry", None)
+@query("stream_retry", "SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents WHERE doc_id % 50 <> 0")
 def q_stream_retry(spark, d):
     """foreachBatch with retries; the writer fails once per batch and succeeds on retry."""
     base = scratch_path(spark, f"streams/retry-{uuid.uuid4().hex[:8]}")
