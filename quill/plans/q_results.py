@@ -566,13 +566,22 @@ def q_extract_gazetteer(spark, d):
     return en.extract_gazetteer(table(spark, d, "documents"), "doc_id", "text", gazetteer(spark, d), 2)
 
 
-@query("score_model", None)
+@query("score_model", f"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM documents),
+h AS (SELECT doc_id, sum(weight) AS sc FROM t JOIN {LEX_SQL} USING (word) GROUP BY doc_id),
+z AS (SELECT d.doc_id, exp(-coalesce(h.sc, 0) / 100.0) AS a, exp(coalesce(h.sc, 0) / 100.0) AS c
+      FROM documents d LEFT JOIN h USING (doc_id)),
+p AS (SELECT doc_id, a / (a + 1 + c) AS pn, 1 / (a + 1 + c) AS pu, c / (a + 1 + c) AS pp FROM z)
+SELECT doc_id, CASE WHEN pn >= pu AND pn >= pp THEN 'negative' WHEN pu >= pp THEN 'neutral' ELSE 'positive' END AS label,
+       round(greatest(pn, pu, pp), 6) AS score FROM p
+""")
 def q_score_model(spark, d):
     """M1 (c): a user model in Arrow batches (factory run once per Python worker)."""
     from quill.operators.models import lexicon_model
     scored = se.attach_sentiment(se.score_with_model(table(spark, d, "documents").select("doc_id", "text"), "text",
                                                      lexicon_model(LEXICON)))
-    return scored.select("doc_id", F.col("sentiment.label").alias("label"), F.col("sentiment.score").alias("score"))
+    return round_doubles(scored.select("doc_id", F.col("sentiment.label").alias("label"),
+                                       F.col("sentiment.score").alias("score")))
 
 
 @query("extract_model", "SELECT id AS doc_id, text, label, start_pos AS start, end_pos AS \"end\" FROM ("
