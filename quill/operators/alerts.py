@@ -88,6 +88,11 @@ def alert_events(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     """Fire and resolve events with per-rule cooldowns (one task per rule)."""
     m = match_rules(metrics, rules).select("rule", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"),
                                            "key", "value", "cond", "cooldown_s")
+    # Exact reduction before the sequential step: a label set's points before its
+    # first true condition can change nothing (never active, nothing to fire).
+    first = (m.filter("cond").groupBy("rule", "key")
+             .agg(F.min(F.struct("ts", "event_id")).alias("first_true")))
+    m = m.join(first, ["rule", "key"]).filter(F.struct("ts", "event_id") >= F.col("first_true")).drop("first_true")
     ev = m.groupBy("rule").applyInPandas(_run_rule, EVENT_SCHEMA)
     info = rules.select(F.col("name").alias("rule"), "severity", "template", "threshold")
     return ev.join(F.broadcast(info), "rule").withColumn(
