@@ -18,9 +18,13 @@ def array_sum(a: Column) -> Column:
 
 
 def softmax(a: Column) -> Column:
-    """max-shifted softmax of an array<double>."""
-    shifted = F.transform(a, lambda x: F.exp(x - F.array_max(a)))
-    return F.transform(shifted, lambda e: e / array_sum(shifted))
+    """max-shifted softmax of an array<double> (max, exponentials and their sum bound once)."""
+    from quill.functions.text import let
+
+    def with_max(arr):
+        return let(F.array_max(arr), lambda m: let(F.transform(arr, lambda x: F.exp(x - m)), lambda ex: let(
+            array_sum(ex), lambda tot: F.transform(ex, lambda e: e / tot))))
+    return let(a, with_max)
 
 
 def sigmoid(x: Column) -> Column:
@@ -38,8 +42,8 @@ def norm2(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """cosine similarity; NULL when either vector is all zeros."""
-    den = norm2(a) * norm2(b)
-    return F.when(den > 0, dot(a, b) / den)
+    from quill.functions.text import let
+    return let(a, lambda x: let(norm2(x) * norm2(b), lambda den: F.when(den > 0, dot(x, b) / den)))
 
 
 def argmax(a: Column) -> Column:
