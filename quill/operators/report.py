@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quill.functions import text as tx
@@ -19,24 +19,34 @@ from quill.operators import stats as st
 from quill.operators.entities import entities_long
 
 
+def entity_stats(results: DataFrame) -> Column:
+    """One scalar subquery (a struct) with the entity-level statistics reports need."""
+    e = entities_long(results, keep=())
+    return e.select(F.struct(
+        F.coalesce(F.avg("score"), F.lit(0.0)).alias("avg_score"),
+        F.coalesce(F.try_divide(F.count_if(F.col("score") > 0.8), F.count("score")), F.lit(0.0)).alias("high_share"),
+        F.countDistinct("text").cast("bigint").alias("unique"))).scalar()
+
+
 def quality_metrics(results: DataFrame) -> DataFrame:
     """Mean sentiment / entity scores and the share of scores > 0.8 (strict)."""
-    e = entities_long(results, keep=())
-    ent = e.agg(F.coalesce(F.avg("score"), F.lit(0.0)).alias("a"),
-                F.coalesce(F.try_divide(F.count_if(F.col("score") > 0.8), F.count("score")), F.lit(0.0)).alias("h"))
+    ent = entity_stats(results)
     return results.agg(
         F.coalesce(F.avg(ag.sent_score()), F.lit(0.0)).alias("avg_sentiment_confidence"),
         F.coalesce(F.try_divide(F.count_if(ag.sent_score() > 0.8), F.count(ag.sent_score())), F.lit(0.0))
         .alias("high_confidence_sentiments"),
-    ).select("*", ent.select("a").scalar().alias("avg_entity_confidence"),
-             ent.select("h").scalar().alias("high_confidence_entities"))
+    ).select("*", ent["avg_score"].alias("avg_entity_confidence"), ent["high_share"].alias("high_confidence_entities"))
 
 
 def report_summary(results: DataFrame) -> DataFrame:
-    """G1: processing summary, sentiment shares over labelled rows, entities, text, quality."""
+    """G1: processing summary, sentiment shares over labelled rows, entities, text, quality.
+
+    One aggregate over the documents plus one scalar subquery over the
+    entities (all entity-level figures packed in one struct).
+    """
     labelled = F.count(ag.sent_label())
     wc = tx.word_count(F.col("text"))
-    uniq = entities_long(results, keep=()).select(F.countDistinct("text").cast("bigint")).scalar()
+    ent = entity_stats(results)
     base = results.agg(
         F.count("*").cast("bigint").alias("total_documents"),
         F.count_if(F.coalesce(F.col("error"), F.lit("")) == "").cast("bigint").alias("successful"),
@@ -48,10 +58,13 @@ def report_summary(results: DataFrame) -> DataFrame:
         F.coalesce(F.avg(wc), F.lit(0.0)).alias("avg_words"),
         F.sum(F.length("text")).cast("bigint").alias("total_characters"),
         F.sum(wc).cast("bigint").alias("total_words"),
-    ).withColumn("success_rate", F.col("successful") / F.col("total_documents")) \
-     .withColumn("unique_entities", uniq)
-    q = quality_metrics(results)
-    return base.select("*", *[q.select(c).scalar().alias(c) for c in q.columns])
+        F.coalesce(F.avg(ag.sent_score()), F.lit(0.0)).alias("avg_sentiment_confidence"),
+        F.coalesce(F.try_divide(F.count_if(ag.sent_score() > 0.8), F.count(ag.sent_score())), F.lit(0.0))
+        .alias("high_confidence_sentiments"),
+    )
+    return base.select("*", (F.col("successful") / F.col("total_documents")).alias("success_rate"),
+                       ent["unique"].alias("unique_entities"), ent["avg_score"].alias("avg_entity_confidence"),
+                       ent["high_share"].alias("high_confidence_entities"))
 
 
 def dominant_sentiment(results: DataFrame) -> DataFrame:
