@@ -47,3 +47,19 @@ def test_rule_entities_offsets(spark):
     out = docs.select("text", F.explode(en.extract_entities(F.col("text"))).alias("e")).collect()
     for row in out:
         assert row.text[row.e.start:row.e.end] == row.e.text
+
+
+def test_lda_rows_sum_to_one(spark):
+    from quill.operators import features as fe
+    dist, words = fe.lda_topics(table(spark, SF, "documents"), "doc_id", "text", k=3, max_features=200, max_iter=5)
+    sums = dist.groupBy("doc_id").agg(F.sum("weight").alias("s")).collect()
+    assert sums and all(abs(r.s - 1.0) < 1e-6 for r in sums)
+    assert words.select("topic").distinct().count() == 3
+
+
+def test_stream_equals_batch_parse(spark):
+    from __spark_entry__ import queries
+    q = queries()
+    a = {(r.id, r.text) for r in q["stream_parquet"](spark, SF).collect()}
+    docs = table(spark, SF, "documents").filter("doc_id % 50 <> 0").select(F.col("doc_id").cast("string").alias("id"), "text")
+    assert a == {(r.id, r.text) for r in docs.collect()}
