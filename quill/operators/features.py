@@ -122,7 +122,11 @@ def lda_topics(docs: DataFrame, key: str, text: str, k: int = 5, max_features: i
     cv = CountVectorizer(inputCol="kept", outputCol="features", vocabSize=max_features).fit(kept)
     feats = cv.transform(kept)
     model = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online").fit(feats)
-    dist = model.transform(feats).select(key, F.posexplode(vector_to_array("topicDistribution")).alias("topic", "weight"))
+    # a document with no vocabulary term gets the prior's uniform distribution (rows sum to 1)
+    arr = vector_to_array("topicDistribution")
+    uniform = F.array_repeat(F.lit(1.0 / k), k)
+    arr = F.when(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x) > 0, arr).otherwise(uniform)
+    dist = model.transform(feats).select(key, F.posexplode(arr).alias("topic", "weight"))
     vocab = cv.vocabulary
     topics = model.describeTopics(10)
     vocab_arr = F.array(*[F.lit(w) for w in vocab])
