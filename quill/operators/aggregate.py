@@ -146,7 +146,8 @@ def entity_cooccurrence(results: DataFrame, min_count: int = 3) -> DataFrame:
     return (pairs.groupBy(F.col("a.text").alias("entity1"), F.col("b.text").alias("entity2"))
             .agg(F.count("*").cast("bigint").alias("co_occurrence_count"))
             .filter(F.col("co_occurrence_count") >= min_count)
-            .withColumn("strength", F.col("co_occurrence_count") / total))
+            .withColumn("strength", F.col("co_occurrence_count") / total)
+            .orderBy(F.desc("co_occurrence_count"), F.asc("entity1"), F.asc("entity2")))
 
 
 def metric_values(results: DataFrame, metric: str) -> DataFrame | None:
