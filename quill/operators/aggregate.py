@@ -224,10 +224,11 @@ def top_entities(results: DataFrame, n: int = 10, label: str | None = None) -> D
             .orderBy(F.desc("count"), F.asc("text")).limit(n))
 
 
-def unique_entities(results: DataFrame) -> DataFrame:
-    """Exact and approximate distinct entity texts."""
+def unique_entities(results: DataFrame, approx: bool = False, rsd: float = 0.01) -> DataFrame:
+    """Distinct entity texts; ``approx`` uses a HyperLogLog++ sketch (bounded memory)."""
     e = entities_long(results, keep=())
-    return e.agg(F.countDistinct("text").cast("bigint").alias("unique_entities"))
+    agg = F.approx_count_distinct("text", rsd) if approx else F.countDistinct("text")
+    return e.agg(agg.cast("bigint").alias("unique_entities"))
 
 
 def run_stats(results: DataFrame) -> DataFrame:
