@@ -51,18 +51,24 @@ def processed_at(doc_id: Column) -> Column:
 
 
 def results(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    """The canonical results relation.
+
+    Row-local columns (entities, times, error) are derived on the documents
+    side before the joins, so a query that does not read ``text`` never
+    carries it through the join's shuffle (Catalyst prunes it).
+    """
+    docs = table(spark, d, "documents").select(
+        F.col("doc_id").cast("string").alias("document_id"), "doc_id", "text", "lang", "source",
+        fixture_entities(F.col("text")).alias("entities"), processed_at(F.col("doc_id")).alias("processed_at"),
+        (F.col("n_chars") / 10000.0).alias("processing_time"),
+        F.when(F.col("n_chars") < 20, "too_short").alias("error"))
     sent = sentiment_scores(spark, d).select("doc_id", "sentiment")
     lab = table(spark, d, "labels").select(
         "doc_id", F.struct(F.when(F.col("quality") == 1, "high").otherwise("low").alias("label"),
                            F.lit(1.0).alias("score")).alias("classification"))
-    out = (docs.join(sent, "doc_id", "left").join(lab, "doc_id", "left")
-           .select(F.col("doc_id").cast("string").alias("document_id"), "doc_id", "text", "lang", "source",
-                   "sentiment", "classification", fixture_entities(F.col("text")).alias("entities"),
-                   processed_at(F.col("doc_id")).alias("processed_at"),
-                   (F.col("n_chars") / 10000.0).alias("processing_time"),
-                   F.when(F.col("n_chars") < 20, "too_short").alias("error")))
-    return out
+    out = docs.join(sent, "doc_id", "left").join(lab, "doc_id", "left")
+    return out.select("document_id", "doc_id", "text", "lang", "source", "sentiment", "classification", "entities",
+                      "processed_at", "processing_time", "error")
 
 
 def predictions(spark: SparkSession, d: str, classes: int = 2) -> DataFrame:
