@@ -27,13 +27,14 @@ def analyze(docs: DataFrame, scorer: Scorer, extractor: Extractor, *, id_col: st
     reference pipeline; the default uses the raw text, which keeps case and
     punctuation the rules rely on.
     """
-    base = docs.withColumn("clean", tx.clean_text(F.col(text_col)))
-    scored = scorer(base)
-    src = F.col("clean") if entities_on == "clean" else F.col(text_col)
+    # row-local work first: the scorer's join then carries only what is still needed
+    src = tx.clean_text(F.col(text_col)) if entities_on == "clean" else F.col(text_col)
     reason = tx.invalid_reason(F.col(text_col))
     too_short = F.length(F.col(text_col)) < min_chars
-    return scored.select(
-        F.col(id_col).cast("string").alias("document_id"), F.col(id_col), F.col(text_col).alias("text"), "clean",
-        F.when(F.col("probs").isNotNull(), vx.label_from_probs(vx.collapse_to_three(F.col("probs")))).alias("sentiment"),
-        extractor(src).alias("entities"),
+    base = docs.select(
+        F.col(id_col).cast("string").alias("document_id"), F.col(id_col), F.col(text_col).alias("text"),
+        tx.clean_text(F.col(text_col)).alias("clean"), extractor(src).alias("entities"),
         F.coalesce(reason, F.when(too_short, F.lit("too_short"))).alias("error"))
+    scored = scorer(base)
+    sentiment = F.when(F.col("probs").isNotNull(), vx.label_from_probs(vx.collapse_to_three(F.col("probs"))))
+    return scored.select("document_id", id_col, "text", "clean", sentiment.alias("sentiment"), "entities", "error")
