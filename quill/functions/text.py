@@ -67,6 +67,24 @@ def let(value: Column, fn) -> Column:
     return F.get(F.transform(F.array(value), fn), 0)
 
 
+SCAN_STEPS = 24  # prefix sums cover arrays of up to 2**24 elements
+
+
+def prefix_sum(arr: Column, steps: int = SCAN_STEPS) -> Column:
+    """Inclusive prefix sums of an int array in O(n log n) (Hillis-Steele scan).
+
+    ``aggregate`` with a growing array copies it on every step (quadratic);
+    here each of ``steps`` passes is one ``transform`` over a bound array.
+    Exact for arrays of up to ``2**steps`` elements.
+    """
+    def step(d):
+        return lambda a: F.transform(a, lambda x, i: F.when(i >= d, x + F.get(a, i - d)).otherwise(x))
+    expr = arr
+    for k in range(steps):
+        expr = let(expr, step(1 << k))
+    return expr
+
+
 # ---------------------------------------------------------------------------
 # Unicode fold (NFKD, combining marks dropped)
 # ---------------------------------------------------------------------------

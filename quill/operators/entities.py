@@ -59,12 +59,33 @@ def match_spans(text: Column, pattern: str) -> Column:
     """All regex matches with offsets, in order: array<struct<text,start,end>>.
 
     Offsets come from the text between matches (``split`` on the same
-    pattern), so they are exact for any pattern, context-dependent or not.
+    pattern), so they are exact for any pattern, context-dependent or not:
+    the end of match k is the prefix sum of gap and match lengths up to k,
+    computed with a logarithmic-depth scan (linear-ish per document).
     """
+    from quill.functions.text import SCAN_STEPS, prefix_sum
     t = F.coalesce(text, F.lit(""))
     ms = F.regexp_extract_all(t, F.lit(pattern), 0)
     gaps = F.split(t, pattern, -1)
 
+    def with_ms(m):
+        def with_gaps(g):
+            lens = F.zip_with(F.slice(g, 1, F.size(m)), m, lambda a, b: F.length(a) + F.length(b))
+
+            def spans(ends):
+                return F.zip_with(m, ends, lambda x, e: F.struct(
+                    x.alias("text"), (e - F.length(x)).alias("start"), e.alias("end")))
+            return let(prefix_sum(lens), spans)
+        # few matches: direct accumulation is cheapest; many: the scan keeps it near-linear
+        n = F.size(m)
+        return (F.when(n <= 32, _spans_sequential(m, gaps))
+                .when(n <= (1 << SCAN_STEPS), let(gaps, with_gaps))
+                .otherwise(_spans_sequential(m, gaps)))
+    return let(ms, with_ms)
+
+
+def _spans_sequential(ms: Column, gaps: Column) -> Column:
+    """Reference formulation (quadratic copies); used only beyond the scan's range."""
     def run(g):
         init = F.struct(F.array().cast(f"array<{SPAN_STRUCT}>").alias("spans"),
                         F.lit(0).alias("p"), F.lit(0).alias("k"))
@@ -77,7 +98,6 @@ def match_spans(text: Column, pattern: str) -> Column:
                             (acc["k"] + 1).alias("k"))
 
         return F.aggregate(ms, init, step, lambda acc: acc["spans"])
-
     return let(gaps, run)
 
 
