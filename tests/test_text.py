@@ -92,3 +92,13 @@ def test_sentences_and_ngrams(spark):
 @pytest.mark.parametrize("lang", ["english", "french", "german", "spanish"])
 def test_default_stopwords(lang):
     assert len(tx.default_stopwords(lang)) > 50
+
+
+def test_prefix_sum_matches_cumsum(spark):
+    import itertools
+    import random
+    rng = random.Random(3)
+    arrays = [[rng.randint(0, 50) for _ in range(n)] for n in (0, 1, 2, 5, 33, 100, 1000)]
+    df = spark.createDataFrame([(a,) for a in arrays], "a array<int>")
+    got = [r[0] for r in df.select(tx.prefix_sum(F.col("a"))).collect()]
+    assert got == [list(itertools.accumulate(a)) for a in arrays]
