@@ -30,7 +30,7 @@ RULES = [
     ("mean_word_chars", 2.0, 15.0),
     ("symbols_per_word", 0.0, 0.1),
     ("stop_word_share", 0.02, 1.0),
-    ("dup_line_share", 0.0, 0.3),
+    ("dup_line_share", 0.0, 0.5),
     ("ellipsis_line_share", 0.0, 0.3),
     ("bullet_line_share", 0.0, 0.9),
 ]
