@@ -2,30 +2,66 @@
 
 Rules are data: ``rules(name, source, op, threshold, severity, cooldown_s,
 template)``.  A rule watches every metric whose name starts with its
-``source``.  Matching runs on the distinct metric names (small x small) and
-the resulting (name, rule) pairs are equi-joined to the points.
+``source``; an alert is known by its rule and the point's labels, whatever
+the metric's name.  Points meet rules by an equi-join of the exploded name
+prefixes with the rule table.
 
 The cooldown makes a rule's evaluation sequential: a fired rule ignores
 all its points, for every label set, until the cooldown ends.  That state
-machine runs once per rule with ``applyInPandas`` over the rule's points
-in time order, each point reduced to (ts, event_id, key, value).  Without
+machine runs over each rule's points in time order as a stream through one
+task (sorted by Spark, a few values of state, no group in memory).  Without
 a cooldown (K12) alerts are independent per (rule, label set) and reduce
 to edge detection with ``lag``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quill.operators import stats as st
-from quill.operators.metrics import metric_key
 
 SEVERITIES = ["low", "medium", "high", "critical"]
 RULE_SCHEMA = "name string, source string, op string, threshold double, severity string, cooldown_s long, template string"
 EVENT_SCHEMA = "rule string, event_id long, ts timestamp_ntz, key string, event string, value double"
-MAX_RULES = 100_000  # rules are broadcast; beyond this they must be sharded
+# The default rules (name, source, op, threshold, severity, cooldown_s, template).
+DEFAULT_RULES = [
+    ("high_cpu_usage", "system_cpu_percent", ">", 80.0, "high", 300, "CPU usage is {value:.1f}%, exceeding threshold"),
+    ("high_memory_usage", "system_memory_percent", ">", 85.0, "high", 300, "Memory usage is {value:.1f}%, exceeding threshold"),
+    ("high_disk_usage", "system_disk_percent", ">", 90.0, "critical", 600, "Disk usage is {value:.1f}%, exceeding threshold"),
+    ("slow_document_processing", "document_processing_duration", ">", 5.0, "medium", 180,
+     "Document processing time is {value:.2f}s, exceeding threshold"),
+    ("high_model_latency", "model_inference_duration", ">", 2.0, "medium", 180,
+     "Model inference latency is {value:.2f}s, exceeding threshold"),
+    ("low_processing_throughput", "documents_processed_per_minute", "<", 10.0, "medium", 300,
+     "Document processing throughput is {value:.1f} docs/min, below threshold"),
+]
+
+
+def default_rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(DEFAULT_RULES, RULE_SCHEMA)
+
+
+def label_text(labels: Column) -> Column:
+    """``k=v,...`` sorted by key; empty without labels."""
+    pairs = F.transform(F.array_sort(F.map_entries(labels)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return F.coalesce(F.array_join(pairs, ","), F.lit(""))
+
+
+def fill_template(template: Column, value: Column, labels: Column) -> Column:
+    """``{value}``, ``{value:.Nf}`` and ``{label}`` filled in; a name without a value stays as it is."""
+    def fill(text: Column, hole: Column) -> Column:
+        name = F.regexp_extract(hole, r"^\{([^:}]*)", 1)
+        places = F.regexp_extract(hole, r":\.([0-9]+)f\}$", 1)
+        decimals = F.when(places == "", F.lit(0)).otherwise(places.try_cast("int"))
+        number = F.when(places == "", value.cast("string")).otherwise(
+            F.replace(F.call_function("format_number", value, decimals), F.lit(","), F.lit("")))
+        return F.replace(text, hole, F.coalesce(F.when(name == "value", number).otherwise(
+            F.try_element_at(labels, name)), hole))
+    return F.aggregate(F.regexp_extract_all(template, F.lit(r"(\{[^{}]*\})"), 1), template, fill)
 
 
 def condition(op: Column, value: Column, threshold: Column) -> Column:
@@ -39,65 +75,68 @@ def name_prefixes(name: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda i: F.substring(name, 1, i))
 
 
-def match_pairs(names: DataFrame, rules: DataFrame) -> DataFrame:
-    """(name, rule...) for every rule whose ``source`` is a prefix of the name.
+def match_pairs(points: DataFrame, rules: DataFrame) -> DataFrame:
+    """(point, rule...) for every rule whose ``source`` is a prefix of the point's ``name``.
 
     The prefix test is an equi-join: names are exploded into their prefixes
-    and hash-joined to the bounded, broadcast rule table on ``source``.
+    and joined to the rule table on ``source``; Spark broadcasts the rules
+    when they are small, and without a shuffle most prefixes end there.
     """
-    pre = names.select("*", F.explode(name_prefixes(F.col("name"))).alias("source"))
-    return pre.join(F.broadcast(rules.withColumnRenamed("name", "rule")), "source")
+    pre = points.select("*", F.explode(name_prefixes(F.col("name"))).alias("source"))
+    return pre.join(rules.withColumnRenamed("name", "rule"), "source")
 
 
 def match_rules(metrics: DataFrame, rules: DataFrame) -> DataFrame:
-    """Points x matching rules, with the condition evaluated.
-
-    Names are matched on the distinct name list, so the prefix test never
-    runs per point; the rule table is bounded (MAX_RULES) and broadcast.
-    """
-    pairs = match_pairs(metrics.select("name").distinct(), rules)
-    pts = metrics.join(pairs, "name")
-    return pts.withColumn("key", metric_key(F.col("name"), F.col("labels"))) \
-              .withColumn("cond", condition(F.col("op"), F.col("value"), F.col("threshold")))
-
-
-def _run_rule(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sequential alert state machine of one rule (points sorted by ts, event_id)."""
-    pdf = pdf.sort_values(["ts", "event_id"], kind="mergesort")
-    cool = pd.Timedelta(seconds=int(pdf["cooldown_s"].iloc[0]))
-    last_fired = None
-    active: set = set()
-    out = []
-    for ts, eid, key, value, cond in zip(pdf["ts"], pdf["event_id"], pdf["key"], pdf["value"], pdf["cond"]):
-        if last_fired is not None and ts - last_fired < cool:
-            continue
-        if cond:
-            if key not in active:
-                active.add(key)
-                last_fired = ts
-                out.append((eid, ts, key, "fired", value))
-        elif key in active:
-            active.discard(key)
-            out.append((eid, ts, key, "resolved", value))
-    res = pd.DataFrame(out, columns=["event_id", "ts", "key", "event", "value"])
-    res.insert(0, "rule", pdf["rule"].iloc[0])
-    return res
+    """Points x matching rules: the alert key (labels) and the evaluated condition."""
+    return (match_pairs(metrics, rules).withColumn("key", label_text(F.col("labels")))
+            .withColumn("cond", condition(F.col("op"), F.col("value"), F.col("threshold"))))
+
+
+class RuleState:
+    """The alert state of one rule: when it last fired and which label sets are active."""
+
+    def __init__(self, last_fired: pd.Timestamp | None = None, active=()) -> None:
+        self.last_fired, self.active = last_fired, set(active)
+
+    def step(self, ts: pd.Timestamp, key: str, cond: bool, cooldown: pd.Timedelta) -> str | None:
+        """``fired``, ``resolved`` or None for the next point in time order."""
+        if self.last_fired is not None and ts - self.last_fired < cooldown:
+            return None
+        if cond and key not in self.active:
+            self.active.add(key)
+            self.last_fired = ts
+            return "fired"
+        if not cond and key in self.active:
+            self.active.discard(key)
+            return "resolved"
+        return None
+
+
+def _run_rules(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by (rule, ts, event_id); only the current rule's state is held."""
+    rule, state = None, RuleState()
+    for pdf in frames:
+        out = []
+        for r, ts, eid, key, value, cond, cool in zip(pdf["rule"], pdf["ts"], pdf["event_id"], pdf["key"], pdf["value"],
+                                                      pdf["cond"], pdf["cooldown_s"], strict=True):
+            if r != rule:
+                rule, state = r, RuleState()
+            event = state.step(ts, key, cond, pd.Timedelta(seconds=int(cool)))
+            if event:
+                out.append((r, eid, ts, key, event, value))
+        yield pd.DataFrame(out, columns=["rule", "event_id", "ts", "key", "event", "value"])
 
 
 def alert_events(metrics: DataFrame, rules: DataFrame) -> DataFrame:
-    """Fire and resolve events with per-rule cooldowns (one task per rule)."""
-    m = match_rules(metrics, rules).select("rule", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"),
+    """Fire and resolve events with per-rule cooldowns (a sorted stream of points per rule)."""
+    m = match_rules(metrics, rules).select("rule", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id",
                                            "key", "value", "cond", "cooldown_s")
-    # Exact reduction before the sequential step: a label set's points before its
-    # first true condition can change nothing (never active, nothing to fire).
-    first = (m.filter("cond").groupBy("rule", "key")
-             .agg(F.min(F.struct("ts", "event_id")).alias("first_true")))
-    m = m.join(first, ["rule", "key"]).filter(F.struct("ts", "event_id") >= F.col("first_true")).drop("first_true")
-    ev = m.groupBy("rule").applyInPandas(_run_rule, EVENT_SCHEMA)
+    ev = m.repartition("rule").sortWithinPartitions("rule", "ts", "event_id").mapInPandas(_run_rules, EVENT_SCHEMA)
     info = rules.select(F.col("name").alias("rule"), "severity", "template", "threshold")
-    return ev.join(F.broadcast(info), "rule").withColumn(
-        "message", F.when(F.col("event") == "fired",
-                          F.replace(F.col("template"), F.lit("{value}"), F.col("value").cast("string"))))
+    labels = F.when(F.col("key") == "", F.create_map().cast("map<string,string>")).otherwise(
+        F.str_to_map("key", F.lit(","), F.lit("=")))
+    return ev.join(info, "rule").withColumn(
+        "message", F.when(F.col("event") == "fired", fill_template(F.col("template"), F.col("value"), labels)))
 
 
 def alert_fire(metrics: DataFrame, rules: DataFrame) -> DataFrame:

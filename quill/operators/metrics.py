@@ -3,9 +3,9 @@
 Groups are metric keys; a key may hold a huge share of the points, so
 order statistics over whole series use :mod:`quill.operators.stats` and
 "last N per key" uses ``row_number() <= N`` (window group limit, applied
-before and after the shuffle).  Time-series windows (per minute / per
-second) first aggregate to one row per time bucket, so the ordered window
-that follows runs over a frame bounded by the time span, not the data.
+before and after the shuffle).  Time series (per minute / per second) first
+aggregate to one row per time bucket; running counters go by distributed
+prefix sums, trailing windows by hour buckets with a halo.
 """
 
 from __future__ import annotations
@@ -52,8 +52,8 @@ def last_n(metrics: DataFrame, key: Column, n: int) -> DataFrame:
 
 
 def histograms(metrics: DataFrame, window: int = 1000, probs=(0.5, 0.9, 0.95, 0.99)) -> DataFrame:
-    """K3: stats over the last ``window`` values of each metric name; K4 percentile rule."""
-    recent = last_n(metrics, F.col("name"), window)
+    """K3: stats over the last ``window`` values of each metric key (name and labels); K4 percentile rule."""
+    recent = last_n(metrics, metric_key(F.col("name"), F.col("labels")), window)
     w = Window.partitionBy("key").orderBy("value", "event_id")
     ranked = recent.withColumn("vr", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("key")))
     pick = lambda p: F.max(F.when(F.col("vr") == F.least(F.floor(F.col("n") * F.lit(p)), F.col("n") - 1) + 1,
@@ -77,47 +77,80 @@ def history(metrics: DataFrame, n: int = 100) -> DataFrame:
 
 
 def buckets(metrics: DataFrame, edges=DEFAULT_BUCKETS) -> DataFrame:
-    """K7: cumulative bucket counts ``le`` per metric name, plus ``+Inf``.
+    """K7: cumulative bucket counts ``le`` per metric key (name and labels), plus ``+Inf``.
 
     Each value gets the index of its first edge >= value; counts per
-    (name, index) are then accumulated over at most len(edges)+1 rows.
+    (key, index) are then accumulated over at most len(edges)+1 rows.
     """
     edges = sorted(float(e) for e in edges)
     idx = F.lit(len(edges))
     for i in reversed(range(len(edges))):
         idx = F.when(F.col("value") <= edges[i], F.lit(i)).otherwise(idx)
-    counts = metrics.groupBy("name", idx.alias("b")).agg(F.count("*").alias("c"))
-    names = metrics.select("name").distinct()
-    grid = names.select("name", F.explode(F.sequence(F.lit(0), F.lit(len(edges)))).alias("b"))
-    w = Window.partitionBy("name").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    counts = metrics.groupBy(metric_key(F.col("name"), F.col("labels")).alias("key"), idx.alias("b")).agg(F.count("*").alias("c"))
+    keys = counts.select("key").distinct()
+    grid = keys.select("key", F.explode(F.sequence(F.lit(0), F.lit(len(edges)))).alias("b"))
+    w = Window.partitionBy("key").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
     labels = F.array(*[F.lit(str(e)) for e in edges], F.lit("+Inf"))
-    return (grid.join(counts, ["name", "b"], "left").fillna(0, ["c"])
-            .select("name", F.get(labels, F.col("b")).alias("le"), F.sum("c").over(w).cast("bigint").alias("count")))
+    return (grid.join(counts, ["key", "b"], "left").fillna(0, ["c"])
+            .select("key", F.get(labels, F.col("b")).alias("le"), F.sum("c").over(w).cast("bigint").alias("count")))
 
 
 def per_minute(metrics: DataFrame) -> DataFrame:
     """K8: documents per minute = counter delta between minute ticks, floor 0.
 
-    The cumulative counter is sampled at the end of each minute that has
-    points; the ordered window runs over one row per minute.
+    The counter only grows, so the delta of a minute is its own count; the
+    counter at the end of each minute with points comes from distributed
+    running sums over one row a minute.
     """
-    m = metrics.groupBy(F.date_trunc("minute", "ts").alias("minute")).agg(F.count("*").alias("c"))
-    w = Window.orderBy("minute")
-    cum = m.withColumn("counter", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return cum.select(F.col("minute").cast("timestamp_ntz").alias("minute"), F.col("counter").cast("bigint").alias("counter"),
-                      F.greatest(F.col("counter") - F.coalesce(F.lag("counter").over(w), F.lit(0)), F.lit(0))
-                      .cast("bigint").alias("per_minute"))
+    m = metrics.groupBy(F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("minute")).agg(F.count("*").alias("c"))
+    cum = st.running_sums(m, [], [F.col("minute")], ["c"])
+    return cum.select("minute", F.col("cum_c").cast("bigint").alias("counter"), F.col("c").cast("bigint").alias("per_minute"))
+
+
+THROUGHPUT_BUCKET_S = 3600
 
 
 def throughput(metrics: DataFrame, spans=(60, 300, 900)) -> DataFrame:
-    """K9: trailing throughput (ops/s) over ``spans`` seconds at every second with points."""
+    """K9: trailing throughput (ops/s) over ``spans`` seconds at every second with points.
+
+    Seconds are dealt to hour buckets; those in the longest span before the
+    next bucket are copied there as its halo, so each bucket's window is whole
+    and no task holds more than an hour and its halo.
+    """
+    width, halo = max(THROUGHPUT_BUCKET_S, max(spans)), max(spans)
     sec = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
     s = metrics.groupBy(sec.alias("sec")).agg(F.count("*").alias("c"))
+    own = F.floor(F.col("sec") / width)
+    s = s.withColumn("own", own).withColumn("bucket", F.explode(F.array_distinct(F.array(
+        F.col("own"), F.floor((F.col("sec") + halo) / width)))))
     cols = []
     for sp in spans:
-        w = Window.orderBy("sec").rangeBetween(-sp, 0)
+        w = Window.partitionBy("bucket").orderBy("sec").rangeBetween(-sp, 0)
         cols.append((F.sum("c").over(w) / float(sp)).alias(f"rate_{sp}s"))
-    return s.select(F.col("sec").cast("bigint").alias("sec"), *cols)
+    return s.select(F.col("sec").cast("bigint").alias("sec"), "own", "bucket", *cols).filter("own = bucket").drop("own", "bucket")
+
+
+def system_status(metrics: DataFrame, checks: DataFrame, alerts: DataFrame, rules: DataFrame,
+                  gauge_names=("system_cpu_percent", "system_memory_percent", "system_disk_percent"),
+                  counter_names=("documents_processed", "processing_errors")) -> DataFrame:
+    """One row of gauges, counters, health and alert statistics (absent metrics count as 0)."""
+    from quill.operators.alerts import alert_stats, health_status
+    g = gauges(metrics.filter(F.col("name").isin(*gauge_names))).agg(
+        *[F.max(F.when(F.col("key") == n, F.col("value"))).alias(n) for n in gauge_names])
+    c = metrics.filter(F.col("name").isin(*counter_names))
+    c = counters(c).agg(*[F.sum(F.when(F.col("key") == n, F.col("total"))).alias(n) for n in counter_names])
+    h = health_status(checks).agg(F.max("overall").alias("overall_status"),
+                                  F.count_if(F.col("status") == "healthy").cast("bigint").alias("healthy_checks"),
+                                  F.count("*").cast("bigint").alias("total_checks"))
+    a = alert_stats(alerts)
+    one = lambda df: df.select(F.struct(*df.columns)).scalar()
+    row = metrics.sparkSession.range(1).select(one(g).alias("g"), one(c).alias("c"), one(h).alias("h"), one(a).alias("a"),
+                                               rules.select(F.count("*").cast("bigint")).scalar().alias("alert_rules"))
+    zero = F.lit(0.0)
+    return row.select(*[F.coalesce(F.col(f"g.{n}"), zero).alias(f"gauge_{n}") for n in gauge_names],
+                      *[F.coalesce(F.col(f"c.{n}"), zero).alias(f"counter_{n}") for n in counter_names],
+                      F.coalesce("h.overall_status", F.lit("unknown")).alias("overall_status"), "h.healthy_checks",
+                      "h.total_checks", "a.*", "alert_rules")
 
 
 def quantiles_exclusive(metrics: DataFrame, group=("name",)) -> DataFrame:

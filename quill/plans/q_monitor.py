@@ -13,8 +13,8 @@ from quill.plans.sqlbits import lit
 
 # Parameters: alert rules on the event types (name, source, op, threshold, severity, cooldown_s, template).
 RULES = [
-    ("slow_click", "click", ">", 200.0, "high", 3600, "Click value {value} above 200"),
-    ("purchase_spike", "purchase", ">", 250.0, "critical", 1800, "Purchase value {value} above 250"),
+    ("slow_click", "click", ">", 200.0, "high", 3600, "Click value {value:.1f} above 200 for k {k}"),
+    ("purchase_spike", "purchase", ">", 250.0, "critical", 1800, "Purchase value {value} above 250 ({missing})"),
     ("tiny_view", "view", "<", 0.5, "low", 600, "View value {value} below 0.5"),
     ("error_burst", "error", ">", 300.0, "medium", 0, "Error value {value} above 300"),
     ("big_signup", "sign", ">", 300.0, "medium", 7200, "Signup value {value} above 300"),
@@ -33,12 +33,13 @@ RULES_SQL = ("rules(name, source, op, threshold, severity, cooldown_s, template)
              + ", ".join(f"({lit(a)}, {lit(b)}, {lit(c)}, {t}, {lit(s)}, {cd}, {lit(tp)})" for a, b, c, t, s, cd, tp in RULES)
              + ")")
 MET = """m AS (SELECT event_id, ts, event_type AS name, json_extract_string(props, '$.k') AS k, value,
-                      event_type || '{k=' || json_extract_string(props, '$.k') || '}' AS key FROM events)"""
+                      event_type || '{k=' || json_extract_string(props, '$.k') || '}' AS key,
+                      'k=' || json_extract_string(props, '$.k') AS lkey FROM events)"""
 COND = ("CASE r.op WHEN '>' THEN m.value > r.threshold WHEN '>=' THEN m.value >= r.threshold "
         "WHEN '<' THEN m.value < r.threshold WHEN '<=' THEN m.value <= r.threshold "
         "WHEN '==' THEN m.value = r.threshold WHEN '!=' THEN m.value <> r.threshold ELSE false END")
 POINTS = f"""{RULES_SQL}, {MET},
-p AS (SELECT r.name AS rule, m.event_id, m.ts, m.key, m.value, {COND} AS cond, r.cooldown_s, r.severity,
+p AS (SELECT r.name AS rule, m.event_id, m.ts, m.lkey AS key, m.value, {COND} AS cond, r.cooldown_s, r.severity,
              row_number() OVER (PARTITION BY r.name ORDER BY m.ts, m.event_id) AS rn
       FROM m JOIN rules r ON starts_with(m.name, r.source))"""
 COOLDOWN_EVENTS = f"""WITH RECURSIVE {POINTS},
@@ -85,9 +86,9 @@ def _hist_sql(window: int) -> str:
     pick = lambda p: (f"max(CASE WHEN vr = least(floor(n * CAST({p} AS DOUBLE)), n - 1) + 1 THEN value END) "
                       f"AS p{int(round(p * 100))}")
     return f"""
-WITH {MET}, l AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ts DESC, event_id DESC) AS rn FROM m),
-r AS (SELECT name AS key, value, row_number() OVER (PARTITION BY name ORDER BY value, event_id) AS vr,
-             count(*) OVER (PARTITION BY name) AS n FROM l WHERE rn <= {window})
+WITH {MET}, l AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, event_id DESC) AS rn FROM m),
+r AS (SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY value, event_id) AS vr,
+             count(*) OVER (PARTITION BY key) AS n FROM l WHERE rn <= {window})
 SELECT key, CAST(count(*) AS BIGINT) AS count, round(sum(value), 6) AS sum, min(value) AS min, max(value) AS max,
        round(avg(value), 6) AS avg, {pick(0.5)}, {pick(0.9)}, {pick(0.95)}, {pick(0.99)}
 FROM r GROUP BY key
@@ -131,14 +132,14 @@ def q_metric_key(spark, d):
 
 
 @query("metric_buckets", f"""
-WITH {MET}, b AS (SELECT name, CASE WHEN value <= 0.1 THEN 0 WHEN value <= 0.5 THEN 1 WHEN value <= 1.0 THEN 2
+WITH {MET}, b AS (SELECT key, CASE WHEN value <= 0.1 THEN 0 WHEN value <= 0.5 THEN 1 WHEN value <= 1.0 THEN 2
                                     WHEN value <= 2.0 THEN 3 WHEN value <= 5.0 THEN 4 WHEN value <= 10.0 THEN 5
                                     WHEN value <= 30.0 THEN 6 ELSE 7 END AS b FROM m),
-c AS (SELECT name, b, count(*) AS c FROM b GROUP BY 1, 2),
-g AS (SELECT name, b FROM (SELECT DISTINCT name FROM m), range(0, 8) t(b))
-SELECT g.name, (['0.1', '0.5', '1.0', '2.0', '5.0', '10.0', '30.0', '+Inf'])[g.b + 1] AS le,
-       CAST(sum(coalesce(c.c, 0)) OVER (PARTITION BY g.name ORDER BY g.b) AS BIGINT) AS count
-FROM g LEFT JOIN c USING (name, b)
+c AS (SELECT key, b, count(*) AS c FROM b GROUP BY 1, 2),
+g AS (SELECT key, b FROM (SELECT DISTINCT key FROM m), range(0, 8) t(b))
+SELECT g.key, (['0.1', '0.5', '1.0', '2.0', '5.0', '10.0', '30.0', '+Inf'])[g.b + 1] AS le,
+       CAST(sum(coalesce(c.c, 0)) OVER (PARTITION BY g.key ORDER BY g.b) AS BIGINT) AS count
+FROM g LEFT JOIN c USING (key, b)
 """)
 def q_metric_buckets(spark, d):
     return mt.buckets(M(spark, d))
@@ -230,7 +231,8 @@ def q_alert_fire(spark, d):
 
 @query("alert_cooldown", COOLDOWN_EVENTS + """
 SELECT e.rule, e.event_id, e.ts, e.key, e.event, e.value, e.severity,
-       CASE WHEN e.event = 'fired' THEN replace(r.template, '{value}', CAST(e.value AS VARCHAR)) END AS message
+       CASE WHEN e.event = 'fired' THEN replace(replace(replace(r.template, '{value:.1f}', printf('%.1f', e.value)),
+            '{value}', CAST(e.value AS VARCHAR)), '{k}', e.key[3:]) END AS message
 FROM ev e JOIN rules r ON r.name = e.rule
 """)
 def q_alert_cooldown(spark, d):
@@ -309,22 +311,30 @@ def q_health_failures(spark, d):
     return al.health_failures(fx.health_checks(spark, d))
 
 
-@query("system_stats", f"""
-WITH {MET}, {HEALTH}, l AS (SELECT name, arg_max(ok, (ts, event_id)) AS ok, arg_max(critical, (ts, event_id)) AS critical FROM h GROUP BY name)
-SELECT CAST((SELECT count(DISTINCT key) FROM m) AS BIGINT) AS n_series,
-       CAST((SELECT count(*) FROM m) AS BIGINT) AS n_points,
-       round((SELECT sum(value) FROM m), 6) AS value_total,
+@query("system_stats", COOLDOWN_EVENTS + _ACTIVE + f""", {HEALTH},
+l AS (SELECT name, arg_max(ok, (ts, event_id)) AS ok, arg_max(critical, (ts, event_id)) AS critical FROM h GROUP BY name)
+SELECT (SELECT arg_max(value, (ts, event_id)) FROM m WHERE name = 'click') AS gauge_click,
+       (SELECT arg_max(value, (ts, event_id)) FROM m WHERE name = 'view') AS gauge_view, CAST(0 AS DOUBLE) AS gauge_absent,
+       round((SELECT sum(value) FROM m WHERE name = 'purchase'), 6) AS counter_purchase,
+       round((SELECT sum(value) FROM m WHERE name = 'error'), 6) AS counter_error,
        (SELECT CASE WHEN count(*) FILTER (WHERE NOT ok AND critical) > 0 THEN 'unhealthy'
-                    WHEN count(*) FILTER (WHERE NOT ok AND NOT critical) > 0 THEN 'degraded' ELSE 'healthy' END FROM l) AS health
+                    WHEN count(*) FILTER (WHERE NOT ok AND NOT critical) > 0 THEN 'degraded' ELSE 'healthy' END FROM l) AS overall_status,
+       CAST((SELECT count(*) FROM l WHERE ok) AS BIGINT) AS healthy_checks, CAST((SELECT count(*) FROM l) AS BIGINT) AS total_checks,
+       CAST((SELECT count(*) FROM ev WHERE event = 'fired') AS BIGINT) AS total_alerts,
+       CAST((SELECT count(*) FROM la WHERE le = 'fired') AS BIGINT) AS active_alerts,
+       CAST(count(*) FILTER (WHERE severity = 'low') AS BIGINT) AS n_low,
+       CAST(count(*) FILTER (WHERE severity = 'medium') AS BIGINT) AS n_medium,
+       CAST(count(*) FILTER (WHERE severity = 'high') AS BIGINT) AS n_high,
+       CAST(count(*) FILTER (WHERE severity = 'critical') AS BIGINT) AS n_critical,
+       CAST((SELECT count(*) FROM rules) AS BIGINT) AS alert_rules
+FROM ev WHERE event = 'fired'
 """)
 def q_system_stats(spark, d):
-    """One status row combining counters, gauges and the health rollup (scalar subqueries)."""
-    m = M(spark, d)
-    c = mt.counters(m)
-    hs = al.health_status(fx.health_checks(spark, d))
-    out = c.agg(F.count("*").cast("bigint").alias("n_series"), F.sum("count").cast("bigint").alias("n_points"),
-                F.sum("total").alias("value_total"))
-    return round_doubles(out.select("*", hs.select(F.first("overall")).scalar().alias("health")))
+    """Gauges and counters without labels, the health rollup and the alert statistics in one row."""
+    plain = M(spark, d).withColumn("labels", F.create_map().cast("map<string,string>"))
+    return round_doubles(mt.system_status(
+        plain, fx.health_checks(spark, d), events_cool(spark, d), rules_df(spark),
+        gauge_names=("click", "view", "absent"), counter_names=("purchase", "error")))
 
 
 @query("metric_labels", f"""

@@ -61,12 +61,20 @@ def q_error_policy(spark, d):
             .unionByName(log.select(F.lit("log").alias("policy"), "rows", "errors")))
 
 
-@query("scan_text_lines", None)
+@query("scan_text_lines", r"""
+WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line,
+                  generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+n AS (SELECT source, trim(line, chr(32) || chr(9) || chr(13)) AS text,
+             CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id, i) AS INTEGER) AS line_number FROM l)
+SELECT source, text, line_number FROM n WHERE text <> ''
+""")
 def q_scan_text_lines(spark, d):
-    """S3: whole-file scan, lines numbered per file (files written by Spark from documents)."""
+    """S3: one text file for each source (documents in id order), its lines numbered."""
     p = scratch(spark, "text")
-    table(spark, d, "documents").select("text").write.text(p)
-    return rd.read_text_lines(spark, p)
+    (table(spark, d, "documents").select("source", "doc_id", "text").repartition("source")
+     .sortWithinPartitions("source", "doc_id").select("source", "text").write.partitionBy("source").text(p))
+    lines = rd.read_text_lines(spark, p)
+    return lines.select(F.regexp_extract("_source_file", "source=([^/]+)/", 1).alias("source"), "text", "line_number")
 
 
 @query("scan_parquet", "SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'en'")
@@ -95,39 +103,58 @@ def q_load_by_extension(spark, d):
 
 
 def _mixed_dir(spark, d):
+    """csv, json and parquet folders of the documents, and a text file of their ids."""
     p = scratch(spark, "dir")
-    dd = docs(spark, d)
+    dd = docs(spark, d).coalesce(1)
     dd.filter("lang = 'en'").write.option("header", True).option("escape", '"').csv(f"{p}/csv")
     dd.filter("lang = 'fr'").write.json(f"{p}/json")
-    dd.filter("lang IN ('de', 'es')").write.parquet(f"{p}/parquet")
+    dd.filter("lang = 'de'").write.parquet(f"{p}/parquet")
+    dd.filter("lang = 'es'").select(F.col("doc_id").cast("string")).write.text(f"{p}/txt")
     return p
 
 
-@query("scan_directory", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang FROM documents")
+@query("scan_directory", """
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN lang <> 'es' THEN lang END AS lang,
+       CASE WHEN lang = 'es' THEN CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS INTEGER) END AS line_number
+FROM documents
+""")
 def q_scan_directory(spark, d):
-    df = rd.load_directory(spark, _mixed_dir(spark, d))
-    return df.select(F.col("doc_id").cast("string").alias("doc_id"), "lang")
+    """All formats of one folder; the rows of the text file carry their line number."""
+    p = scratch(spark, "dir")
+    dd = docs(spark, d).repartition(1).sortWithinPartitions("doc_id")
+    dd.filter("lang = 'en'").write.option("header", True).option("escape", '"').csv(f"{p}/csv")
+    dd.filter("lang = 'fr'").write.json(f"{p}/json")
+    dd.filter("lang = 'de'").write.parquet(f"{p}/parquet")
+    dd.filter("lang = 'es'").select(F.col("doc_id").cast("string")).write.text(f"{p}/txt")
+    df = rd.load_directory(spark, p)
+    is_line = F.col("line_number").isNotNull()
+    return df.select(F.when(is_line, F.col("text")).otherwise(F.col("doc_id").cast("string")).alias("doc_id"), "lang",
+                     "line_number")
 
 
-@query("load_stats", None)
+@query("load_stats", """
+SELECT 'run-2' AS run_id, CAST(4 AS BIGINT) AS files, count(*) AS records, CAST(0 AS BIGINT) AS errors, true AS timed FROM documents
+""")
 def q_load_stats(spark, d):
     """Stats of two loads appended to a stats table; the latest row is read back."""
     p = scratch(spark, "stats")
     loaded = rd.load_directory(spark, _mixed_dir(spark, d))
     rd.save_load_stats(rd.load_stats(loaded.filter("lang = 'en'")), p, "run-1")
     rd.save_load_stats(rd.load_stats(loaded), p, "run-2")
-    return rd.last_load_stats(spark, p).select("run_id", "files", "records", "errors")
+    timed = (F.col("end_time") >= F.col("start_time")) & (F.col("duration_s") > 0)
+    return rd.last_load_stats(spark, p).select("run_id", "files", "records", "errors", timed.alias("timed"))
 
 
 @query("load_union", "SELECT doc_id, CAST(length(text) AS BIGINT) AS n FROM documents")
 def q_load_union(spark, d):
+    """A CSV folder named as a file, a plain folder and a missing source (logged), one transform over all."""
     p = scratch(spark, "union")
     dd = docs(spark, d)
-    dd.filter("lang IN ('en', 'de')").write.option("header", True).option("escape", '"').csv(f"{p}/a")
+    dd.filter("lang IN ('en', 'de')").write.option("header", True).option("escape", '"').csv(f"{p}/a.csv")
     dd.filter("lang NOT IN ('en', 'de')").write.json(f"{p}/b")
-    frames = [rd.read_csv(spark, f"{p}/a", schema=DOC_SCHEMA), rd.read_json(spark, f"{p}/b", schema=DOC_SCHEMA)]
-    u = rd.load_batch(frames, lambda df: df.withColumn("n", F.length("text").cast("bigint")))
-    return u.select("doc_id", "n")
+    u = rd.load_batch(spark, [f"{p}/a.csv", f"{p}/b", f"{p}/missing.json"], lambda df: df.withColumn(
+        "n", F.length("text").cast("bigint")), errors="skip")
+    return u.select(F.col("doc_id").cast("bigint").alias("doc_id"), "n")
 
 
 @query("enrich_batch", "SELECT doc_id, 'batch' AS source, true AS has_processed_at FROM documents")
@@ -152,9 +179,7 @@ def q_scan_json_columnar(spark, d):
     blocks = lab.groupBy(F.floor(F.col("doc_id") / 100).alias("b")).agg(
         F.sort_array(F.collect_list(F.struct("doc_id", "text", "quality"))).alias("r"))
     blocks.select(F.col("r.text").alias("text"), F.col("r.quality").alias("label")).write.json(p)
-    out = spark.read.json(p)
-    z = F.explode(F.arrays_zip(F.col("text").alias("t"), F.col("label").alias("l")))
-    return out.select(z.alias("r")).select(F.col("r.t").alias("text"), F.col("r.l").cast("bigint").alias("label"))
+    return rd.read_json_columnar(spark, p).withColumn("label", F.col("label").cast("bigint"))
 
 
 @query("sink_json", "SELECT document_id, text FROM (SELECT CAST(doc_id AS VARCHAR) AS document_id, text FROM documents)")

@@ -21,13 +21,15 @@ from quill.plans.q_results import round_doubles, vector_scorer
 from quill.plans.sqlbits import d_clean
 from quill.plans.sqlfix import FX
 from quill.session import scratch_path
+from quill.sources.tables import events as events_table
 from quill.sources.tables import table
 from quill.streaming import stream as xs
 
 
-def write_messages(spark, d, src: str = "documents", key: str = "doc_id") -> str:
+def write_messages(spark, d, src: str = "documents", key: str = "doc_id", files: int | None = None) -> str:
     """The document stream as JSON lines; every 50th message is cut in half (undecodable)."""
     docs = table(spark, d, src)
+    docs = docs.repartition(files) if files else docs
     meta = (F.to_json(F.struct("lang", "source")) if src == "documents" else F.lit(None).cast("string"))
     msg = F.to_json(F.struct(F.col(key).cast("string").alias("id"), F.col("text"), meta.alias("metadata"),
                              fx.processed_at(F.col(key)).alias("timestamp")))
@@ -37,8 +39,8 @@ def write_messages(spark, d, src: str = "documents", key: str = "doc_id") -> str
     return path
 
 
-def parsed_stream(spark, d, **kw):
-    return xs.parse_messages(xs.file_stream(spark, write_messages(spark, d), "text", **kw))
+def parsed_stream(spark, d, files: int | None = None, **kw):
+    return xs.parse_messages(xs.file_stream(spark, write_messages(spark, d, files=files), "text", **kw))
 
 
 VALID_SQL = f"""
@@ -47,10 +49,15 @@ FROM fx_docs WHERE doc_id % 50 <> 0
 """
 
 
-@query("stream_source", None)
+@query("stream_source", """
+SELECT concat_ws('|', doc_id, lang, source, translate(text, chr(10) || chr(13), '  ')) AS value FROM documents
+""")
 def q_stream_source(spark, d):
     """File source (the Kafka source takes the same path through :func:`kafka_stream`)."""
-    out, _ = xs.run_to_table(xs.file_stream(spark, write_messages(spark, d), "text"), "source")
+    path = scratch_path(spark, f"streams/lines-{uuid.uuid4().hex[:8]}")
+    table(spark, d, "documents").select(F.concat_ws(
+        "|", F.col("doc_id").cast("string"), "lang", "source", F.translate("text", "\n\r", "  ")).alias("value")).write.text(path)
+    out, _ = xs.run_to_table(xs.file_stream(spark, path, "text"), "source")
     return out
 
 
@@ -91,19 +98,19 @@ def q_dead_letter(spark, d):
     return out.agg(F.count("*").cast("bigint").alias("n_dead"))
 
 
-@query("stream_trigger", None)
+@query("stream_trigger", "SELECT CAST(104 AS BIGINT) AS batches, count(*) AS rows FROM documents")
 def q_stream_trigger(spark, d):
-    """Bounded micro-batches (one file per trigger), drained with availableNow."""
-    s = parsed_stream(spark, d, max_files_per_trigger=1)
-    out, q = xs.run_to_table(s.select("id"), "trigger")
-    return xs.progress_rows(spark, q).agg(F.count("*").cast("bigint").alias("batches"),
+    """Bounded micro-batches (one of 104 files per trigger), drained with availableNow; every report counts."""
+    s = parsed_stream(spark, d, files=104, max_files_per_trigger=1)
+    _, reports = xs.run_to_table(s.select("id"), "trigger")
+    return xs.progress_rows(spark, reports).agg(F.count("*").cast("bigint").alias("batches"),
                                           F.sum("num_input_rows").cast("bigint").alias("rows"))
 
 
 @query("stream_progress", None)
 def q_stream_progress(spark, d):
-    _, q = xs.run_to_table(parsed_stream(spark, d, max_files_per_trigger=2).select("id"), "progress")
-    return xs.progress_rows(spark, q)
+    _, reports = xs.run_to_table(parsed_stream(spark, d, max_files_per_trigger=2).select("id"), "progress")
+    return xs.progress_rows(spark, reports)
 
 
 @query("stream_retry", "SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents WHERE doc_id % 50 <> 0")
@@ -122,7 +129,7 @@ def q_stream_retry(spark, d):
     s = xs.valid_messages(parsed_stream(spark, d)).select("id", "text")
     q = (s.writeStream.foreachBatch(xs.retrying_batch(flaky, f"{base}/dead", backoff_s=0.1))
          .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
-    q.awaitTermination(600)
+    xs.wait_to_end(q)
     return spark.read.parquet(f"{base}/data").select("id", "text")
 
 
@@ -141,7 +148,7 @@ def q_stream_analyze(spark, d):
     base = scratch_path(spark, f"streams/analyze-{uuid.uuid4().hex[:8]}")
     q = (flat.writeStream.foreachBatch(xs.idempotent_append(f"{base}/data"))
          .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
-    q.awaitTermination(600)
+    xs.wait_to_end(q)
     return round_doubles(spark.read.parquet(f"{base}/data").drop("batch_id"))
 
 
@@ -190,16 +197,32 @@ def q_stream_window(spark, d):
                                     F.col("w.end").cast("timestamp_ntz").alias("window_end"), "n", "total"))
 
 
-@query("stream_late_rows", None)
+@query("stream_late_rows", """
+WITH m AS (SELECT median(event_id) AS mid FROM events),
+wm AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 minute AS w FROM events, m WHERE event_id > mid AND event_id < (SELECT max(event_id) FROM events)),
+late AS (SELECT DISTINCT event_type, time_bucket(INTERVAL 1 hour, ts) AS h FROM events, m WHERE event_id <= mid)
+SELECT (SELECT count(*) FROM events) AS rows, count(*) AS dropped FROM late, wm WHERE h + INTERVAL 1 hour <= w
+""")
 def q_stream_late_rows(spark, d):
-    """Rows dropped by the watermark (10 minutes), counted from the progress reports."""
-    ev = table(spark, d, "events")
-    s = xs.file_stream(spark, d, "parquet", schema=ev.schema, glob="events.parquet")
-    agg = xs.windowed_counts(s.withColumn("ts", F.col("ts").cast("timestamp")), size="1 hour", delay="10 minutes")
-    _, q = xs.run_to_table(agg, "late", output_mode="append")
-    return xs.progress_rows(spark, q).agg(F.count("*").cast("bigint").alias("batches"),
-                                          F.sum("num_input_rows").cast("bigint").alias("rows"),
-                                          F.sum("rows_dropped_by_watermark").cast("bigint").alias("dropped"))
+    """The later half of the events comes first; rows behind the watermark (10 minutes) are dropped.
+
+    Rows are late by the watermark of the batch before the last, hence a short
+    batch in between.  The reports count dropped rows as the state operator
+    sees them: one for each (event type, window) of a micro-batch.
+    """
+    ev = events_table(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    mid = ev.select(F.median("event_id")).scalar()
+    path = scratch_path(spark, f"streams/late-{uuid.uuid4().hex[:8]}")
+    last = ev.select(F.max("event_id")).scalar()
+    newer = ev.filter(F.col("event_id") > mid)
+    for k, part in enumerate((newer.filter(F.col("event_id") < last), newer.filter(F.col("event_id") == last),
+                              ev.filter(F.col("event_id") <= mid))):
+        part.coalesce(1).write.parquet(f"{path}/part={k}")
+    s = xs.file_stream(spark, path, "parquet", schema=ev.schema, max_files_per_trigger=1)
+    agg = xs.windowed_counts(s, size="1 hour", delay="10 minutes")
+    _, reports = xs.run_to_table(agg, "late", output_mode="append")
+    return xs.progress_rows(spark, reports).agg(F.sum("num_input_rows").cast("bigint").alias("rows"),
+                                                F.sum("rows_dropped_by_watermark").cast("bigint").alias("dropped"))
 
 
 @query("stream_alerts", COOLDOWN_EVENTS + "SELECT rule, event_id, ts, key, event, value FROM ev")

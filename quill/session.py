@@ -15,6 +15,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoint files go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Broadcast only small dimension frames; anything bigger shuffles.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
 }
@@ -38,8 +40,8 @@ def get_spark(master: str | None = None, app: str = "quill",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the shared folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared (HDFS/S3/...) folder there.  Only when the
-    setting is absent, as in local tests, a private scratch folder is made.
+    A cluster names a shared (HDFS/S3/...) folder there, and must: only on a
+    local master, as in tests, a private scratch folder is made when it is unset.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -47,6 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="quill-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path

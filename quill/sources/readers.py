@@ -7,8 +7,11 @@ reader ``mode``, and mixed directories use one reader per extension.
 
 from __future__ import annotations
 
+import datetime as dt
 import json
+import logging
 import os
+import re
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -16,6 +19,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quill.functions.text import strip_text
+
+LOG = logging.getLogger(__name__)
 CORRUPT = "_corrupt_record"
 # Error policy of the reference loader -> Spark reader mode.
 ERROR_MODES = {"skip": "DROPMALFORMED", "log": "PERMISSIVE", "raise": "FAILFAST"}
@@ -29,10 +35,36 @@ def with_provenance(df: DataFrame) -> DataFrame:
     return df.withColumn("_source_file", F.col("_metadata.file_path")).withColumn("_loaded_at", F.current_timestamp())
 
 
+def handle_error(message: str, errors: str) -> None:
+    """``raise`` raises, ``log`` logs an error, ``skip`` leaves a debug line."""
+    if errors == "raise":
+        raise RuntimeError(message)
+    LOG.log(logging.ERROR if errors == "log" else logging.DEBUG, message)
+
+
+def nothing_loaded(spark: SparkSession) -> DataFrame:
+    """The result of a source that was skipped: no rows."""
+    return spark.createDataFrame([], "_source_file string, _loaded_at timestamp")
+
+
+def path_kind(spark: SparkSession, path: str) -> str:
+    """``file``, ``dir`` or ``missing``, in whatever store the path names."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return "missing"
+    return "dir" if fs.getFileStatus(p).isDirectory() else "file"
+
+
 def read_csv(spark: SparkSession, path: str, header: bool = True, encoding: str = "utf-8",
-             schema: T.StructType | str | None = None, errors: str = "log", **opts) -> DataFrame:
-    """CSV with a header row; multi-line quoted fields allowed."""
-    r = spark.read.options(header=header, encoding=encoding, multiLine=True, escape='"', mode=ERROR_MODES[errors], **opts)
+             schema: T.StructType | str | None = None, errors: str = "log", multiline: bool = True, **opts) -> DataFrame:
+    """CSV with a header row.
+
+    Quoted fields may hold line breaks; a file is then one task.  Files known
+    to have none are split by ``multiline=False``.
+    """
+    r = spark.read.options(header=header, encoding=encoding, multiLine=multiline, escape='"', mode=ERROR_MODES[errors], **opts)
     if schema is not None:
         r = r.schema(schema)
     return r.csv(path)
@@ -47,12 +79,22 @@ def read_json(spark: SparkSession, path: str, multiline: bool = False, errors: s
     return r.json(path)
 
 
-def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """S3: trimmed non-blank lines with their original 1-based line number, per file."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("_source_file"), "value")
-    lines = files.select("_source_file", F.posexplode(F.split("value", r"\r?\n", -1)).alias("i", "line"))
-    t = F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))
-    return lines.filter(t != "").select("_source_file", t.alias("text"), (F.col("i") + 1).cast("int").alias("line_number"))
+def read_text_lines(spark: SparkSession, path: str, **opts) -> DataFrame:
+    """S3: trimmed non-blank lines with their original 1-based line number, per file.
+
+    Files are split like any text.  A line's place in its split is its row id
+    less the first row id of the split; the lines of the file's earlier splits
+    are added from a table of one row a split.
+    """
+    raw = spark.read.options(**opts).text(path).select(
+        "value", F.col("_metadata.file_path").alias("_source_file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"))
+    splits = raw.groupBy("_source_file", "block").agg(F.min("row").alias("first"), F.count("value").alias("lines"))
+    before = Window.partitionBy("_source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("_source_file", "block", "first", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("before"))
+    text = strip_text(F.col("value"))
+    return raw.join(splits, ["_source_file", "block"]).filter(text != "").select(
+        "_source_file", text.alias("text"), (F.col("row") - F.col("first") + F.col("before") + 1).cast("int").alias("line_number"))
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -89,66 +131,133 @@ def read_yaml(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 def load_file(spark: SparkSession, path: str, file_format: str | None = None, errors: str = "log",
               schema=None) -> DataFrame:
-    """Dispatch by extension (or ``file_format``); unknown formats raise."""
+    """Dispatch by extension (or ``file_format``).
+
+    A missing file or an unknown format goes by the error policy; under
+    ``skip`` and ``log`` the result is empty.
+    """
     fmt = file_format or FORMATS.get(os.path.splitext(path)[1].lower())
-    if fmt is None:
-        raise ValueError(f"unsupported file format: {path}")
+    if path_kind(spark, path) == "missing":
+        handle_error(f"file not found: {path}", errors)
+        return nothing_loaded(spark)
+    if fmt not in FORMATS.values():
+        handle_error(f"unsupported format: {path}", errors)
+        return nothing_loaded(spark)
+    return read_as(spark, path, fmt, errors, schema)
+
+
+def read_as(spark: SparkSession, path: str, fmt: str, errors: str = "log", schema=None, **opts) -> DataFrame:
+    """The reader of a format."""
     if fmt == "csv":
-        return read_csv(spark, path, errors=errors, schema=schema)
+        return read_csv(spark, path, errors=errors, schema=schema, **opts)
     if fmt == "json":
-        return read_json(spark, path, errors=errors, schema=schema)
+        r = spark.read.options(mode=ERROR_MODES[errors], columnNameOfCorruptRecord=CORRUPT, **opts)
+        return (r.schema(schema) if schema is not None else r).json(path)
     if fmt == "text":
-        return read_text_lines(spark, path)
+        return read_text_lines(spark, path, **opts)
     if fmt == "parquet":
-        return read_parquet(spark, path)
-    return read_yaml(spark, path, schema)
+        return spark.read.options(**opts).parquet(path)
+    return read_yaml(spark, path, schema, **({"glob": opts["pathGlobFilter"]} if "pathGlobFilter" in opts else {}))
+
+
+def narrowed(pattern: str, ext: str) -> str | None:
+    """The glob of the names that match ``pattern`` and end in ``ext``; None when there can be none."""
+    tail, rest = "", ext
+    tokens = re.findall(r"\[[^\]]*\]|.", pattern)
+    while rest:
+        if not tokens:
+            return None
+        t = tokens.pop()
+        if t == "*":
+            return "".join(tokens) + "*" + rest + tail
+        if t != "?" and t != rest[-1] and not (len(t) > 1 and re.match(t, rest[-1])):
+            return None
+        tail, rest = rest[-1] + tail, rest[:-1]
+    return "".join(tokens) + tail
 
 
 def load_directory(spark: SparkSession, directory: str, pattern: str = "*", recursive: bool = True,
-                   formats: Iterable[str] = ("csv", "json", "parquet")) -> DataFrame:
-    """Every matching file of the directory, one reader per format, with provenance."""
+                   errors: str = "log") -> DataFrame:
+    """Every file whose name matches ``pattern``, one reader for each extension found, with provenance.
+
+    The files are listed by Spark; only their distinct extensions reach the
+    driver.  Extensions without a reader go by the error policy.
+    """
+    if path_kind(spark, directory) != "dir":
+        handle_error(f"directory not found: {directory}", errors)
+        return nothing_loaded(spark)
+    where = {"recursiveFileLookup": "true", "pathGlobFilter": pattern} if recursive else {}
+    at = directory if recursive else f"{directory.rstrip('/')}/{pattern}"
+    try:
+        files = spark.read.format("binaryFile").options(**where).load(at).select("path")
+        found = [r[0] for r in files.select(F.regexp_extract("path", r"(\.[^./]*)$", 1)).distinct().collect()]
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        found = []
     frames = []
-    for fmt in formats:
-        exts = [e for e, f in FORMATS.items() if f == fmt]
-        for ext in exts:
-            glob = pattern if pattern.endswith(ext) else (f"*{ext}" if pattern == "*" else None)
-            if glob is None:
-                continue
-            r = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", glob)
-            try:
-                if fmt == "csv":
-                    df = r.options(header=True, multiLine=True, escape='"').csv(directory)
-                elif fmt == "json":
-                    df = r.option("columnNameOfCorruptRecord", CORRUPT).json(directory)
-                else:
-                    df = r.parquet(directory)
-            except Exception as e:  # noqa: BLE001 - no file of this kind
-                if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                    continue
-                raise
-            frames.append(with_provenance(df))
-    if not frames:
-        raise ValueError(f"no readable files in {directory}")
+    for ext in sorted(found):
+        fmt, glob = FORMATS.get(ext.lower()), narrowed(pattern, ext)
+        if fmt is None or glob is None:
+            handle_error(f"unsupported format: {ext or 'no extension'} in {directory}", errors)
+            continue
+        opts = {"recursiveFileLookup": "true", "pathGlobFilter": glob} if recursive else {}
+        df = read_as(spark, directory if recursive else f"{directory.rstrip('/')}/{glob}", fmt, errors, **opts)
+        frames.append(df.withColumn("_loaded_at", F.current_timestamp()) if "_source_file" in df.columns
+                      else with_provenance(df))
+    return union_all(frames) if frames else nothing_loaded(spark)
+
+
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    """Union by name; a column of different types becomes a string."""
+    kinds: dict[str, set[str]] = {}
+    for f in frames:
+        for name, kind in f.dtypes:
+            kinds.setdefault(name, set()).add(kind)
+    mixed = {n for n, k in kinds.items() if len(k) > 1}
+    frames = [f.withColumns({n: F.col(n).cast("string") for n in mixed & set(f.columns)}) if mixed & set(f.columns) else f
+              for f in frames]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
 
 
-def load_batch(frames: list[DataFrame], transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Union of loaded sources, with an optional DataFrame -> DataFrame transform."""
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
+def load_batch(spark: SparkSession, sources: list, transform: Callable[[DataFrame], DataFrame] | None = None,
+               errors: str = "log") -> DataFrame:
+    """Union of files, directories and ready frames, with an optional DataFrame -> DataFrame transform."""
+    frames = []
+    for s in sources:
+        if isinstance(s, DataFrame):
+            frames.append(s)
+            continue
+        kind = path_kind(spark, s)
+        known = os.path.splitext(s)[1].lower() in FORMATS
+        if kind == "missing":
+            handle_error(f"invalid source: {s}", errors)
+        elif kind == "file" or known:  # a folder named data.csv is what Spark writes for one file
+            df = load_file(spark, s, errors=errors)
+            frames.append(df if "_source_file" in df.columns else with_provenance(df))
+        else:
+            frames.append(load_directory(spark, s, errors=errors))
+    out = union_all(frames) if frames else nothing_loaded(spark)
     return out.transform(transform) if transform else out
 
 
-def load_stats(df: DataFrame) -> DataFrame:
-    """Files, records, errors of a loaded frame (one row)."""
+def load_stats(df: DataFrame, started: dt.datetime | None = None) -> DataFrame:
+    """Files, records, errors, start, end and duration of loading a frame (one row).
+
+    The frame is read here; ``started`` is when its loading began (now if absent).
+    """
+    started = started or dt.datetime.now(dt.timezone.utc)
     has_corrupt = CORRUPT in df.columns
     src = F.col("_source_file") if "_source_file" in df.columns else F.col("_metadata.file_path")
-    return df.agg(F.countDistinct(src).cast("bigint").alias("files"), F.count("*").cast("bigint").alias("records"),
-                  (F.count_if(F.col(CORRUPT).isNotNull()) if has_corrupt else F.lit(0)).cast("bigint").alias("errors"))
+    r = df.agg(F.countDistinct(src).cast("bigint").alias("files"), F.count("*").cast("bigint").alias("records"),
+               (F.count_if(F.col(CORRUPT).isNotNull()) if has_corrupt else F.lit(0)).cast("bigint").alias("errors")).first()
+    ended = dt.datetime.now(dt.timezone.utc)
+    return df.sparkSession.createDataFrame(
+        [(r["files"], r["records"], r["errors"], started, ended, (ended - started).total_seconds())],
+        "files long, records long, errors long, start_time timestamp, end_time timestamp, duration_s double")
 
 
 def save_load_stats(stats: DataFrame, path: str, run_id: str) -> None:
@@ -170,17 +279,22 @@ def enrich_batch(df: DataFrame) -> DataFrame:
 def label_index(df: DataFrame, label: str = "label", out: str = "label_id") -> DataFrame:
     """String labels -> ids in sorted label order (0-based).
 
-    The distinct label list is small (a classifier's classes), so ranking it
-    in one window is bounded; it is joined back by broadcast.
+    Distinct labels are ranked by distributed running sums, so any number of
+    labels will do; Spark broadcasts the ids when they are small.
     """
-    labels = df.select(F.col(label).cast("string").alias(label)).distinct()
-    ids = labels.withColumn(out, (F.dense_rank().over(Window.orderBy(label)) - 1).cast("int"))
-    return df.withColumn(label, F.col(label).cast("string")).join(F.broadcast(ids), label)
+    from quill.operators.stats import running_sums
+    labels = df.select(F.col(label).cast("string").alias(label)).distinct().withColumn("one", F.lit(1))
+    ids = running_sums(labels, [], [F.col(label)], ["one"]).select(label, (F.col("cum_one") - 1).cast("int").alias(out))
+    return df.withColumn(label, F.col(label).cast("string")).join(ids, label)
+
 
+def read_json_columnar(spark: SparkSession, path: str, text_key: str = "text", label_key: str = "label",
+                       multiline: bool = False) -> DataFrame:
+    """JSON objects of parallel lists {text: [...], label: [...]} -> rows.
 
-def read_json_columnar(spark: SparkSession, path: str, text_key: str = "text", label_key: str = "label") -> DataFrame:
-    """A JSON object of parallel lists {text: [...], label: [...]} -> rows."""
-    doc = spark.read.option("multiLine", True).json(path)
+    One object a line (splittable) or, with ``multiline``, one object a file.
+    """
+    doc = spark.read.option("multiLine", multiline).json(path)
     z = F.explode(F.arrays_zip(F.col(text_key).alias("t"), F.col(label_key).alias("l")))
     return doc.select(z.alias("r")).select(F.col("r.t").alias("text"), F.col("r.l").alias("label"))
 
@@ -191,7 +305,7 @@ def save_splits(df: DataFrame, path: str, split: str = "split") -> None:
 
 
 def load_splits(spark: SparkSession, path: str, splits=("train", "validation", "test")) -> tuple[DataFrame, list]:
-    """The saved splits (partition filter on ``split``) and the names that are missing."""
+    """The saved splits (partition filter on ``split``) and the names that are missing (by their folders)."""
     df = spark.read.parquet(path)
-    present = {r[0] for r in df.select("split").distinct().collect()}
+    present = {s for s in splits if path_kind(spark, f"{path.rstrip('/')}/split={s}") == "dir"}
     return df.filter(F.col("split").isin(*splits)), [s for s in splits if s not in present]

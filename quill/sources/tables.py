@@ -16,15 +16,15 @@ TEXT_TABLES = ("documents", "conversations", "pages", "benchmark")
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet scan; Catalyst prunes columns and pushes filters into it.
 
-    A text table stored in fewer files than the cluster has cores (here: one
-    file with one row group) would be processed by a single task; such a scan
-    is spread round-robin over ``defaultParallelism`` tasks.  Large inputs
-    (many files) are read as they are, without this extra shuffle.
+    A text table whose scan has fewer partitions than the cluster has cores
+    (here: one file with one row group) would be processed by a few tasks; its
+    rows are spread round-robin.  This only deals the same rows out; a scan of
+    enough partitions is read as it is.
     """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     if name in TEXT_TABLES:
         par = spark.sparkContext.defaultParallelism
-        if len(df.inputFiles()) < par:
+        if df.rdd.getNumPartitions() < par:
             df = df.repartition(par)
     return df
 

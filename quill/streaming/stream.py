@@ -10,6 +10,7 @@ to the shared folder named by ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import json
+import threading
 import time
 import uuid
 from collections.abc import Callable
@@ -18,11 +19,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from quill.operators.alerts import RuleState, match_rules
 from quill.session import scratch_path
 
-# Message schema of the document stream (all fields nullable), plus the
+# Message schema of the document stream (all fields nullable), plus the
 # column that keeps undecodable messages.
 MESSAGE_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("text", T.StringType()),
@@ -39,6 +42,7 @@ def filter_nonempty(df: DataFrame, text_col: str = "text") -> DataFrame:
               .withColumn("processed_timestamp", F.current_timestamp()))
 
 
+# The Kafka source's option names.
 # --- sources (X1) -------------------------------------------------------------------
 def kafka_options(servers: str, topic: str, starting_offsets: str = "latest",
                   max_offsets_per_trigger: int | None = 1000) -> dict:
@@ -114,45 +118,107 @@ def start_sink(df: DataFrame, fmt: str, path: str | None = None, checkpoint: str
     return w.start()
 
 
-def progress_rows(spark: SparkSession, query) -> DataFrame:
-    """The query's progress reports as rows (batch id, rows, rates, durations, source offsets)."""
-    rows = []
-    for p in query.recentProgress:
-        d = p if isinstance(p, dict) else json.loads(p.json)
-        dropped = sum(int(op.get("numRowsDroppedByWatermark", 0) or 0) for op in d.get("stateOperators", []))
-        rows.append((int(d.get("batchId", -1)), int(d.get("numInputRows", 0)),
-                     float(d.get("inputRowsPerSecond") or 0.0), float(d.get("processedRowsPerSecond") or 0.0),
-                     int((d.get("durationMs") or {}).get("triggerExecution", 0)),
-                     json.dumps([s.get("endOffset") for s in d.get("sources", [])]), dropped))
-    return spark.createDataFrame(rows, "batch_id long, num_input_rows long, input_rows_per_second double, "
-                                       "processed_rows_per_second double, trigger_ms long, end_offsets string, "
-                                       "rows_dropped_by_watermark long")
+class ProgressLog(StreamingQueryListener):
+    """Every progress report of the queries started while it listens, none dropped.
+
+    ``recentProgress`` keeps the last 100 reports only; a listener is told all
+    of them.  Reports are kept by run id, one short row a micro-batch.
+    """
+
+    def __init__(self) -> None:
+        self.rows: dict[str, list[tuple]] = {}
+        self.ended: dict[str, threading.Event] = {}
+        self.lock = threading.Lock()
+
+    def _end(self, run_id: str) -> threading.Event:
+        with self.lock:
+            return self.ended.setdefault(run_id, threading.Event())
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        d = json.loads(event.progress.json)
+        with self.lock:
+            self.rows.setdefault(str(d["runId"]), []).append(_progress_row(d))
+
+    def onQueryTerminated(self, event) -> None:
+        self._end(str(event.runId)).set()
+
+    def of(self, query, wait_s: float = 120) -> list[tuple]:
+        """The reports of a query that has ended, after the listener has seen its end."""
+        run_id = str(query.runId)
+        if not self._end(run_id).wait(wait_s):
+            raise TimeoutError(f"the end of query {run_id} was not reported within {wait_s} s")
+        with self.lock:
+            return list(self.rows.get(run_id, []))
+
+
+def _progress_row(d: dict) -> tuple:
+    dropped = sum(int(op.get("numRowsDroppedByWatermark", 0) or 0) for op in d.get("stateOperators", []))
+    return (int(d.get("batchId", -1)), int(d.get("numInputRows", 0)),
+            float(d.get("inputRowsPerSecond") or 0.0), float(d.get("processedRowsPerSecond") or 0.0),
+            int((d.get("durationMs") or {}).get("triggerExecution", 0)),
+            json.dumps([s.get("endOffset") for s in d.get("sources", [])]), dropped)
+
+
+def progress_rows(spark: SparkSession, reports: list[tuple]) -> DataFrame:
+    """Progress reports as rows (batch id, rows, rates, durations, source offsets)."""
+    return spark.createDataFrame(reports, "batch_id long, num_input_rows long, input_rows_per_second double, "
+                                          "processed_rows_per_second double, trigger_ms long, end_offsets string, "
+                                          "rows_dropped_by_watermark long")
+
+
+def wait_to_end(query, timeout_s: float | None = None) -> None:
+    """Wait until a bounded stream has ended; its failure is raised.
+
+    With ``timeout_s``, a query still running then is stopped and reported: a
+    sink that holds a part of the rows never looks like a result.
+    """
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
+        query.stop()
+        raise TimeoutError(f"the stream did not end within {timeout_s} s")
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
 
 
 def run_to_table(df: DataFrame, name: str, output_mode: str = "append", trigger: dict | None = None,
-                 timeout_s: int = 600):
+                 timeout_s: float | None = None) -> tuple[DataFrame, list[tuple]]:
     """Drain a streaming frame (availableNow) into parquet under the checkpoint folder.
 
-    Returns (batch DataFrame of the sink, the finished query).
+    Returns the sink as a batch frame and all progress reports; a stream that
+    fails, or has not ended within ``timeout_s``, raises.
     """
     spark = df.sparkSession
     base = scratch_path(spark, f"streams/{name}-{uuid.uuid4().hex[:8]}")
-    q = start_sink(df, "parquet", f"{base}/data", f"{base}/ckpt", output_mode, trigger)
-    q.awaitTermination(timeout_s)
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
-    return spark.read.schema(df.schema).parquet(f"{base}/data"), q
+    log = ProgressLog()
+    spark.streams.addListener(log)
+    try:
+        q = start_sink(df, "parquet", f"{base}/data", f"{base}/ckpt", output_mode, trigger)
+        wait_to_end(q, timeout_s)
+        reports = log.of(q)
+    finally:
+        spark.streams.removeListener(log)
+    return spark.read.schema(df.schema).parquet(f"{base}/data"), reports
 
 
 # --- reliable micro-batch processing (X8, X12) ---------------------------------------------
-def retrying_batch(fn: Callable[[DataFrame, int], None], dead_letter_path: str | None = None,
+def retrying_batch(fn: Callable[[DataFrame, int], None], dead_letter_path: str,
                    attempts: int = 3, backoff_s: float = 1.0):
     """A ``foreachBatch`` function retrying ``fn`` with back-off 1 s, 2 s, ...
 
     After the last failure the batch goes to ``dead_letter_path/batch_id=N``
     (overwrite, so a replayed batch id stays idempotent) instead of failing
-    the query.
+    the query; without a path there would be nowhere to keep it.
     """
+    if not dead_letter_path:
+        raise ValueError("a dead-letter path is needed: a failed batch must not vanish")
+
     def run(batch: DataFrame, batch_id: int) -> None:
         for i in range(attempts):
             try:
@@ -160,8 +226,7 @@ def retrying_batch(fn: Callable[[DataFrame, int], None], dead_letter_path: str |
                 return
             except Exception:  # noqa: BLE001
                 if i == attempts - 1:
-                    if dead_letter_path:
-                        batch.write.mode("overwrite").parquet(f"{dead_letter_path}/batch_id={batch_id}")
+                    batch.write.mode("overwrite").parquet(f"{dead_letter_path}/batch_id={batch_id}")
                     return
                 time.sleep(backoff_s * (2 ** i))
     return run
@@ -189,7 +254,7 @@ def running_counts(stream: DataFrame, key: str, name: str):
 
     q = (agg.writeStream.outputMode("complete").foreachBatch(write)
          .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
-    q.awaitTermination(600)
+    wait_to_end(q)
     return f"{base}/data", q
 
 
@@ -210,41 +275,27 @@ ALERT_OUT = T.StructType([T.StructField("rule", T.StringType()), T.StructField("
 
 
 def _alert_state_fn(key, pdfs, state):
-    """Cooldown state machine of one rule across micro-batches (state: last fire, active keys)."""
+    """Cooldown state machine of one rule across micro-batches (state: last fire, active label sets)."""
     rule = key[0]
-    if state.exists:
-        lf, act = state.get
-        last_fired = pd.Timestamp(lf) if lf is not None else None
-        active = set(json.loads(act or "[]"))
-    else:
-        last_fired, active = None, set()
+    last, active = state.get if state.exists else (None, "[]")
+    machine = RuleState(pd.Timestamp(last) if last is not None else None, json.loads(active or "[]"))
     pdf = pd.concat(list(pdfs)) if pdfs else pd.DataFrame()
     out = []
     if len(pdf):
         pdf = pdf.sort_values(["ts", "event_id"], kind="mergesort")
         cool = pd.Timedelta(seconds=int(pdf["cooldown_s"].iloc[0]))
-        for ts, eid, k, value, cond in zip(pdf["ts"], pdf["event_id"], pdf["key"], pdf["value"], pdf["cond"]):
-            if last_fired is not None and ts - last_fired < cool:
-                continue
-            if cond:
-                if k not in active:
-                    active.add(k)
-                    last_fired = ts
-                    out.append((rule, int(eid), ts, k, "fired", float(value)))
-            elif k in active:
-                active.discard(k)
-                out.append((rule, int(eid), ts, k, "resolved", float(value)))
-    state.update((last_fired.to_pydatetime() if last_fired is not None else None, json.dumps(sorted(active))))
+        for ts, eid, k, value, cond in zip(pdf["ts"], pdf["event_id"], pdf["key"], pdf["value"], pdf["cond"], strict=True):
+            event = machine.step(ts, k, cond, cool)
+            if event:
+                out.append((rule, int(eid), ts, k, event, float(value)))
+    last = machine.last_fired
+    state.update((last.to_pydatetime() if last is not None else None, json.dumps(sorted(machine.active))))
     yield pd.DataFrame(out, columns=[f.name for f in ALERT_OUT.fields])
 
 
 def match_rules_stream(metrics: DataFrame, rules: DataFrame) -> DataFrame:
-    """Stream-static rule matching: prefixes of each point's name hash-joined to the broadcast rules."""
-    from quill.operators.alerts import condition, match_pairs
-    from quill.operators.metrics import metric_key
-    j = match_pairs(metrics, rules).drop("source")
-    return j.select("rule", "event_id", "ts", metric_key(F.col("name"), F.col("labels")).alias("key"), "value",
-                    condition(F.col("op"), F.col("value"), F.col("threshold")).alias("cond"), "cooldown_s")
+    """Stream-static rule matching, as in batch: exploded name prefixes joined to the rules."""
+    return match_rules(metrics, rules).select("rule", "event_id", "ts", "key", "value", "cond", "cooldown_s")
 
 
 def stateful_alerts(points: DataFrame) -> DataFrame:
