@@ -22,9 +22,6 @@ from pyspark.sql import types as T
 # Fixed values that must equal the reference's cleaning rules.
 # ---------------------------------------------------------------------------
 URL_PATTERN = r"http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
-EMAIL_PATTERN = r"\S+@\S+"
-NUMBER_PATTERN = r"\d+"
-SPECIAL_CHAR_PATTERN = r"[^a-zA-Z0-9\s]"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # English contractions, applied in this order, case-insensitively.
 CONTRACTIONS = [
@@ -42,7 +39,6 @@ CONTRACTIONS = [
 # also matches the separators U+001C..U+001F, Java's ``(?U)\s`` does not.
 WS_CLASS = r"\s\x{1c}-\x{1f}"
 WS_RUN = rf"(?U)[{WS_CLASS}]+"
-NON_WS_RUN = rf"(?U)[^{WS_CLASS}]+"
 # Anchored at the start of a non-space run: equivalent to ``\S+@\S+`` (a match
 # from inside a run implies one from its start) but linear, without retrying
 # every start position of long words.
@@ -67,20 +63,21 @@ def let(value: Column, fn) -> Column:
     return F.get(F.transform(F.array(value), fn), 0)
 
 
-SCAN_STEPS = 24  # prefix sums cover arrays of up to 2**24 elements
+SCAN_STEPS = 31  # doubling steps up to the longest array there is
 
 
-def prefix_sum(arr: Column, steps: int = SCAN_STEPS) -> Column:
+def prefix_sum(arr: Column) -> Column:
     """Inclusive prefix sums of an int array in O(n log n) (Hillis-Steele scan).
 
     ``aggregate`` with a growing array copies it on every step (quadratic);
-    here each of ``steps`` passes is one ``transform`` over a bound array.
-    Exact for arrays of up to ``2**steps`` elements.
+    here each doubling step is one ``transform`` over a bound array, and the
+    steps at or beyond the array's size leave it as it is.
     """
     def step(d):
-        return lambda a: F.transform(a, lambda x, i: F.when(i >= d, x + F.get(a, i - d)).otherwise(x))
+        return lambda a: F.when(F.size(a) > d, F.transform(
+            a, lambda x, i: F.when(i >= d, x + F.get(a, i - d)).otherwise(x))).otherwise(a)
     expr = arr
-    for k in range(steps):
+    for k in range(SCAN_STEPS):
         expr = let(expr, step(1 << k))
     return expr
 
@@ -285,11 +282,14 @@ def sentences(c: Column) -> Column:
     return F.split(F.coalesce(c, F.lit("")), SENTENCE_BREAK)
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """contiguous n-grams joined by one blank (empty when too short)."""
-    return let(tokens, lambda tk: F.when(F.size(tk) >= n, F.transform(
-        F.sequence(F.lit(1), F.size(tk) - n + 1),
-        lambda i: F.array_join(F.slice(tk, i, n), " "))).otherwise(F.array().cast("array<string>")))
+def ngrams(tokens: Column, n: int, max_n: int | None = None) -> Column:
+    """contiguous n-grams (``n`` to ``max_n`` words) joined by one blank; empty when too short."""
+    def of(tk: Column, k: int) -> Column:
+        return F.when(F.size(tk) >= k, F.transform(
+            F.sequence(F.lit(1), F.size(tk) - k + 1),
+            lambda i: F.array_join(F.slice(tk, i, k), " "))).otherwise(F.array().cast("array<string>"))
+    sizes = range(n, (max_n or n) + 1)
+    return let(tokens, lambda tk: F.concat(*[of(tk, k) for k in sizes]) if len(sizes) > 1 else of(tk, n))
 
 
 # ---------------------------------------------------------------------------

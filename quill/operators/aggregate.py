@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quill.functions import text as tx
+from quill.functions.text import let
 from quill.functions.vectors import SENTIMENT_LABELS
-from quill.operators.entities import entities_long
-from quill.session import cut_lineage
+from quill.operators.entities import ENTITY_TYPES, entities_long
 
+TYPE_NAMES = sorted(set(ENTITY_TYPES.values()))
 
 
 def sent_label() -> Column:
@@ -40,23 +41,69 @@ def sentiment_counts(prefix: str = "n_") -> list[Column]:
     return [F.count_if(sent_label() == lab).cast("bigint").alias(prefix + lab) for lab in SENTIMENT_LABELS]
 
 
+def one_pass(results: DataFrame, per_document: dict[str, Column], per_entity: dict[str, Column]) -> DataFrame:
+    """Sums over documents and over entities, and the entity types and distinct texts, from one scan.
+
+    Each document is exploded into its entities (one empty row if none); the
+    document's figures count on its first row only.  Rows are combined by
+    entity text, so the distinct texts are the groups; a second grouping, by
+    nothing, adds the groups up.  ``types`` maps known display types to counts.
+    """
+    d = results.select(*[c.alias(f"d_{n}") for n, c in per_document.items()], F.posexplode_outer("entities").alias("pos", "e"))
+    once = lambda n: F.sum(F.when(F.coalesce("pos", F.lit(0)) == 0, F.col(f"d_{n}"))).alias(f"d_{n}")
+    kind = F.col("e.type")
+    by_text = d.groupBy(F.col("e.text").alias("text")).agg(
+        *[once(n) for n in per_document], *[F.sum(c).alias(f"e_{n}") for n, c in per_entity.items()],
+        *[F.count_if(kind == t).alias(f"t_{t}") for t in TYPE_NAMES],
+        F.count_if(F.col("e").isNotNull() & ~F.coalesce(kind.isin(*TYPE_NAMES), F.lit(False))).alias("t_Other"))
+    total = by_text.agg(
+        *[F.sum(f"d_{n}").alias(n) for n in per_document], *[F.sum(f"e_{n}").alias(n) for n in per_entity],
+        *[F.sum(F.col(f"`t_{t}`")).alias(f"t_{t}") for t in (*TYPE_NAMES, "Other")],
+        F.count("text").cast("bigint").alias("unique_entities"))
+    pairs = F.array(*[F.when(F.col(f"`t_{t}`") > 0, F.concat(F.lit(t + "="), F.col(f"`t_{t}`").cast("string")))
+                      for t in sorted((*TYPE_NAMES, "Other"))])
+    return total.select(*per_document, *per_entity, "unique_entities", F.array_join(F.array_compact(pairs), ", ").alias("entity_types"))
+
+
+def _doc_sums(results: DataFrame) -> dict[str, Column]:
+    """Per-document figures that the summaries add up."""
+    one, wc, score = F.lit(1).cast("bigint"), tx.word_count(F.col("text")), sent_score()
+    ok = F.coalesce(F.col("error"), F.lit("")) == ""
+    n = {f"n_{lab}": F.when(sent_label() == lab, one).otherwise(0) for lab in SENTIMENT_LABELS}
+    return {"docs": one, "ok": F.when(ok, one).otherwise(0), **n, "labelled": F.when(sent_label().isNotNull(), one).otherwise(0),
+            "scored": F.when(score.isNotNull(), one).otherwise(0), "score": score, "score2": score * score,
+            "sure": F.when(score > 0.8, one).otherwise(0), "ents": n_entities(),
+            "with_ents": F.when(F.col("entities").isNotNull(), one).otherwise(0),
+            "texts": F.when(F.col("text").isNotNull(), one).otherwise(0), "chars": F.length("text").cast("bigint"), "words": wc,
+            "timed": F.when(F.col("processing_time").isNotNull(), one).otherwise(0), "time": F.col("processing_time")}
+
+
+def _entity_sums() -> dict[str, Column]:
+    s, one = F.col("e.score"), F.lit(1).cast("bigint")
+    return {"ent_scored": F.when(s.isNotNull(), one).otherwise(0), "ent_score": s, "ent_sure": F.when(s > 0.8, one).otherwise(0)}
+
+
+def corpus_sums(results: DataFrame) -> DataFrame:
+    """One row of sums for the summaries and reports (one scan of the documents)."""
+    return one_pass(results, _doc_sums(results), _entity_sums())
+
+
+def ratio(a: str, b: str) -> Column:
+    return F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
+
+
 def summary_stats(results: DataFrame) -> DataFrame:
     """A2: one row of corpus statistics."""
-    has_ents = F.col("entities").isNotNull()
-    uniq = entities_long(results, keep=()).select(F.countDistinct("text").cast("bigint")).scalar()
-    return results.agg(
-        F.count("*").cast("bigint").alias("total_documents"),
-        F.coalesce(F.try_divide(F.count_if(F.coalesce(F.col("error"), F.lit("")) == ""), F.count("*")),
-                   F.lit(0.0)).alias("success_rate"),
-        *sentiment_counts(),
-        F.coalesce(F.avg(sent_score()), F.lit(0.0)).alias("avg_confidence"),
-        F.coalesce(F.stddev_samp(sent_score()), F.lit(0.0)).alias("std_confidence"),
-        F.coalesce(F.sum(F.when(has_ents, F.size("entities"))), F.lit(0)).cast("bigint").alias("total_entities"),
-        F.coalesce(F.avg(F.when(has_ents, F.size("entities"))), F.lit(0.0)).alias("avg_entities_per_doc"),
-        F.coalesce(F.avg(F.length("text")), F.lit(0.0)).alias("avg_length"),
-        F.coalesce(F.avg(tx.word_count(F.col("text"))), F.lit(0.0)).alias("avg_words"),
-        F.coalesce(F.avg("processing_time"), F.lit(0.0)).alias("avg_processing_time"),
-    ).withColumn("unique_entities", uniq)
+    var = (F.col("score2") - F.col("score") * F.col("score") / F.col("scored")) / (F.col("scored") - 1)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
+    return corpus_sums(results).select(
+        zero("docs").alias("total_documents"), ratio("ok", "docs").alias("success_rate"),
+        (zero("docs") - zero("ok")).alias("failed_documents"), *[zero(f"n_{x}").alias(f"n_{x}") for x in SENTIMENT_LABELS],
+        ratio("score", "scored").alias("avg_confidence"),
+        F.when(F.col("scored") > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).otherwise(F.lit(0.0)).alias("std_confidence"),
+        zero("ents").alias("total_entities"), ratio("ents", "with_ents").alias("avg_entities_per_doc"),
+        ratio("chars", "texts").alias("avg_length"), ratio("words", "texts").alias("avg_words"),
+        ratio("time", "timed").alias("avg_processing_time"), "unique_entities", "entity_types")
 
 
 def agg_by_sentiment(results: DataFrame) -> DataFrame:
@@ -92,14 +139,24 @@ def top_entities_per_label(results: DataFrame, n: int = 20) -> DataFrame:
 
 
 def agg_by_entity_type(results: DataFrame) -> DataFrame:
-    """A4: per entity label (NULL -> UNKNOWN)."""
+    """A4: per entity label (NULL -> UNKNOWN).
+
+    Whether an entity is the first of its label in its document is a figure of
+    the row, so coverage is a sum; combined by (label, text), the groups of a
+    label are its distinct texts.  One scan of the documents, and one count.
+    """
     total = _total(results)
-    e = entities_long(results, keep=()).withColumn("label", F.coalesce("label", F.lit("UNKNOWN")))
-    return e.groupBy("label").agg(
-        F.count("*").cast("bigint").alias("total_occurrences"),
-        F.countDistinct("text").cast("bigint").alias("unique_entities"),
-        F.avg(F.coalesce("score", F.lit(0.0))).alias("avg_confidence"),
-        (F.countDistinct("document_id") / total).alias("document_coverage"))
+    labels = F.transform("entities", lambda e: F.coalesce(e["label"], F.lit("UNKNOWN")))
+
+    def marked(ls: Column) -> Column:
+        return F.transform("entities", lambda e, i: F.struct(
+            F.get(ls, i).alias("label"), e["text"].alias("text"), F.coalesce(e["score"], F.lit(0.0)).alias("score"),
+            (F.array_position(ls, F.get(ls, i)) == i + 1).cast("bigint").alias("first")))
+    e = results.select(F.explode(let(labels, marked)).alias("e")).select("e.*")
+    c = e.groupBy("label", "text").agg(F.count("*").alias("n"), F.sum("score").alias("s"), F.sum("first").alias("docs"))
+    return c.groupBy("label").agg(
+        F.sum("n").cast("bigint").alias("total_occurrences"), F.count("text").cast("bigint").alias("unique_entities"),
+        (F.sum("s") / F.sum("n")).alias("avg_confidence"), (F.sum("docs") / total).alias("document_coverage"))
 
 
 def agg_by_window(results: DataFrame, size: str = "1 day", ts: str = "processed_at") -> DataFrame:
@@ -132,22 +189,21 @@ def entity_cooccurrence(results: DataFrame, min_count: int = 3) -> DataFrame:
     """Unordered pairs of distinct entity texts sharing documents.
 
     Exact pruning first: a pair can only reach ``min_count`` when both texts
-    occur in at least ``min_count`` documents, so rare texts never enter the
-    self-join.  The self-join is keyed by document; AQE splits documents
-    whose pair lists are skewed.  Pair counts are combined map-side.
+    occur in at least ``min_count`` documents.  The frequent texts of a document
+    become one sorted array, and its pairs are emitted row by row from there
+    and combined map-side; no self-join and no global order.
     """
     total = _total(results)
-    de = entities_long(results, keep=()).select("document_id", "text").distinct()
-    frequent = de.groupBy("text").agg(F.count("*").alias("df")).filter(F.col("df") >= min_count).select("text")
-    # the pruned (document, text) pairs feed both sides of the self-join: write them once
-    de = cut_lineage(de.join(frequent, "text", "left_semi"))
-    a, b = de.alias("a"), de.alias("b")
-    pairs = a.join(b, (F.col("a.document_id") == F.col("b.document_id")) & (F.col("a.text") < F.col("b.text")))
-    return (pairs.groupBy(F.col("a.text").alias("entity1"), F.col("b.text").alias("entity2"))
-            .agg(F.count("*").cast("bigint").alias("co_occurrence_count"))
+    de = (results.select("document_id", F.explode(F.array_distinct(F.transform("entities", lambda e: e["text"]))).alias("text"))
+          .filter(F.col("text").isNotNull()))
+    frequent = de.distinct().groupBy("text").agg(F.count("*").alias("df")).filter(F.col("df") >= min_count).select("text")
+    docs = de.join(frequent, "text", "left_semi").groupBy("document_id").agg(F.sort_array(F.collect_set("text")).alias("ts"))
+    heads = docs.select(F.posexplode("ts").alias("i", "entity1"), "ts").select(
+        "entity1", F.slice("ts", F.col("i") + 2, F.size("ts")).alias("rest"))
+    pairs = heads.select("entity1", F.explode("rest").alias("entity2"))
+    return (pairs.groupBy("entity1", "entity2").agg(F.count("*").cast("bigint").alias("co_occurrence_count"))
             .filter(F.col("co_occurrence_count") >= min_count)
-            .withColumn("strength", F.col("co_occurrence_count") / total)
-            .orderBy(F.desc("co_occurrence_count"), F.asc("entity1"), F.asc("entity2")))
+            .withColumn("strength", F.col("co_occurrence_count") / total))
 
 
 def metric_values(results: DataFrame, metric: str) -> DataFrame | None:

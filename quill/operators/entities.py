@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quill.functions.text import let
+from quill.functions.text import let, prefix_sum
 
 # Entity label -> display type (unknown labels are kept as is).
 ENTITY_TYPES = {
@@ -38,8 +38,6 @@ ENTITY_TYPES = {
     "CARDINAL": "Cardinal",
 }
 
-ENTITY_STRUCT = "struct<text:string,label:string,type:string,start:int,end:int,score:double>"
-SPAN_STRUCT = "struct<text:string,start:int,end:int>"
 
 # Pattern rules used by the rule-based extractor (label, Java regex).
 PATTERN_RULES = [
@@ -55,50 +53,27 @@ def entity_type(label: Column) -> Column:
     return F.coalesce(F.try_element_at(m, label), label)
 
 
+# Marks the matches in a text; a noncharacter, so texts do not hold it (one that does shows U+FFFE there).
+SPAN_MARK = "\uffff"
+
+
 def match_spans(text: Column, pattern: str) -> Column:
     """All regex matches with offsets, in order: array<struct<text,start,end>>.
 
-    Offsets come from the text between matches (``split`` on the same
-    pattern), so they are exact for any pattern, context-dependent or not:
-    the end of match k is the prefix sum of gap and match lengths up to k,
-    computed with a logarithmic-depth scan (linear-ish per document).
+    One pass of the pattern marks the matches, so the pieces between marks are
+    gap, match, gap, ...; the end of match k is the prefix sum of gap and match
+    lengths up to k.  The same formula serves any number of matches.
     """
-    from quill.functions.text import SCAN_STEPS, prefix_sum
-    t = F.coalesce(text, F.lit(""))
-    ms = F.regexp_extract_all(t, F.lit(pattern), 0)
-    gaps = F.split(t, pattern, -1)
-
-    def with_ms(m):
-        def with_gaps(g):
-            lens = F.zip_with(F.slice(g, 1, F.size(m)), m, lambda a, b: F.length(a) + F.length(b))
-
-            def spans(ends):
-                return F.zip_with(m, ends, lambda x, e: F.struct(
-                    x.alias("text"), (e - F.length(x)).alias("start"), e.alias("end")))
-            return let(prefix_sum(lens), spans)
-        # few matches: direct accumulation is cheapest; many: the scan keeps it near-linear
-        n = F.size(m)
-        return (F.when(n <= 32, _spans_sequential(m, gaps))
-                .when(n <= (1 << SCAN_STEPS), let(gaps, with_gaps))
-                .otherwise(_spans_sequential(m, gaps)))
-    return let(ms, with_ms)
-
-
-def _spans_sequential(ms: Column, gaps: Column) -> Column:
-    """Reference formulation (quadratic copies); used only beyond the scan's range."""
-    def run(g):
-        init = F.struct(F.array().cast(f"array<{SPAN_STRUCT}>").alias("spans"),
-                        F.lit(0).alias("p"), F.lit(0).alias("k"))
-
-        def step(acc, m):
-            s = acc["p"] + F.length(F.get(g, acc["k"]))
-            e = s + F.length(m)
-            span = F.struct(m.alias("text"), s.alias("start"), e.alias("end"))
-            return F.struct(F.concat(acc["spans"], F.array(span)).alias("spans"), e.alias("p"),
-                            (acc["k"] + 1).alias("k"))
-
-        return F.aggregate(ms, init, step, lambda acc: acc["spans"])
-    return let(gaps, run)
+    t = F.translate(F.coalesce(text, F.lit("")), SPAN_MARK, "\ufffe")
+    parts = F.split(F.regexp_replace(t, pattern, f"{SPAN_MARK}$0{SPAN_MARK}"), SPAN_MARK, -1)
+
+    def with_parts(p):
+        n = ((F.size(p) - 1) / 2).cast("int")
+        lens = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: (
+            F.length(F.get(p, 2 * k)) + F.length(F.get(p, 2 * k + 1))))).otherwise(F.array().cast("array<int>"))
+        return let(prefix_sum(lens), lambda ends: F.transform(ends, lambda e, k: F.struct(
+            F.get(p, 2 * k + 1).alias("text"), (e - F.length(F.get(p, 2 * k + 1))).alias("start"), e.alias("end"))))
+    return let(parts, with_parts)
 
 
 def _labelled(spans: Column, label: str, score: float) -> Column:
@@ -268,9 +243,8 @@ def _token_spans_udf(texts: pd.Series) -> pd.Series:
 def token_spans(text: Column) -> Column:
     """Word tokens with offsets, linear per text (Arrow-batched helper).
 
-    ``match_spans`` accumulates offsets with ``aggregate``, whose array
-    copies are quadratic in the number of matches: right for sparse entity
-    patterns, too slow for every word of a long document.
+    ``match_spans`` pays a logarithm for its prefix sums: right for entity
+    patterns, a waste for every word of a long document.
     """
     return _token_spans_udf(text)
 
@@ -300,13 +274,12 @@ def phrase_spans(text: Column, max_n: int = 2) -> Column:
 def extract_gazetteer(docs: DataFrame, key: str, text: str, gazetteer: DataFrame, max_n: int = 2) -> DataFrame:
     """N1 (b): dictionary entities: document n-grams hash-joined to a (phrase, label) table.
 
-    The dictionary is a bounded dimension (broadcast); documents are never
-    shuffled, only the matching n-gram rows come out.  Long form
+    Spark broadcasts the dictionary when it is small.  Long form
     (key, text, label, type, start, end).
     """
     grams = docs.select(key, F.explode(phrase_spans(F.col(text), max_n)).alias("g")).select(
         key, F.col("g.text").alias("phrase"), F.col("g.start").alias("start"), F.col("g.end").alias("end"))
-    hits = grams.join(F.broadcast(gazetteer.select(F.lower("phrase").alias("phrase"), "label")), "phrase")
+    hits = grams.join(gazetteer.select(F.lower("phrase").alias("phrase"), "label"), "phrase")
     return hits.select(key, F.col("phrase").alias("text"), "label", entity_type(F.col("label")).alias("type"),
                        "start", "end")
 

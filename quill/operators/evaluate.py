@@ -210,3 +210,32 @@ def focal_loss(pred: DataFrame, alpha: float = 1.0, gamma: float = 2.0, reductio
         return pred.select("row_id", loss.alias("loss"))
     agg = F.avg(loss) if reduction == "mean" else F.sum(loss)
     return pred.agg(agg.alias("loss"))
+
+
+def evaluate_dataset(pred: DataFrame, k: int, path: str) -> DataFrame:
+    """Every table of one evaluation, written under ``path``; returns the metrics (metric, value).
+
+    Predictions are written first and read back by all tables, so the model's
+    output is computed once and nothing stays cached.
+    """
+    spark = pred.sparkSession
+    pred.write.mode("overwrite").parquet(f"{path}/predictions")
+    p = spark.read.schema(pred.schema).parquet(f"{path}/predictions")
+    detail = prediction_detail(p, k)
+    tables = {"overall": overall(p), "per_class": per_class(p), "classification_report": classification_report(p),
+              "confusion_matrix": confusion_matrix(p), "auc_ovr": auc_ovr(p, k), "roc_points": roc_points(p, k),
+              "pr_points": pr_points(p, k), "prediction_detail": detail, "high_conf_correct": high_conf_correct(detail),
+              "high_conf_wrong": high_conf_wrong(detail), "low_conf": low_conf(detail), "summary": prediction_summary(detail)}
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    read = lambda name: spark.read.schema(tables[name].schema).parquet(f"{path}/{name}")
+    o, s = read("overall"), read("summary")
+    as_rows = lambda df, cols: df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in cols])).alias("m")).select("m.*")
+    sizes = [read(name).agg(F.lit(f"rows_{name}").alias("metric"), F.count("*").cast("double").alias("value"))
+             for name in ("per_class", "confusion_matrix", "prediction_detail", "high_conf_correct", "roc_points")]
+    out = as_rows(o, ["accuracy", "f1_macro", "f1_weighted"]).unionByName(
+        as_rows(s, ["total_samples", "correct_predictions", "average_confidence", "confidence_std"]))
+    for df in sizes:
+        out = out.unionByName(df)
+    return out

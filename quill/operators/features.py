@@ -1,9 +1,8 @@
 """Text features (F1-F12) and token-id encoding.
 
-Vocabularies are bounded by a parameter (``max_features``, ``vocab_size``),
-so they are the only frames ever broadcast; corpus-sized data (tokens,
-term frequencies) is joined to them, never the other way round.  Per
-document work (pooling, id encoding) stays row-local where possible.
+Vocabularies are bounded by a parameter (``max_features``, ``vocab_size``) but
+may be large, so whether they are broadcast is left to Spark's size rule.
+Per-document work (pooling, id encoding) stays row-local where possible.
 """
 
 from __future__ import annotations
@@ -29,11 +28,11 @@ def terms(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TERM_PATTERN), 0), F.lower)
 
 
-def term_rows(docs: DataFrame, key: str, text: str, n: int = 1) -> DataFrame:
-    """(key, term) rows; ``n`` > 1 yields n-grams of the terms."""
+def term_rows(docs: DataFrame, key: str, text: str, ngram_range: tuple[int, int] = (1, 1)) -> DataFrame:
+    """(key, term) rows of the n-grams of the terms, n in the closed ``ngram_range``."""
     t = terms(F.col(text))
-    if n > 1:
-        t = tx.ngrams(t, n)
+    if ngram_range != (1, 1):
+        t = tx.ngrams(t, *ngram_range)
     return docs.select(key, F.explode(t).alias("term"))
 
 
@@ -47,69 +46,81 @@ def term_stats(tf: DataFrame) -> DataFrame:
     return tf.groupBy("term").agg(F.sum("tf").alias("cnt"), F.count("*").alias("df"))
 
 
-def vocabulary(rows: DataFrame, key: str, max_features: int | None = None, min_df: int = 1) -> DataFrame:
-    """Terms kept by document frequency >= ``min_df`` and the top ``max_features`` corpus counts.
+def df_bound(bound: int | float, n_docs: Column) -> Column:
+    """A document-frequency bound: an int is a number of documents, a float a share of them."""
+    return F.lit(bound) if isinstance(bound, int) else F.lit(bound) * n_docs
+
+
+def kept_terms(tf: DataFrame, n_docs: Column, max_features: int | None, min_df: int | float = 1,
+               max_df: int | float = 1.0) -> DataFrame:
+    """(term, cnt, df) within the frequency bounds, the top ``max_features`` by corpus count."""
+    df = F.col("df")
+    stats = term_stats(tf).filter((df >= df_bound(min_df, n_docs)) & (df <= df_bound(max_df, n_docs)))
+    return stats.orderBy(F.desc("cnt"), F.asc("term")).limit(max_features) if max_features else stats
 
-    The top-k is a TakeOrdered over the per-term aggregate, so the result
-    is bounded by ``max_features`` and safe to broadcast.
-    """
-    stats = term_stats(term_counts(rows, key))
-    stats = stats.filter(F.col("df") >= min_df)
-    if max_features:
-        stats = stats.orderBy(F.desc("cnt"), F.asc("term")).limit(max_features)
-    return stats.select("term", F.col("cnt").cast("bigint").alias("cnt"), F.col("df").cast("bigint").alias("df"))
 
+def vocabulary(docs: DataFrame, key: str, text: str, max_features: int | None = None, min_df: int | float = 1,
+               max_df: int | float = 1.0, ngram_range: tuple[int, int] = (1, 1)) -> DataFrame:
+    """The kept terms with their counts."""
+    tf = term_counts(term_rows(docs, key, text, ngram_range), key)
+    v = kept_terms(tf, docs.select(F.count("*")).scalar(), max_features, min_df, max_df)
+    return v.select("term", F.col("cnt").cast("bigint").alias("cnt"), F.col("df").cast("bigint").alias("df"))
 
-def count_vector(docs: DataFrame, key: str, text: str, max_features: int = 1000, min_df: int = 1,
-                 binary: bool = False, n: int = 1) -> DataFrame:
+
+def count_vector(docs: DataFrame, key: str, text: str, max_features: int = 10000, min_df: int | float = 1,
+                 binary: bool = False, ngram_range: tuple[int, int] = (1, 1)) -> DataFrame:
     """long-form bag of words (key, term, count) over the kept vocabulary."""
-    tf = term_counts(term_rows(docs, key, text, n), key)
-    stats = term_stats(tf).filter(F.col("df") >= min_df)
-    vocab = stats.orderBy(F.desc("cnt"), F.asc("term")).limit(max_features).select("term")
-    out = tf.join(F.broadcast(vocab), "term").select(key, "term", F.col("tf").cast("bigint").alias("count"))
-    return out.withColumn("count", F.lit(1).cast("bigint")) if binary else out
+    tf = term_counts(term_rows(docs, key, text, ngram_range), key)
+    vocab = kept_terms(tf, docs.select(F.count("*")).scalar(), max_features, min_df).select("term")
+    count = F.lit(1) if binary else F.col("tf")
+    return tf.join(vocab, "term").select(key, "term", count.cast("bigint").alias("count"))
+
 
+def _idf(n_docs: Column, use_idf: bool) -> Column:
+    """Smooth idf = ln((1+N)/(1+df)) + 1, or 1."""
+    return (F.log((1 + n_docs) / (1 + F.col("df"))) + 1 if use_idf else F.lit(1.0)).alias("idf")
 
-def tfidf_fit(docs: DataFrame, key: str, text: str, max_features: int = 10000, min_df: int = 1,
-              max_df: float = 1.0, n: int = 1) -> DataFrame:
-    """F2/F3 fit: vocabulary with smooth idf = ln((1+N)/(1+df)) + 1 (a small table to save)."""
+
+def tfidf_fit(docs: DataFrame, key: str, text: str, max_features: int = 10000, min_df: int | float = 1,
+              max_df: int | float = 1.0, ngram_range: tuple[int, int] = (1, 1), use_idf: bool = True) -> DataFrame:
+    """F2/F3 fit: vocabulary with idf (a small table to save)."""
     n_docs = docs.select(F.count("*")).scalar()
-    stats = term_stats(term_counts(term_rows(docs, key, text, n), key))
-    upper = F.lit(max_df) * n_docs if max_df <= 1.0 else F.lit(max_df)
-    stats = stats.filter((F.col("df") >= min_df) & (F.col("df") <= upper))
-    top = stats.orderBy(F.desc("cnt"), F.asc("term")).limit(max_features)
-    return top.select("term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
+    tf = term_counts(term_rows(docs, key, text, ngram_range), key)
+    return kept_terms(tf, n_docs, max_features, min_df, max_df).select("term", _idf(n_docs, use_idf))
 
 
 def tfidf_transform(docs: DataFrame, key: str, text: str, model: DataFrame, sublinear_tf: bool = True,
-                    n: int = 1) -> DataFrame:
-    """F2/F3 transform: (key, term, weight), L2-normalised per document; unknown terms ignored."""
-    rows = term_rows(docs, key, text, n).join(F.broadcast(model.select("term", "idf")), "term")
-    tf = rows.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("idf").alias("idf"))
-    return _weights(tf, key, sublinear_tf)
+                    ngram_range: tuple[int, int] = (1, 1), norm: str | None = "l2") -> DataFrame:
+    """F2/F3 transform: (key, term, weight), normalised per document; unknown terms ignored."""
+    tf = term_counts(term_rows(docs, key, text, ngram_range), key)
+    return _weights(tf.join(model.select("term", "idf"), "term"), key, sublinear_tf, norm)
 
 
-def tfidf(docs: DataFrame, key: str, text: str, max_features: int = 10000, min_df: int = 1,
-          max_df: float = 1.0, sublinear_tf: bool = True, n: int = 1) -> DataFrame:
+def tfidf(docs: DataFrame, key: str, text: str, max_features: int = 10000, min_df: int | float = 1,
+          max_df: int | float = 1.0, sublinear_tf: bool = True, ngram_range: tuple[int, int] = (1, 1),
+          use_idf: bool = True, norm: str | None = "l2") -> DataFrame:
     """F2 fit + transform on the same corpus: term frequencies computed once and reused."""
-    tf = term_counts(term_rows(docs, key, text, n), key)
+    tf = term_counts(term_rows(docs, key, text, ngram_range), key)
     n_docs = docs.select(F.count("*")).scalar()
-    upper = F.lit(max_df) * n_docs if max_df <= 1.0 else F.lit(max_df)
-    stats = term_stats(tf).filter((F.col("df") >= min_df) & (F.col("df") <= upper))
-    model = stats.orderBy(F.desc("cnt"), F.asc("term")).limit(max_features).select(
-        "term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
-    return _weights(tf.join(F.broadcast(model), "term"), key, sublinear_tf)
+    model = kept_terms(tf, n_docs, max_features, min_df, max_df).select("term", _idf(n_docs, use_idf))
+    return _weights(tf.join(model, "term"), key, sublinear_tf, norm)
 
 
-def _weights(tf: DataFrame, key: str, sublinear_tf: bool) -> DataFrame:
-    w = (1 + F.log("tf") if sublinear_tf else F.col("tf")) * F.col("idf")
+def _weights(tf: DataFrame, key: str, sublinear_tf: bool, norm: str | None) -> DataFrame:
+    w = (1 + F.log("tf") if sublinear_tf else F.col("tf").cast("double")) * F.col("idf")
     tw = tf.withColumn("w", w)
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return tw.select(key, "term", (F.col("w") / norm).alias("weight"))
+    per = Window.partitionBy(key)
+    if norm == "l2":
+        tw = tw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(per)))
+    elif norm == "l1":
+        tw = tw.withColumn("w", F.col("w") / F.sum(F.abs("w")).over(per))
+    elif norm is not None:
+        raise ValueError(f"norm {norm!r}: l1, l2 or None")
+    return tw.select(key, "term", F.col("w").alias("weight"))
 
 
 # --- topics (F5, F6) -----------------------------------------------------------------
-def lda_topics(docs: DataFrame, key: str, text: str, k: int = 5, max_features: int = 500, seed: int = 42,
+def lda_topics(docs: DataFrame, key: str, text: str, k: int = 50, max_features: int = 10000, seed: int = 42,
                max_iter: int = 10, language: str = "english"):
     """document-topic distributions with Spark ML LDA; returns (doc_topics, topic_words)."""
     from pyspark.ml.clustering import LDA
@@ -127,37 +138,46 @@ def lda_topics(docs: DataFrame, key: str, text: str, k: int = 5, max_features: i
     uniform = F.array_repeat(F.lit(1.0 / k), k)
     arr = F.when(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x) > 0, arr).otherwise(uniform)
     dist = model.transform(feats).select(key, F.posexplode(arr).alias("topic", "weight"))
-    vocab = cv.vocabulary
     topics = model.describeTopics(10)
-    vocab_arr = F.array(*[F.lit(w) for w in vocab])
+    vocab = docs.sparkSession.createDataFrame(list(enumerate(cv.vocabulary)), "term int, word string")
     words = topics.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t")).select(
-        "topic", "rank", F.get(vocab_arr, F.col("t.termIndices")).alias("word"), F.col("t.termWeights").alias("weight"))
-    return dist, words
+        "topic", "rank", F.col("t.termIndices").alias("term"), F.col("t.termWeights").alias("weight"))
+    return dist, words.join(vocab, "term").select("topic", "rank", "word", "weight")
 
 
 # --- embeddings (F7, F8, F10-F12) ---------------------------------------------------------------
-def word_vectors_from_counts(docs: DataFrame, text: str, vectors: DataFrame, n_words: int = 20) -> DataFrame:
-    """(word, vec): the ``n_words`` most frequent lowercase words mapped to vector rows ``vec_id = rank - 1``."""
-    words = docs.select(F.explode(terms(F.col(text))).alias("word"))
-    top = words.groupBy("word").agg(F.count("*").alias("c")).orderBy(F.desc("c"), F.asc("word")).limit(n_words)
-    ranked = top.withColumn("vec_id", F.row_number().over(Window.orderBy(F.desc("c"), F.asc("word"))) - 1)
+def word_vectors_from_counts(docs: DataFrame, text: str, vectors: DataFrame) -> DataFrame:
+    """(word, vec): lowercase words by frequency, mapped to the vector row ``vec_id = rank - 1`` while there are rows.
+
+    Words are ranked by distributed running sums, so neither side is bounded.
+    """
+    from quill.operators.stats import running_sums
+    words = docs.select(F.explode(terms(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
+    ranked = running_sums(words.withColumn("one", F.lit(1)), [], [F.desc("c"), F.asc("word")], ["one"])
+    ranked = ranked.select("word", (F.col("cum_one") - 1).alias("vec_id"))
     return ranked.join(vectors.select("vec_id", F.col("embedding").alias("vec")), "vec_id").select("word", "vec")
 
 
-def doc_vectors(docs: DataFrame, key: str, text: str, wv: DataFrame, dim: int, how: str = "mean") -> DataFrame:
-    """mean / max / sum of the word vectors of a document's tokens (OOV skipped, empty -> zeros).
+def _pooled(tokens: DataFrame, docs: DataFrame, key: str, dim: int, how: str) -> DataFrame:
+    """(key, dim, value): mean, max or sum of the vectors (array ``vec``) of each key, zeros without any.
 
-    Long form (key, dim, value); the word-vector table is a bounded dimension.
+    Vectors are summed inside the group (combined map-side); components become
+    rows only at the end.
     """
-    hits = docs.select(key, F.explode(terms(F.col(text))).alias("word")).join(F.broadcast(wv), "word")
-    per = hits.groupBy(key, "word").agg(F.count("*").alias("n"), F.first("vec").alias("vec"))
-    ex = per.select(key, "n", F.posexplode("vec").alias("dim", "v")).withColumn("v", F.col("v").cast("double"))
-    agg = {"mean": F.sum(F.col("v") * F.col("n")) / F.sum("n"), "sum": F.sum(F.col("v") * F.col("n")),
-           "max": F.max("v")}[how]
-    vals = ex.groupBy(key, "dim").agg(agg.alias("value"))
-    grid = docs.select(key, F.explode(F.sequence(F.lit(0), F.lit(dim - 1))).alias("dim"))
-    return grid.join(vals, [key, "dim"], "left").select(key, F.col("dim").cast("bigint").alias("dim"),
-                                                       F.coalesce("value", F.lit(0.0)).alias("value"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    v = tokens.select(key, array_to_vector(F.transform("vec", lambda x: x.cast("double"))).alias("v"))
+    fold = {"mean": Summarizer.mean, "max": Summarizer.max, "sum": Summarizer.sum}[how]
+    vals = v.groupBy(key).agg(vector_to_array(fold(F.col("v"))).alias("a"))
+    zeros = F.array_repeat(F.lit(0.0), dim)
+    return docs.select(key).join(vals, key, "left").select(key, F.posexplode(F.coalesce("a", zeros)).alias("dim", "value")).select(
+        key, F.col("dim").cast("bigint").alias("dim"), "value")
+
+
+def doc_vectors(docs: DataFrame, key: str, text: str, wv: DataFrame, dim: int, how: str = "mean") -> DataFrame:
+    """mean / max / sum of the word vectors of a document's tokens (OOV skipped, empty -> zeros)."""
+    hits = docs.select(key, F.explode(terms(F.col(text))).alias("word")).join(wv, "word")
+    return _pooled(hits, docs, key, dim, how)
 
 
 def pool_tokens(docs: DataFrame, key: str, text: str, wv: DataFrame, dim: int, how: str) -> DataFrame:
@@ -166,26 +186,13 @@ def pool_tokens(docs: DataFrame, key: str, text: str, wv: DataFrame, dim: int, h
     cls = first token's vector; mean = sum(v * mask) / sum(mask); max over all
     tokens (mask ignored, as in the reference).
     """
-    toks = docs.select(key, F.posexplode(terms(F.col(text))).alias("pos", "word"))
-    j = toks.join(F.broadcast(wv), "word", "left")
-    if how == "cls":
-        first = j.filter(F.col("pos") == 0)
-        ex = first.select(key, F.posexplode(F.coalesce("vec", F.array_repeat(F.lit(0.0).cast("float"), dim))).alias("dim", "v"))
-        vals = ex.select(key, "dim", F.col("v").cast("double").alias("value"))
-    else:
-        per = j.groupBy(key, "word").agg(F.count("*").alias("n"), F.first("vec").alias("vec"))
-        ex = per.select(key, "n", F.posexplode(F.coalesce("vec", F.array_repeat(F.lit(0.0).cast("float"), dim)))
-                        .alias("dim", "v"), F.col("vec").isNotNull().alias("in_vocab"))
-        if how == "mean":
-            m = F.when(F.col("in_vocab"), 1).otherwise(0)
-            agg = F.coalesce(F.try_divide(F.sum(F.col("v").cast("double") * F.col("n") * m), F.sum(F.col("n") * m)),
-                             F.lit(0.0))
-        else:
-            agg = F.max(F.col("v").cast("double"))
-        vals = ex.groupBy(key, "dim").agg(agg.alias("value"))
-    grid = docs.select(key, F.explode(F.sequence(F.lit(0), F.lit(dim - 1))).alias("dim"))
-    return grid.join(vals, [key, "dim"], "left").select(key, F.col("dim").cast("bigint").alias("dim"),
-                                                       F.coalesce("value", F.lit(0.0)).alias("value"))
+    t = terms(F.col(text))
+    toks = docs.select(key, F.explode(F.slice(t, 1, 1) if how == "cls" else t).alias("word"))
+    if how == "mean":
+        return _pooled(toks.join(wv, "word"), docs, key, dim, "mean")
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)
+    j = toks.join(wv, "word", "left").withColumn("vec", F.coalesce("vec", zeros))
+    return _pooled(j, docs, key, dim, "max")
 
 
 def embed_with_model(df: DataFrame, text: str, model_factory: Callable[[], Callable], dim: int,
@@ -230,16 +237,16 @@ def cosine_topk(vectors: DataFrame, key: str, vec: str, query: DataFrame, k: int
     a TakeOrdered.
     """
     from quill.functions.vectors import cosine, to_double_array
-    row = query.select("q").limit(1).collect()
-    if not row:
-        raise ValueError("empty query vector")
+    row = query.select("q").head(2)
+    if len(row) != 1:
+        raise ValueError("the query must be one vector")
     q = F.array(*[F.lit(float(x)).cast("double") for x in row[0]["q"]])
     return (vectors.select(key, cosine(to_double_array(F.col(vec)), q).alias("score"))
             .orderBy(F.desc("score"), F.asc(key)).limit(k))
 
 
 # --- token ids (T5-T7) and language detection (T9) ------------------------------------------
-def build_vocab(docs: DataFrame, text: str, vocab_size: int = 1000, min_frequency: int = 2) -> DataFrame:
+def build_vocab(docs: DataFrame, text: str, vocab_size: int = 30000, min_frequency: int = 2) -> DataFrame:
     """(token, id, count); ids after the reserved special tokens, by count desc then token."""
     toks = docs.select(F.explode(terms(F.col(text))).alias("token"))
     c = toks.groupBy("token").agg(F.count("*").cast("bigint").alias("count")).filter(F.col("count") >= min_frequency)
@@ -249,33 +256,30 @@ def build_vocab(docs: DataFrame, text: str, vocab_size: int = 1000, min_frequenc
     return ranked.select("token", "id", "count")
 
 
-# Token -> id lookups use a broadcast hash join on the bounded vocabulary and
-# a per-document regroup: Spark map lookups are linear in the map size, so a
-# vocabulary literal would cost O(vocab) per token.
 def encode_ids(docs: DataFrame, key: str, text: str, vocab: DataFrame, max_length: int = 512) -> DataFrame:
     """T5: [CLS] ids [SEP], truncated to ``max_length``, padded with [PAD]; attention mask.
 
-    Tokens map to ids with a broadcast join on the bounded vocabulary,
-    then ids are re-assembled per document in position order.
+    Only the tokens that stay are exploded; they meet the vocabulary in a join
+    (Spark map lookups are linear in the map) and are put together again in
+    position order, at most ``max_length`` a document.
     """
-    toks = docs.select(key, F.posexplode(terms(F.col(text))).alias("pos", "token"))
-    ids = toks.join(F.broadcast(vocab.select("token", "id")), "token", "left") \
+    kept = F.slice(terms(F.col(text)), 1, max_length - 2)
+    toks = docs.select(key, F.posexplode(kept).alias("pos", "token"))
+    ids = toks.join(vocab.select("token", "id"), "token", "left") \
               .withColumn("id", F.coalesce("id", F.lit(SPECIAL_TOKENS.index("[UNK]"))))
     seq = ids.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("s"))
-    body = F.slice(F.transform("s", lambda x: x["id"]), 1, max_length - 2)
-    full = F.concat(F.array(F.lit(SPECIAL_TOKENS.index("[CLS]"))), body, F.array(F.lit(SPECIAL_TOKENS.index("[SEP]"))))
-    base = docs.select(key).join(seq.select(key, full.alias("ids")), key, "left").withColumn(
-        "ids", F.coalesce("ids", F.array(F.lit(2), F.lit(3))))
-    pad = F.array_repeat(F.lit(SPECIAL_TOKENS.index("[PAD]")), F.lit(max_length) - F.size("ids"))
-    return base.select(key, F.concat("ids", pad).alias("input_ids"),
-                       F.concat(F.array_repeat(F.lit(1), F.size("ids")), F.array_repeat(F.lit(0), F.lit(max_length) - F.size("ids")))
-                       .alias("attention_mask"))
+    cls, sep = (F.array(F.lit(SPECIAL_TOKENS.index(x))) for x in ("[CLS]", "[SEP]"))
+    base = docs.select(key).join(seq, key, "left").select(key, F.concat(
+        cls, F.coalesce(F.transform("s", lambda x: x["id"]), F.array().cast("array<int>")), sep).alias("ids"))
+    room = F.lit(max_length) - F.size("ids")
+    return base.select(key, F.concat("ids", F.array_repeat(F.lit(SPECIAL_TOKENS.index("[PAD]")), room)).alias("input_ids"),
+                       F.concat(F.array_repeat(F.lit(1), F.size("ids")), F.array_repeat(F.lit(0), room)).alias("attention_mask"))
 
 
 def decode_ids(encoded: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
     """Ids back to text, special tokens skipped."""
     ex = encoded.select(key, F.posexplode("input_ids").alias("pos", "id")).filter(F.col("id") >= len(SPECIAL_TOKENS))
-    j = ex.join(F.broadcast(vocab.select("token", "id")), "id")
+    j = ex.join(vocab.select("token", "id"), "id")
     seq = j.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("s"))
     out = encoded.select(key).join(seq, key, "left")
     return out.select(key, F.coalesce(F.array_join(F.transform("s", lambda x: x["token"]), " "), F.lit("")).alias("text"))
@@ -290,7 +294,7 @@ def detect_language(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = [(w, code) for code, name in LANGUAGES.items() for w in tx.default_stopwords(name)]
     sw = docs.sparkSession.createDataFrame(rows, "word string, lang string")
     toks = docs.select(key, F.explode(terms(F.col(text))).alias("word"))
-    hits = toks.join(F.broadcast(sw), "word").groupBy(key, "lang").agg(F.count("*").alias("n"))
+    hits = toks.join(sw, "word").groupBy(key, "lang").agg(F.count("*").alias("n"))
     # most hits, then the smallest code; at most len(LANGUAGES) rows per document
     w = Window.partitionBy(key).orderBy(F.desc("n"), F.asc("lang"))
     best = hits.withColumn("rk", F.row_number().over(w)).filter("rk = 1").select(key, F.col("lang").alias("detected"))
@@ -314,50 +318,3 @@ def pos_tags(tokens: Column) -> Column:
                 .when(t.rlike(r"^\p{Lu}"), "PROPN").otherwise("NOUN"))
         return F.struct(t.alias("token"), F.coalesce(F.try_element_at(lex, lt), rule).alias("pos"))
     return F.transform(tokens, tag)
-
-
-def wordpiece_factory(vocab: dict[str, int], max_length: int):
-    """A WordPiece tokenizer (lower-casing, BERT pre-tokenization, [CLS]/[SEP], padding)."""
-    def make():
-        from tokenizers import Tokenizer
-        from tokenizers.models import WordPiece
-        from tokenizers.normalizers import BertNormalizer
-        from tokenizers.pre_tokenizers import BertPreTokenizer
-        from tokenizers.processors import TemplateProcessing
-        tok = Tokenizer(WordPiece(vocab, unk_token="[UNK]"))
-        tok.normalizer = BertNormalizer(lowercase=True)
-        tok.pre_tokenizer = BertPreTokenizer()
-        tok.post_processor = TemplateProcessing(single="[CLS] $A [SEP]",
-                                                special_tokens=[("[CLS]", vocab["[CLS]"]), ("[SEP]", vocab["[SEP]"])])
-        tok.enable_truncation(max_length)
-        tok.enable_padding(length=max_length, pad_id=vocab["[PAD]"], pad_token="[PAD]")
-        return tok
-    import hashlib
-    digest = hashlib.md5("\n".join(f"{k}\t{v}" for k, v in sorted(vocab.items())).encode("utf-8")).hexdigest()
-    make.cache_key = ("wordpiece", digest, max_length)
-    return make
-
-
-_ENC_SCHEMA = T.StructType([T.StructField("input_ids", T.ArrayType(T.IntegerType())),
-                            T.StructField("attention_mask", T.ArrayType(T.IntegerType()))])
-
-
-def encode_wordpiece(docs: DataFrame, key: str, text: str, vocab: DataFrame, max_length: int = 512) -> DataFrame:
-    """T5 with a real subword tokenizer: WordPiece over the learned vocabulary, in Arrow batches.
-
-    The vocabulary is bounded by ``vocab_size`` (like a fitted model it is held
-    by the driver and shipped with the task); each Python worker builds the
-    tokenizer once and encodes whole batches.
-    """
-    from quill.operators.sentiment import cached_model
-    vmap = {t: i for i, t in enumerate(SPECIAL_TOKENS)}
-    vmap.update({r.token: int(r.id) for r in vocab.select("token", "id").collect()})
-    factory = wordpiece_factory(vmap, max_length)
-
-    @F.pandas_udf(_ENC_SCHEMA)
-    def _enc(texts: pd.Series) -> pd.DataFrame:
-        tok = cached_model(factory)
-        enc = tok.encode_batch(texts.fillna("").tolist())
-        return pd.DataFrame({"input_ids": [e.ids for e in enc], "attention_mask": [e.attention_mask for e in enc]})
-
-    return docs.select(key, _enc(F.col(text)).alias("e")).select(key, "e.input_ids", "e.attention_mask")

@@ -19,52 +19,28 @@ from quill.operators import stats as st
 from quill.operators.entities import entities_long
 
 
-def entity_stats(results: DataFrame) -> Column:
-    """One scalar subquery (a struct) with the entity-level statistics reports need."""
-    e = entities_long(results, keep=())
-    return e.select(F.struct(
-        F.coalesce(F.avg("score"), F.lit(0.0)).alias("avg_score"),
-        F.coalesce(F.try_divide(F.count_if(F.col("score") > 0.8), F.count("score")), F.lit(0.0)).alias("high_share"),
-        F.countDistinct("text").cast("bigint").alias("unique"))).scalar()
-
-
 def quality_metrics(results: DataFrame) -> DataFrame:
     """Mean sentiment / entity scores and the share of scores > 0.8 (strict)."""
-    ent = entity_stats(results)
-    return results.agg(
-        F.coalesce(F.avg(ag.sent_score()), F.lit(0.0)).alias("avg_sentiment_confidence"),
-        F.coalesce(F.try_divide(F.count_if(ag.sent_score() > 0.8), F.count(ag.sent_score())), F.lit(0.0))
-        .alias("high_confidence_sentiments"),
-    ).select("*", ent["avg_score"].alias("avg_entity_confidence"), ent["high_share"].alias("high_confidence_entities"))
+    return ag.corpus_sums(results).select(
+        ag.ratio("score", "scored").alias("avg_sentiment_confidence"), ag.ratio("sure", "scored").alias("high_confidence_sentiments"),
+        ag.ratio("ent_score", "ent_scored").alias("avg_entity_confidence"),
+        ag.ratio("ent_sure", "ent_scored").alias("high_confidence_entities"))
 
 
 def report_summary(results: DataFrame) -> DataFrame:
-    """G1: processing summary, sentiment shares over labelled rows, entities, text, quality.
-
-    One aggregate over the documents plus one scalar subquery over the
-    entities (all entity-level figures packed in one struct).
-    """
-    labelled = F.count(ag.sent_label())
-    wc = tx.word_count(F.col("text"))
-    ent = entity_stats(results)
-    base = results.agg(
-        F.count("*").cast("bigint").alias("total_documents"),
-        F.count_if(F.coalesce(F.col("error"), F.lit("")) == "").cast("bigint").alias("successful"),
-        F.count_if(F.coalesce(F.col("error"), F.lit("")) != "").cast("bigint").alias("failed"),
-        *[F.try_divide(F.count_if(ag.sent_label() == lab) * 100.0, labelled).alias(f"pct_{lab}") for lab in SENTIMENT_LABELS],
-        F.sum(ag.n_entities()).cast("bigint").alias("total_entities"),
-        F.try_divide(F.sum(ag.n_entities()), F.count("*")).alias("entities_per_document"),
-        F.coalesce(F.avg(F.length("text")), F.lit(0.0)).alias("avg_length"),
-        F.coalesce(F.avg(wc), F.lit(0.0)).alias("avg_words"),
-        F.sum(F.length("text")).cast("bigint").alias("total_characters"),
-        F.sum(wc).cast("bigint").alias("total_words"),
-        F.coalesce(F.avg(ag.sent_score()), F.lit(0.0)).alias("avg_sentiment_confidence"),
-        F.coalesce(F.try_divide(F.count_if(ag.sent_score() > 0.8), F.count(ag.sent_score())), F.lit(0.0))
-        .alias("high_confidence_sentiments"),
-    )
-    return base.select("*", (F.col("successful") / F.col("total_documents")).alias("success_rate"),
-                       ent["unique"].alias("unique_entities"), ent["avg_score"].alias("avg_entity_confidence"),
-                       ent["high_share"].alias("high_confidence_entities"))
+    """G1: processing summary, sentiment shares over labelled rows, entities, text, quality, from one scan."""
+    s = ag.corpus_sums(results)
+    return s.select(
+        F.col("docs").cast("bigint").alias("total_documents"), F.col("ok").cast("bigint").alias("successful"),
+        (F.col("docs") - F.col("ok")).cast("bigint").alias("failed"),
+        *[F.try_divide(F.col(f"n_{x}") * 100.0, F.col("labelled")).alias(f"pct_{x}") for x in SENTIMENT_LABELS],
+        F.col("ents").cast("bigint").alias("total_entities"), F.try_divide("ents", "docs").alias("entities_per_document"),
+        ag.ratio("chars", "texts").alias("avg_length"), ag.ratio("words", "texts").alias("avg_words"),
+        F.col("chars").cast("bigint").alias("total_characters"), F.col("words").cast("bigint").alias("total_words"),
+        ag.ratio("score", "scored").alias("avg_sentiment_confidence"), ag.ratio("sure", "scored").alias("high_confidence_sentiments"),
+        F.try_divide("ok", "docs").alias("success_rate"), "unique_entities",
+        ag.ratio("ent_score", "ent_scored").alias("avg_entity_confidence"),
+        ag.ratio("ent_sure", "ent_scored").alias("high_confidence_entities"))
 
 
 def dominant_sentiment(results: DataFrame) -> DataFrame:
@@ -188,13 +164,10 @@ def chart_sentiment(results: DataFrame) -> DataFrame:
 
 
 def chart_confidence_box(results: DataFrame) -> DataFrame:
-    """Box statistics per label with linear quartiles (exact, distributed)."""
+    """Box statistics per label with linear quartiles (exact, distributed), all from the value counts."""
     s = results.filter(F.col("sentiment").isNotNull()).select(
         F.coalesce(ag.sent_label(), F.lit("unknown")).alias("sentiment"), F.coalesce(ag.sent_score(), F.lit(0.0)).alias("v"))
-    q = st.quantiles_linear(s, ["sentiment"], "v", {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    m = s.groupBy("sentiment").agg(F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"),
-                                   F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("sd"))
-    return q.join(m, "sentiment")
+    return st.box_stats(s, ["sentiment"], "v", {"q1": 0.25, "median": 0.5, "q3": 0.75})
 
 
 def chart_entity_types(results: DataFrame, top: int | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ and a broadcast lexicon.  A user model plugs in through
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,34 +17,52 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quill.functions import vectors as vx
+from quill.functions.text import let
 
 
-def probs_from_vector(vec: Column, dims: int = 3, scale: float = 5.0) -> Column:
-    """Vector head: softmax over the first ``dims`` components times ``scale``."""
-    logits = F.transform(F.slice(vec, 1, dims), lambda x: x.cast("double") * F.lit(scale))
-    return vx.softmax(logits)
+def probs_from_vector(vec: Column, classes: int = 3, scale: float = 5.0) -> Column:
+    """Vector head: the logit of class c is ``scale`` times the sum of the components c, c + classes, ..."""
+    def logit(c: int) -> Column:
+        own = F.filter(vec, lambda x, i: i % classes == c)
+        return F.aggregate(own, F.lit(0.0), lambda a, x: a + x.cast("double")) * F.lit(scale)
+    return vx.softmax(F.array(*[logit(c) for c in range(classes)]))
+
+
+def lexicon_probs(words: Column, positive: Sequence[str], negative: Sequence[str], neutral: float = 1.5) -> Column:
+    """M1 (a), row-local: class probabilities (negative, neutral, positive) from lexicon hits among ``words``.
+
+    Masses are hits + 1 for either side and ``neutral`` * (smaller number of
+    hits + 1) between them; every text gets a distribution.
+    """
+    hits = lambda w, lexicon: F.size(F.filter(w, lambda x: x.isin(*lexicon)))
+
+    def with_hits(h):
+        neg, pos = F.get(h, 0) + 1.0, F.get(h, 1) + 1.0
+        mass = F.array(neg, F.least(neg, pos) * F.lit(neutral), pos)
+        return let(mass, lambda m: F.transform(m, lambda x: x / (F.get(m, 0) + F.get(m, 1) + F.get(m, 2))))
+    w = F.coalesce(words, F.array().cast("array<string>"))
+    return let(w, lambda x: let(F.array(hits(x, negative), hits(x, positive)), with_hits))
 
 
 def attach_sentiment(df: DataFrame, probs_col: str = "probs", out: str = "sentiment") -> DataFrame:
     """M2 + M3: collapse any 2/3/5-class output and label it."""
-    return df.withColumn(out, vx.label_from_probs(vx.collapse_to_three(F.col(probs_col))))
+    return df.withColumn(out, let(vx.collapse_to_three(F.col(probs_col)), vx.label_from_probs))
 
 
 def score_lexicon(df: DataFrame, tokens_col: str, lexicon: DataFrame, key="doc_id") -> DataFrame:
     """M1 (a): sum of lexicon weights over a document's tokens.
 
-    The lexicon (word, weight) is a dimension table; it is broadcast only
-    when it is small enough (autoBroadcastJoinThreshold), else shuffled.
+    One left join with the lexicon (word, weight), which Spark broadcasts when
+    it is small enough, and one grouping, combined map-side.
     Result: key, lex_score, n_hits, label (sign of the score).
     """
     keys = [key] if isinstance(key, str) else list(key)
-    toks = df.select(*keys, F.explode(tokens_col).alias("word"))
-    hits = toks.join(lexicon, "word")
-    agg = hits.groupBy(*keys).agg(F.sum("weight").alias("lex_score"), F.count("*").alias("n_hits"))
-    res = df.select(*keys).join(agg, keys, "left")
+    toks = df.select(*keys, F.explode_outer(tokens_col).alias("word"))
+    agg = toks.join(lexicon, "word", "left").groupBy(*keys).agg(
+        F.sum("weight").alias("lex_score"), F.count("weight").alias("n_hits"))
     s = F.coalesce(F.col("lex_score"), F.lit(0.0))
-    return res.select(
-        *keys, s.alias("lex_score"), F.coalesce("n_hits", F.lit(0)).cast("bigint").alias("n_hits"),
+    return agg.select(
+        *keys, s.alias("lex_score"), F.col("n_hits").cast("bigint").alias("n_hits"),
         F.when(s > 0, "positive").when(s < 0, "negative").otherwise("neutral").alias("label"))
 
 
@@ -98,3 +116,27 @@ def ab_arm(key: Column, split_pct: int = 50) -> Column:
     """M7: stable A/B arm from the first 32 bits of md5(key) (same in any engine)."""
     bucket = F.pmod(F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint"), F.lit(100))
     return F.when(bucket < split_pct, "A").otherwise("B")
+
+
+def ab_compare(df: DataFrame, key: str, versions: dict[str, str], truth: str, split_pct: int = 50) -> DataFrame:
+    """M7: two model versions side by side, each on its arm, with the quality figures of each arm.
+
+    ``versions`` maps a version name to its ``probs`` column: the first scores
+    arm A, the second arm B.  ``truth`` is 0 or 1 where a document is labelled;
+    a document counts as predicted 1 unless its label is negative.
+    """
+    (va, pa), (vb, pb) = versions.items()
+    arm = ab_arm(F.col(key), split_pct)
+    d = df.withColumn("arm", arm).withColumn("model_version", F.when(F.col("arm") == "A", va).otherwise(vb))
+    d = attach_sentiment(d.withColumn("_probs", F.when(F.col("arm") == "A", F.col(pa)).otherwise(F.col(pb))), "_probs", "_s")
+    y, p = F.col(truth) == 1, F.col("_s.label") != "negative"
+    known = F.col(truth).isNotNull()
+    count = lambda c: F.count_if(c).cast("bigint")
+    out = d.groupBy("arm", "model_version").agg(
+        F.count("*").cast("bigint").alias("n_docs"),
+        *[count(F.col("_s.label") == x).alias(f"n_{x}") for x in vx.SENTIMENT_LABELS],
+        F.avg("_s.score").alias("avg_confidence"), count(known).alias("n_labelled"),
+        count(known & (y == p)).alias("right"), count(known & y & p).alias("tp"),
+        count(known & (y != p)).alias("wrong"))
+    return out.withColumn("accuracy", F.try_divide("right", "n_labelled")).withColumn(
+        "f1", F.coalesce(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("wrong")), F.lit(0.0))).drop("right", "tp", "wrong")

@@ -62,9 +62,10 @@ def cumulative_counts(df: DataFrame, group: Sequence[str], value: str,
     """(group, value, c, cum_c, n): exact cumulative counts in ascending value order."""
     vc = value_counts(df, group, value)
     cum = running_sums(vc, group, [F.col(value)], ["c"], n_parts)
+    # the running sums stand on a checkpoint, so the totals do not run the source again
     if not group:  # one global total: a scalar subquery, not a join
-        return cum.withColumn("n", vc.select(F.sum("c")).scalar())
-    n = vc.groupBy(*group).agg(F.sum("c").alias("n"))
+        return cum.withColumn("n", cum.select(F.max("cum_c")).scalar())
+    n = cum.groupBy(*group).agg(F.max("cum_c").alias("n"))
     return cum.join(n, list(group))
 
 
@@ -93,6 +94,26 @@ def quantiles_linear(df: DataFrame, group: Sequence[str], value: str, probs: dic
     return picked.select(*group, "n", *cols)
 
 
+def box_stats(df: DataFrame, group: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """n, linear quantiles, min, max, mean and sample deviation (sd, 0 for one row) in one aggregation."""
+    cum = cumulative_counts(df, group, value)
+    ranks = {}
+    for name, p in probs.items():
+        pos = (F.col("n") - 1) * F.lit(p)
+        ranks[name + "__lo"], ranks[name + "__hi"] = F.floor(pos) + 1, F.ceil(pos) + 1
+    v, c = F.col(value), F.col("c")
+    extra = [F.min(v).alias("min"), F.max(v).alias("max"), (F.sum(v * c) / F.sum(c)).alias("mean"),
+             F.sum(v * v * c).alias("_ss"), F.sum(v * c).alias("_s")]
+    picked = pick_ranks(cum, group, value, ranks, extra)
+    cols = []
+    for name, p in probs.items():
+        pos = (F.col("n") - 1) * F.lit(p)
+        cols.append((F.col(name + "__lo") + (F.col(name + "__hi") - F.col(name + "__lo")) * (pos - F.floor(pos))).alias(name))
+    var = (F.col("_ss") - F.col("_s") * F.col("_s") / F.col("n")) / (F.col("n") - 1)
+    sd = F.when(F.col("n") > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).otherwise(F.lit(0.0))
+    return picked.select(*group, "n", *cols, "min", "max", "mean", sd.alias("sd"))
+
+
 def quantiles_floor(df: DataFrame, group: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """K4 rule: sorted value at 0-based index ``min(floor(n*p), n-1)``."""
     cum = cumulative_counts(df, group, value)

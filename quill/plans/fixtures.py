@@ -1,10 +1,9 @@
 """Fixture relations derived from the driver tables (Spark side).
 
 ``results`` is the canonical analysed-document relation every aggregation,
-report and export reads.  Its sentiment comes from a vector head over the
-``embeddings`` table (document ``doc_id`` = ``vec_id``), its classification
-from ``labels``, its entities from a capitalised-word rule over the whole
-text.  The DuckDB mirror lives in :mod:`quill.plans.sqlfix`.
+report and export reads.  Its sentiment comes from lexicon hits among the
+words of the text, its classification from ``labels``, its entities from a
+capitalised-word rule over the whole text.  The DuckDB mirror lives in :mod:`quill.plans.sqlfix`.
 """
 
 from __future__ import annotations
@@ -12,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quill.functions.text import invalid_reason, let
+from quill.functions.vectors import argmax, label_from_probs
 from quill.operators import entities as en
 from quill.operators import sentiment as se
 from quill.sources.tables import events as events_table
@@ -20,7 +21,10 @@ from quill.sources.tables import table
 # Fixed fixture parameters.
 CAPWORD = r"[A-Z][a-z]+"
 FX_LABELS = ["PERSON", "ORG", "GPE"]
-FX_DIMS, FX_SCALE = 3, 5.0
+# Sentiment lexicon: frequent words of the test texts' four languages.
+POSITIVE = ["the", "of", "in", "la", "der", "los", "les"]
+NEGATIVE = ["and", "to", "is", "de", "die", "que", "un"]
+NEUTRAL = 1.5
 FX_EPOCH = "2024-01-01 00:00:00"
 
 
@@ -37,12 +41,15 @@ def fixture_entities(text: Column) -> Column:
     return F.transform(en.match_spans(text, CAPWORD), one)
 
 
+def fixture_probs(text: Column, neutral: float = NEUTRAL) -> Column:
+    """Class probabilities from the lexicon hits among a text's words (runs of ASCII letters, lower-cased)."""
+    return se.lexicon_probs(F.split(F.lower(text), "[^a-z]+"), POSITIVE, NEGATIVE, neutral)
+
+
 def sentiment_scores(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, probs, sentiment) from the vector head over ``embeddings``."""
-    emb = table(spark, d, "embeddings")
-    scored = emb.select(F.col("vec_id").alias("doc_id"),
-                        se.probs_from_vector(F.col("embedding"), FX_DIMS, FX_SCALE).alias("probs"))
-    return se.attach_sentiment(scored)
+    """(doc_id, probs, sentiment) of every document."""
+    docs = table(spark, d, "documents")
+    return se.attach_sentiment(docs.select("doc_id", fixture_probs(F.col("text")).alias("probs")))
 
 
 def processed_at(doc_id: Column) -> Column:
@@ -59,14 +66,14 @@ def results(spark: SparkSession, d: str) -> DataFrame:
     """
     docs = table(spark, d, "documents").select(
         F.col("doc_id").cast("string").alias("document_id"), "doc_id", "text", "lang", "source",
+        let(fixture_probs(F.col("text")), label_from_probs).alias("sentiment"),
         fixture_entities(F.col("text")).alias("entities"), processed_at(F.col("doc_id")).alias("processed_at"),
         (F.col("n_chars") / 10000.0).alias("processing_time"),
-        F.when(F.col("n_chars") < 20, "too_short").alias("error"))
-    sent = sentiment_scores(spark, d).select("doc_id", "sentiment")
+        invalid_reason(F.col("text")).alias("error"))
     lab = table(spark, d, "labels").select(
         "doc_id", F.struct(F.when(F.col("quality") == 1, "high").otherwise("low").alias("label"),
                            F.lit(1.0).alias("score")).alias("classification"))
-    out = docs.join(sent, "doc_id", "left").join(lab, "doc_id", "left")
+    out = docs.join(lab, "doc_id", "left")
     return out.select("document_id", "doc_id", "text", "lang", "source", "sentiment", "classification", "entities",
                       "processed_at", "processing_time", "error")
 
@@ -75,20 +82,18 @@ def predictions(spark: SparkSession, d: str, classes: int = 2) -> DataFrame:
     """(row_id, y_true, y_pred, probs) for evaluation operators.
 
     ``classes`` = 2: y_true = quality; 3: y_true = quality + toxic.  The
-    probabilities are the vector head; for two classes the first two are
+    probabilities are the lexicon's; for two classes the first two are
     renormalised.
     """
     lab = table(spark, d, "labels")
-    emb = table(spark, d, "embeddings").select(
-        F.col("vec_id").alias("doc_id"), se.probs_from_vector(F.col("embedding"), 3, FX_SCALE).alias("p3"))
-    j = lab.join(emb, "doc_id")
+    scored = table(spark, d, "documents").select("doc_id", fixture_probs(F.col("text")).alias("p3"))
+    j = lab.join(scored, "doc_id")
     if classes == 2:
         p = F.transform(F.slice("p3", 1, 2), lambda x: x / (F.get(F.col("p3"), 0) + F.get(F.col("p3"), 1)))
         y = F.col("quality")
     else:
         p = F.col("p3")
         y = F.col("quality") + F.col("toxic")
-    from quill.functions.vectors import argmax
     return j.select(F.col("doc_id").alias("row_id"), y.cast("int").alias("y_true"),
                     argmax(p).cast("int").alias("y_pred"), p.alias("probs"))
 

@@ -21,12 +21,12 @@ def docs(spark, d):
 
 
 def wv(spark, d):
-    return fe.word_vectors_from_counts(docs(spark, d), "text", table(spark, d, "embeddings"), 20)
+    return fe.word_vectors_from_counts(docs(spark, d), "text", table(spark, d, "embeddings"))
 
 
 WV_SQL = f"""
 wc AS (SELECT word, count(*) AS c FROM (SELECT unnest({TERMS}) AS word FROM documents) GROUP BY word),
-wr AS (SELECT word, row_number() OVER (ORDER BY c DESC, word) - 1 AS vec_id FROM wc ORDER BY c DESC, word LIMIT 20),
+wr AS (SELECT word, row_number() OVER (ORDER BY c DESC, word) - 1 AS vec_id FROM wc),
 wv AS (SELECT wr.word, e.embedding AS vec FROM wr JOIN embeddings e ON e.vec_id = wr.vec_id),
 grid AS (SELECT doc_id, d AS dim FROM documents, range(0, {DIM}) r(d))
 """
@@ -34,17 +34,17 @@ grid AS (SELECT doc_id, d AS dim FROM documents, range(0, {DIM}) r(d))
 
 @query("count_vector", f"""
 WITH t AS (SELECT doc_id, unnest({TERMS}) AS term FROM documents),
-v AS (SELECT term FROM t GROUP BY term ORDER BY count(*) DESC, term LIMIT 1000)
+v AS (SELECT term FROM t GROUP BY term ORDER BY count(*) DESC, term LIMIT 10000)
 SELECT doc_id, term, CAST(count(*) AS BIGINT) AS count FROM t JOIN v USING (term) GROUP BY 1, 2
 """)
 def q_count_vector(spark, d):
-    return fe.count_vector(docs(spark, d), "doc_id", "text", max_features=1000)
+    return fe.count_vector(docs(spark, d), "doc_id", "text")
 
 
 TFIDF_FIT = f"""
 t AS (SELECT doc_id, unnest({TERMS}) AS term FROM documents),
 s AS (SELECT term, count(*) AS cnt, count(DISTINCT doc_id) AS df FROM t GROUP BY term),
-v AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1 AS idf FROM s ORDER BY cnt DESC, term LIMIT 200)
+v AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1 AS idf FROM s ORDER BY cnt DESC, term LIMIT 10000)
 """
 
 
@@ -55,7 +55,7 @@ w AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN v USING (term))
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w
 """)
 def q_tfidf(spark, d):
-    return round_doubles(fe.tfidf(docs(spark, d), "doc_id", "text", max_features=200))
+    return round_doubles(fe.tfidf(docs(spark, d), "doc_id", "text"))
 
 
 @query("tfidf_transform", f"""
@@ -67,10 +67,29 @@ SELECT item_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY item_id)), 6)
 """)
 def q_tfidf_transform(spark, d):
     """vocabulary and idf fitted on documents, applied to the benchmark texts."""
-    model = fe.tfidf_fit(docs(spark, d), "doc_id", "text", max_features=200)
+    model = fe.tfidf_fit(docs(spark, d), "doc_id", "text")
     return round_doubles(fe.tfidf_transform(table(spark, d, "benchmark"), "item_id", "text", model))
 
 
+NGRAM_FIT = f"""
+t AS (SELECT doc_id, {TERMS} AS tk FROM documents),
+g AS (SELECT doc_id, unnest(list_concat(tk, [tk[i] || ' ' || tk[i + 1] FOR i IN range(1, len(tk))])) AS term FROM t),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY 1, 2),
+s AS (SELECT term, sum(tf) AS cnt, count(*) AS df FROM tf GROUP BY term),
+v AS (SELECT term FROM s WHERE df >= 5 AND df <= 0.5 * (SELECT count(*) FROM documents) ORDER BY cnt DESC, term LIMIT 5000)
+"""
+
+
+@query("tfidf_ngrams", f"""
+WITH {NGRAM_FIT}
+SELECT doc_id, term, round(tf / sum(tf) OVER (PARTITION BY doc_id), 6) AS weight FROM tf JOIN v USING (term)
+""")
+def q_tfidf_ngrams(spark, d):
+    """F2 with uni- and bigrams, absolute min_df, fractional max_df, no idf, plain tf and the l1 norm."""
+    return round_doubles(fe.tfidf(docs(spark, d), "doc_id", "text", max_features=5000, min_df=5, max_df=0.5, sublinear_tf=False,
+                                  ngram_range=(1, 2), use_idf=False, norm="l1"))
+
+
 @query("ngrams", f"""
 WITH t AS (SELECT doc_id, {TERMS} AS tk FROM documents),
 g AS (SELECT doc_id, list_transform(range(1, len(tk)), lambda i: tk[i] || ' ' || tk[i + 1]) AS gs FROM t WHERE len(tk) >= 2)
@@ -83,13 +102,13 @@ def q_ngrams(spark, d):
 
 @query("lda_topics", None)
 def q_lda_topics(spark, d):
-    dist, _ = fe.lda_topics(docs(spark, d), "doc_id", "text", k=5, max_features=500)
+    dist, _ = fe.lda_topics(docs(spark, d), "doc_id", "text")
     return dist
 
 
 @query("lda_top_words", None)
 def q_lda_top_words(spark, d):
-    _, words = fe.lda_topics(docs(spark, d), "doc_id", "text", k=5, max_features=500)
+    _, words = fe.lda_topics(docs(spark, d), "doc_id", "text")
     return words
 
 
@@ -193,12 +212,12 @@ def q_sigmoid(spark, d):
 VOCAB_SQL = f"""
 tc AS (SELECT token, count(*) AS c FROM (SELECT unnest({TERMS}) AS token FROM documents) GROUP BY token HAVING count(*) >= 2),
 vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY c DESC, token) + 3 AS INTEGER) AS id, CAST(c AS BIGINT) AS count
-          FROM tc ORDER BY c DESC, token LIMIT 996)
+          FROM tc ORDER BY c DESC, token LIMIT 29996)
 """
 
 
 def vocab(spark, d):
-    return fe.build_vocab(docs(spark, d), "text", vocab_size=1000, min_frequency=2)
+    return fe.build_vocab(docs(spark, d), "text", min_frequency=2)
 
 
 @query("build_vocab", f"WITH {VOCAB_SQL} SELECT token, id, count FROM vocab")
@@ -267,11 +286,3 @@ def q_pos_lookup(spark, d):
     tags = fe.pos_tags(tx.word_tokens(F.col("text")))
     return (docs(spark, d).select("doc_id", F.posexplode(tags).alias("pos", "t"))
             .select("doc_id", F.col("pos").cast("bigint").alias("pos"), "t.token", F.col("t.pos").alias("tag")))
-
-
-@query("encode_wordpiece", None)
-def q_encode_wordpiece(spark, d):
-    """T5: subword ids from a WordPiece tokenizer built on the learned vocabulary."""
-    e = fe.encode_wordpiece(docs(spark, d), "doc_id", "text", vocab(spark, d), 512)
-    return e.select("doc_id", F.size("input_ids").cast("bigint").alias("length"),
-                    F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_attended"))

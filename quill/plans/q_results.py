@@ -11,10 +11,10 @@ from quill.operators import aggregate as ag
 from quill.operators import entities as en
 from quill.operators import sentiment as se
 from quill.plans import fixtures as fx
-from quill.plans.analyze import analyze
+from quill.plans.analyze import analyze, lexicon_scorer
 from quill.plans.catalog import query
-from quill.plans.sqlbits import d_clean, d_word_count, lit
-from quill.plans.sqlfix import FX
+from quill.plans.sqlbits import d_clean, d_word_count, d_words, lit
+from quill.plans.sqlfix import FX, LABEL_SQL, PROBS_SQL, TEXT_WORDS, lex_probs_sql
 from quill.sources.tables import table
 
 
@@ -67,28 +67,40 @@ def rule_entities(spark, d):
 
 
 # --- A1 flagship --------------------------------------------------------------
-def vector_scorer(spark, d):
-    probs = fx.sentiment_scores(spark, d).select("doc_id", "probs")
-    return lambda df: df.join(probs, "doc_id", "left")
+# Entity rules for cleaned (lower-case, ASCII) text.
+CLEAN_RULES = [("CARDINAL", r"[0-9]+"), ("ORG", r"[a-z]{12,}")]
 
 
-@query("batch_analyze", f"""
-WITH {FX}
-SELECT document_id, {d_clean('text')} AS clean, sent_label AS sentiment_label, round(sent_score, 6) AS sentiment_score,
-       n_entities, CASE WHEN length(text) < 20 THEN 'too_short' END AS error
-FROM fx_docs
-""")
+def flagship(docs: DataFrame) -> DataFrame:
+    """Documents through the analysis, flattened."""
+    res = analyze(docs, lexicon_scorer(fx.POSITIVE, fx.NEGATIVE, fx.NEUTRAL),
+                  lambda text: en.extract_entities(text, CLEAN_RULES))
+    return res.select("document_id", "clean", F.col("sentiment.label").alias("sentiment_label"),
+                      F.col("sentiment.score").alias("sentiment_score"), ag.n_entities().alias("n_entities"), "error")
+
+
+FLAGSHIP_SQL = f"""
+WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, doc_id, text, {d_clean('text')} AS clean FROM documents),
+h AS (SELECT *, {lex_probs_sql(d_words('clean'))} FROM c), p AS (SELECT *, {PROBS_SQL} FROM h), s AS (SELECT *, {LABEL_SQL} FROM p)
+SELECT document_id, clean, label AS sentiment_label, round(score, 6) AS sentiment_score,
+       CAST(len(regexp_extract_all(clean, '[0-9]+')) + len(regexp_extract_all(clean, '[a-z]{{12,}}')) AS BIGINT) AS n_entities,
+       CASE WHEN text IS NULL THEN 'not_a_string' WHEN regexp_full_match(text, '\\s*') THEN 'empty' END AS error
+FROM s
+"""
+
+
+@query("batch_analyze", FLAGSHIP_SQL)
 def q_batch_analyze(spark, d):
-    res = analyze(table(spark, d, "documents"), vector_scorer(spark, d), fx.fixture_entities)
-    return round_doubles(res.select("document_id", "clean", F.col("sentiment.label").alias("sentiment_label"),
-                                    F.col("sentiment.score").alias("sentiment_score"),
-                                    ag.n_entities().alias("n_entities"), "error"))
+    return round_doubles(flagship(table(spark, d, "documents")))
 
 
 # --- M1..M7 -----------------------------------------------------------------
+def _head(k: int) -> str:
+    return "[" + ", ".join(f"5 * list_sum([CAST(embedding[i] AS DOUBLE) FOR i IN range(1, 65) IF (i - 1) % {k} = {c}])" for c in range(k)) + "]"
+
+
 @query("sentiment_collapse", f"""
-WITH l AS (SELECT vec_id, list_transform(embedding[1:5], lambda x: CAST(x AS DOUBLE) * 5) AS x5,
-                  list_transform(embedding[1:2], lambda x: CAST(x AS DOUBLE) * 5) AS x2 FROM embeddings),
+WITH l AS (SELECT vec_id, {_head(5)} AS x5, {_head(2)} AS x2 FROM embeddings),
 e AS (SELECT vec_id, list_transform(x5, lambda v: exp(v - list_max(x5))) AS e5,
              list_transform(x2, lambda v: exp(v - list_max(x2))) AS e2 FROM l),
 p AS (SELECT vec_id, list_transform(e5, lambda v: v / list_sum(e5)) AS p5,
@@ -98,12 +110,13 @@ SELECT vec_id, round(p5[1] + p5[2], 6) AS neg5, round(p5[3], 6) AS neu5, round(p
 FROM p
 """)
 def q_sentiment_collapse(spark, d):
+    """M2 on five and two classes from a vector head over all components."""
     emb = table(spark, d, "embeddings")
     p5 = vx.collapse_to_three(se.probs_from_vector(F.col("embedding"), 5, 5.0))
     p2 = vx.collapse_to_three(se.probs_from_vector(F.col("embedding"), 2, 5.0))
-    out = emb.select("vec_id", *[F.get(p5, i).alias(n + "5") for i, n in enumerate(["neg", "neu", "pos"])],
-                     *[F.get(p2, i).alias(n + "2") for i, n in enumerate(["neg", "neu", "pos"])])
-    return round_doubles(out)
+    p = emb.select("vec_id", p5.alias("p5"), p2.alias("p2"))
+    return round_doubles(p.select("vec_id", *[F.get(F.col(f"p{k}"), i).alias(f"{n}{k}") for k in (5, 2)
+                                              for i, n in enumerate(["neg", "neu", "pos"])]))
 
 
 @query("sentiment_label", f"WITH {FX} SELECT vec_id, label, round(score, 6) AS score FROM fx_sentiment")
@@ -128,20 +141,31 @@ def q_sentiment_distribution(spark, d):
     return round_doubles(se.sentiment_distribution(fx.sentiment_scores(spark, d)))
 
 
+AB_NEUTRAL = {"lexicon-1": fx.NEUTRAL, "lexicon-2": 0.75}
+
+
 @query("ab_compare", f"""
-WITH {FX}
-SELECT CASE WHEN CAST(('0x' || substr(md5(document_id), 1, 8)) AS BIGINT) % 100 < 50 THEN 'A' ELSE 'B' END AS arm,
-       CAST(count(*) AS BIGINT) AS n_docs,
-       CAST(count(*) FILTER (WHERE sent_label = 'positive') AS BIGINT) AS n_positive,
-       round(coalesce(avg(sent_score), 0.0), 6) AS avg_confidence
-FROM fx_docs GROUP BY 1
+WITH h AS (SELECT doc_id, CASE WHEN CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 100 < 50 THEN 'A' ELSE 'B' END AS arm,
+                  {lex_probs_sql(TEXT_WORDS)} FROM documents),
+v AS (SELECT doc_id, arm, CASE arm WHEN 'A' THEN 'lexicon-1' ELSE 'lexicon-2' END AS model_version, a, c,
+             CASE arm WHEN 'A' THEN CAST(1.5 AS DOUBLE) ELSE CAST(0.75 AS DOUBLE) END AS k FROM h),
+p AS (SELECT doc_id, arm, model_version, {PROBS_SQL} FROM v), s AS (SELECT doc_id, arm, model_version, {LABEL_SQL} FROM p),
+j AS (SELECT s.*, l.quality AS y, CASE WHEN label <> 'negative' THEN 1 ELSE 0 END AS yp FROM s LEFT JOIN labels l ON l.doc_id = s.doc_id)
+SELECT arm, model_version, CAST(count(*) AS BIGINT) AS n_docs,
+       CAST(count(*) FILTER (WHERE label = 'negative') AS BIGINT) AS n_negative,
+       CAST(count(*) FILTER (WHERE label = 'neutral') AS BIGINT) AS n_neutral,
+       CAST(count(*) FILTER (WHERE label = 'positive') AS BIGINT) AS n_positive,
+       round(avg(score), 6) AS avg_confidence, CAST(count(y) AS BIGINT) AS n_labelled,
+       round(count(*) FILTER (WHERE y = yp) / count(y), 6) AS accuracy,
+       round(2 * count(*) FILTER (WHERE y = 1 AND yp = 1) / (2 * count(*) FILTER (WHERE y = 1 AND yp = 1) + count(*) FILTER (WHERE y <> yp)), 6) AS f1
+FROM j GROUP BY arm, model_version
 """)
 def q_ab_compare(spark, d):
-    r = R(spark, d)
-    return round_doubles(r.groupBy(se.ab_arm(F.col("document_id")).alias("arm")).agg(
-        F.count("*").cast("bigint").alias("n_docs"),
-        F.count_if(ag.sent_label() == "positive").cast("bigint").alias("n_positive"),
-        F.coalesce(F.avg(ag.sent_score()), F.lit(0.0)).alias("avg_confidence")))
+    """M7: two versions of the lexicon model, documents split by id, figures per arm against the labels."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "doc_id", *[
+        fx.fixture_probs(F.col("text"), k).alias(v) for v, k in AB_NEUTRAL.items()])
+    j = docs.join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return round_doubles(se.ab_compare(j, "document_id", {v: v for v in AB_NEUTRAL}, "quality"))
 
 
 @query("score_lexicon", f"""
@@ -154,7 +178,7 @@ FROM documents d LEFT JOIN h ON h.doc_id = d.doc_id
 def q_score_lexicon(spark, d):
     docs = table(spark, d, "documents").select(
         "doc_id", F.transform(tx.word_tokens(F.col("text")), F.lower).alias("toks"))
-    return round_doubles(se.score_lexicon(docs, "toks", F.broadcast(lexicon_df(spark))))
+    return round_doubles(se.score_lexicon(docs, "toks", lexicon_df(spark)))
 
 
 @query("score_distinct", f"""
@@ -168,7 +192,7 @@ def q_score_distinct(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", F.md5("text").alias("h"))
     uniq = docs.groupBy("h").agg(F.min("text").alias("text"))
     toks = uniq.select(F.col("h").alias("doc_id"), F.transform(tx.word_tokens(F.col("text")), F.lower).alias("toks"))
-    scored = se.score_lexicon(toks, "toks", F.broadcast(lexicon_df(spark))).select(
+    scored = se.score_lexicon(toks, "toks", lexicon_df(spark)).select(
         F.col("doc_id").alias("h"), "lex_score")
     return round_doubles(docs.join(scored, "h", "left").select("doc_id", "lex_score"))
 
@@ -266,11 +290,13 @@ def q_merge_entities(spark, d):
 WITH {FX}
 SELECT CAST(count(*) AS BIGINT) AS total_documents,
        round(count(*) FILTER (WHERE coalesce(error, '') = '') / count(*), 6) AS success_rate,
+       CAST(count(*) FILTER (WHERE coalesce(error, '') <> '') AS BIGINT) AS failed_documents,
        CAST(count(*) FILTER (WHERE sent_label = 'negative') AS BIGINT) AS n_negative,
        CAST(count(*) FILTER (WHERE sent_label = 'neutral') AS BIGINT) AS n_neutral,
        CAST(count(*) FILTER (WHERE sent_label = 'positive') AS BIGINT) AS n_positive,
        round(coalesce(avg(sent_score), 0), 6) AS avg_confidence,
        round(coalesce(stddev_samp(sent_score), 0), 6) AS std_confidence,
+       (SELECT string_agg(type || '=' || n, ', ' ORDER BY type) FROM (SELECT type, count(*) AS n FROM fx_ents GROUP BY type)) AS entity_types,
        CAST(sum(n_entities) AS BIGINT) AS total_entities,
        round(avg(n_entities), 6) AS avg_entities_per_doc,
        round(avg(length(text)), 6) AS avg_length,

@@ -12,13 +12,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from quill.operators import aggregate as ag
 from quill.plans import fixtures as fx
-from quill.plans.analyze import analyze
 from quill.plans.catalog import query
 from quill.plans.q_monitor import COOLDOWN_EVENTS, rules_df
-from quill.plans.q_results import round_doubles, vector_scorer
-from quill.plans.sqlbits import d_clean
+from quill.plans.q_results import FLAGSHIP_SQL, flagship, round_doubles
 from quill.plans.sqlfix import FX
 from quill.session import scratch_path
 from quill.sources.tables import events as events_table
@@ -133,23 +130,37 @@ def q_stream_retry(spark, d):
     return spark.read.parquet(f"{base}/data").select("id", "text")
 
 
-@query("stream_analyze", f"""
-WITH {FX}
-SELECT document_id, {d_clean('text')} AS clean, sent_label AS sentiment_label, round(sent_score, 6) AS sentiment_score,
-       n_entities, CASE WHEN length(text) < 20 THEN 'too_short' END AS error
-FROM fx_docs WHERE doc_id % 50 <> 0
-""")
+@query("stream_analyze", FLAGSHIP_SQL + " WHERE doc_id % 50 <> 0")
 def q_stream_analyze(spark, d):
-    """Stream -> analyze (static scorer join) -> idempotent per-batch append."""
-    s = xs.valid_messages(parsed_stream(spark, d)).select(F.col("id").cast("bigint").alias("doc_id"), "text")
-    res = analyze(s, vector_scorer(spark, d), fx.fixture_entities)
-    flat = res.select("document_id", "clean", F.col("sentiment.label").alias("sentiment_label"),
-                      F.col("sentiment.score").alias("sentiment_score"), ag.n_entities().alias("n_entities"), "error")
+    """Stream -> analyze -> per-batch append with running figures and an export every 1,000 documents."""
+    s = xs.valid_messages(parsed_stream(spark, d, files=4, max_files_per_trigger=1)).select(
+        F.col("id").cast("bigint").alias("doc_id"), "text")
     base = scratch_path(spark, f"streams/analyze-{uuid.uuid4().hex[:8]}")
-    q = (flat.writeStream.foreachBatch(xs.idempotent_append(f"{base}/data"))
+    sink = xs.AnalysisSink(base, export_every=1000)
+    q = (flagship(s).writeStream.foreachBatch(sink)
+         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+    xs.wait_to_end(q)
+    return round_doubles(sink.results(spark))
+
+
+@query("stream_analyze_totals", f"""
+WITH a AS ({FLAGSHIP_SQL} WHERE doc_id % 50 <> 0)
+SELECT CAST(count(*) AS BIGINT) AS documents, CAST(sum(n_entities) AS BIGINT) AS entities,
+       CAST(count(*) FILTER (WHERE sentiment_label = 'negative') AS BIGINT) AS n_negative,
+       CAST(count(*) FILTER (WHERE sentiment_label = 'neutral') AS BIGINT) AS n_neutral,
+       CAST(count(*) FILTER (WHERE sentiment_label = 'positive') AS BIGINT) AS n_positive,
+       CAST(floor(count(*) / 100) AS BIGINT) >= 9 AS exported FROM a
+""")
+def q_stream_analyze_totals(spark, d):
+    """The running figures after the last batch, and whether every hundredth document led to an export."""
+    s = xs.valid_messages(parsed_stream(spark, d, files=12, max_files_per_trigger=1)).select(
+        F.col("id").cast("bigint").alias("doc_id"), "text")
+    base = scratch_path(spark, f"streams/totals-{uuid.uuid4().hex[:8]}")
+    sink = xs.AnalysisSink(base, export_every=100)
+    q = (flagship(s).writeStream.foreachBatch(sink)
          .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
     xs.wait_to_end(q)
-    return round_doubles(spark.read.parquet(f"{base}/data").drop("batch_id"))
+    return sink.totals(spark).withColumn("exported", F.lit(len(sink.exports) >= 9))
 
 
 @query("stream_running_counts", """

@@ -6,15 +6,25 @@ CTEs a statement references.
 
 from __future__ import annotations
 
-FX = r"""
-fx_logit AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 5 AS x1, CAST(embedding[2] AS DOUBLE) * 5 AS x2,
-                    CAST(embedding[3] AS DOUBLE) * 5 AS x3 FROM embeddings),
-fx_exp AS (SELECT vec_id, exp(x1 - greatest(x1, x2, x3)) AS a, exp(x2 - greatest(x1, x2, x3)) AS b,
-                  exp(x3 - greatest(x1, x2, x3)) AS c FROM fx_logit),
-fx_probs AS (SELECT vec_id, a / (a + b + c) AS p_neg, b / (a + b + c) AS p_neu, c / (a + b + c) AS p_pos FROM fx_exp),
+from quill.plans.fixtures import NEGATIVE, NEUTRAL, POSITIVE
+from quill.plans.sqlbits import in_list
+
+def lex_probs_sql(words: str, neutral: float = NEUTRAL) -> str:
+    """SELECT list of p_neg, p_neu, p_pos from a list of words; give it to ``probs_of``."""
+    hits = lambda lexicon: f"len(list_filter({words}, lambda w: w IN {in_list(lexicon)}))"
+    return f"{hits(NEGATIVE)} + 1.0::DOUBLE AS a, {hits(POSITIVE)} + 1.0::DOUBLE AS c, {neutral}::DOUBLE AS k"
+
+
+PROBS_SQL = "a / (a + least(a, c) * k + c) AS p_neg, least(a, c) * k / (a + least(a, c) * k + c) AS p_neu, c / (a + least(a, c) * k + c) AS p_pos"
+LABEL_SQL = """CASE WHEN p_neg >= p_neu AND p_neg >= p_pos THEN 'negative' WHEN p_neu >= p_pos THEN 'neutral' ELSE 'positive' END AS label,
+    greatest(p_neg, p_neu, p_pos) AS score"""
+TEXT_WORDS = "string_split_regex(lower(coalesce(text, '')), '[^a-z]+')"
+
+FX = rf"""
+fx_hits AS (SELECT doc_id AS vec_id, {lex_probs_sql(TEXT_WORDS)} FROM documents),
+fx_probs AS (SELECT vec_id, {PROBS_SQL} FROM fx_hits),
 fx_sentiment AS (SELECT vec_id, p_neg, p_neu, p_pos,
-    CASE WHEN p_neg >= p_neu AND p_neg >= p_pos THEN 'negative' WHEN p_neu >= p_pos THEN 'neutral' ELSE 'positive' END AS label,
-    greatest(p_neg, p_neu, p_pos) AS score FROM fx_probs),
+    {LABEL_SQL} FROM fx_probs),
 fx_docs AS (
   SELECT CAST(d.doc_id AS VARCHAR) AS document_id, d.doc_id, d.text, d.lang, d.source, d.n_chars,
          s.label AS sent_label, s.score AS sent_score,
@@ -22,7 +32,7 @@ fx_docs AS (
          CASE WHEN l.doc_id IS NOT NULL THEN CAST(1.0 AS DOUBLE) END AS cls_score,
          TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(d.doc_id % 30 AS INTEGER)) + to_hours(CAST(d.doc_id % 24 AS INTEGER)) AS processed_at,
          d.n_chars / 10000.0 AS processing_time,
-         CASE WHEN d.n_chars < 20 THEN 'too_short' END AS error,
+         CASE WHEN d.text IS NULL THEN 'not_a_string' WHEN regexp_full_match(d.text, '\s*') THEN 'empty' END AS error,
          CAST(len(regexp_extract_all(d.text, '[A-Z][a-z]+')) AS BIGINT) AS n_entities
   FROM documents d LEFT JOIN fx_sentiment s ON s.vec_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id),
 fx_m AS (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]+') AS ms, string_split_regex(text, '[A-Z][a-z]+') AS gs FROM documents),

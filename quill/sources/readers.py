@@ -103,26 +103,31 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _yaml_docs(it: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+    """Each row is one document of a file; a parsed list becomes one row an item."""
     import yaml
     for pdf in it:
         rows = []
-        for path, content in zip(pdf["path"], pdf["content"]):
-            for i, doc in enumerate(yaml.safe_load_all(bytes(content).decode("utf-8"))):
-                if doc is None:
-                    continue
-                for j, rec in enumerate(doc if isinstance(doc, list) else [doc]):
-                    rows.append((path, i, j, json.dumps(rec, default=str, ensure_ascii=False)))
+        for path, at, text in zip(pdf["_source_file"], pdf["at"], pdf["value"], strict=True):
+            doc = yaml.safe_load(text.removeprefix("---"))
+            for j, rec in enumerate(doc if isinstance(doc, list) else [doc]):
+                if rec:
+                    rows.append((path, at, j, json.dumps(rec, default=str, ensure_ascii=False)))
         yield pd.DataFrame(rows, columns=["_source_file", "doc", "item", "json"])
 
 
 def read_yaml(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-              glob: str = "*.y*ml") -> DataFrame:
+              glob: str | None = None) -> DataFrame:
     """Multi-document YAML (empty documents dropped) -> JSON rows, parsed with ``schema``.
 
-    Files are read as binary by executors; each file is parsed inside one task.
+    Spark splits files at the document markers, so a task parses single
+    documents however large a file is; ``doc`` grows along a file.
     """
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
-    docs = raw.mapInPandas(_yaml_docs, "_source_file string, doc int, item int, json string")
+    r = spark.read.option("lineSep", "\n---").options(**({"pathGlobFilter": glob} if glob else {}))
+    if not glob:
+        r = r.option("recursiveFileLookup", "true")
+    raw = r.text(path).select(F.col("_metadata.file_path").alias("_source_file"),
+                              F.monotonically_increasing_id().alias("at"), "value")
+    docs = raw.mapInPandas(_yaml_docs, "_source_file string, doc long, item int, json string")
     if schema is None:
         return docs
     return docs.select("_source_file", "doc", "item", F.from_json("json", schema).alias("r")).select(

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from quill.functions.vectors import SENTIMENT_LABELS
 from quill.operators.alerts import RuleState, match_rules
 from quill.session import scratch_path
 
@@ -239,6 +240,47 @@ def idempotent_append(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+class AnalysisSink:
+    """A ``foreachBatch`` function for analysed documents.
+
+    Each batch goes to its own folder, as do its figures (one row); the running
+    figures are their sum.  Whenever the documents so far pass a multiple of
+    ``export_every``, all results so far are exported.  A
+    replayed batch overwrites its own folders, so nothing counts twice.
+    """
+
+    def __init__(self, path: str, export_every: int = 1000) -> None:
+        self.path, self.every, self.exports = path, export_every, []
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        target = f"{self.path}/results/batch_id={batch_id}"
+        batch.write.mode("overwrite").parquet(target)
+        done = spark.read.schema(batch.schema).parquet(target)
+        done.agg(F.count("*").alias("documents"), F.coalesce(F.sum("n_entities"), F.lit(0)).alias("entities"), *[
+            F.count_if(F.col("sentiment_label") == x).alias(f"n_{x}") for x in SENTIMENT_LABELS]).write.mode(
+            "overwrite").parquet(f"{self.path}/figures/batch_id={batch_id}")
+        now = self.totals(spark).first()["documents"]
+        before = now - done.count()
+        if now // self.every > before // self.every:
+            self.export(spark, now)
+
+    def totals(self, spark: SparkSession) -> DataFrame:
+        """The running figures (one row)."""
+        names = ["documents", "entities", *[f"n_{x}" for x in SENTIMENT_LABELS]]
+        f = spark.read.parquet(f"{self.path}/figures")
+        return f.agg(*[F.sum(n).cast("bigint").alias(n) for n in names])
+
+    def results(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/results").drop("batch_id")
+
+    def export(self, spark: SparkSession, documents: int) -> None:
+        """All results so far as JSON lines."""
+        target = f"{self.path}/exports/documents={documents}"
+        self.results(spark).write.mode("overwrite").json(target)
+        self.exports.append(target)
+
+
 def running_counts(stream: DataFrame, key: str, name: str):
     """A12 on a stream: a running count per ``key`` kept current in complete mode.
 
