@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quill.operators import evaluate as ev
@@ -11,6 +13,7 @@ from quill.plans.catalog import query
 from quill.plans.q_results import round_doubles
 from quill.plans.sqlbits import lit
 from quill.plans.sqlfix import FX, FX_PRED2, FX_PRED3
+from quill.session import scratch_path
 from quill.sources.tables import table
 
 # Parameter: a small synonym dictionary of words that occur in the test text.
@@ -310,21 +313,22 @@ def q_focal_loss(spark, d):
 
 
 @query("evaluate_dataset", PC3 + """,
-det AS (SELECT greatest(p0, p1, p2) AS confidence, y_true = y_pred AS correct FROM fx_pred3)
+det AS (SELECT greatest(p0, p1, p2) AS confidence, y_true = y_pred AS correct FROM fx_pred3),
+sc AS (SELECT DISTINCT 0 AS cls, p0 AS score FROM fx_pred3 UNION SELECT DISTINCT 1, p1 FROM fx_pred3 UNION SELECT DISTINCT 2, p2 FROM fx_pred3)
 SELECT 'accuracy' AS metric, round((SELECT count(*) FILTER (WHERE y_true = y_pred) / count(*) FROM fx_pred3), 6) AS value
 UNION ALL SELECT 'f1_macro', round(avg(f1), 6) FROM pcf
 UNION ALL SELECT 'f1_weighted', round(sum(f1 * support) / sum(support), 6) FROM pcf
+UNION ALL SELECT 'total_samples', CAST(count(*) AS DOUBLE) FROM det
+UNION ALL SELECT 'correct_predictions', CAST(count(*) AS DOUBLE) FROM det WHERE correct
 UNION ALL SELECT 'average_confidence', round(avg(confidence), 6) FROM det
-UNION ALL SELECT 'n_classes', CAST(count(*) AS DOUBLE) FROM pcf
+UNION ALL SELECT 'confidence_std', round(stddev_samp(confidence), 6) FROM det
+UNION ALL SELECT 'rows_per_class', CAST(count(*) AS DOUBLE) FROM pcf
+UNION ALL SELECT 'rows_confusion_matrix', CAST(count(*) * count(*) AS DOUBLE) FROM pcf
+UNION ALL SELECT 'rows_prediction_detail', CAST(count(*) AS DOUBLE) FROM det
+UNION ALL SELECT 'rows_high_conf_correct', CAST(least(count(*), 50) AS DOUBLE) FROM det WHERE correct
+UNION ALL SELECT 'rows_roc_points', CAST(count(*) + 3 AS DOUBLE) FROM sc
 """)
 def q_evaluate_dataset(spark, d):
-    """One dataset through E4-E13, predictions persisted once; headline metrics as rows."""
-    p = P(spark, d).persist()
-    o = ev.overall(p)
-    det = ev.prediction_detail(p, 3)
-    rows = (o.select(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value"))
-            .unionByName(o.select(F.lit("f1_macro").alias("metric"), F.col("f1_macro").alias("value")))
-            .unionByName(o.select(F.lit("f1_weighted").alias("metric"), F.col("f1_weighted").alias("value")))
-            .unionByName(det.agg(F.lit("average_confidence").alias("metric"), F.avg("confidence").alias("value")))
-            .unionByName(ev.per_class(p).agg(F.lit("n_classes").alias("metric"), F.count("*").cast("double").alias("value"))))
-    return round_doubles(rows)
+    """One dataset through E4-E13; every table is written, metrics and table sizes come back."""
+    path = scratch_path(spark, f"evaluation/{uuid.uuid4().hex[:8]}")
+    return round_doubles(ev.evaluate_dataset(P(spark, d), 3, path))

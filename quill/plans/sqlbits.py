@@ -49,7 +49,3 @@ def d_contractions(x: str) -> str:
     for pat, rep in CONTRACTIONS:
         x = f"regexp_replace({x}, {lit(pat)}, {lit(rep)}, 'gi')"
     return x
-
-
-def d_round(x: str, n: int = 6) -> str:
-    return f"round(CAST({x} AS DOUBLE), {n})"

@@ -65,8 +65,3 @@ fx_pred3 AS (
          p.p_neg AS p0, p.p_neu AS p1, p.p_pos AS p2
   FROM labels l JOIN fx_probs p ON p.vec_id = l.doc_id)
 """
-
-FX_METRICS = r"""
-fx_metrics AS (SELECT event_id, ts, event_type AS name, 'histogram' AS kind,
-                      json_extract_string(props, '$.k') AS k, value, user_id FROM events)
-"""
