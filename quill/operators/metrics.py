@@ -177,7 +177,9 @@ def run_summary(requests: DataFrame, ts: str = "ts") -> DataFrame:
     out = base.withColumn("requests_per_second", F.try_divide(F.col("total_requests"), F.col("total_duration_seconds"))) \
               .withColumn("successful_requests_per_second",
                           F.try_divide(F.col("successful_requests"), F.col("total_duration_seconds")))
-    return out.select("*", *[q.select(c).scalar().alias(f"latency_{c}") for c in ["mean", "p50", "p90", "p95", "p99", "min", "max"]])
+    names = ["mean", "p50", "p90", "p95", "p99", "min", "max"]
+    out = out.withColumn("_q", q.select(F.struct(*names)).scalar())  # one subquery for all latency figures
+    return out.select("*", *[F.col(f"_q.{c}").alias(f"latency_{c}") for c in names]).drop("_q")
 
 
 def error_distribution(requests: DataFrame) -> DataFrame:

@@ -34,15 +34,17 @@ def stratified_split(df: DataFrame, label: str, key: str, train: float = 0.8, va
     """Per label, rows ranked by hash get quotas floor(n*train), floor(n*val), rest test."""
     if abs(train + val + test - 1.0) > 1e-7:
         raise ValueError("Split sizes must sum to 1.0")
-    keyed = df.withColumn("_h", hash_key(seed, F.col(key))).withColumn("_one", F.lit(1))
-    ranked = running_sums(keyed, [label], [F.col("_h"), F.col(key)], ["_one"])
-    n = df.groupBy(label).agg(F.count("*").alias("_n"))
-    j = ranked.join(n, label)
-    n_train = F.floor(F.col("_n") * F.lit(train))
-    n_val = F.floor(F.col("_n") * F.lit(val))
-    split = (F.when(F.col("cum__one") <= n_train, "train")
-             .when(F.col("cum__one") <= n_train + n_val, "validation").otherwise("test"))
-    return j.withColumn("split", split).drop("_h", "_one", "cum__one", "_n")
+    place = F.struct(hash_key(seed, F.col(key)).alias("h"), F.col(key).alias("k"))
+    # only (label, hash, id) are ranked; the rows themselves are compared with their label's last places
+    keyed = df.select(label, hash_key(seed, F.col(key)).alias("_h"), F.col(key).alias("_k"), F.lit(1).alias("_one"))
+    ranked = running_sums(keyed, [label], [F.col("_h"), F.col("_k")], ["_one"])
+    n = ranked.groupBy(label).agg(F.max("cum__one").alias("_n"))
+    n_train, n_val = F.floor(F.col("_n") * F.lit(train)), F.floor(F.col("_n") * F.lit(val))
+    at, cum = F.struct(F.col("_h").alias("h"), F.col("_k").alias("k")), F.col("cum__one")
+    ends = ranked.join(n, label).groupBy(label).agg(
+        F.max(F.when(cum <= n_train, at)).alias("_train"), F.max(F.when(cum <= n_train + n_val, at)).alias("_val"))
+    split = F.when(place <= F.col("_train"), "train").when(place <= F.col("_val"), "validation").otherwise("test")
+    return df.join(ends, label).withColumn("split", split).drop("_train", "_val")
 
 
 # --- augmentation (E2) --------------------------------------------------------
@@ -108,10 +110,12 @@ def augment_dataset(df: DataFrame, text: str, label: str, key: str, factor: floa
     Output = input rows (``augmented`` false) + changed augmented rows.
     """
     synonyms = synonyms or {}
-    keyed = df.withColumn("_h", hash_key(seed, F.col(key), "pick")).withColumn("_one", F.lit(1))
-    ranked = running_sums(keyed, [], [F.col("_h"), F.col(key)], ["_one"])
-    quota = df.select(F.floor(F.count("*") * F.lit(factor))).scalar()
-    picked = ranked.filter(F.col("cum__one") <= quota)
+    # only (hash, id) are ranked, to find the last place within the quota; texts are compared with it
+    keyed = df.select(hash_key(seed, F.col(key), "pick").alias("_h"), F.col(key).alias("_k"), F.lit(1).alias("_one"))
+    ranked = running_sums(keyed, [], [F.col("_h"), F.col("_k")], ["_one"])
+    quota = ranked.select(F.floor(F.max("cum__one") * F.lit(factor))).scalar()
+    last = ranked.filter(F.col("cum__one") <= quota).select(F.max(F.struct(F.col("_h").alias("h"), F.col("_k").alias("k")))).scalar()
+    picked = df.filter(F.struct(hash_key(seed, F.col(key), "pick").alias("h"), F.col(key).alias("k")) <= last)
     n_ops = 4 if synonyms else 3
     op = F.pmod(hash_int(seed, F.col(key), "op"), F.lit(n_ops))
     k, t = F.col(key), F.col(text)

@@ -17,6 +17,7 @@ from quill.functions.vectors import SENTIMENT_LABELS
 from quill.operators import aggregate as ag
 from quill.operators import stats as st
 from quill.operators.entities import entities_long
+from quill.session import cut_lineage
 
 
 def quality_metrics(results: DataFrame) -> DataFrame:
@@ -194,23 +195,30 @@ def network_edges(results: DataFrame, min_count: int = 5) -> DataFrame:
 def network_nodes(results: DataFrame, min_count: int = 5) -> DataFrame:
     """G17 nodes: distinct edge ends on a circle, position by name order."""
     e = ag.entity_cooccurrence(results, min_count)
-    nodes = e.select(F.col("entity1").alias("node")).union(e.select(F.col("entity2").alias("node"))).distinct()
+    nodes = e.select(F.explode(F.array("entity1", "entity2")).alias("node")).distinct()
     ranked = st.running_sums(nodes.withColumn("one", F.lit(1)), [], [F.col("node")], ["one"])
-    n = nodes.select(F.count("*")).scalar()
+    n = ranked.select(F.max("cum_one")).scalar()
     ang = (F.col("cum_one") - 1) * F.lit(2 * math.pi) / n
     return ranked.select("node", (F.col("cum_one") - 1).cast("bigint").alias("idx"),
                          F.cos(ang).alias("x"), F.sin(ang).alias("y"))
 
 
 def dashboard_tables(results: DataFrame) -> DataFrame:
-    """The four dashboard panels as one tagged long table (panel, key, value)."""
-    p1 = chart_sentiment(results).select(F.lit("sentiment").alias("panel"), F.col("sentiment").alias("key"),
-                                         F.col("count").cast("double").alias("value"))
-    p2 = chart_entity_types(results, 10).select(F.lit("entity_types").alias("panel"), F.col("label").alias("key"),
-                                               F.col("count").cast("double").alias("value"))
-    p3 = ag.top_entities(results, 10).select(F.lit("top_entities").alias("panel"), F.col("text").alias("key"),
-                                             F.col("count").cast("double").alias("value"))
-    box = chart_confidence_box(results.filter(ag.sent_label().isin(*SENTIMENT_LABELS)))
-    p4 = box.select(F.lit("confidence_median").alias("panel"), F.col("sentiment").alias("key"),
-                    F.col("median").alias("value"))
-    return p1.unionByName(p2).unionByName(p3).unionByName(p4)
+    """The four dashboard panels as one tagged long table (panel, key, value).
+
+    The panels stand on two small tables, scores by label and entities by label
+    and text, each counted once and written to the checkpoint folder.
+    """
+    scores = cut_lineage(results.filter(F.col("sentiment").isNotNull()).groupBy(
+        F.coalesce(ag.sent_label(), F.lit("unknown")).alias("sentiment"), F.coalesce(ag.sent_score(), F.lit(0.0)).alias("v"))
+        .agg(F.count("*").cast("bigint").alias("c")))
+    ents = cut_lineage(entities_long(results, keep=()).groupBy(F.coalesce("label", F.lit("UNKNOWN")).alias("label"), "text")
+                       .agg(F.count("*").alias("c")))
+    panel = lambda df, name, key, value: df.select(F.lit(name).alias("panel"), F.col(key).alias("key"),
+                                                   F.col(value).cast("double").alias("value"))
+    top = lambda key: ents.groupBy(key).agg(F.sum("c").alias("n")).orderBy(F.desc("n"), F.asc(key)).limit(10)
+    box = st.medians_of_counts(scores.filter(F.col("sentiment").isin(*SENTIMENT_LABELS)), ["sentiment"], "v")
+    return (panel(scores.groupBy("sentiment").agg(F.sum("c").alias("n")), "sentiment", "sentiment", "n")
+            .unionByName(panel(top("label"), "entity_types", "label", "n"))
+            .unionByName(panel(top("text"), "top_entities", "text", "n"))
+            .unionByName(panel(box, "confidence_median", "sentiment", "median")))

@@ -60,13 +60,25 @@ def value_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
 def cumulative_counts(df: DataFrame, group: Sequence[str], value: str,
                       n_parts: int | None = None) -> DataFrame:
     """(group, value, c, cum_c, n): exact cumulative counts in ascending value order."""
-    vc = value_counts(df, group, value)
+    return cumulate(value_counts(df, group, value), group, value, n_parts)
+
+
+def cumulate(vc: DataFrame, group: Sequence[str], value: str, n_parts: int | None = None) -> DataFrame:
+    """Running and total counts of (group, value, c) rows.
+
+    The running sums stand on a checkpoint, so the totals do not run the source again.
+    """
     cum = running_sums(vc, group, [F.col(value)], ["c"], n_parts)
-    # the running sums stand on a checkpoint, so the totals do not run the source again
     if not group:  # one global total: a scalar subquery, not a join
         return cum.withColumn("n", cum.select(F.max("cum_c")).scalar())
-    n = cum.groupBy(*group).agg(F.max("cum_c").alias("n"))
-    return cum.join(n, list(group))
+    return cum.join(cum.groupBy(*group).agg(F.max("cum_c").alias("n")), list(group))
+
+
+def medians_of_counts(vc: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """(group, n, median) of rows given as (group, value, c)."""
+    lo, hi = F.floor((F.col("n") + 1) / 2), F.ceil((F.col("n") + 1) / 2)
+    p = pick_ranks(cumulate(vc, group, value), group, value, {"lo": lo, "hi": hi})
+    return p.select(*group, "n", ((F.col("lo") + F.col("hi")) / 2).alias("median"))
 
 
 def pick_ranks(cum: DataFrame, group: Sequence[str], value: str, ranks: dict[str, Column],

@@ -18,16 +18,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quill.functions import vectors as vx
+from quill.session import cut_lineage
 
 
-def text_pipeline(num_features: int = 1 << 16, reg_param: float = 0.0, max_iter: int = 50,
-                  elastic_net: float = 0.0) -> Pipeline:
+def text_features(num_features: int = 1 << 16) -> Pipeline:
+    """Words, hashed term counts, inverse document frequency."""
     tok = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False)
     tf = HashingTF(inputCol="words", outputCol="tf", numFeatures=num_features)
-    idf = IDF(inputCol="tf", outputCol="features")
-    lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=reg_param, maxIter=max_iter,
-                            elasticNetParam=elastic_net)
-    return Pipeline(stages=[tok, tf, idf, lr])
+    return Pipeline(stages=[tok, tf, IDF(inputCol="tf", outputCol="features")])
+
+
+def classifier(reg_param: float = 0.0, max_iter: int = 50, elastic_net: float = 0.0) -> LogisticRegression:
+    return LogisticRegression(featuresCol="features", labelCol="label", regParam=reg_param, maxIter=max_iter,
+                              elasticNetParam=elastic_net)
+
+
+def text_pipeline(num_features: int = 1 << 16, **params) -> Pipeline:
+    return Pipeline(stages=[*text_features(num_features).getStages(), classifier(**params)])
 
 
 def f1_weighted() -> MulticlassClassificationEvaluator:
@@ -51,33 +58,54 @@ def evaluate(model: PipelineModel, df: DataFrame) -> float:
     return f1_weighted().evaluate(model.transform(df.withColumn("label", F.col("label").cast("double"))))
 
 
-def _trial(train: DataFrame, valid: DataFrame, params: dict) -> float:
-    try:
-        return evaluate(train_lr(train, **params), valid)
-    except Exception:  # noqa: BLE001 - a failed trial scores -1
-        return -1.0
+class Trials:
+    """Trials over one training and validation set.
+
+    The features of a feature size are fitted and written once (checkpoint
+    folder); a trial trains its classifier on them.  A failed trial scores -1.
+    """
+
+    def __init__(self, train: DataFrame, valid: DataFrame) -> None:
+        as_double = F.col("label").cast("double")
+        self.train, self.valid = (d.select("text", as_double.alias("label")) for d in (train, valid))
+        self.ready: dict[int, tuple[DataFrame, DataFrame]] = {}
+
+    def features(self, num_features: int) -> tuple[DataFrame, DataFrame]:
+        if num_features not in self.ready:
+            model = text_features(num_features).fit(self.train)
+            self.ready[num_features] = tuple(
+                cut_lineage(model.transform(d).select("features", "label")) for d in (self.train, self.valid))
+        return self.ready[num_features]
+
+    def score(self, params: dict) -> float:
+        rest = dict(params)
+        try:
+            train, valid = self.features(rest.pop("num_features", 1 << 16))
+            return f1_weighted().evaluate(classifier(**rest).fit(train).transform(valid))
+        except Exception:  # noqa: BLE001
+            return -1.0
 
 
 def grid_search(spark: SparkSession, train: DataFrame, valid: DataFrame, grid: dict, max_trials: int | None = None) -> DataFrame:
-    """Every combination of ``grid`` (capped at ``max_trials``), one row per trial."""
+    """Every combination of ``grid`` (capped at ``max_trials``, if given), one row per trial."""
     keys = sorted(grid)
     combos = [{}]
     for k in keys:
         combos = [dict(c, **{k: v}) for c in combos for v in grid[k]]
-    if max_trials:
-        combos = combos[:max_trials]
-    rows = [(i, str(sorted(c.items())), _trial(train, valid, c)) for i, c in enumerate(combos)]
+    trials = Trials(train, valid)
+    rows = [(i, str(sorted(c.items())), trials.score(c)) for i, c in enumerate(combos[:max_trials])]
     return spark.createDataFrame(rows, "trial long, params string, score double")
 
 
-def random_search(spark: SparkSession, train: DataFrame, valid: DataFrame, space: dict, n_trials: int = 4,
+def random_search(spark: SparkSession, train: DataFrame, valid: DataFrame, space: dict, n_trials: int = 50,
                   seed: int = 42) -> DataFrame:
     """``n_trials`` settings sampled from ``space`` with a seeded generator."""
     rng = random.Random(seed)
+    trials = Trials(train, valid)
     rows = []
     for i in range(n_trials):
         c = {k: (rng.choice(v) if isinstance(v, list) else rng.uniform(*v)) for k, v in sorted(space.items())}
-        rows.append((i, str(sorted(c.items())), _trial(train, valid, c)))
+        rows.append((i, str(sorted(c.items())), trials.score(c)))
     return spark.createDataFrame(rows, "trial long, params string, score double")
 
 

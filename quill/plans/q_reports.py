@@ -161,7 +161,7 @@ SELECT s.document_id, s.seg_no, round(coalesce(h.sc, 0.0), 6) AS lex_score, CAST
 FROM s LEFT JOIN h USING (document_id, seg_no)
 """)
 def q_sentiment_segments(spark, d):
-    lex = F.broadcast(lexicon_df(spark))
+    lex = lexicon_df(spark)
 
     def scorer(segs):
         toks = segs.select("document_id", F.col("seg_no").cast("bigint").alias("seg_no"),

@@ -21,14 +21,14 @@ def splits(spark, d):
 @query("train_lr", None)
 def q_train_lr(spark, d):
     train, _, test = splits(spark, d)
-    model = tr.train_lr(train, num_features=1 << 14, max_iter=20)
+    model = tr.train_lr(train)
     return spark.createDataFrame([("f1_weighted_test", float(tr.evaluate(model, test)))], "metric string, value double")
 
 
 @query("score_lr", None)
 def q_score_lr(spark, d):
     train, _, _ = splits(spark, d)
-    model = tr.train_lr(train, num_features=1 << 14, max_iter=20)
+    model = tr.train_lr(train)
     docs = table(spark, d, "documents").select("doc_id", "text")
     return tr.score_lr(model, docs).select("doc_id", F.col("sentiment.label").alias("label"),
                                            F.col("sentiment.score").alias("score"))
@@ -37,7 +37,7 @@ def q_score_lr(spark, d):
 @query("grid_search", None)
 def q_grid_search(spark, d):
     train, valid, _ = splits(spark, d)
-    trials = tr.grid_search(spark, train, valid, {"reg_param": [0.0, 0.1], "max_iter": [10, 20]}, max_trials=3)
+    trials = tr.grid_search(spark, train, valid, {"reg_param": [0.0, 0.1], "max_iter": [10, 20]})
     best = tr.best_trial(trials).select(F.lit(-1).cast("bigint").alias("trial"), F.concat(F.lit("best "), "params").alias("params"), "score")
     return trials.unionByName(best)
 
@@ -45,4 +45,4 @@ def q_grid_search(spark, d):
 @query("random_search", None)
 def q_random_search(spark, d):
     train, valid, _ = splits(spark, d)
-    return tr.random_search(spark, train, valid, {"reg_param": (0.0, 0.3), "max_iter": [10, 20]}, n_trials=3, seed=42)
+    return tr.random_search(spark, train, valid, {"reg_param": (0.0, 0.3), "max_iter": [10, 20]}, n_trials=10, seed=42)

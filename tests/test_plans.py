@@ -32,3 +32,19 @@ def test_pushdown_and_pruning(spark):
 def test_group_limit(spark):
     assert "WindowGroupLimit" in plan(spark, "agg_by_sentiment_entities")
     assert "WindowGroupLimit" in plan(spark, "metric_histograms")
+
+
+def scans(spark, name):
+    """Scans of the documents' texts in a query's plan, subqueries included."""
+    p = queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    return p.count("text#") and sum("Relation [" in line and "text#" in line for line in p.split("\n"))
+
+
+@pytest.mark.parametrize("name", ["summary_stats", "report_summary", "quality_metrics"])
+def test_summaries_scan_the_documents_once(spark, name):
+    assert scans(spark, name) == 1
+
+
+def test_every_parity_query_is_registered():
+    from tests.test_parity import FAST
+    assert set(FAST) <= set(queries())
