@@ -310,28 +310,41 @@ def windowed_counts(events: DataFrame, ts: str = "ts", size: str = "1 hour", del
 
 
 # --- stateful alerts (X15) -----------------------------------------------------------------
-ALERT_STATE = T.StructType([T.StructField("last_fired", T.TimestampType()), T.StructField("active", T.StringType())])
+ALERT_STATE = T.StructType([T.StructField("last_fired", T.TimestampType()), T.StructField("active", T.StringType()),
+                            T.StructField("waiting", T.StringType())])
 ALERT_OUT = T.StructType([T.StructField("rule", T.StringType()), T.StructField("event_id", T.LongType()),
                           T.StructField("ts", T.TimestampType()), T.StructField("key", T.StringType()),
                           T.StructField("event", T.StringType()), T.StructField("value", T.DoubleType())])
 
 
 def _alert_state_fn(key, pdfs, state):
-    """Cooldown state machine of one rule across micro-batches (state: last fire, active label sets)."""
+    """Cooldown state machine of one rule across micro-batches.
+
+    State: last fire, active label sets, and the points after the watermark.
+    Points wait there until the watermark has passed them, so they are taken in
+    time order whichever batch or file brought them.
+    """
     rule = key[0]
-    last, active = state.get if state.exists else (None, "[]")
-    machine = RuleState(pd.Timestamp(last) if last is not None else None, json.loads(active or "[]"))
-    pdf = pd.concat(list(pdfs)) if pdfs else pd.DataFrame()
+    last, active, waiting = state.get if state.exists else (None, "[]", "[]")
+    machine = RuleState(pd.Timestamp(last) if last is not None else None, json.loads(active))
+    points = json.loads(waiting)
+    for pdf in pdfs:
+        points += [[t.value // 1000, int(e), k, float(v), bool(c), int(s)] for t, e, k, v, c, s in zip(
+            pdf["ts"], pdf["event_id"], pdf["key"], pdf["value"], pdf["cond"], pdf["cooldown_s"], strict=True)]
+    points.sort(key=lambda p: (p[0], p[1]))
+    watermark = state.getCurrentWatermarkMs()
+    ready = [p for p in points if p[0] // 1000 <= watermark]
+    points = points[len(ready):]
     out = []
-    if len(pdf):
-        pdf = pdf.sort_values(["ts", "event_id"], kind="mergesort")
-        cool = pd.Timedelta(seconds=int(pdf["cooldown_s"].iloc[0]))
-        for ts, eid, k, value, cond in zip(pdf["ts"], pdf["event_id"], pdf["key"], pdf["value"], pdf["cond"], strict=True):
-            event = machine.step(ts, k, cond, cool)
-            if event:
-                out.append((rule, int(eid), ts, k, event, float(value)))
+    for us, eid, k, value, cond, cool in ready:
+        ts = pd.Timestamp(us, unit="us")
+        event = machine.step(ts, k, cond, pd.Timedelta(seconds=cool))
+        if event:
+            out.append((rule, eid, ts, k, event, value))
     last = machine.last_fired
-    state.update((last.to_pydatetime() if last is not None else None, json.dumps(sorted(machine.active))))
+    state.update((last.to_pydatetime() if last is not None else None, json.dumps(sorted(machine.active)), json.dumps(points)))
+    if points:  # called again when the watermark passes the next point
+        state.setTimeoutTimestamp(max(points[0][0] // 1000 - 1, watermark + 1))
     yield pd.DataFrame(out, columns=[f.name for f in ALERT_OUT.fields])
 
 
@@ -340,13 +353,15 @@ def match_rules_stream(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     return match_rules(metrics, rules).select("rule", "event_id", "ts", "key", "value", "cond", "cooldown_s")
 
 
-def stateful_alerts(points: DataFrame) -> DataFrame:
+def stateful_alerts(points: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """K12-K14 on a stream, state kept per rule by ``applyInPandasWithState``.
 
-    ``points`` = matched metric points (rule, event_id, ts, key, value, cond, cooldown_s).
+    ``points`` = matched metric points (rule, event_id, ts, key, value, cond,
+    cooldown_s).  ``delay`` is how much later than the newest point another may
+    still come; points are evaluated in time order once the watermark passes.
     """
-    return points.groupBy("rule").applyInPandasWithState(
-        _alert_state_fn, ALERT_OUT, ALERT_STATE, "append", GroupStateTimeout.NoTimeout)
+    return points.withWatermark("ts", delay).groupBy("rule").applyInPandasWithState(
+        _alert_state_fn, ALERT_OUT, ALERT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def hybrid(batch: DataFrame, stream: DataFrame, name: str = "hybrid") -> DataFrame:
