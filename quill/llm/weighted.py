@@ -206,5 +206,5 @@ def weighted_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
         F.when(before.isNotNull(), F.struct(before.cast("bigint").alias("block"), F.lit(True).alias("guest")))))
     d = d.withColumn("_q_place", F.explode(places))
     d = (d.select(F.col("_q_place")["block"].alias("block"), F.col("_q_place")["guest"].alias("guest"), "doc_id",
-                  "text", "_q_id").repartition("block").sortWithinPartitions("block", "guest", "_q_id", "text"))
+                  "text", "_q_id").repartition(len(bounds) + 1, "block").sortWithinPartitions("block", "guest", "_q_id", "text"))
     return d.select("block", "guest", "doc_id", "text").mapInArrow(lambda it: _walk(it, samples), SCHEMA)
