@@ -34,13 +34,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path for one intermediate table under the shared folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/quill-llm/{name}-{uuid.uuid4().hex}"
+    """A new path for one intermediate table under the application's part of the shared folder."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+def scratch_root(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/quill-llm/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables; results read lazily from them are then gone."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
