@@ -63,6 +63,15 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for intermediate tables."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "tables", name)
+    """A path under the shared checkpoint folder for intermediate tables of this application."""
+    return os.path.join(scratch_root(spark), name)
+
+
+def scratch_root(spark: SparkSession) -> str:
+    return os.path.join(ensure_checkpoint_dir(spark), "tables", spark.sparkContext.applicationId)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables; frames that read them are then gone."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
