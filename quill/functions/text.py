@@ -14,7 +14,7 @@ import unicodedata
 import zipfile
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,6 +63,19 @@ def let(value: Column, fn) -> Column:
     return F.get(F.transform(F.array(value), fn), 0)
 
 
+def unnest(df: DataFrame, array, name: str, *keep, pos: str | None = None) -> DataFrame:
+    """One row for each element of ``array`` (and its position), as ``explode`` gives.
+
+    The optimizer guards an inner generator with a filter on the array's size,
+    which evaluates a computed array twice more; an outer generator has no such
+    guard, and the one row it gives for an empty array is dropped by position.
+    """
+    array = F.col(array) if isinstance(array, str) else array
+    at = pos or "_unnest_pos"
+    out = df.select(*keep, F.posexplode_outer(array).alias(at, name)).filter(F.col(at).isNotNull())
+    return out if pos else out.drop(at)
+
+
 SCAN_STEPS = 31  # doubling steps up to the longest array there is
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quill.functions import text as tx
-from quill.functions.text import let
+from quill.functions.text import let, unnest
 from quill.functions.vectors import SENTIMENT_LABELS
 from quill.operators.entities import ENTITY_TYPES, entities_long
 
@@ -46,17 +46,21 @@ def one_pass(results: DataFrame, per_document: dict[str, Column], per_entity: di
 
     Each document is exploded into its entities (one empty row if none); the
     document's figures count on its first row only.  Rows are combined by
-    entity text, so the distinct texts are the groups; a second grouping, by
-    nothing, adds the groups up.  ``types`` maps known display types to counts.
+    entity text and type, then by text, so the distinct texts are the groups;
+    a last step adds the groups up.  Types that are not known count as Other.
     """
-    d = results.select(*[c.alias(f"d_{n}") for n, c in per_document.items()], F.posexplode_outer("entities").alias("pos", "e"))
+    # figures first, in a projection of their own: next to the generator they would be computed for every entity
+    d = results.select(*[c.alias(f"d_{n}") for n, c in per_document.items()], "entities")
+    d = d.select(*[f"d_{n}" for n in per_document], F.posexplode_outer("entities").alias("pos", "e"))
     once = lambda n: F.sum(F.when(F.coalesce("pos", F.lit(0)) == 0, F.col(f"d_{n}"))).alias(f"d_{n}")
-    kind = F.col("e.type")
-    by_text = d.groupBy(F.col("e.text").alias("text")).agg(
+    by_text = d.groupBy(F.col("e.text").alias("text"), F.col("e.type").alias("kind")).agg(
         *[once(n) for n in per_document], *[F.sum(c).alias(f"e_{n}") for n, c in per_entity.items()],
-        *[F.count_if(kind == t).alias(f"t_{t}") for t in TYPE_NAMES],
-        F.count_if(F.col("e").isNotNull() & ~F.coalesce(kind.isin(*TYPE_NAMES), F.lit(False))).alias("t_Other"))
-    total = by_text.agg(
+        F.count("e").alias("n"))
+    # a text has few types, so types are told apart only now, over distinct (text, type)
+    total = by_text.groupBy("text").agg(
+        *[F.sum(f"d_{n}").alias(f"d_{n}") for n in per_document], *[F.sum(f"e_{n}").alias(f"e_{n}") for n in per_entity],
+        *[F.sum(F.when(F.col("kind") == t, F.col("n")).otherwise(0)).alias(f"t_{t}") for t in TYPE_NAMES],
+        F.sum(F.when(F.coalesce(F.col("kind").isin(*TYPE_NAMES), F.lit(False)), 0).otherwise(F.col("n"))).alias("t_Other")).agg(
         *[F.sum(f"d_{n}").alias(n) for n in per_document], *[F.sum(f"e_{n}").alias(n) for n in per_entity],
         *[F.sum(F.col(f"`t_{t}`")).alias(f"t_{t}") for t in (*TYPE_NAMES, "Other")],
         F.count("text").cast("bigint").alias("unique_entities"))
@@ -65,16 +69,16 @@ def one_pass(results: DataFrame, per_document: dict[str, Column], per_entity: di
     return total.select(*per_document, *per_entity, "unique_entities", F.array_join(F.array_compact(pairs), ", ").alias("entity_types"))
 
 
-def _doc_sums(results: DataFrame) -> dict[str, Column]:
+def _doc_sums() -> dict[str, Column]:
     """Per-document figures that the summaries add up."""
-    one, wc, score = F.lit(1).cast("bigint"), tx.word_count(F.col("text")), sent_score()
+    one, wc, score, label = F.lit(1).cast("bigint"), F.col("n_words"), F.col("score"), F.col("label")
     ok = F.coalesce(F.col("error"), F.lit("")) == ""
-    n = {f"n_{lab}": F.when(sent_label() == lab, one).otherwise(0) for lab in SENTIMENT_LABELS}
-    return {"docs": one, "ok": F.when(ok, one).otherwise(0), **n, "labelled": F.when(sent_label().isNotNull(), one).otherwise(0),
+    n = {f"n_{lab}": F.when(label == lab, one).otherwise(0) for lab in SENTIMENT_LABELS}
+    return {"docs": one, "ok": F.when(ok, one).otherwise(0), **n, "labelled": F.when(label.isNotNull(), one).otherwise(0),
             "scored": F.when(score.isNotNull(), one).otherwise(0), "score": score, "score2": score * score,
             "sure": F.when(score > 0.8, one).otherwise(0), "ents": n_entities(),
             "with_ents": F.when(F.col("entities").isNotNull(), one).otherwise(0),
-            "texts": F.when(F.col("text").isNotNull(), one).otherwise(0), "chars": F.length("text").cast("bigint"), "words": wc,
+            "texts": F.when(F.col("chars").isNotNull(), one).otherwise(0), "chars": F.col("chars"), "words": wc,
             "timed": F.when(F.col("processing_time").isNotNull(), one).otherwise(0), "time": F.col("processing_time")}
 
 
@@ -85,7 +89,9 @@ def _entity_sums() -> dict[str, Column]:
 
 def corpus_sums(results: DataFrame) -> DataFrame:
     """One row of sums for the summaries and reports (one scan of the documents)."""
-    return one_pass(results, _doc_sums(results), _entity_sums())
+    r = results.select(sent_label().alias("label"), sent_score().alias("score"), F.length("text").cast("bigint").alias("chars"),
+                       tx.word_count(F.col("text")).alias("n_words"), "entities", "processing_time", "error")
+    return one_pass(r, _doc_sums(), _entity_sums())
 
 
 def ratio(a: str, b: str) -> Column:
@@ -121,8 +127,8 @@ def agg_by_sentiment(results: DataFrame) -> DataFrame:
 
 def top_entities_by(results: DataFrame, group: Column, name: str, n: int = 10) -> DataFrame:
     """Top-``n`` entity texts per group (count desc, then text)."""
-    e = (results.select(group.alias(name), F.explode("entities.text").alias("entity"))
-         .filter(F.col(name).isNotNull()))
+    e = unnest(results.select(group.alias(name), F.col("entities.text").alias("texts")), "texts", "entity", name)
+    e = e.filter(F.col(name).isNotNull())
     counts = e.groupBy(name, "entity").agg(F.count("*").cast("bigint").alias("count"))
     w = Window.partitionBy(name).orderBy(F.desc("count"), F.asc("entity"))
     return (counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
@@ -152,7 +158,7 @@ def agg_by_entity_type(results: DataFrame) -> DataFrame:
         return F.transform("entities", lambda e, i: F.struct(
             F.get(ls, i).alias("label"), e["text"].alias("text"), F.coalesce(e["score"], F.lit(0.0)).alias("score"),
             (F.array_position(ls, F.get(ls, i)) == i + 1).cast("bigint").alias("first")))
-    e = results.select(F.explode(let(labels, marked)).alias("e")).select("e.*")
+    e = unnest(results, let(labels, marked), "e").select("e.*")
     c = e.groupBy("label", "text").agg(F.count("*").alias("n"), F.sum("score").alias("s"), F.sum("first").alias("docs"))
     return c.groupBy("label").agg(
         F.sum("n").cast("bigint").alias("total_occurrences"), F.count("text").cast("bigint").alias("unique_entities"),
@@ -194,8 +200,8 @@ def entity_cooccurrence(results: DataFrame, min_count: int = 3) -> DataFrame:
     and combined map-side; no self-join and no global order.
     """
     total = _total(results)
-    de = (results.select("document_id", F.explode(F.array_distinct(F.transform("entities", lambda e: e["text"]))).alias("text"))
-          .filter(F.col("text").isNotNull()))
+    de = unnest(results, F.array_distinct(F.transform("entities", lambda e: e["text"])), "text", "document_id")
+    de = de.filter(F.col("text").isNotNull())
     frequent = de.distinct().groupBy("text").agg(F.count("*").alias("df")).filter(F.col("df") >= min_count).select("text")
     docs = de.join(frequent, "text", "left_semi").groupBy("document_id").agg(F.sort_array(F.collect_set("text")).alias("ts"))
     heads = docs.select(F.posexplode("ts").alias("i", "entity1"), "ts").select(

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quill.functions.text import let, prefix_sum
+from quill.functions.text import let, prefix_sum, unnest
 
 # Entity label -> display type (unknown labels are kept as is).
 ENTITY_TYPES = {
@@ -46,6 +46,11 @@ PATTERN_RULES = [
     ("CARDINAL", r"[0-9]+"),
 ]
 
+# Spellings with the same matches that do not start again inside a run that has failed.
+LINEAR_FORMS = {
+    PATTERN_RULES[0][1]: r"(?:(?<![A-Za-z0-9._-])|\G)[A-Za-z0-9._-]++@[A-Za-z0-9.-]+\.[a-z]+",
+}
+
 
 def entity_type(label: Column) -> Column:
     """Display type of a label; unknown labels pass through."""
@@ -64,7 +69,7 @@ def match_spans(text: Column, pattern: str) -> Column:
     gap, match, gap, ...; the end of match k is the prefix sum of gap and match
     lengths up to k.  The same formula serves any number of matches.
     """
-    t = F.translate(F.coalesce(text, F.lit("")), SPAN_MARK, "\ufffe")
+    t, pattern = F.translate(F.coalesce(text, F.lit("")), SPAN_MARK, "\ufffe"), LINEAR_FORMS.get(pattern, pattern)
     parts = F.split(F.regexp_replace(t, pattern, f"{SPAN_MARK}$0{SPAN_MARK}"), SPAN_MARK, -1)
 
     def with_parts(p):
@@ -96,7 +101,7 @@ def extract_entities(text: Column, rules=None, score: float = 1.0) -> Column:
 def entities_long(results: DataFrame, keep=("processed_at",)) -> DataFrame:
     """results x posexplode(entities): one row per entity."""
     extra = [c for c in keep if c in results.columns]
-    return (results.select("document_id", *extra, F.posexplode("entities").alias("pos", "e"))
+    return (unnest(results, "entities", "e", "document_id", *extra, pos="pos")
             .select("document_id", *extra, F.col("pos").cast("bigint").alias("pos"), "e.text", "e.label",
                     "e.type", "e.start", "e.end", "e.score"))
 
@@ -195,7 +200,7 @@ def entity_relations(docs: DataFrame, key: str, text: str, entity_pattern: str =
     from quill.functions.text import sentences, word_tokens
     from quill.operators.features import pos_tags
 
-    s = docs.select(key, F.posexplode(sentences(F.col(text))).alias("sent_no", "sentence"))
+    s = unnest(docs, sentences(F.col(text)), "sentence", key, pos="sent_no")
 
     def rel(tg):
         n = F.size(tg)
@@ -218,7 +223,7 @@ def entity_relations(docs: DataFrame, key: str, text: str, entity_pattern: str =
         return let(idx, with_idx)
 
     rels = let(pos_tags(word_tokens(F.col("sentence"))), rel)
-    return (s.select(key, F.col("sent_no").cast("bigint").alias("sent_no"), F.explode(rels).alias("r"))
+    return (unnest(s, rels, "r", key, F.col("sent_no").cast("bigint").alias("sent_no"))
             .select(key, "sent_no", "r.*"))
 
 
@@ -277,7 +282,7 @@ def extract_gazetteer(docs: DataFrame, key: str, text: str, gazetteer: DataFrame
     Spark broadcasts the dictionary when it is small.  Long form
     (key, text, label, type, start, end).
     """
-    grams = docs.select(key, F.explode(phrase_spans(F.col(text), max_n)).alias("g")).select(
+    grams = unnest(docs, phrase_spans(F.col(text), max_n), "g", key).select(
         key, F.col("g.text").alias("phrase"), F.col("g.start").alias("start"), F.col("g.end").alias("end"))
     hits = grams.join(gazetteer.select(F.lower("phrase").alias("phrase"), "label"), "phrase")
     return hits.select(key, F.col("phrase").alias("text"), "label", entity_type(F.col("label")).alias("type"),

@@ -33,7 +33,7 @@ def term_rows(docs: DataFrame, key: str, text: str, ngram_range: tuple[int, int]
     t = terms(F.col(text))
     if ngram_range != (1, 1):
         t = tx.ngrams(t, *ngram_range)
-    return docs.select(key, F.explode(t).alias("term"))
+    return tx.unnest(docs, t, "term", key)
 
 
 def term_counts(rows: DataFrame, key: str) -> DataFrame:
@@ -152,7 +152,7 @@ def word_vectors_from_counts(docs: DataFrame, text: str, vectors: DataFrame) ->
     Words are ranked by distributed running sums, so neither side is bounded.
     """
     from quill.operators.stats import running_sums
-    words = docs.select(F.explode(terms(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
+    words = tx.unnest(docs, terms(F.col(text)), "word").groupBy("word").agg(F.count("*").alias("c"))
     ranked = running_sums(words.withColumn("one", F.lit(1)), [], [F.desc("c"), F.asc("word")], ["one"])
     ranked = ranked.select("word", (F.col("cum_one") - 1).alias("vec_id"))
     return ranked.join(vectors.select("vec_id", F.col("embedding").alias("vec")), "vec_id").select("word", "vec")
@@ -176,7 +176,7 @@ def _pooled(tokens: DataFrame, docs: DataFrame, key: str, dim: int, how: str) ->
 
 def doc_vectors(docs: DataFrame, key: str, text: str, wv: DataFrame, dim: int, how: str = "mean") -> DataFrame:
     """mean / max / sum of the word vectors of a document's tokens (OOV skipped, empty -> zeros)."""
-    hits = docs.select(key, F.explode(terms(F.col(text))).alias("word")).join(wv, "word")
+    hits = tx.unnest(docs, terms(F.col(text)), "word", key).join(wv, "word")
     return _pooled(hits, docs, key, dim, how)
 
 
@@ -187,7 +187,7 @@ def pool_tokens(docs: DataFrame, key: str, text: str, wv: DataFrame, dim: int, h
     tokens (mask ignored, as in the reference).
     """
     t = terms(F.col(text))
-    toks = docs.select(key, F.explode(F.slice(t, 1, 1) if how == "cls" else t).alias("word"))
+    toks = tx.unnest(docs, F.slice(t, 1, 1) if how == "cls" else t, "word", key)
     if how == "mean":
         return _pooled(toks.join(wv, "word"), docs, key, dim, "mean")
     zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)
@@ -248,7 +248,7 @@ def cosine_topk(vectors: DataFrame, key: str, vec: str, query: DataFrame, k: int
 # --- token ids (T5-T7) and language detection (T9) ------------------------------------------
 def build_vocab(docs: DataFrame, text: str, vocab_size: int = 30000, min_frequency: int = 2) -> DataFrame:
     """(token, id, count); ids after the reserved special tokens, by count desc then token."""
-    toks = docs.select(F.explode(terms(F.col(text))).alias("token"))
+    toks = tx.unnest(docs, terms(F.col(text)), "token")
     c = toks.groupBy("token").agg(F.count("*").cast("bigint").alias("count")).filter(F.col("count") >= min_frequency)
     top = c.orderBy(F.desc("count"), F.asc("token")).limit(max(vocab_size - len(SPECIAL_TOKENS), 0))
     ranked = top.withColumn("id", (F.row_number().over(Window.orderBy(F.desc("count"), F.asc("token")))
@@ -264,7 +264,7 @@ def encode_ids(docs: DataFrame, key: str, text: str, vocab: DataFrame, max_lengt
     position order, at most ``max_length`` a document.
     """
     kept = F.slice(terms(F.col(text)), 1, max_length - 2)
-    toks = docs.select(key, F.posexplode(kept).alias("pos", "token"))
+    toks = tx.unnest(docs, kept, "token", key, pos="pos")
     ids = toks.join(vocab.select("token", "id"), "token", "left") \
               .withColumn("id", F.coalesce("id", F.lit(SPECIAL_TOKENS.index("[UNK]"))))
     seq = ids.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("s"))
@@ -278,7 +278,7 @@ def encode_ids(docs: DataFrame, key: str, text: str, vocab: DataFrame, max_lengt
 
 def decode_ids(encoded: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
     """Ids back to text, special tokens skipped."""
-    ex = encoded.select(key, F.posexplode("input_ids").alias("pos", "id")).filter(F.col("id") >= len(SPECIAL_TOKENS))
+    ex = tx.unnest(encoded, "input_ids", "id", key, pos="pos").filter(F.col("id") >= len(SPECIAL_TOKENS))
     j = ex.join(vocab.select("token", "id"), "id")
     seq = j.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("s"))
     out = encoded.select(key).join(seq, key, "left")
@@ -293,7 +293,7 @@ def detect_language(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Language with the most stop-word hits (ties by code); NULL without hits."""
     rows = [(w, code) for code, name in LANGUAGES.items() for w in tx.default_stopwords(name)]
     sw = docs.sparkSession.createDataFrame(rows, "word string, lang string")
-    toks = docs.select(key, F.explode(terms(F.col(text))).alias("word"))
+    toks = tx.unnest(docs, terms(F.col(text)), "word", key)
     hits = toks.join(sw, "word").groupBy(key, "lang").agg(F.count("*").alias("n"))
     # most hits, then the smallest code; at most len(LANGUAGES) rows per document
     w = Window.partitionBy(key).orderBy(F.desc("n"), F.asc("lang"))

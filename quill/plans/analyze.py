@@ -23,7 +23,8 @@ Extractor = Callable[[Column], Column]             # text -> entities array
 
 def lexicon_scorer(positive, negative, neutral: float = 1.5, clean_col: str = "clean") -> Scorer:
     """Scorer over the words of the cleaned text."""
-    return lambda df: df.withColumn("probs", se.lexicon_probs(tx.words(F.col(clean_col)), positive, negative, neutral))
+    # cleaned text has single blanks only
+    return lambda df: df.withColumn("probs", se.lexicon_probs(F.split(F.col(clean_col), " "), positive, negative, neutral))
 
 
 def analyze(docs: DataFrame, scorer: Scorer, extractor: Extractor, *, id_col: str = "doc_id",

@@ -97,7 +97,7 @@ SELECT doc_id, CAST(generate_subscripts(gs, 1) - 1 AS BIGINT) AS pos, unnest(gs)
 """)
 def q_ngrams(spark, d):
     g = tx.ngrams(fe.terms(F.col("text")), 2)
-    return docs(spark, d).select("doc_id", F.posexplode(g).alias("pos", "ngram")).withColumn("pos", F.col("pos").cast("bigint"))
+    return tx.unnest(docs(spark, d), g, "ngram", "doc_id", pos="pos").withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query("lda_topics", None)
@@ -284,5 +284,5 @@ SELECT doc_id, pos, token, {_pos_sql()} AS tag FROM u
 """)
 def q_pos_lookup(spark, d):
     tags = fe.pos_tags(tx.word_tokens(F.col("text")))
-    return (docs(spark, d).select("doc_id", F.posexplode(tags).alias("pos", "t"))
+    return (tx.unnest(docs(spark, d), tags, "t", "doc_id", pos="pos")
             .select("doc_id", F.col("pos").cast("bigint").alias("pos"), "t.token", F.col("t.pos").alias("tag")))

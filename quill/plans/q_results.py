@@ -205,7 +205,7 @@ FROM ({RULE_SPANS_SQL}) s
 """)
 def q_extract_entities(spark, d):
     r = rule_entities(spark, d)
-    return r.select("doc_id", F.posexplode("entities").alias("pos", "e")).select(
+    return tx.unnest(r, "entities", "e", "doc_id", pos="pos").select(
         "doc_id", F.col("pos").cast("bigint").alias("pos"), "e.text", "e.label", "e.type",
         F.col("e.start").alias("start_pos"), F.col("e.end").alias("end_pos"))
 
@@ -250,7 +250,7 @@ SELECT document_id, pos, text, substr(doc, s + 1, t - s) AS context,
 """)
 def q_entity_context(spark, d):
     r = R(spark, d)
-    return (r.select("document_id", F.posexplode(en.entity_context(F.col("text"), F.col("entities"))).alias("pos", "c"))
+    return (tx.unnest(r, en.entity_context(F.col("text"), F.col("entities")), "c", "document_id", pos="pos")
             .select("document_id", F.col("pos").cast("bigint").alias("pos"), "c.text", "c.context",
                     "c.rel_start", "c.rel_end"))
 
@@ -280,7 +280,7 @@ FROM g GROUP BY id, island
 """)
 def q_merge_entities(spark, d):
     r = rule_entities(spark, d)
-    return (r.select("document_id", F.posexplode(en.merge_entities(F.col("entities"))).alias("island", "m"))
+    return (tx.unnest(r, en.merge_entities(F.col("entities")), "m", "document_id", pos="island")
             .select("document_id", F.col("island").cast("bigint").alias("island"),
                     F.col("m.start").alias("start_pos"), F.col("m.end").alias("end_pos"), "m.n_spans", "m.label"))
 
@@ -560,7 +560,7 @@ def gazetteer(spark, d):
     words = toks.filter(F.col("w").rlike("^[A-Z][a-z]+$")).select(F.lower("w").alias("phrase"))
     top_w = (words.groupBy("phrase").agg(F.count("*").alias("n"))
              .orderBy(F.desc("n"), F.asc("phrase")).limit(30).select("phrase", F.lit("ORG").alias("label")))
-    pairs = docs.select(F.explode(en.phrase_spans(F.col("text"), 2)).alias("g")).filter(F.col("g.text").contains(" "))
+    pairs = tx.unnest(docs, en.phrase_spans(F.col("text"), 2), "g").filter(F.col("g.text").contains(" "))
     top_p = (pairs.groupBy(F.col("g.text").alias("phrase")).agg(F.count("*").alias("n"))
              .orderBy(F.desc("n"), F.asc("phrase")).limit(10).select("phrase", F.lit("EVENT").alias("label")))
     return top_w.unionByName(top_p)
@@ -616,4 +616,4 @@ def q_extract_model(spark, d):
     """N1 (c): a user entity model in Arrow batches, results in the canonical entity struct."""
     from quill.operators.models import email_model
     out = en.extract_with_model(table(spark, d, "documents").select("doc_id", "text"), "text", email_model)
-    return out.select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.text", "e.label", "e.start", "e.end")
+    return tx.unnest(out, "entities", "e", "doc_id").select("doc_id", "e.text", "e.label", "e.start", "e.end")

@@ -157,7 +157,7 @@ SELECT doc_id, CAST(generate_subscripts(toks, 1) - 1 AS BIGINT) AS pos, unnest(t
 FROM (SELECT doc_id, regexp_extract_all(text, {lit(tx.WORD_TOKEN)}) AS toks FROM documents) t
 """)
 def q_tokenize_words(spark, d):
-    return (docs(spark, d).select("doc_id", F.posexplode(tx.word_tokens(F.col("text"))).alias("pos", "token"))
+    return (tx.unnest(docs(spark, d), tx.word_tokens(F.col("text")), "token", "doc_id", pos="pos")
             .withColumn("pos", F.col("pos").cast("bigint")))
 
 
@@ -182,5 +182,5 @@ WITH t AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1'
 SELECT doc_id, CAST(generate_subscripts(s, 1) - 1 AS BIGINT) AS sent_no, unnest(s) AS sentence FROM t
 """)
 def q_split_sentences(spark, d):
-    return (docs(spark, d).select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("sent_no", "sentence"))
+    return (tx.unnest(docs(spark, d), tx.sentences(F.col("text")), "sentence", "doc_id", pos="sent_no")
             .withColumn("sent_no", F.col("sent_no").cast("bigint")))

@@ -36,7 +36,7 @@ def flat_results_table(results: DataFrame, include_entities: bool = True, text_l
 
 def entity_rows_table(results: DataFrame) -> DataFrame:
     """One row per entity, with -1 offsets and 0.0 score defaults."""
-    return (results.select("document_id", F.explode("entities").alias("e"))
+    return (tx.unnest(results, "entities", "e", "document_id")
             .select(F.coalesce(F.col("document_id"), F.lit("")).alias("document_id"),
                     F.coalesce(F.col("e.text"), F.lit("")).alias("entity_text"),
                     F.coalesce(F.col("e.label"), F.lit("")).alias("entity_type"),
@@ -69,7 +69,7 @@ def workbook_results_table(results: DataFrame) -> DataFrame:
 
 def workbook_entities_table(results: DataFrame) -> DataFrame:
     """S19 'Entities' sheet."""
-    return (results.select("document_id", F.explode("entities").alias("e"))
+    return (tx.unnest(results, "entities", "e", "document_id")
             .select(F.col("document_id").alias("Document ID"), F.coalesce("e.text", F.lit("")).alias("Entity"),
                     F.coalesce("e.label", F.lit("")).alias("Type"), F.coalesce("e.score", F.lit(0.0)).alias("Confidence")))
 
