@@ -126,9 +126,13 @@ def _row(id_col: Column, text: Column) -> list[Column]:
 
 
 def line_hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(id, row, at, h1, h2) of every line that can count."""
+    """(id, row, at, h1, h2) of every line that can count.
+
+    A split is never empty, so the outer generator gives the same rows; an inner
+    one would be guarded by a filter that splits each text again.
+    """
     d = docs.select(*_row(F.col(id_col), F.col(text_col)),
-                    F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("at", "line"))
+                    F.posexplode_outer(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("at", "line"))
     d = d.withColumn("key", line_key(F.col("line"))).filter(F.length("key") >= min_chars)
     return d.select("id", "row", "at", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"))
 
