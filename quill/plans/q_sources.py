@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quill.operators import prep as pp
 from quill.plans import fixtures as fx
 from quill.plans.catalog import query
+from quill.plans.q_results import round_doubles
+from quill.plans.sqlfix import FX
 from quill.session import scratch_path
 from quill.sources import readers as rd
 from quill.sources import sinks as sk
@@ -182,24 +184,47 @@ def q_scan_json_columnar(spark, d):
     return rd.read_json_columnar(spark, p).withColumn("label", F.col("label").cast("bigint"))
 
 
-@query("sink_json", "SELECT document_id, text FROM (SELECT CAST(doc_id AS VARCHAR) AS document_id, text FROM documents)")
+@query("sink_json", f"""
+WITH {FX}, e AS (SELECT document_id, text, start_pos FROM fx_ents WHERE pos = 0)
+SELECT d.document_id, d.text, lang, source, sent_label AS sentiment_label, round(sent_score, 6) AS sentiment_score, cls_label,
+       n_entities, e.text AS first_entity, CAST(e.start_pos AS BIGINT) AS first_start, round(processing_time, 6) AS processing_time, error
+FROM fx_docs d LEFT JOIN e USING (document_id)
+""")
 def q_sink_json(spark, d):
+    """Results written as JSON lines and read back, nested columns included."""
     p = scratch(spark, "sink")
-    sk.write_json(fx.results(spark, d), p)
-    return spark.read.json(p).select("document_id", "text")
-
-
-@query("export_batch", """
-SELECT f AS format, count(*) AS n FROM documents, (VALUES ('json'), ('csv'), ('parquet')) t(f) GROUP BY f
+    df = fx.results(spark, d)
+    sk.write_json(df, p)
+    r = spark.read.schema(df.schema).json(p)
+    first = F.get("entities", 0)
+    return round_doubles(r.select(
+        "document_id", "text", "lang", "source", F.col("sentiment.label").alias("sentiment_label"),
+        F.col("sentiment.score").alias("sentiment_score"), F.col("classification.label").alias("cls_label"),
+        F.size("entities").cast("bigint").alias("n_entities"), first["text"].alias("first_entity"),
+        first["start"].cast("bigint").alias("first_start"), "processing_time", "error"))
+
+
+@query("export_batch", f"""
+WITH {FX}
+SELECT f AS format, document_id, substr(text, 1, 500) AS text, CAST(length(text) AS BIGINT) AS text_length, sent_label AS sentiment_label,
+       round(sent_score, 6) AS sentiment_score, n_entities, coalesce(error, '') AS error
+FROM fx_docs, (VALUES ('json'), ('csv'), ('parquet')) t(f)
 """)
 def q_export_batch(spark, d):
-    p = scratch(spark, "export")
-    paths = sk.export_batch(fx.results(spark, d), p)
-    j = spark.read.json(paths["json"]).agg(F.count("*").alias("n")).select(F.lit("json").alias("format"), "n")
-    c = spark.read.option("header", True).option("multiLine", True).csv(paths["csv"]).agg(F.count("*").alias("n")) \
-        .select(F.lit("csv").alias("format"), "n")
-    q = spark.read.parquet(paths["parquet"]).agg(F.count("*").alias("n")).select(F.lit("parquet").alias("format"), "n")
-    return j.unionByName(c).unionByName(q)
+    """The same rows read back from every format."""
+    df = fx.results(spark, d)
+    paths = sk.export_batch(df, scratch(spark, "export"))
+    flat = sk.flat_results_table(df).schema
+    read = spark.read.option("multiLine", True).option("header", True).option("escape", '"')
+    parts = {"json": sk.flat_results_table(spark.read.schema(df.schema).json(paths["json"])),
+             "csv": read.schema(flat).csv(paths["csv"]),
+             "parquet": sk.flat_results_table(spark.read.schema(df.schema).parquet(paths["parquet"]))}
+    out = None
+    for name, part in parts.items():
+        rows = part.select(F.lit(name).alias("format"), "document_id", "text", "text_length", "sentiment_label", "sentiment_score",
+                           F.col("entity_count").alias("n_entities"), F.coalesce("error", F.lit("")).alias("error"))
+        out = rows if out is None else out.unionByName(rows)
+    return round_doubles(out)
 
 
 _SPLIT_COUNTS = """

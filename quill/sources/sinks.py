@@ -125,14 +125,15 @@ def lookup_predictions(requests: DataFrame, cache: DataFrame, as_of, max_age_hou
     return requests.join(fresh, ["text_hash", "model_type"], "left")
 
 
-def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_json(df: DataFrame, path: str, mode: str = "overwrite", **options) -> None:
     """JSON lines; nested structs written as they are, non-ASCII kept."""
-    df.write.mode(mode).json(path)
+    df.write.mode(mode).options(**options).json(path)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header (an empty frame still gets one)."""
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", **options) -> None:
+    """CSV with a header (an empty frame still gets one); quotes doubled, outer blanks kept."""
+    df.write.mode(mode).options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+                                **options).csv(path)
 
 
 def write_lines(df: DataFrame, col: str, path: str) -> None:
@@ -141,23 +142,18 @@ def write_lines(df: DataFrame, col: str, path: str) -> None:
 
 
 def export_batch(results: DataFrame, base: str, formats=("json", "csv", "parquet"), compress: bool = True) -> dict:
-    """One result set to several formats; gzip codec instead of a zip archive."""
-    results = results.persist()
-    out = {}
-    try:
-        codec = {"compression": "gzip"} if compress else {}
-        if "json" in formats:
-            p = f"{base}/json"
-            results.write.mode("overwrite").options(**codec).json(p)
-            out["json"] = p
-        if "csv" in formats:
-            p = f"{base}/csv"
-            flat_results_table(results).write.mode("overwrite").options(header=True, **codec).csv(p)
-            out["csv"] = p
-        if "parquet" in formats:
-            p = f"{base}/parquet"
-            results.write.mode("overwrite").parquet(p)
-            out["parquet"] = p
-    finally:
-        results.unpersist()
-    return out
+    """One result set to several formats; gzip codec instead of a zip archive.
+
+    The Parquet form is written first and read back for the others, so the
+    results are computed once and nothing stays cached.
+    """
+    codec = {"compression": "gzip"} if compress else {}
+    paths = {f: f"{base}/{f}" for f in formats}
+    first = paths.get("parquet", f"{base}/_rows")
+    results.write.mode("overwrite").parquet(first)
+    rows = results.sparkSession.read.schema(results.schema).parquet(first)
+    if "json" in paths:
+        write_json(rows, paths["json"], **codec)
+    if "csv" in paths:
+        write_csv(flat_results_table(rows), paths["csv"], **codec)
+    return paths

@@ -156,3 +156,11 @@ def test_stream_alerts_equal_batch_whatever_the_files(spark, tmp_path):
     end = [(9999, dt.datetime(2024, 1, 2), "other", {}, 0.0)]
     parts = [mixed[i:i + 100] for i in range(0, 2000, 100)] + [[(9998, dt.datetime(2024, 1, 2), "m0", {"h": "z"}, 5.0)], end]
     assert streamed("many", parts, "1000 seconds") == want
+
+
+def test_csv_keeps_quotes_line_breaks_and_outer_blanks(spark, tmp_path):
+    from quill.sources import sinks as sk
+    rows = [(1, 'say "hi", then\nleave'), (2, "  blanks  "), (3, "back\\slash \"end\""), (4, ",;'")]
+    sk.write_csv(spark.createDataFrame(rows, "id long, text string"), f"{tmp_path}/c")
+    got = rd.read_csv(spark, f"{tmp_path}/c", schema="id long, text string").collect()
+    assert sorted((r.id, r.text) for r in got) == rows
