@@ -144,7 +144,7 @@ def features(text: str, span: Span) -> list[float]:
         float(d[:1] in "3456" and bool(d)), float(bool(re.search(r"[\[({]\s?(?:at|@)\s?[\])}]", low))),
         float(bool(re.search(r"(?:\bdot\b)", low))), float("@" in s), float(low.startswith("(")),
         float(bool(re.search(r"\.(?:com|org|net|edu|gov|io|de|fr|es|uk)$|(?:dot|[.])\s?[\])}]?\s?(?:com|org|net|edu|gov|io|de|fr|es|uk)$", low))),
-        float(prev.isalnum()), float(prev in "#$€£%"and prev != ""), float(nxt.isalnum()), float(nxt in "%€$" and nxt != ""),
+        float(prev.isalnum()), float(prev in "#$€£%" and prev != ""), float(nxt.isalnum()), float(nxt in "%€$" and nxt != ""),
         float(s.count(" ")) / max(1, len(groups)),
         *[float(bool(h.search(before))) for h in HINTS], float(bool(HINTS[4].search(after[:12])))]
 
