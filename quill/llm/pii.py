@@ -2,18 +2,22 @@
 
 Base spans follow four fixed patterns with their checks.  Beyond them,
 high-recall generators propose overlapping spans (written-out addresses, IPv6,
-card numbers with other separators, telephone numbers without a plus sign);
-boosted trees score each by format and context, and those at or above the
+card numbers with other separators, telephone numbers without a plus sign): of
+neighbouring digit groups, every window whose digit count fits.  Boosted trees
+score each by format, neighbours and context, and those at or above the
 calibrated threshold of their kind are added, best score first, unless they
 overlap a base span or a better one.
 
-The trees are trained on the driver on ``TRAIN_ROWS`` labelled spans from a
-seeded generator (no table labels spans); half of them fit the trees, the other
-half sets the lowest threshold with a precision of ``PRECISION``.  The model is a
-few thousand numbers, whatever the data.
+The trees are trained on the driver on the candidates of ``TRAIN_ROWS`` labelled
+texts from a seeded generator (no table labels spans), where numbers stand alone
+or beside others; half of the texts fit the trees, the other half sets the lowest
+threshold with a precision of ``PRECISION``.  The model is a few thousand numbers,
+whatever the data.
 
-Each text is scanned whole on its own, in time linear in its length: no
-shuffle, no group.  Defined cases: null or empty text has no spans; repeated
+Each text is scanned whole on its own, in time linear in its length (a digit
+group starts at most ``CARD_DIGITS`` windows); candidates are scored in blocks of
+``SCORE_ROWS``, so a text full of numbers takes no more memory: no shuffle, no
+group.  Defined cases: null or empty text has no spans; repeated
 rows get equal spans; an empty table gives an empty result.
 """
 
@@ -23,6 +27,7 @@ import functools
 import hashlib
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +41,7 @@ from quill.llm.pieces import chunks
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_ROWS, PRECISION, SEED = 6000, 0.99, 11
 CONTEXT = 40
+CARD_DIGITS, SCORE_ROWS = 19, 8192
 
 Span = tuple[str, int, int]
 
@@ -102,24 +108,39 @@ AT_WORD = re.compile(r"[A-Za-z0-9._%+-]{1,64}(?:\s?[\[({]\s?(?:at|AT|@)\s?[\])}]
                      r"|\s?@\s?[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,4})")
 AT_SIGNS = ("@", " dot ", " DOT ", "(at", "[at", "{at", "(AT", "[AT", "{AT", "( at", "[ at", "{ at")
 IPV6 = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
-GROUPS = re.compile(r"[0-9](?<![0-9A-Za-z][0-9])[0-9]{0,18}(?:[\x20().,_/-]{1,3}[0-9]{1,19})*")
-
-
-def candidates(text: str) -> list[Span]:
+GROUP = re.compile(r"(?<![0-9A-Za-z])[0-9]+")
+GAP = re.compile(r"[\x20().,_/-]{1,3}")
+
+
+def windows(text: str) -> Iterator[Span]:
+    """Every run of neighbouring digit groups that holds as many digits as a telephone or card number."""
+    # groups of the current run that a window can still start at
+    run: list[tuple[int, int]] = []
+    for m in GROUP.finditer(text):
+        a, b = m.span()
+        if run and not GAP.fullmatch(text, run[-1][1], a):
+            run = []
+        run.append((a, b))
+        n, k = 0, len(run)
+        while k and n + run[k - 1][1] - run[k - 1][0] <= CARD_DIGITS:
+            k -= 1
+            start = run[k][0]
+            n += run[k][1] - start
+            first = start - (start > 0 and text[start - 1] in "(+")
+            if 7 <= n <= 15:
+                yield "phone", first, b
+            if 13 <= n:
+                yield "card", start, b
+        del run[:k]
+
+
+def candidates(text: str) -> Iterator[Span]:
     """High-recall proposals; they may overlap."""
-    out: list[Span] = []
     if any(s in text for s in AT_SIGNS):
-        out += [("email", m.start(), m.end()) for m in AT_WORD.finditer(text)]
+        yield from (("email", m.start(), m.end()) for m in AT_WORD.finditer(text))
     if ":" in text:
-        out += [("ip", m.start(), m.end()) for m in IPV6.finditer(text)]
-    for m in GROUPS.finditer(text):
-        n = len(digits_of(m[0]))
-        a = m.start() - (m.start() > 0 and text[m.start() - 1] == "(")
-        if 7 <= n <= 15:
-            out.append(("phone", a, m.end()))
-        if 13 <= n <= 19:
-            out.append(("card", a, m.end()))
-    return out
+        yield from (("ip", m.start(), m.end()) for m in IPV6.finditer(text))
+    yield from windows(text)
 
 
 HINTS = [re.compile(p, re.I) for p in (
@@ -128,12 +149,26 @@ HINTS = [re.compile(p, re.I) for p in (
     r"\b(?:order|invoice|isbn|issn|version|ticket|ref|reference|serial|date|page|no|nr|id|sum|total|population)\b")]
 
 
+BEFORE_GROUP, AFTER_GROUP = re.compile(r"([0-9]+)([\x20().,_/+-]{1,4})\Z"), re.compile(r"([\x20().,_/+-]{1,4})([0-9]+)")
+
+
+def neighbours(text: str, a: int, b: int, gaps: list[str]) -> list[float]:
+    """The digit groups beside a candidate: digits, gap and whether the gap is one of its own."""
+    p, n = BEFORE_GROUP.search(text[max(0, a - 24):a]), AFTER_GROUP.match(text, b, b + 24)
+    left, before = p.groups() if p else ("", "")
+    after, right = n.groups() if n else ("", "")
+    return [len(left), len(before), float("," in before), float(before != "" and before in gaps),
+            len(right), len(after), float("," in after), float(after != "" and after in gaps)]
+
+
 def features(text: str, span: Span) -> list[float]:
-    """Format and context of a candidate."""
+    """Format, neighbours and context of a candidate."""
     kind, a, b = span
     s = text[a:b]
     d = digits_of(s)
-    groups = [len(x) for x in re.findall(r"[0-9]+", s)] or [0]
+    words = re.findall(r"[0-9]+", s)
+    groups = [len(x) for x in words] or [0]
+    gaps = re.findall(r"(?<=[0-9])[^0-9]+(?=[0-9])", s)
     before, after = text[max(0, a - CONTEXT):a], text[b:b + CONTEXT]
     prev, nxt = text[a - 1:a], text[b:b + 1]
     low = s.lower()
@@ -145,7 +180,9 @@ def features(text: str, span: Span) -> list[float]:
         float(bool(re.search(r"(?:\bdot\b)", low))), float("@" in s), float(low.startswith("(")),
         float(bool(re.search(r"\.(?:com|org|net|edu|gov|io|de|fr|es|uk)$|(?:dot|[.])\s?[\])}]?\s?(?:com|org|net|edu|gov|io|de|fr|es|uk)$", low))),
         float(prev.isalnum()), float(prev in "#$€£%" and prev != ""), float(nxt.isalnum()), float(nxt in "%€$" and nxt != ""),
-        float(s.count(" ")) / max(1, len(groups)),
+        float(s.count(" ")) / max(1, len(groups)), float(prev == "+" or s[:1] == "+"), len(set(gaps)),
+        float(bool(words) and len(words[0]) == 4 and words[0][:2] in ("19", "20")), float(groups[1] if len(groups) > 1 else 0),
+        *neighbours(text, a, b, gaps),
         *[float(bool(h.search(before))) for h in HINTS], float(bool(HINTS[4].search(after[:12])))]
 
 
@@ -164,14 +201,37 @@ def _word(r: random.Random) -> str:
     return "".join(r.choice(["th", "er", "on", "an", "re", "ha", "es", "in", "ou", "ti"]) for _ in range(r.randint(1, 4)))
 
 
-def labelled(rows: int = TRAIN_ROWS, seed: int = SEED) -> Iterator[tuple[str, str, int, int, bool]]:
-    """Seeded labelled candidates: kind, text, start, end and whether it is personal data."""
+PHONES = ("({}) {}-{}", "({}) {} {}", "{}-{}-{}")
+
+
+def _phone(r: random.Random, plus: bool = False) -> str:
+    if r.random() < 0.25:
+        return f"0{_number(r, 3)} {_number(r, 7)}"
+    if plus and r.random() < 0.3:  # the base pattern may take it together with a number behind it
+        return f"+{r.randint(1, 99)} " + r.choice(PHONES).format(_number(r, 3), _number(r, 3), _number(r, 4))
+    return r.choice(PHONES).format(_number(r, 3), _number(r, 3), _number(r, 4))
+
+
+def _plain_number(r: random.Random) -> str:
+    """A number that is no personal data."""
+    return r.choice([lambda: _number(r, r.randint(1, 6)), lambda: r.choice(["19", "20"]) + _number(r, 2),
+                     lambda: f"20{_number(r, 2)}-{_number(r, 2)}-{_number(r, 2)}",
+                     lambda: f"{_number(r, 2)}.{_number(r, 2)}.{_number(r, 4)}", lambda: f"{_number(r, 1)},{_number(r, 3)}",
+                     lambda: f"{_number(r, 2)}.{_number(r, 2)}", lambda: f"{_number(r, 2)}.{r.randrange(256)}.0.{r.randrange(256)}"])()
+
+
+BESIDE = (" ", ", ", ", ", " - ", " / ", "/", ". ", "; ", " and ", " or ")
+
+
+def examples(rows: int = TRAIN_ROWS, seed: int = SEED) -> Iterator[tuple[Span, str, bool, list[Span]]]:
+    """Seeded labelled candidates: span, text, whether it is personal data, and all personal data of the text."""
     r = random.Random(seed)
     tld = ["com", "org", "net", "de", "fr"]
     made = 0
     while made < rows:
         kind = r.choice(KINDS)
         good = r.random() < 0.5
+        beside = r.random() < 0.5  # other numbers beside a card or telephone number
         say = ""
         if kind == "email":
             name, site = _word(r) + r.choice(["", ".", "_"]) + _word(r), _word(r)
@@ -191,7 +251,7 @@ def labelled(rows: int = TRAIN_ROWS, seed: int = SEED) -> Iterator[tuple[str, st
                               ":".join(_number(r, 1) for _ in range(4))])
         elif kind == "card":
             if good:
-                c, sep = _card(r), r.choice([".", "_", "/", "  ", " - "])
+                c, sep = _card(r), r.choice([".", "_", "/", "  ", " - "] + ["", "", " ", "-"] * beside)
                 s = sep.join([c[:4], c[4:8], c[8:12], c[12:]])
                 say = r.choice(["", "card ", "visa ", "paid by credit card "])
             else:
@@ -202,53 +262,114 @@ def labelled(rows: int = TRAIN_ROWS, seed: int = SEED) -> Iterator[tuple[str, st
                     continue
         else:
             if good:
-                s = r.choice([f"({_number(r, 3)}) {_number(r, 3)}-{_number(r, 4)}", f"({_number(r, 3)}) {_number(r, 3)} {_number(r, 4)}",
-                              f"{_number(r, 3)}-{_number(r, 3)}-{_number(r, 4)}", f"0{_number(r, 3)} {_number(r, 7)}"])
-                say = r.choice(["call ", "phone ", "tel ", "mobile "]) if s[0] != "(" or r.random() < 0.5 else ""
+                s = _phone(r, beside)
+                say = r.choice(["call ", "phone ", "tel ", "mobile "]) if s[0] not in "(+" or r.random() < 0.5 else ""
             else:
                 s = r.choice([_number(r, r.randint(7, 15)), f"20{_number(r, 2)}-{_number(r, 2)}-{_number(r, 2)}", f"{_number(r, 2)}.{_number(r, 2)}.{_number(r, 4)}",
                               f"{_number(r, 3)},{_number(r, 3)},{_number(r, 3)}", ", ".join(_number(r, 2) for _ in range(4)),
                               f"{_number(r, 3)}-{_number(r, 3)}-{_number(r, 4)}", f"{_number(r, 1)}.{_number(r, 1)}.{_number(r, 5)}"])
                 say = r.choice(["", "order ", "invoice ", "version ", "total ", "page "])
+        before, after, other = "", "", []
+        if beside and kind in ("card", "phone"):
+            where = r.choice(["before", "after", "both"])
+            if where != "after":
+                before = _plain_number(r) + r.choice(BESIDE)
+            if where != "before":
+                after = r.choice(BESIDE)
+                if good and r.random() < 0.6:  # a second one, written alike or not
+                    t = _card(r) if kind == "card" else _phone(r, True)
+                    if kind == "card" and r.random() < 0.7:
+                        t = sep.join([t[:4], t[4:8], t[8:12], t[12:]])
+                    other = [(len(after), len(after) + len(t))]
+                    after += t
+                else:
+                    after += _plain_number(r)
         left = " ".join(_word(r) for _ in range(r.randint(0, 6)))
-        left = (left + " " if left else "") + say
+        left = (left + " " if left else "") + (say + before if r.random() < 0.5 else before + say)
+        a, b = len(left), len(left) + len(s)
+        text = left + s + after + " " + " ".join(_word(r) for _ in range(r.randint(0, 5)))
+        if good and kind in ("card", "phone") and not clear((kind, a, b), *union(base_spans(text))):
+            continue  # the base patterns find it
         made += 1
-        yield kind, left + s + " " + " ".join(_word(r) for _ in range(r.randint(0, 5))), len(left), len(left) + len(s), good
+        yield (kind, a, b), text, good, [(kind, a, b)] * good + [(kind, b + x, b + y) for x, y in other]
+
+
+def labelled(rows: int = TRAIN_ROWS, seed: int = SEED) -> Iterator[tuple[str, str, int, int, bool]]:
+    """Seeded labelled candidates: kind, text, start, end and whether it is personal data."""
+    for (kind, a, b), text, good, _ in examples(rows, seed):
+        yield kind, text, a, b, good
 
 
 @functools.cache
 def trained(rows: int = TRAIN_ROWS, precision: float = PRECISION, seed: int = SEED) -> dict[str, tuple[Boost, float]]:
     """A model and a calibrated threshold for each kind."""
-    sample = list(labelled(rows, seed))
+    x: dict[str, list[list[float]]] = {k: [] for k in KINDS}
+    y: dict[str, list[float]] = {k: [] for k in KINDS}
+    held: dict[str, list[bool]] = {k: [] for k in KINDS}
+    for i, (span, text, _, true) in enumerate(examples(rows, seed)):
+        taken = union(base_spans(text))
+        for c in dict.fromkeys([span, *candidates(text)]):
+            if c == span or clear(c, *taken):
+                x[c[0]].append(features(text, c))
+                y[c[0]].append(float(c in true))
+                held[c[0]].append(i % 2 == 1)
     out = {}
     for kind in KINDS:
-        own = [x for x in sample if x[0] == kind]
-        x = np.array([features(t, (kind, a, b)) for _, t, a, b, _ in own])
-        y = np.array([float(g) for *_, g in own])
-        fit = np.arange(len(y)) % 2 == 0
-        model = Boost().fit(x[fit], y[fit])
-        out[kind] = model, max(0.5, calibrated_threshold(model.score(x[~fit]), y[~fit], precision))
+        rows_x, truth, test = np.array(x[kind]), np.array(y[kind]), np.array(held[kind])
+        model = Boost().fit(rows_x[~test], truth[~test])
+        out[kind] = model, max(0.5, calibrated_threshold(model.score(rows_x[test]), truth[test], precision))
     return out
 
 
-def overlaps(c: Span, spans: list[Span]) -> bool:
-    return any(c[1] < b and a < c[2] for _, a, b in spans)
+def union(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Sorted starts and ends of the disjoint stretches that spans cover."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, a, b in sorted(spans, key=lambda s: s[1]):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def clear(c: Span, starts: list[int], ends: list[int]) -> bool:
+    """Whether a span overlaps none of the stretches."""
+    k = bisect_right(ends, c[1])
+    return k == len(ends) or c[2] <= starts[k]
 
 
 def all_spans(texts: list[str], models: dict[str, tuple[Boost, float]]) -> list[tuple[list[Span], list[Span]]]:
-    """Base and added spans of each text; the candidates of all texts are scored together."""
+    """Base and added spans of each text; the candidates of all texts are scored together, in blocks."""
     base = [base_spans(t) for t in texts]
-    found = [(i, c) for i, t in enumerate(texts) for c in candidates(t) if not overlaps(c, base[i])]
+    taken = [union(b) for b in base]
     added: list[list[Span]] = [[] for _ in texts]
     scored: list[tuple[float, int, Span]] = []
-    for kind in KINDS:
-        own = [(i, c) for i, c in found if c[0] == kind]
+    waiting: dict[str, list[tuple[int, Span]]] = {k: [] for k in KINDS}
+
+    def judge(kind: str) -> None:
+        own = waiting[kind]
         if own:
             model, least = models[kind]
             s = model.score(np.array([features(texts[i], c) for i, c in own]))
-            scored += [(-float(p), i, c) for p, (i, c) in zip(s, own, strict=True) if p >= least]
+            scored.extend((-float(p), i, c) for p, (i, c) in zip(s, own, strict=True) if p >= least)
+            own.clear()
+
+    for i, t in enumerate(texts):
+        for c in candidates(t):
+            if clear(c, *taken[i]):
+                waiting[c[0]].append((i, c))
+                if len(waiting[c[0]]) == SCORE_ROWS:
+                    judge(c[0])
+    for kind in KINDS:
+        judge(kind)
     for _, i, c in sorted(scored, key=lambda x: (x[0], x[1], x[2][1], x[2])):
-        if not overlaps(c, added[i]):
+        starts, ends = taken[i]
+        if clear(c, starts, ends):
+            k = bisect_right(starts, c[1])
+            starts.insert(k, c[1])
+            ends.insert(k, c[2])
             added[i].append(c)
     return list(zip(base, added, strict=True))
 

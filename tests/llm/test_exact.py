@@ -234,6 +234,56 @@ def test_pii_table(docs):
     assert Counter(tuple(r) for r in pii.find_pii(df).collect()) == want
 
 
+def test_pii_windows_are_all_proposed():
+    import re
+    r = random.Random(6)
+    bits = ["1", "234", "5678", "(555)", "4111111111111111", "12345678901234567890", " ", ", ", "-", " - ", "a", "+", "    "]
+    for _ in range(3000):
+        t = "".join(r.choice(bits) for _ in range(r.randint(0, 16)))
+        groups = [m.span() for m in re.finditer(r"(?<![0-9A-Za-z])[0-9]+", t)]
+        want = set()
+        for i, (a, _) in enumerate(groups):
+            for j in range(i, len(groups)):
+                if j > i and not re.fullmatch(r"[ ().,_/-]{1,3}", t[groups[j - 1][1]:groups[j][0]]):
+                    break
+                n = len(pii.digits_of(t[a:groups[j][1]]))
+                if 7 <= n <= 15:
+                    want.add(("phone", a - (t[max(0, a - 1):a] in ("(", "+")), groups[j][1]))
+                if 13 <= n <= 19:
+                    want.add(("card", a, groups[j][1]))
+        got = list(pii.windows(t))
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_pii_beside_other_numbers():
+    models = pii.trained()
+    for text, want in (("call 555-123-4567, 555-987-6543 now", ["555-123-4567", "555-987-6543"]),
+                       ("in 2023 (555) 123-4567", ["(555) 123-4567"]), ("10.0.0.1, (555) 123-4567", ["(555) 123-4567"]),
+                       ("x 7536784127813050 4845168114407329 y", ["7536784127813050", "4845168114407329"]),
+                       ("to +1 (826) 555-4081 190.137.223.204 at", ["+1 (826) 555-4081"]),
+                       ("on 2023-05-17 the 12, 13, 14, 15, 16 of 1,299.00", [])):
+        _, added = pii.all_spans([text], models)[0]
+        assert sorted(text[a:b] for _, a, b in added) == sorted(want)
+
+
+def test_pii_neighbours_on_held_out_texts():
+    models = pii.trained()
+    exact = false = missed = 0
+    for _, text, _, true in pii.examples(1500, seed=98):
+        base, added = pii.all_spans([text], models)[0]
+        exact += sum(s in true for s in added)
+        false += sum(s not in true for s in added)
+        missed += sum(s not in added and s not in base for s in true)
+    assert exact > 500 and false <= 0.03 * exact and missed < 0.1 * exact
+
+
+def test_pii_many_numbers_in_one_text():
+    models = pii.trained()
+    parts = [f"call 555-123-{i:04}, 555-987-{i:04} or" for i in range(1500)]
+    _, added = pii.all_spans([" ".join(parts)], models)[0]
+    assert len(added) > 2900
+
+
 def test_weighted_collisions_follow_generalised_jaccard():
     a, b = "x x x y y z " + "u " * 9, "x y y y z w " + "u " * 4
     ca, cb = Counter(a.split()), Counter(b.split())
