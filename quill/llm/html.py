@@ -1,8 +1,9 @@
 """Main text of web pages by site template removal.
 
 1. Every page is parsed into elements; the hashes of the element subtrees that
-   could be template (outside the main content and not around it) are counted
-   per host in Spark, once a page, combined map-side.
+   could be template are counted per host in Spark: the subtrees outside the main
+   content and not around it, and inside it the boxes.  Pages of equal text count
+   once, so the passages of a page with many copies are no template.
 2. A subtree found on at least ``MIN_PAGES`` pages and ``MIN_SHARE`` of the pages
    of its host is template.  As a page has few elements, a host has at most
    (elements a page) / ``MIN_SHARE`` of them, however many pages it has; the
@@ -12,7 +13,9 @@
 
 Main content is the outermost ``article`` or ``main`` elements, or the body when
 there are none.  A passage that many articles share is article text: inside
-``article`` and ``main`` no subtree counts as template.
+``article`` and ``main`` only a box can be template, that is one of ``BOXES`` with
+a class, id or role of its own and not most of the text (an author or subscribe
+box, an advert).  Paragraphs, headings, lists and tables are prose.
 
 Text: character references decoded, white space inside a block turned into one
 space and trimmed, blocks joined by a line feed in page order.
@@ -63,6 +66,8 @@ BOILER_NAMES = frozenset(
     "notices nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget widgets "
     "comment comments disqus respond share sharing social related newsletter subscribe popup modal pagination pager "
     "toolbar login signup".split())
+BOXES = frozenset("div section details fieldset center address ins".split())
+UNSEEN = frozenset("head script style noscript template textarea title iframe object embed svg canvas math".split())
 NAME_PARTS = re.compile(r"[^a-z0-9]+")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 TOKEN_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -70,13 +75,14 @@ ATTR = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "hash", "main")
+    __slots__ = ("tag", "attrs", "kids", "hash", "main", "size")
 
     def __init__(self, tag: str, attrs: str) -> None:
         self.tag, self.attrs = tag, attrs
         self.kids: list = []
         self.hash = 0
         self.main = False  # is main content or holds it
+        self.size = 0  # characters of text, without white space
 
 
 def tokens(html: str) -> Iterator[tuple[str, str, str]]:
@@ -152,45 +158,74 @@ def _end(stack: list[Node], ended, within) -> None:
 
 
 def post_order(root: Node) -> list[Node]:
-    """Elements with children before parents; main content is not entered."""
+    """Elements with children before parents."""
     out, todo = [], [root]
     while todo:
         node = todo.pop()
         out.append(node)
-        if node.tag not in ("article", "main"):
-            todo += [k for k in node.kids if isinstance(k, Node)]
+        todo += [k for k in node.kids if isinstance(k, Node)]
     return out[::-1]
 
 
 def hash_subtrees(root: Node) -> list[Node]:
-    """Sets ``hash`` (tag, attributes, text, children) and ``main`` of the elements outside main content."""
+    """Sets ``hash`` (tag, attributes, text, children), ``main`` and ``size`` of all elements."""
     nodes = post_order(root)
     for node in nodes:
-        if node.tag in ("article", "main"):
-            node.main = True
-            continue
+        node.main = node.tag in ("article", "main")
         h = xxhash.xxh64(f"{node.tag} {node.attrs}".encode("utf-8", "replace"))
         for k in node.kids:
             if isinstance(k, Node):
                 h.update(k.hash.to_bytes(8, "little"))
                 node.main |= k.main
+                node.size += k.size
             elif t := " ".join(k.split()):
                 h.update(b"\x00" + t.encode("utf-8", "replace"))
+                node.size += len(t) - t.count(" ")
         node.hash = h.intdigest()
+        if node.tag in UNSEEN:
+            node.size = 0
     return nodes
 
 
+def main_size(root: Node) -> int:
+    """Characters of the main content."""
+    if not root.main:
+        return root.size
+    size, todo = 0, [root]
+    while todo:
+        node = todo.pop()
+        if node.tag in ("article", "main"):
+            size += node.size
+        else:
+            todo += [k for k in node.kids if isinstance(k, Node) and k.main]
+    return size
+
+
+def is_box(node: Node, total: int) -> bool:
+    """A container with markup of its own that holds neither main content nor half of the text (``total``)."""
+    return (node.tag in BOXES and not node.main and 2 * node.size < total
+            and any(a[0].lower() in ("class", "id", "role") for a in ATTR.findall(node.attrs)))
+
+
+def signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
 def template_candidates(root: Node) -> set[int]:
-    """Hashes of the subtrees neither in nor around main content, as signed 64-bit numbers."""
+    """Hashes of the subtrees neither in nor around main content and of the boxes inside, as signed 64-bit numbers."""
     out: set[int] = set()
-    todo = [root]
+    total = main_size(root)
+    todo: list[tuple[Node, bool]] = [(root, False)]
     while todo:
-        node = todo.pop()
+        node, inside = todo.pop()
         if node.tag in ("article", "main"):
-            continue
-        if not node.main and node is not root and node.tag not in ("head", "body"):
-            out.add(node.hash - (1 << 64) if node.hash >> 63 else node.hash)
-        todo += [k for k in node.kids if isinstance(k, Node)]
+            inside = True
+        elif inside:
+            if is_box(node, total):
+                out.add(signed(node.hash))
+        elif not node.main and node is not root and node.tag not in ("head", "body"):
+            out.add(signed(node.hash))
+        todo += [(k, inside) for k in node.kids if isinstance(k, Node)]
     return out
 
 
@@ -221,7 +256,7 @@ def main_text(root: Node, template: set[int]) -> str:
             blocks.append(t)
         line.clear()
 
-    whole = not root.main
+    whole, total = not root.main, main_size(root)
     # (node or text or None for "a block ends", inside main content)
     todo: list[tuple[object, bool]] = [(root, whole)]
     while todo:
@@ -237,8 +272,8 @@ def main_text(root: Node, template: set[int]) -> str:
                 if inside and node.tag in BLOCK:
                     flush()
                 continue
-            signed = node.hash - (1 << 64) if node.hash >> 63 else node.hash
-            if signed in template and (whole or not inside) and not node.main and node is not root:
+            if (signed(node.hash) in template and not node.main and node is not root
+                    and (whole or not inside or is_box(node, total))):
                 if node.tag in BLOCK:
                     flush()
                 continue
@@ -261,20 +296,22 @@ def host(url: Column) -> Column:
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        lists = []
+        lists, keys = [], []
         for html in b.column(1).to_pylist():
             root = parse(html)
             hash_subtrees(root)
             lists.append(sorted(template_candidates(root)))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["host", "hashes"])
+            keys.append(signed(xxhash.xxh64_intdigest(main_text(root, set()).encode("utf-8", "replace"))))
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), pa.array(keys, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["host", "page", "hashes"])
 
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, template): hashes of the subtrees that recur on a host, from (host, html)."""
-    found = pages.select("host", "html").mapInArrow(_hashes, "host string, hashes array<long>")
-    counts = (found.select("host", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), "hashes")).alias("hash"))
-              .groupBy("host", "hash").agg(F.count("*").alias("n")))
-    # the null hash counts the pages of a host
+    found = pages.select("host", "html").mapInArrow(_hashes, "host string, page long, hashes array<long>")
+    # pages of equal text count once; the null hash counts the pages of a host
+    counts = (found.select("host", "page", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), "hashes")).alias("hash"))
+              .distinct().groupBy("host", "hash").agg(F.count("*").alias("n")))
     counts = materialise(counts.filter((F.col("n") >= min_pages) | F.col("hash").isNull()), "subtree-counts")
     total = counts.filter(F.col("hash").isNull()).select("host", F.col("n").alias("pages"))
     kept = counts.filter(F.col("hash").isNotNull()).join(total, "host").filter(F.col("n") >= F.col("pages") * min_share)

@@ -379,6 +379,25 @@ def test_html_shared_article_passages_stay(spark):
         assert r.text == f"Shared passage of all\nOwn {r.page_id}"
 
 
+def test_html_boxes_inside_articles_go(spark):
+    box = "<div class='who-wrote'><p>By Ann, who writes about <b>things</b></p><ul><li>Follow her</ul></div>"
+    head, shared = "<h2 class=t>Introduction</h2>", "<p class=lead>Shared passage of all</p><div><p>and bare boxes</p></div>"
+    rows = [page(i, "http://h.example/", f"<body><article>{head}<p>Own {i}</p>{box}{shared}</article>") for i in range(20)]
+    # copies of one article: its boxes recur with it only; and a box on fewer pages than a template has
+    rows += [page(100 + i, "http://copies.example/", "<article><div class=a><p>One</p></div><div class=b><p>Two</p></div>"
+                  "<div class=c>Three</div></article>") for i in range(20)]
+    rows += [page(200 + i, "http://few.example/", f"<article><p>Own {i}</p>{box if i < 3 else ''}</article>") for i in range(20)]
+    # a box that is most of the text stays
+    rows += [page(300 + i, "http://most.example/", f"<main><p>{i}</p><div class=body>All of the text of this page</div></main>")
+             for i in range(20)]
+    for r in html.extract_pages(spark.createDataFrame(rows, PAGES).repartition(3)).collect():
+        i = r.page_id % 100
+        want = {0: f"Introduction\nOwn {i}\nShared passage of all\nand bare boxes", 1: "One\nTwo\nThree",
+                2: f"Own {i}" + "\nBy Ann, who writes about things\nFollow her" * (i < 3),
+                3: f"{i}\nAll of the text of this page"}[r.page_id // 100]
+        assert r.text == want
+
+
 # --- all of them on empty tables ----------------------------------------------------------------
 
 def test_empty_tables(spark, tmp_path):
