@@ -9,7 +9,10 @@
    (elements a page) / ``MIN_SHARE`` of them, however many pages it has; the
    per-host lists are written first, so their size decides how they are joined.
 3. Each page drops its template subtrees and the elements that are boilerplate
-   by tag, role, class or id; the rest of its main content is the text.
+   by tag, role, class or id; the rest of its main content is the text.  A name is
+   boilerplate as a whole (``sidebar``) or as a compound of known parts
+   (``share-bar``), not for a part alone (``has-sidebar``).  What holds main content
+   or most of the text is no boilerplate by role, class or id.
 
 Main content is the outermost ``article`` or ``main`` elements, or the body when
 there are none.  A passage that many articles share is article text: inside
@@ -66,8 +69,16 @@ BOILER_NAMES = frozenset(
     "notices nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget widgets "
     "comment comments disqus respond share sharing social related newsletter subscribe popup modal pagination pager "
     "toolbar login signup".split())
+COMPOUND_PARTS = frozenset(
+    "site page main top bottom left right global primary secondary sub mobile desktop bar box list links link buttons "
+    "button icons icon wrapper wrap container section area block slot unit inner item items form panel overlay message "
+    "tabs toggle count posts articles stories blog google".split())
+OWN_PARTS = frozenset("post article entry".split())
+NUMBER_PART = re.compile(r"[0-9]+(?:x[0-9]+)?")
+# tags that hold main content only if no other is there
+LANDMARKS = frozenset("nav aside footer menu dialog".split())
+WRAPPERS = LANDMARKS | {"form", "header"}
 BOXES = frozenset("div section details fieldset center address ins".split())
-UNSEEN = frozenset("head script style noscript template textarea title iframe object embed svg canvas math".split())
 NAME_PARTS = re.compile(r"[^a-z0-9]+")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 TOKEN_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -82,7 +93,7 @@ class Node:
         self.kids: list = []
         self.hash = 0
         self.main = False  # is main content or holds it
-        self.size = 0  # characters of text, without white space
+        self.size = 0  # characters of text that no tag drops, without white space
 
 
 def tokens(html: str) -> Iterator[tuple[str, str, str]]:
@@ -182,7 +193,7 @@ def hash_subtrees(root: Node) -> list[Node]:
                 h.update(b"\x00" + t.encode("utf-8", "replace"))
                 node.size += len(t) - t.count(" ")
         node.hash = h.intdigest()
-        if node.tag in UNSEEN:
+        if node.tag in SKIP and node.tag != "form":
             node.size = 0
     return nodes
 
@@ -201,6 +212,17 @@ def main_size(root: Node) -> int:
     return size
 
 
+def reached(root: Node) -> bool:
+    """Whether some main content lies in none of ``LANDMARKS``."""
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if node.tag in ("article", "main"):
+            return True
+        todo += [k for k in node.kids if isinstance(k, Node) and k.main and k.tag not in LANDMARKS]
+    return False
+
+
 def is_box(node: Node, total: int) -> bool:
     """A container with markup of its own that holds neither main content nor half of the text (``total``)."""
     return (node.tag in BOXES and not node.main and 2 * node.size < total
@@ -229,19 +251,29 @@ def template_candidates(root: Node) -> set[int]:
     return out
 
 
-def is_boilerplate(node: Node, inside_main: bool) -> bool:
-    """By tag, role, class and id; an article's own header (its title) stays."""
+def boiler_name(word: str, inside_main: bool) -> bool:
+    """Whether a class or id names boilerplate, as a whole or as a compound of known parts."""
+    parts = [p for p in NAME_PARTS.split(word) if p]
+    own_header = inside_main or not OWN_PARTS.isdisjoint(parts)  # holds the title
+    boiler = [p for p in parts if p in BOILER_NAMES and not (own_header and p == "header")]
+    return bool(boiler) and all(p in BOILER_NAMES or p in COMPOUND_PARTS or p in OWN_PARTS or NUMBER_PART.fullmatch(p)
+                                for p in parts)
+
+
+def is_boilerplate(node: Node, inside_main: bool, spared: bool = False) -> bool:
+    """By tag, role, class and id; an article's own header (its title) stays, and what is ``spared`` goes by no name."""
     if node.tag in SKIP or (node.tag == "header" and not inside_main):
-        return True
-    if not node.attrs or "=" not in node.attrs:
-        return bool(node.attrs) and "hidden" in node.attrs.lower().split()
+        return not (spared and node.tag in WRAPPERS)
+    if not node.attrs or spared:
+        return False
+    if "=" not in node.attrs:
+        return "hidden" in node.attrs.lower().split()
     for name, *values in ATTR.findall(node.attrs):
         name, value = name.lower(), "".join(values).lower()
         if name == "role" and value in BOILER_ROLES:
             return True
         if name in ("class", "id") and node.tag not in ("body", "article", "main"):
-            parts = {p for word in value.split() for p in NAME_PARTS.split(word)}
-            if parts & (BOILER_NAMES - {"header"} if inside_main else BOILER_NAMES):
+            if any(boiler_name(word, inside_main) for word in value.split()):
                 return True
     return False
 
@@ -257,6 +289,13 @@ def main_text(root: Node, template: set[int]) -> str:
         line.clear()
 
     whole, total = not root.main, main_size(root)
+    plain = reached(root)
+
+    def spared(node: Node, inside: bool) -> bool:
+        if inside:
+            return 2 * node.size > total
+        return node.main and not (plain and node.tag in LANDMARKS)
+
     # (node or text or None for "a block ends", inside main content)
     todo: list[tuple[object, bool]] = [(root, whole)]
     while todo:
@@ -268,7 +307,9 @@ def main_text(root: Node, template: set[int]) -> str:
                 line.append(node)
         else:
             starts = node.tag in ("article", "main")
-            if is_boilerplate(node, inside and not whole):
+            if starts and not inside:
+                pass  # main content itself
+            elif is_boilerplate(node, inside and not whole, spared(node, inside)):
                 if inside and node.tag in BLOCK:
                     flush()
                 continue

@@ -398,6 +398,38 @@ def test_html_boxes_inside_articles_go(spark):
         assert r.text == want
 
 
+def text_of(html_text):
+    root = html.parse(html_text)
+    html.hash_subtrees(root)
+    return html.main_text(root, set())
+
+
+def test_html_wrappers_of_the_main_content_stay():
+    art = "<article><h1>T</h1><p>Own text</p></article>"
+    for wrapped in (f"<div class='layout has-sidebar'>{art}</div>", f"<div id='page-header-fixed'>{art}</div>",
+                    f"<form action=/x>{art}<input></form>", f"<div class='page sidebar'>{art}</div>", f"<aside>{art}</aside>",
+                    f"<div role=search><div class=menu>{art}</div></div>", f"<header>{art}</header>"):
+        for around in ("{}", "<body><nav>Menu</nav>{}<div class=sidebar>Other</div><footer>f</footer>"):
+            assert text_of(around.format(wrapped)) == "T\nOwn text", wrapped
+    # without article or main: what holds most of the text
+    for start, end in (("<form>", "</form>"), ("<div class=sidebar>", "</div>"), ("<div class='has-sidebar'>", "</div>")):
+        assert text_of(f"<body><nav>A long menu of this site</nav>{start}<p>Own text of the page{end}<div class=menu>Go</div>") \
+            == "Own text of the page"
+    assert text_of(f"<main><div class=sidebar>{art}</div><div class=related>more</div></main>") == "T\nOwn text"
+    assert text_of(f"<aside><article>Teaser</article></aside><main>{art}</main>") == "T\nOwn text"
+
+
+def test_html_names_count_as_a_whole():
+    parts = {"market-share": 1, "related-work": 1, "no-comments": 1, "has-sidebar": 1, "cookie-recipes": 1, "post-header": 1,
+             "share-bar": 0, "comments": 0, "ad": 0, "ad-300x250": 0, "site_nav": 0, "post-comments": 0, "related-posts": 0,
+             "cookie-notice": 0, "widget-12": 0}
+    for name, stays in parts.items():
+        for key in ("class", "id"):
+            want = "The text of the article\nPart" if stays else "The text of the article"
+            assert text_of(f"<article><p>The text of the article</p><section {key}='{name}'><p>Part</p></section></article>") == want, name
+            assert text_of(f"<p>The text of the article</p><div {key}='x {name}'><p>Part</p></div>") == want, name
+
+
 # --- all of them on empty tables ----------------------------------------------------------------
 
 def test_empty_tables(spark, tmp_path):
