@@ -4,10 +4,10 @@
    could be template are counted per host in Spark: the subtrees outside the main
    content and not around it, and inside it the boxes.  Pages of equal text count
    once, so the passages of a page with many copies are no template.
-2. A subtree found on at least ``MIN_PAGES`` pages and ``MIN_SHARE`` of the pages
-   of its host is template.  As a page has few elements, a host has at most
-   (elements a page) / ``MIN_SHARE`` of them, however many pages it has; the
-   per-host lists are written first, so their size decides how they are joined.
+2. A subtree found on at least ``MIN_PAGES`` pages of its host is template; on a
+   host so large that as many may agree by chance, ``MIN_SHARE`` of its pages, but
+   never more than ``ENOUGH_PAGES``.  The templates are joined back to the hashes
+   of each page, so no list grows with the host.
 3. Each page drops its template subtrees and the elements that are boilerplate
    by tag, role, class or id; the rest of its main content is the text.  A name is
    boilerplate as a whole (``sidebar``) or as a compound of known parts
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from quill.llm.common import materialise
 
-MIN_PAGES, MIN_SHARE = 5, 0.1
+MIN_PAGES, MIN_SHARE, ENOUGH_PAGES = 5, 0.001, 100
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -233,9 +233,10 @@ def signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def template_candidates(root: Node) -> set[int]:
-    """Hashes of the subtrees neither in nor around main content and of the boxes inside, as signed 64-bit numbers."""
-    out: set[int] = set()
+def template_candidates(root: Node) -> tuple[set[int], set[int]]:
+    """Hashes of the subtrees neither in nor around main content, and of the boxes inside, as signed 64-bit numbers."""
+    outer: set[int] = set()
+    boxes: set[int] = set()
     total = main_size(root)
     todo: list[tuple[Node, bool]] = [(root, False)]
     while todo:
@@ -244,11 +245,11 @@ def template_candidates(root: Node) -> set[int]:
             inside = True
         elif inside:
             if is_box(node, total):
-                out.add(signed(node.hash))
+                boxes.add(signed(node.hash))
         elif not node.main and node is not root and node.tag not in ("head", "body"):
-            out.add(signed(node.hash))
+            outer.add(signed(node.hash))
         todo += [(k, inside) for k in node.kids if isinstance(k, Node)]
-    return out
+    return outer, boxes
 
 
 def boiler_name(word: str, inside_main: bool) -> bool:
@@ -336,27 +337,41 @@ def host(url: Column) -> Column:
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lists = pa.list_(pa.int64())
     for b in batches:
-        lists, keys = [], []
-        for html in b.column(1).to_pylist():
+        texts, own, other = [], [], []
+        for html in b.column(2).to_pylist():
             root = parse(html)
             hash_subtrees(root)
-            lists.append(sorted(template_candidates(root)))
-            keys.append(signed(xxhash.xxh64_intdigest(main_text(root, set()).encode("utf-8", "replace"))))
+            outer, boxes = template_candidates(root)
+            # beside main content nothing is text: those subtrees are counted only
+            own.append(sorted(boxes if root.main else outer))
+            other.append(sorted(outer - boxes) if root.main else [])
+            texts.append(signed(xxhash.xxh64_intdigest(main_text(root, set()).encode("utf-8", "replace"))))
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(keys, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["host", "page", "hashes"])
+            [b.column(0), b.column(1), pa.array(texts, pa.int64()), pa.array(own, lists), pa.array(other, lists)],
+            names=["host", "page", "text", "own", "other"])
+
+
+def least_pages(pages: Column, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> Column:
+    """On how many pages of a host of ``pages`` a template is at least."""
+    return F.greatest(F.lit(min_pages), F.least(pages * min_share, F.lit(ENOUGH_PAGES)))
 
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, template): hashes of the subtrees that recur on a host, from (host, html)."""
-    found = pages.select("host", "html").mapInArrow(_hashes, "host string, page long, hashes array<long>")
+    """(host, page, template): hashes of the page's own subtrees that recur on its host, from (host, page, html)."""
+    found = materialise(pages.select("host", "page", "html").mapInArrow(
+        _hashes, "host string, page binary, text long, own array<long>, other array<long>"), "subtrees")
     # pages of equal text count once; the null hash counts the pages of a host
-    counts = (found.select("host", "page", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), "hashes")).alias("hash"))
+    every = F.concat(F.array(F.lit(None).cast("bigint")), "own", "other")
+    counts = (found.select("host", "text", F.explode(every).alias("hash"))
               .distinct().groupBy("host", "hash").agg(F.count("*").alias("n")))
     counts = materialise(counts.filter((F.col("n") >= min_pages) | F.col("hash").isNull()), "subtree-counts")
     total = counts.filter(F.col("hash").isNull()).select("host", F.col("n").alias("pages"))
-    kept = counts.filter(F.col("hash").isNotNull()).join(total, "host").filter(F.col("n") >= F.col("pages") * min_share)
-    return materialise(kept.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("template")), "templates")
+    kept = materialise(counts.filter(F.col("hash").isNotNull()).join(total, "host").filter(
+        F.col("n") >= least_pages(F.col("pages"), min_pages, min_share)).select("host", "hash"), "templates")
+    hits = found.select("host", "page", F.explode("own").alias("hash")).join(kept, ["host", "hash"])
+    return materialise(hits.groupBy("host", "page").agg(F.sort_array(F.collect_set("hash")).alias("template")), "page-templates")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,8 +389,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """page_id, url, text and n_chars of every row of (page_id, url, html)."""
-    p = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
+    p = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"),
+                     F.unhex(F.md5(F.coalesce(F.col("html"), F.lit("")))).alias("page"))
     t = site_templates(p, min_pages, min_share)
-    p = p.join(t, "host", "left").select("page_id", "url", "html", "template")
+    p = p.join(t, ["host", "page"], "left").select("page_id", "url", "html", "template")
     kind = pages.schema["page_id"].dataType.simpleString()
     return p.mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")
