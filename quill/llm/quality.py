@@ -24,9 +24,10 @@ STOP_WORDS = [
     "auf", "für", "nicht", "sich", "des", "dem", "le", "la", "les", "de", "et", "en", "un", "une", "du", "est", "que",
     "qui", "dans", "pour", "pas", "sur", "el", "los", "las", "y", "con", "por", "se", "su", "para", "al", "del", "no",
 ]
+NO_LIMIT = (1 << 63) - 1
 # (figure, lowest, highest): a document is kept when every figure lies in its closed range.
 RULES = [
-    ("n_words", 50, 1_000_000),
+    ("n_words", 50, NO_LIMIT),
     ("mean_word_chars", 2.0, 15.0),
     ("symbols_per_word", 0.0, 0.1),
     ("stop_word_share", 0.02, 1.0),

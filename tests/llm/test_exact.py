@@ -55,6 +55,13 @@ def test_quality_keeps_prose_and_rejects_junk(spark):
     assert kept == {d[0] for d in good_docs()}
 
 
+def test_quality_keeps_very_long_documents(spark):
+    text = "\n".join(" ".join(f"word{i}" if i % 10 else "the" for i in range(k, k + 100)) for k in range(0, 1_000_100, 100))
+    df = spark.createDataFrame([doc(1, text), doc(2, text + " ###" * 200_000)], DOCS)
+    got = {r.doc_id: r for r in quality.quality_rules(df).collect()}
+    assert got[1].n_words == 1_000_100 and got[1].kept and not got[2].kept
+
+
 def test_sentencepiece_equals_library(docs):
     import public_tokenizers
     import sentencepiece
