@@ -45,4 +45,4 @@ def q_grid_search(spark, d):
 @query("random_search", None)
 def q_random_search(spark, d):
     train, valid, _ = splits(spark, d)
-    return tr.random_search(spark, train, valid, {"reg_param": (0.0, 0.3), "max_iter": [10, 20]}, n_trials=10, seed=42)
+    return tr.random_search(spark, train, valid, {"reg_param": (0.0, 0.3), "max_iter": [10, 20]}, seed=42)

@@ -63,3 +63,9 @@ def test_stream_equals_batch_parse(spark):
     a = {(r.id, r.text) for r in q["stream_parquet"](spark, SF).collect()}
     docs = table(spark, SF, "documents").filter("doc_id % 50 <> 0").select(F.col("doc_id").cast("string").alias("id"), "text")
     assert a == {(r.id, r.text) for r in docs.collect()}
+
+
+def test_random_search_runs_all_trials(spark):
+    from quill.plans import q_train
+    rows = q_train.q_random_search(spark, SF).collect()
+    assert [r.trial for r in rows] == list(range(50)) and all(0 <= r.score <= 1 for r in rows)
