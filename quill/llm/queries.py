@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quill.llm import common, html, lines, mixing, pieces, pii, quality, shards, simhash, warc, weighted
+from quill.llm import common, html, lines, merkle, mixing, pieces, pii, quality, shards, simhash, warc, weighted
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -65,9 +65,14 @@ def op10_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted.weighted_fingerprints(common.table(spark, sf_dir, "documents"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, *merkle.lowered())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_warc, op2_line_dedup, op3_quality_rules, op4_sentencepiece, op5_simhash, op6_html_text, op7_sharding,
-    op8_pii, op9_mixing, op10_weighted_fingerprints)}
+    op8_pii, op9_mixing, op10_weighted_fingerprints, op12_merkle)}
 
 BLANK = r"[\x20\x09-\x0D]"
 STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
@@ -121,15 +126,22 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_sy
        n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND {RULES} AS kept FROM r"""
 
 # the checksum goes byte by byte through its table of 256 remainders
-SQL["op7_sharding"] = f"""
-WITH RECURSIVE s(i, v, bit) AS (SELECT i, i::UBIGINT, 0 FROM range(256) r(i) UNION ALL
+CRC_TABLE = """s(i, v, bit) AS (SELECT i, i::UBIGINT, 0 FROM range(256) r(i) UNION ALL
     SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END, bit + 1 FROM s WHERE bit < 8),
-tab AS (SELECT list(v ORDER BY i) AS tt FROM s WHERE bit = 8),
+tab AS (SELECT list(v ORDER BY i) AS tt FROM s WHERE bit = 8)"""
+
+
+def crc(h: str) -> str:
+    """CRC-32 of the bytes in a hexadecimal string, beside ``tab``."""
+    return (f"xor(list_reduce([('0x' || substr({h}, 2 * i + 1, 2))::INT::UBIGINT FOR i IN range(length({h}) // 2)], "
+            "lambda c, x: xor(c >> 8, tt[(xor(c, x) & 255)::BIGINT + 1]), 4294967295::UBIGINT), 4294967295::UBIGINT)::BIGINT")
+
+
+SQL["op7_sharding"] = f"""
+WITH RECURSIVE {CRC_TABLE},
 h AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS h FROM documents),
 d AS (SELECT doc_id, length(h) // 2 + {shards.ROW_BYTES} AS size,
-             xor(list_reduce([('0x' || substr(h, 2 * i + 1, 2))::INT::UBIGINT FOR i IN range(length(h) // 2)],
-                 lambda c, x: xor(c >> 8, tt[(xor(c, x) & 255)::BIGINT + 1]), 4294967295::UBIGINT), 4294967295::UBIGINT)::BIGINT
-                 AS text_crc32, coalesce('0' || source, '1') AS src, md5('{shards.SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS k
+             {crc('h')} AS text_crc32, coalesce('0' || source, '1') AS src, md5('{shards.SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS k
       FROM h, tab),
 f AS (SELECT *, (row_number() OVER (PARTITION BY src ORDER BY k, doc_id) - 0.5::DOUBLE)
                 / count(*) OVER (PARTITION BY src) AS frac FROM d),
@@ -158,3 +170,44 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
        (size * (CASE WHEN size = 0 THEN 0 ELSE (cum / target <= cut)::INT + ((source_size + cum)::DOUBLE / target <= cut)::INT
                 + ((2 * source_size + cum)::DOUBLE / target <= cut)::INT END))::BIGINT AS taken
 FROM q, x"""
+
+
+def merkle_levels(name: str, key: str, levels: int) -> str:
+    """Levels over ``{name}0`` (key, pos, n, d, f: digest and folded digests by leaf): nodes, and each leaf's way up.
+
+    A group of one node stays as it is.  ``{name}p`` has the proof so far and the folded digest of every leaf.
+    """
+    out = []
+    for i in range(levels):
+        out.append(f"""
+{name}{i + 1} AS (SELECT {key}, pos // {merkle.ARITY} AS pos, (n + {merkle.ARITY - 1}) // {merkle.ARITY} AS n,
+    CASE WHEN n > 1 THEN sha256(string_agg(d, '' ORDER BY pos)) ELSE min(d) END AS d FROM {name}{i} GROUP BY {key}, pos // {merkle.ARITY}, n),
+{name}r{i} AS (SELECT a.{key}, a.pos, a.n, coalesce(string_agg(b.d, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+    coalesce(string_agg(b.d, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+    FROM {name}{i} a JOIN {name}{i} b ON a.{key} = b.{key} AND a.pos // {merkle.ARITY} = b.pos // {merkle.ARITY} GROUP BY ALL),
+{name}w{i + 1} AS (SELECT w.* EXCLUDE (pos, proof, f), w.pos // {merkle.ARITY} AS pos, proof || l || r AS proof,
+    CASE WHEN n > 1 THEN sha256(l || f || r) ELSE f END AS f
+    FROM {name}w{i} w JOIN {name}r{i} x ON w.{key} = x.{key} AND w.pos = x.pos),""")
+    return "".join(out)
+
+
+def merkle_leaf(text: str) -> str:
+    parts = [f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in (*merkle.FIELDS[:-1], text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+# levels enough for eight to the seventh leaves a lang and five hundred langs
+SQL["op12_merkle"] = f"""
+WITH RECURSIVE {CRC_TABLE},
+h AS (SELECT *, coalesce({crc("hex(encode(doc_id::VARCHAR))")} % 3 = 0, false) AS hit FROM documents, tab),
+d AS (SELECT doc_id, coalesce('1' || lang, '0') AS g, {merkle_leaf("text")} AS leaf,
+             CASE WHEN hit THEN {merkle_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}
+             ELSE {merkle_leaf("text")} END AS f FROM h),
+o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n
+      FROM d),
+a0 AS (SELECT g, pos, n, leaf AS d FROM o),
+aw0 AS (SELECT doc_id, leaf, g, pos, '' AS proof, f FROM o),{merkle_levels("a", "g", 7)}
+b0 AS (SELECT 1 AS k, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n, d, g FROM a7),
+bw0 AS (SELECT doc_id, leaf, b0.d AS subroot, 1 AS k, b0.pos, proof, f FROM aw7 JOIN b0 ON aw7.g = b0.g),{merkle_levels("b", "k", 3)}
+e AS (SELECT d AS root FROM b3)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified FROM bw3, e"""
