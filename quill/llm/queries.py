@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quill.llm import common, html, lines, merkle, mixing, pieces, pii, quality, shards, simhash, warc, weighted
+from quill.llm import common, html, lines, merkle, mixing, pieces, pii, quality, shards, simhash, warc, weighted, whitening
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -65,6 +65,10 @@ def op10_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted.weighted_fingerprints(common.table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(common.table(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return merkle.manifest(docs, *merkle.lowered())
@@ -72,7 +76,7 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_warc, op2_line_dedup, op3_quality_rules, op4_sentencepiece, op5_simhash, op6_html_text, op7_sharding,
-    op8_pii, op9_mixing, op10_weighted_fingerprints, op12_merkle)}
+    op8_pii, op9_mixing, op10_weighted_fingerprints, op11_whitening, op12_merkle)}
 
 BLANK = r"[\x20\x09-\x0D]"
 STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
