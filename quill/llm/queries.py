@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quill.llm import common, html, lines, merkle, mixing, pieces, pii, quality, shards, simhash, warc, weighted, whitening
+from quill.llm import common, html, lines, merkle, mixing, pieces, pii, quality, shards, simhash, voting, warc, weighted, whitening
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -74,9 +74,14 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(docs, *merkle.lowered())
 
 
+def op13_quality_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voting.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_warc, op2_line_dedup, op3_quality_rules, op4_sentencepiece, op5_simhash, op6_html_text, op7_sharding,
-    op8_pii, op9_mixing, op10_weighted_fingerprints, op11_whitening, op12_merkle)}
+    op8_pii, op9_mixing, op10_weighted_fingerprints, op11_whitening, op12_merkle,
+    op13_quality_voting)}
 
 BLANK = r"[\x20\x09-\x0D]"
 STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
