@@ -12,6 +12,15 @@ for such pieces (found when the vocabulary is loaded) only the leftmost
 occurrence is merged in a round.  Characters outside the vocabulary become
 their UTF-8 bytes.
 
+A word of more than ``WINDOW`` characters is encoded as overlapping windows,
+which are words like the others (equal ones once), and put together where two
+windows have a symbol end in common.  That is exact: merges go by rank, then
+place, so what is between two ends that no merge crosses is encoded as if it
+stood alone; hence a sequence in which every symbol and its neighbour, encoded
+alone, stay these two is the only result.  Inside a window neighbours do; at the
+seam the pair is encoded to see, and where no seam will do the windows grow.  So
+the rounds are as many as a window needs, however long the word.
+
 The model is a parameter: its bytes are read on the driver and shipped to the
 tasks as a broadcast variable (a vocabulary, some hundred KB, whatever the
 data).  A task's word memory is cleared at ``CACHE_WORDS`` entries.
@@ -37,6 +46,8 @@ MARK = "▁"
 CACHE_WORDS, CACHE_CHARS = 400_000, 48
 CHUNK_CHARS = 1 << 21
 NO_RANK = 1 << 40
+WINDOW, OVERLAP, WINDOW_CHARS = 192, 64, 1 << 20
+SEAMS_KEPT = 1 << 18
 SEGMENTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 SEED = np.uint64(0x9E3779B97F4A7C15)
 
@@ -75,6 +86,8 @@ class PieceModel:
         left, right, made = (np.array(x, np.int64) for x in (left, right, made))
         self.rank = back.astype(np.int64)
         self.texts = [p.replace(MARK, " ") for p in self.pieces]
+        self.sizes = np.array([len(p) for p in self.pieces], np.int64)
+        self.seams: dict[tuple[int, int], bool] = {}
         self.numbers = [str(i) for i in range(len(self.pieces))]
         self.one_by_one = np.zeros(len(self.pieces), bool)
         for side in (left, right):
@@ -119,6 +132,116 @@ class PieceModel:
 
         Words carry their leading space marks; a negative symbol is -1 minus an unknown character.
         """
+        long = [i for i, w in enumerate(words) if len(w) > WINDOW]
+        if not long:
+            return self._rounds(words)
+        sym, ends = self._rounds([w for w in words if len(w) <= WINDOW])
+        parts = iter(np.split(sym, ends[:-1]))
+        done = dict(zip(long, self._windows([words[i] for i in long], WINDOW), strict=True))
+        out = [done[i] if i in done else next(parts) for i in range(len(words))]
+        return np.concatenate(out), np.cumsum([len(x) for x in out])
+
+    def _encode_windows(self, texts: list[str], found: dict[str, tuple[np.ndarray, np.ndarray]], size: int) -> None:
+        """Symbols and their ends of the texts not yet in ``found``."""
+        todo = [x for x in dict.fromkeys(texts) if x not in found]
+        per = max(1, WINDOW_CHARS // size)
+        for i in range(0, len(todo), per):
+            part = todo[i:i + per]
+            sym, ends = self._rounds(part)
+            for x, own in zip(part, np.split(sym, ends[:-1]), strict=True):
+                found[x] = own, np.cumsum(np.where(own >= 0, self.sizes[np.maximum(own, 0)], 1))
+
+    @staticmethod
+    def _places(left: np.ndarray, right: np.ndarray, shift: int, middle: int) -> list[tuple[int, int]]:
+        """(last symbol before, first symbol after) of the ends that two windows share, those next to ``middle`` first."""
+        _, a, b = np.intersect1d(left, np.append(0, right[:-1]) + shift, assume_unique=True, return_indices=True)
+        order = np.argsort(np.abs(left[a] - middle), kind="stable")
+        return list(zip(a[order].tolist(), b[order].tolist(), strict=True))
+
+    def _windows(self, words: list[str], size: int) -> list[np.ndarray]:
+        """Symbols of each long word, from windows of ``size`` characters."""
+        step = size - OVERLAP
+        windows = [[w[a:a + size] for a in range(0, max(1, len(w) - OVERLAP), step)] for w in words]
+        found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self._encode_windows([x for own in windows for x in own], found, size)
+        seams = [(k, i, self._places(found[own[i]][1], found[own[i + 1]][1], step, step + OVERLAP // 2))
+                 for k, own in enumerate(windows) for i in range(len(own) - 1)]
+        chosen = self._seams(seams, windows, found)
+        return [self._joined(w, own, {i: c for (x, i), c in chosen.items() if x == k} if len(words) > 1 else
+                             {i: c for (_, i), c in chosen.items()}, found, size)
+                for k, (w, own) in enumerate(zip(words, windows, strict=True))]
+
+    def _joined(self, word: str, windows: list[str], chosen: dict[int, tuple[int, int]],
+                found: dict[str, tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
+        """The windows' symbols put together at the chosen seams.
+
+        Where two windows share no end (a run has its ends from its beginning on), windows that begin
+        at an end of the one before lead on, until one meets the given windows again.
+        """
+        out, step = [], size - OVERLAP
+        at, number, begin = 0, 0, 0  # start of the window, its number if it is a given one, first symbol not yet out
+        text = windows[0]
+        while True:
+            sym, ends = found[text]
+            if at + len(text) >= len(word):
+                out.append(sym[begin:])
+                return np.concatenate(out)
+            if number is not None and (c := chosen.get(number)) and c[0] >= begin:
+                out.append(sym[begin:c[0] + 1])
+                number, begin, at = number + 1, c[1], at + step
+                text = windows[number]
+                continue
+            if number is None:
+                j = at // step + 1  # the next given window
+                if j < len(windows):
+                    places = self._places(ends, found[windows[j]][1], j * step - at, (j * step - at + len(text)) // 2)
+                    places = [(a, b) for a, b in places[:4] if a >= begin]
+                    self._judge([(int(sym[a]), int(found[windows[j]][0][b])) for a, b in places])
+                    hit = next(((a, b) for a, b in places if self.seams[int(sym[a]), int(found[windows[j]][0][b])]), None)
+                    if hit:
+                        out.append(sym[begin:hit[0] + 1])
+                        number, begin, at, text = j, hit[1], j * step, windows[j]
+                        continue
+            for a in range(int(np.searchsorted(ends, size - OVERLAP // 4, "right")) - 1, begin - 1, -1):
+                new = word[at + int(ends[a]):at + int(ends[a]) + size]
+                self._encode_windows([new], found, size)
+                pair = int(sym[a]), int(found[new][0][0])
+                self._judge([pair])
+                if self.seams[pair]:
+                    out.append(sym[begin:a + 1])
+                    number, begin, at, text = None, 0, at + int(ends[a]), new
+                    break
+            else:  # no end leads on: larger windows
+                return self._windows([word], 2 * size)[0] if len(word) > 2 * size else self._rounds([word])[0]
+
+    def _seams(self, seams, windows, found) -> dict[tuple[int, int], tuple[int, int]]:
+        """Of the seams (word, number of the window before, places) the first place whose two symbols stay two."""
+        chosen: dict[tuple[int, int], tuple[int, int]] = {}
+        at = 0
+        while seams:
+            seams = [s for s in seams if at < len(s[2])]
+            pairs = [(int(found[windows[k][i]][0][places[at][0]]), int(found[windows[k][i + 1]][0][places[at][1]]))
+                     for k, i, places in seams]
+            self._judge(pairs)
+            for (k, i, places), pair in zip(seams, pairs, strict=True):
+                if self.seams[pair]:
+                    chosen[k, i] = places[at]
+            seams = [s for s, pair in zip(seams, pairs, strict=True) if not self.seams[pair]]
+            at += 1
+        return chosen
+
+    def _judge(self, pairs: list[tuple[int, int]]) -> None:
+        """Whether the texts of two symbols, encoded together, are these two symbols."""
+        if len(self.seams) > SEAMS_KEPT:
+            self.seams.clear()
+        new = list({p for p in pairs if p not in self.seams})
+        text = lambda s: self.pieces[s] if s >= 0 else chr(-1 - s)
+        sym, ends = self._rounds([text(a) + text(b) for a, b in new])
+        for pair, own in zip(new, np.split(sym, ends[:-1]) if new else [], strict=True):
+            self.seams[pair] = own.tolist() == list(pair)
+
+    def _rounds(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``encode_words`` by merge rounds over all words at once."""
         chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
         distinct, back = np.unique(chars, return_inverse=True)
         known = np.array([self.ids.get(chr(c), -1 - c) for c in distinct.tolist()], np.int64)
@@ -175,13 +298,13 @@ class PieceModel:
         """Of each word: the number of its ids, its ids joined by commas, its decoded text."""
         sym, ends = self.encode_words(words)
         odd = {int(np.searchsorted(ends, i, "right")) for i in np.flatnonzero(sym < 0).tolist()}
-        flat = sym.tolist()
-        numbers = [self.numbers[i] for i in flat]
-        texts = [self.texts[i] for i in flat]
+        known = np.maximum(sym, 0).tolist()  # words with unknown characters go through their bytes
+        numbers = [self.numbers[i] for i in known]
+        texts = [self.texts[i] for i in known]
         a = 0
         for k, b in enumerate(ends.tolist()):
             if k in odd:
-                ids = self._bytes(flat[a:b])
+                ids = self._bytes(sym[a:b].tolist())
                 yield len(ids), ",".join(map(str, ids)), self.surface(ids)
             else:
                 yield b - a, ",".join(numbers[a:b]), "".join(texts[a:b])
