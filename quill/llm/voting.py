@@ -27,6 +27,7 @@ empty result.  Other columns are not read.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -35,16 +36,16 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORDS, SHAPES = 4096, 512
 TERMS = WORDS + SHAPES
 PER_LABEL, LATENT, NEIGHBOURS, SHARPNESS = 2048, 64, 9, 8
-ROWS, PIECE, REMEMBER = 256, 1 << 22, 200_000
+ROWS, PIECE, REMEMBER = 256, 1 << 22, 400_000
 CLASSES = bytes(65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else 97 if 97 <= b <= 122 or b >= 128 else b for b in range(256))
 RUN = re.compile(rb"(.)\1+", re.DOTALL)
+REPEATS = (b"word again", b"line again", b"any again")
 BLANK = re.compile(rb"[ \t\n\x0b\x0c\r]")
 
 
@@ -65,24 +66,51 @@ def cut(data: bytes) -> Iterator[bytes]:
     yield data[at:]
 
 
+class Places(dict):
+    """Word -> its place and its shape's place, as one number; computed for words not met before."""
+
+    def __init__(self) -> None:
+        self.shapes: dict[bytes, int] = {}  # by the classes of the word's characters, which few words differ in
+
+    def __missing__(self, word: bytes) -> int:
+        classes = word.translate(CLASSES)
+        place = self.shapes.get(classes)
+        if place is None:
+            place = zlib.crc32(shape(word)) % SHAPES
+            if len(self.shapes) < REMEMBER:
+                self.shapes[classes] = place
+        self[word] = code = zlib.crc32(word.lower()) % WORDS * SHAPES + place
+        return code
+
+
 class Terms:
     """Term counts of texts; remembers the places of words it has met."""
 
     def __init__(self) -> None:
-        self.places: dict[bytes, tuple[int, int]] = {}
-
-    def place(self, word: bytes) -> tuple[int, int]:
-        got = self.places.get(word)
-        if got is None:
-            got = (xxhash.xxh64_intdigest(word.lower()) % WORDS, WORDS + xxhash.xxh64_intdigest(shape(word), 1) % SHAPES)
-            if len(self.places) >= REMEMBER:
-                self.places.clear()
-            self.places[word] = got
-        return got
+        self.places = Places()
+
+    def codes(self, bags: list) -> tuple[np.ndarray, np.ndarray]:
+        """(text, code) of the words of each bag."""
+        if len(self.places) > REMEMBER:
+            self.places.clear()
+        sizes = np.fromiter(map(len, bags), np.int64, len(bags))
+        code = np.fromiter(map(self.places.__getitem__, chain.from_iterable(bags)), np.int64, int(sizes.sum()))
+        return np.repeat(np.arange(len(bags)), sizes), code
+
+    def present(self, texts: list[str | None]) -> np.ndarray:
+        """In how many of the texts each word place is."""
+        bags = []
+        for t in texts:
+            bag: set[bytes] = set()
+            for piece in cut((t or "").encode("utf-8", "replace")):
+                bag.update(piece.split())
+            bags.append(bag)
+        of, code = self.codes(bags)
+        return np.bincount(np.unique(of * WORDS + code // SHAPES) % WORDS, minlength=WORDS)
 
     def counts(self, texts: list[str | None]) -> np.ndarray:
         """A row of ``TERMS`` counts a text."""
-        bags, repeats = [], np.zeros((len(texts), 3))
+        bags, repeats = [], np.zeros((len(texts), len(REPEATS)))
         for i, t in enumerate(texts):
             data = (t or "").encode("utf-8", "replace")
             bag: Counter = Counter()
@@ -93,23 +121,18 @@ class Terms:
                 if words:
                     repeats[i, 0] += sum(map(eq, words, words[1:])) + (words[0] == last)
                     last = words[-1]
-            lines = Counter(data.split(b"\n"))
-            repeats[i, 1] = sum(n * len(x.split()) for x, n in lines.items() if n > 1)
+            lines = data.split(b"\n")
+            if len(set(lines)) < len(lines):
+                repeats[i, 1] = sum(n * len(x.split()) for x, n in Counter(lines).items() if n > 1)
             repeats[i, 2] = sum(bag.values()) - len(bag)
             bags.append(bag)
-        vocabulary = dict.fromkeys(chain.from_iterable(bags))
-        number = dict(zip(vocabulary, range(len(vocabulary)), strict=True))
-        places = np.array([self.place(w) for w in vocabulary], np.int64).reshape(-1, 2)
-        sizes = np.array([len(b) for b in bags], np.int64)
-        term = np.fromiter(map(number.__getitem__, chain.from_iterable(bags)), np.int64, int(sizes.sum()))
-        count = np.fromiter(chain.from_iterable(b.values() for b in bags), np.float64, len(term))
-        row = np.repeat(np.arange(len(texts)), sizes) * TERMS
-        flat = np.zeros(len(texts) * TERMS)
-        for k in (0, 1):
-            flat += np.bincount(row + places[term, k], count, len(flat))
+        of, code = self.codes(bags)
+        count = np.fromiter(chain.from_iterable(b.values() for b in bags), np.float64, len(code))
+        row, size = of * TERMS, len(texts) * TERMS
+        flat = np.bincount(row + code // SHAPES, count, size) + np.bincount(row + WORDS + code % SHAPES, count, size)
         out = flat.reshape(len(texts), TERMS)
-        for k, name in enumerate((b"word again", b"line again", b"any again")):
-            out[:, WORDS + xxhash.xxh64_intdigest(name, 2) % SHAPES] += repeats[:, k]
+        for k, name in enumerate(REPEATS):
+            out[:, WORDS + zlib.crc32(name) % SHAPES] += repeats[:, k]
         return out
 
 
@@ -144,7 +167,7 @@ def document_counts(docs: DataFrame) -> tuple[int, np.ndarray]:
         terms, total = Terms(), np.zeros(WORDS + 1, np.int64)
         for b in batches:
             for _, texts in blocks(b, 0):
-                total[:WORDS] += (terms.counts(texts)[:, :WORDS] > 0).sum(axis=0)
+                total[:WORDS] += terms.present(texts)
                 total[WORDS] += len(texts)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(WORDS + 1)), pa.array(total)], names=["place", "n"])
 
