@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import ipaddress
 import random
 import re
 from bisect import bisect_right
@@ -39,7 +40,7 @@ from quill.llm.boost import Boost, calibrated_threshold
 from quill.llm.pieces import chunks
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_ROWS, PRECISION, SEED = 6000, 0.99, 11
+TRAIN_ROWS, PRECISION, SEED = 9000, 0.99, 11
 CONTEXT = 40
 CARD_DIGITS, SCORE_ROWS = 19, 8192
 
@@ -102,14 +103,25 @@ def base_spans(text: str) -> list[Span]:
 
 # --- candidates ---------------------------------------------------------------------------------
 
-DOT = r"(?:\.|\s?[\[({]\s?(?:dot|DOT)\s?[\])}]\s?|\s(?:dot|DOT)\s)"
-AT_WORD = re.compile(r"[A-Za-z0-9._%+-]{1,64}(?:\s?[\[({]\s?(?:at|AT|@)\s?[\])}]\s?[A-Za-z0-9-]{1,63}(?:" + DOT
-                     + r"[A-Za-z0-9-]{1,63}){1,4}|\s(?:at|AT)\s[A-Za-z0-9-]{1,63}(?:\s(?:dot|DOT)\s[A-Za-z0-9-]{1,63}){1,4}"
-                     r"|\s?@\s?[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,4})")
-AT_SIGNS = ("@", " dot ", " DOT ", "(at", "[at", "{at", "(AT", "[AT", "{AT", "( at", "[ at", "{ at")
-IPV6 = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
-GROUP = re.compile(r"(?<![0-9A-Za-z])[0-9]+")
-GAP = re.compile(r"[\x20().,_/-]{1,3}")
+AT = "@＠﹫"
+DOT = r"(?:\.|\s?[\[({]\s?(?:dot|DOT|punkt|point|punto)\s?[\])}]\s?|\s(?:dot|DOT|punkt|point|punto)\s)"
+AT_WORD = re.compile(r"[A-Za-z0-9._%+-]{1,64}(?:\s?[\[({]\s?(?:at|AT|" + f"[{AT}]" + r")\s?[\])}]\s?[A-Za-z0-9-]{1,63}(?:" + DOT
+                     + r"[A-Za-z0-9-]{1,63})++|\s(?:at|AT)\s[A-Za-z0-9-]{1,63}(?:\s(?:dot|DOT|punkt|point|punto)\s[A-Za-z0-9-]{1,63})++"
+                     + rf"|\s?[{AT}]\s?" + r"[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})++)")
+AT_SIGNS = (*AT, " dot ", " DOT ", " punkt ", " point ", " punto ", "(at", "[at", "{at", "(AT", "[AT", "{AT", "( at", "[ at", "{ at")
+# eight groups, or fewer with "::"; whether it is an address is checked
+IPV6 = re.compile(r"(?<![0-9A-Za-z:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,8}(?![0-9A-Za-z:])")
+GROUP = re.compile(r"[0-9]+")
+# what may stand between the groups of one number: blanks and dashes of any width, brackets, points
+BETWEEN = "\x20\xa0\u2007\u2009\u202f().,_/\u00b7\u2010-\u2015\u2212-"
+GAP = re.compile(f"[{BETWEEN}]{{1,3}}")
+
+
+def is_ipv6(s: str) -> bool:
+    try:
+        return bool(ipaddress.IPv6Address(s)) and any(c != ":" for c in s)
+    except ValueError:
+        return False
 
 
 def windows(text: str) -> Iterator[Span]:
@@ -139,17 +151,18 @@ def candidates(text: str) -> Iterator[Span]:
     if any(s in text for s in AT_SIGNS):
         yield from (("email", m.start(), m.end()) for m in AT_WORD.finditer(text))
     if ":" in text:
-        yield from (("ip", m.start(), m.end()) for m in IPV6.finditer(text))
+        yield from (("ip", m.start(), m.end()) for m in IPV6.finditer(text) if is_ipv6(m[0]))
     yield from windows(text)
 
 
 HINTS = [re.compile(p, re.I) for p in (
-    r"\b(?:phone|tel|telephone|call|mobile|cell|fax|whatsapp|sms|dial)\b", r"\b(?:card|visa|mastercard|credit|debit|amex)\b",
-    r"\b(?:e-?mail|mail|contact|write to|reach)\b", r"\b(?:ip|host|server|address|client|login from)\b",
-    r"\b(?:order|invoice|isbn|issn|version|ticket|ref|reference|serial|date|page|no|nr|id|sum|total|population)\b")]
+    r"(?:phone|tel|t[ée]l[ée]phone|tel[ée]fono?|call(?:s|ed)?|mobile?|m[óo]vil|cell|fax|whatsapp|sms|dial|ring|handy|rufen?|anruf|appel\w*|portable|llam\w+)\W{0,3}(?:\w+\W{1,2}){0,2}$",
+    r"\b(?:card|visa|mastercard|credit|debit|amex|karte|kreditkarte|carte|tarjeta)\b", r"\b(?:e-?mail|mail|contact|write to|reach|correo|kontakt)\b",
+    r"\b(?:ip|host|server|address|client|login from|ping|route|subnet|gateway)\b",
+    r"\b(?:order|invoice|isbn|issn|version|ticket|ref|reference|serial|date|page|no|nr|id|sum|total|population|part|model|code|track\w*|account|row|line|score|results?|bestellung|rechnung|commande|facture|pedido|factura)\b")]
 
 
-BEFORE_GROUP, AFTER_GROUP = re.compile(r"([0-9]+)([\x20().,_/+-]{1,4})\Z"), re.compile(r"([\x20().,_/+-]{1,4})([0-9]+)")
+BEFORE_GROUP, AFTER_GROUP = re.compile(f"([0-9]+)([+{BETWEEN}]{{1,4}})\\Z"), re.compile(f"([+{BETWEEN}]{{1,4}})([0-9]+)")
 
 
 def neighbours(text: str, a: int, b: int, gaps: list[str]) -> list[float]:
@@ -182,6 +195,8 @@ def features(text: str, span: Span) -> list[float]:
         float(prev.isalnum()), float(prev in "#$€£%" and prev != ""), float(nxt.isalnum()), float(nxt in "%€$" and nxt != ""),
         float(s.count(" ")) / max(1, len(groups)), float(prev == "+" or s[:1] == "+"), len(set(gaps)),
         float(bool(words) and len(words[0]) == 4 and words[0][:2] in ("19", "20")), float(groups[1] if len(groups) > 1 else 0),
+        float(d[:1] == "0"), float(len(set(groups)) == 1), float("::" in s), sum(c in "abcdefABCDEF" for c in s),
+        float(bool(re.search(rf"[{AT}]", s))), float(any(ord(c) > 127 for c in s)), float(prev in ":=" and prev != ""),
         *neighbours(text, a, b, gaps),
         *[float(bool(h.search(before))) for h in HINTS], float(bool(HINTS[4].search(after[:12])))]
 
@@ -192,8 +207,9 @@ def _number(r: random.Random, n: int) -> str:
     return "".join(r.choice("0123456789") for _ in range(n))
 
 
-def _card(r: random.Random) -> str:
-    body = r.choice("3456") + _number(r, 14)
+def _card(r: random.Random, short: bool = False) -> str:
+    """A number with its check digit; ``short``: of fifteen digits."""
+    body = r.choice(["34", "37"]) + _number(r, 12) if short else r.choice("34563456345612789") + _number(r, 14)
     return next(body + str(c) for c in range(10) if luhn(body + str(c)))
 
 
@@ -201,15 +217,30 @@ def _word(r: random.Random) -> str:
     return "".join(r.choice(["th", "er", "on", "an", "re", "ha", "es", "in", "ou", "ti"]) for _ in range(r.randint(1, 4)))
 
 
-PHONES = ("({}) {}-{}", "({}) {} {}", "{}-{}-{}")
+PHONES = ("({}) {}-{}", "({}) {} {}", "{}-{}-{}", "{}.{}.{}", "{} {} {}")
+BLANKS = (" ", " ", " ", "\xa0", "\u202f")
+CALLS = ("call ", "phone ", "tel ", "mobile ", "Tel. ", "Tel: ", "phone: ", "fax ", "call us at ", "ring ", "Telefon ", "Handy ", "rufen Sie ",
+         "t\u00e9l\u00e9phone ", "appelez le ", "portable : ", "tel\u00e9fono ", "llame al ", "m\u00f3vil ", "whatsapp ", "sms to ", "my number is ", "the number ", "numbers: ", "Telefon: ")
 
 
 def _phone(r: random.Random, plus: bool = False) -> str:
-    if r.random() < 0.25:
-        return f"0{_number(r, 3)} {_number(r, 7)}"
-    if plus and r.random() < 0.3:  # the base pattern may take it together with a number behind it
+    """A telephone number as it is written in some country."""
+    if plus and r.random() < 0.5:  # the base pattern may take it together with a number behind it
         return f"+{r.randint(1, 99)} " + r.choice(PHONES).format(_number(r, 3), _number(r, 3), _number(r, 4))
-    return r.choice(PHONES).format(_number(r, 3), _number(r, 3), _number(r, 4))
+    way = r.random()
+    if way < 0.1:
+        return f"0{_number(r, 3)} {_number(r, 7)}"
+    if way < 0.2:  # pairs behind a nought
+        return r.choice([*BLANKS, ".", "-"]).join(["0" + r.choice("123456789"), *[_number(r, 2) for _ in range(4)]])
+    if way < 0.3:  # threes
+        cuts = r.choice([(3, 3, 3), (3, 3, 3), (3, 2, 2, 2), (2, 3, 2, 2)])
+        return r.choice([*BLANKS, ".", "-"]).join([r.choice("679") + _number(r, cuts[0] - 1), *[_number(r, n) for n in cuts[1:]]])
+    if way < 0.45:  # an area code and a number
+        code = "0" + _number(r, r.randint(2, 4)) + r.choice([*BLANKS, "/", "-", " / ", " - "])
+        return code + (_number(r, r.randint(5, 8)) if r.random() < 0.6 else " ".join(_number(r, 2) for _ in range(r.randint(3, 4))))
+    s = r.choice(PHONES).format(r.choice("23456789") + _number(r, 2), _number(r, 3), _number(r, 4))
+    dash = r.choice(["-", "-", "-", "\u2013", "\u2011"])
+    return s.replace("-", dash)
 
 
 def _plain_number(r: random.Random) -> str:
@@ -237,22 +268,32 @@ def examples(rows: int = TRAIN_ROWS, seed: int = SEED) -> Iterator[tuple[Span, s
             name, site = _word(r) + r.choice(["", ".", "_"]) + _word(r), _word(r)
             if good:
                 a, d = r.choice([(" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", " (dot) "), ("[at]", "."), (" at ", " dot "),
-                                 (" @ ", ".")])
-                s = name + a + site + d + r.choice(tld)
+                                 (" @ ", "."), (" \uff20 ", "."), ("\uff20", "."), (" {at} ", " {dot} "), (" at ", " punkt "), (" at ", " dot "),
+                                 (" at ", " punto "), ("(at)", ".")])
+                s = name + a + d.join([site, *[_word(r) for _ in range(r.choice([0, 0, 0, 1, 2]))], r.choice(tld)])
                 say = r.choice(["", "mail ", "contact ", "write to "])
             else:
                 s = _word(r) + r.choice([" at ", " @ ", "(at) "]) + _word(r) + r.choice([". ", " . ", " dot ", " dots "]) + _word(r)
         elif kind == "ip":
             if good:
-                s = ":".join(f"{r.randrange(65536):x}" for _ in range(8))
-                say = r.choice(["", "from ", "ip "])
+                parts = [f"{r.randrange(65536):x}" for _ in range(8)]
+                if r.random() < 0.6:  # noughts left out
+                    k = r.randint(0, 5)
+                    parts = [r.choice(["2001", "2a02", "fe80", "fd00", *parts[:1]]), *parts[1:k], "", *parts[7 - r.randint(0, 6 - k):]]
+                s = ":".join(parts) if parts[-1] else "::1"
+                say = r.choice(["", "from ", "ip ", "host "])
+                if not is_ipv6(s):
+                    continue
             else:
-                s = r.choice([":".join(_number(r, 2) for _ in range(r.randint(4, 6))),
-                              ":".join(_number(r, 1) for _ in range(4))])
+                s = r.choice([":".join(_number(r, 2) for _ in range(r.randint(4, 6))), ":".join(_number(r, 1) for _ in range(4)),
+                              f"{r.choice('abcdef')}::{r.choice('abcdef')}", "::" + r.choice(["add", "b", "c", "dead", "fade"]),
+                              r.choice(["ab", "bad", "face", "c", "dec"]) + "::"])
+                say = r.choice(["", "at ", "call ", "std "])
         elif kind == "card":
             if good:
-                c, sep = _card(r), r.choice([".", "_", "/", "  ", " - "] + ["", "", " ", "-"] * beside)
-                s = sep.join([c[:4], c[4:8], c[8:12], c[12:]])
+                c, sep = _card(r, r.random() < 0.2), r.choice([".", "_", "/", "  ", " - ", "\u2013", "\xa0", "\u202f", "\u2011"] + ["", "", " ", "-"] * beside)
+                cuts = [0, 4, 10, 15] if len(c) == 15 and r.random() < 0.7 else range(0, len(c) + 3, 4)
+                s = sep.join(c[i:j] for i, j in zip(cuts, [*cuts][1:], strict=False) if c[i:j])
                 say = r.choice(["", "card ", "visa ", "paid by credit card "])
             else:
                 s = r.choice([_number(r, r.randint(13, 19)), f"{_number(r, 3)}.{_number(r, 3)}.{_number(r, 3)}.{_number(r, 4)}",
@@ -263,12 +304,24 @@ def examples(rows: int = TRAIN_ROWS, seed: int = SEED) -> Iterator[tuple[Span, s
         else:
             if good:
                 s = _phone(r, beside)
-                say = r.choice(["call ", "phone ", "tel ", "mobile "]) if s[0] not in "(+" or r.random() < 0.5 else ""
+                # a form that is hardly anything else needs no cue
+                sizes = [len(x) for x in re.findall("[0-9]+", s)]
+                bare = sizes[-3:] == [3, 3, 4] or s[0] == "0" and len(sizes) > 3
+                say = r.choice(CALLS) if not bare or r.random() < 0.4 else ""
+                if r.random() < 0.1:
+                    s, say = _number(r, r.randint(9, 11)), r.choice(["tel", "Tel:", "phone", "fax", "call ", "phone: "])
             else:
                 s = r.choice([_number(r, r.randint(7, 15)), f"20{_number(r, 2)}-{_number(r, 2)}-{_number(r, 2)}", f"{_number(r, 2)}.{_number(r, 2)}.{_number(r, 4)}",
                               f"{_number(r, 3)},{_number(r, 3)},{_number(r, 3)}", ", ".join(_number(r, 2) for _ in range(4)),
-                              f"{_number(r, 3)}-{_number(r, 3)}-{_number(r, 4)}", f"{_number(r, 1)}.{_number(r, 1)}.{_number(r, 5)}"])
-                say = r.choice(["", "order ", "invoice ", "version ", "total ", "page "])
+                              f"{_number(r, 3)}-{_number(r, 3)}-{_number(r, 4)}", f"{_number(r, 1)}.{_number(r, 1)}.{_number(r, 5)}",
+                              " ".join(str(r.randint(10, 99)) for _ in range(r.randint(4, 7))), f"{r.randint(1, 9)} {_number(r, 3)} {_number(r, 3)}",
+                              f"{r.randint(1, 99)} {_number(r, 3)} {_number(r, 3)} {_number(r, 3)}", f"{r.randint(1, 28)}/{r.randint(1, 12)}/20{_number(r, 2)}",
+                              f"{r.randint(1900, 2030)}-{r.randint(1900, 2030)}", f"{_number(r, 3)}.{_number(r, 3)}.{_number(r, 3)}",
+                              f"{r.randint(0, 3)}.{_number(r, r.randint(7, 12))}", " ".join(str(r.randint(1, 9) * 100) for _ in range(3)),
+                              f"{_number(r, 5)}-{_number(r, 4)}", f"{_number(r, 2)}/{_number(r, 2)}/{_number(r, 4)} {_number(r, 2)}"])
+                say = r.choice(["", "order ", "invoice ", "version ", "total ", "page ", "part no ", "id ", "population ", "isbn ", "account ", "ref ", "= ", "of "])
+                if [len(x) for x in re.findall("[0-9]+", s)] == [3, 3, 4]:
+                    say = r.choice(["order ", "part no ", "ref ", "serial ", "model "])  # without a cue it is a telephone number
         before, after, other = "", "", []
         if beside and kind in ("card", "phone"):
             where = r.choice(["before", "after", "both"])

@@ -227,7 +227,7 @@ def test_pii_trees_on_held_out_spans():
         right += hit and good
         wrong += hit and not good
         missed += good and not hit
-    assert right > 500 and wrong <= 0.03 * right and missed < 0.35 * (right + missed)
+    assert right > 500 and wrong <= 0.03 * right and missed < 0.05 * (right + missed)
 
 
 def test_pii_table(docs):
@@ -247,7 +247,7 @@ def test_pii_windows_are_all_proposed():
     bits = ["1", "234", "5678", "(555)", "4111111111111111", "12345678901234567890", " ", ", ", "-", " - ", "a", "+", "    "]
     for _ in range(3000):
         t = "".join(r.choice(bits) for _ in range(r.randint(0, 16)))
-        groups = [m.span() for m in re.finditer(r"(?<![0-9A-Za-z])[0-9]+", t)]
+        groups = [m.span() for m in re.finditer(r"[0-9]+", t)]
         want = set()
         for i, (a, _) in enumerate(groups):
             for j in range(i, len(groups)):
