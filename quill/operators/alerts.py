@@ -8,25 +8,21 @@ prefixes with the rule table.
 
 The cooldown makes a rule's evaluation sequential: a fired rule ignores
 all its points, for every label set, until the cooldown ends.  That state
-machine runs over each rule's points in time order as a stream through one
-task (sorted by Spark, a few values of state, no group in memory).  Without
-a cooldown (K12) alerts are independent per (rule, label set) and reduce
-to edge detection with ``lag``.
+machine runs over time blocks in parallel (:mod:`quill.operators.cooldown`).
+Without a cooldown (K12) alerts are independent per (rule, label set) and
+reduce to edge detection with ``lag``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quill.operators import stats as st
+from quill.operators.cooldown import run_rules
 
 SEVERITIES = ["low", "medium", "high", "critical"]
 RULE_SCHEMA = "name string, source string, op string, threshold double, severity string, cooldown_s long, template string"
-EVENT_SCHEMA = "rule string, event_id long, ts timestamp_ntz, key string, event string, value double"
 # The default rules (name, source, op, threshold, severity, cooldown_s, template).
 DEFAULT_RULES = [
     ("high_cpu_usage", "system_cpu_percent", ">", 80.0, "high", 300, "CPU usage is {value:.1f}%, exceeding threshold"),
@@ -92,46 +88,10 @@ def match_rules(metrics: DataFrame, rules: DataFrame) -> DataFrame:
             .withColumn("cond", condition(F.col("op"), F.col("value"), F.col("threshold"))))
 
 
-class RuleState:
-    """The alert state of one rule: when it last fired and which label sets are active."""
-
-    def __init__(self, last_fired: pd.Timestamp | None = None, active=()) -> None:
-        self.last_fired, self.active = last_fired, set(active)
-
-    def step(self, ts: pd.Timestamp, key: str, cond: bool, cooldown: pd.Timedelta) -> str | None:
-        """``fired``, ``resolved`` or None for the next point in time order."""
-        if self.last_fired is not None and ts - self.last_fired < cooldown:
-            return None
-        if cond and key not in self.active:
-            self.active.add(key)
-            self.last_fired = ts
-            return "fired"
-        if not cond and key in self.active:
-            self.active.discard(key)
-            return "resolved"
-        return None
-
-
-def _run_rules(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by (rule, ts, event_id); only the current rule's state is held."""
-    rule, state = None, RuleState()
-    for pdf in frames:
-        out = []
-        for r, ts, eid, key, value, cond, cool in zip(pdf["rule"], pdf["ts"], pdf["event_id"], pdf["key"], pdf["value"],
-                                                      pdf["cond"], pdf["cooldown_s"], strict=True):
-            if r != rule:
-                rule, state = r, RuleState()
-            event = state.step(ts, key, cond, pd.Timedelta(seconds=int(cool)))
-            if event:
-                out.append((r, eid, ts, key, event, value))
-        yield pd.DataFrame(out, columns=["rule", "event_id", "ts", "key", "event", "value"])
-
-
-def alert_events(metrics: DataFrame, rules: DataFrame) -> DataFrame:
-    """Fire and resolve events with per-rule cooldowns (a sorted stream of points per rule)."""
-    m = match_rules(metrics, rules).select("rule", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id",
-                                           "key", "value", "cond", "cooldown_s")
-    ev = m.repartition("rule").sortWithinPartitions("rule", "ts", "event_id").mapInPandas(_run_rules, EVENT_SCHEMA)
+def alert_events(metrics: DataFrame, rules: DataFrame, blocks: int | None = None) -> DataFrame:
+    """Fire and resolve events with per-rule cooldowns, over time blocks (:mod:`quill.operators.cooldown`)."""
+    m = match_rules(metrics, rules).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    ev = run_rules(m, blocks).events
     info = rules.select(F.col("name").alias("rule"), "severity", "template", "threshold")
     labels = F.when(F.col("key") == "", F.create_map().cast("map<string,string>")).otherwise(
         F.str_to_map("key", F.lit(","), F.lit("=")))

@@ -13,18 +13,19 @@ import json
 import threading
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.listener import StreamingQueryListener
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quill.functions.vectors import SENTIMENT_LABELS
-from quill.operators.alerts import RuleState, match_rules
-from quill.session import scratch_path
+from quill.operators.alerts import match_rules
+from quill.operators.cooldown import RuleState
+from quill.session import scratch_path, setting
 
 # Message schema of the document stream (all fields nullable), plus the
 # column that keeps undecodable messages.
@@ -310,42 +311,86 @@ def windowed_counts(events: DataFrame, ts: str = "ts", size: str = "1 hour", del
 
 
 # --- stateful alerts (X15) -----------------------------------------------------------------
-ALERT_STATE = T.StructType([T.StructField("last_fired", T.TimestampType()), T.StructField("active", T.StringType()),
-                            T.StructField("waiting", T.StringType())])
 ALERT_OUT = T.StructType([T.StructField("rule", T.StringType()), T.StructField("event_id", T.LongType()),
                           T.StructField("ts", T.TimestampType()), T.StructField("key", T.StringType()),
                           T.StructField("event", T.StringType()), T.StructField("value", T.DoubleType())])
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _alert_state_fn(key, pdfs, state):
-    """Cooldown state machine of one rule across micro-batches.
+class AlertProcessor(StatefulProcessor):
+    """The cooldown state machine of a rule (the grouping key) on a stream.
 
-    State: last fire, active label sets, and the points after the watermark.
-    Points wait there until the watermark has passed them, so they are taken in
-    time order whichever batch or file brought them.
+    A point waits as one entry of a map state, found by its millisecond and its
+    number in it (the first also knows how many there are); a timer at that
+    millisecond takes it out.  Timers come in time order, whichever batch or file
+    brought the points, so what is in hand is the points of one millisecond.  The
+    last fire is a value, the active label sets are the keys of a map; what a
+    task has read of them it remembers until the batch ends.
     """
-    rule = key[0]
-    last, active, waiting = state.get if state.exists else (None, "[]", "[]")
-    machine = RuleState(pd.Timestamp(last) if last is not None else None, json.loads(active))
-    points = json.loads(waiting)
-    for pdf in pdfs:
-        points += [[t.value // 1000, int(e), k, float(v), bool(c), int(s)] for t, e, k, v, c, s in zip(
-            pdf["ts"], pdf["event_id"], pdf["key"], pdf["value"], pdf["cond"], pdf["cooldown_s"], strict=True)]
-    points.sort(key=lambda p: (p[0], p[1]))
-    watermark = state.getCurrentWatermarkMs()
-    ready = [p for p in points if p[0] // 1000 <= watermark]
-    points = points[len(ready):]
-    out = []
-    for us, eid, k, value, cond, cool in ready:
-        ts = pd.Timestamp(us, unit="us")
-        event = machine.step(ts, k, cond, pd.Timedelta(seconds=cool))
-        if event:
-            out.append((rule, eid, ts, k, event, value))
-    last = machine.last_fired
-    state.update((last.to_pydatetime() if last is not None else None, json.dumps(sorted(machine.active)), json.dumps(points)))
-    if points:  # called again when the watermark passes the next point
-        state.setTimeoutTimestamp(max(points[0][0] // 1000 - 1, watermark + 1))
-    yield pd.DataFrame(out, columns=[f.name for f in ALERT_OUT.fields])
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last_fired", "us long")
+        self.active = handle.getMapState("active", "key string", "since long")
+        self.waiting = handle.getMapState("waiting", "ms long, no long", "us long, event_id long, key string, value double, "
+                                                                         "cond boolean, cooldown_s long, n long")
+        self.rules: dict[str, RuleState] = {}
+        self.read: set[tuple[str, str]] = set()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            us = pdf["ts"].astype("datetime64[us]").astype("int64")
+            cols = [us, pdf["event_id"], pdf["key"], pdf["value"], pdf["cond"], pdf["cooldown_s"]]
+            of_ms: dict[int, list[tuple]] = {}
+            for t, e, k, v, c, s in zip(*cols, strict=True):
+                of_ms.setdefault(int(t) // 1000, []).append((int(t), int(e), k, float(v), bool(c), int(s)))
+            for ms, points in of_ms.items():
+                first = self.waiting.getValue((ms, 0))
+                n = first[6] if first is not None else 0
+                if first is not None:
+                    self.waiting.updateValue((ms, 0), (*first[:6], n + len(points)))
+                else:
+                    self.handle.registerTimer(ms)
+                for i, p in enumerate(points):
+                    self.waiting.updateValue((ms, n + i), (*p, len(points) if n + i == 0 else 0))
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        rule, ms = key[0], expiredTimerInfo.getExpiryTimeInMs()
+        points = [tuple(self.waiting.getValue((ms, 0)))]
+        points += [tuple(self.waiting.getValue((ms, i))) for i in range(1, points[0][6])]
+        for i in range(len(points)):
+            self.waiting.removeKey((ms, i))
+        if rule not in self.rules:
+            found = self.last.get()
+            self.rules[rule] = RuleState(found[0] if found is not None else None)
+        state, out = self.rules[rule], []
+        for us, event_id, k, value, cond, cooldown_s, _ in sorted(points, key=lambda p: p[:2]):
+            cooldown = cooldown_s * 1_000_000
+            if not state.awake(us, cooldown):
+                continue
+            if (rule, k) not in self.read:
+                self.read.add((rule, k))
+                if self.active.containsKey((k,)):
+                    state.active.add(k)
+            event = state.step(us, k, cond, cooldown)
+            if event == "fired":
+                self.active.updateValue((k,), (us,))
+                self.last.update((us,))
+            elif event:
+                self.active.removeKey((k,))
+            if event:
+                out.append((rule, event_id, pd.Timestamp(us, unit="us"), k, event, value))
+        yield pd.DataFrame(out, columns=[f.name for f in ALERT_OUT.fields]) if out else pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+def keyed_state(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB, which map states and timers need."""
+    return setting(spark, STATE_STORE, ROCKSDB)
 
 
 def match_rules_stream(metrics: DataFrame, rules: DataFrame) -> DataFrame:
@@ -354,14 +399,14 @@ def match_rules_stream(metrics: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def stateful_alerts(points: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """K12-K14 on a stream, state kept per rule by ``applyInPandasWithState``.
+    """K12-K14 on a stream, state kept per rule by :class:`AlertProcessor`; start it under :func:`keyed_state`.
 
     ``points`` = matched metric points (rule, event_id, ts, key, value, cond,
     cooldown_s).  ``delay`` is how much later than the newest point another may
     still come; points are evaluated in time order once the watermark passes.
     """
-    return points.withWatermark("ts", delay).groupBy("rule").applyInPandasWithState(
-        _alert_state_fn, ALERT_OUT, ALERT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return points.withWatermark("ts", delay).groupBy("rule").transformWithStateInPandas(
+        AlertProcessor(), ALERT_OUT, "Append", "EventTime")
 
 
 def hybrid(batch: DataFrame, stream: DataFrame, name: str = "hybrid") -> DataFrame:

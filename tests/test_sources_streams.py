@@ -134,8 +134,9 @@ def test_stream_alerts_equal_batch_whatever_the_files(spark, tmp_path):
     import random
 
     from quill.operators import alerts as al
-    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i * 7), f"m{i % 3}", {"h": str(i % 5)}, float(i * 7919 % 13))
-            for i in range(2000)]
+    # some points share a millisecond
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i // 4 * 28 if i % 9 < 3 else i * 7, microseconds=i % 2 * 300),
+             f"m{i % 3}", {"h": str(i % 5)}, float(i * 7919 % 13)) for i in range(2000)]
     schema = "event_id long, ts timestamp, name string, labels map<string,string>, value double"
     df = spark.createDataFrame(rows, schema)
     rules = spark.createDataFrame([("a", "m", ">", 9.0, "high", 60, "x"), ("b", "m1", "<", 3.0, "low", 0, "y")], al.RULE_SCHEMA)
@@ -143,14 +144,17 @@ def test_stream_alerts_equal_batch_whatever_the_files(spark, tmp_path):
         df.withColumn("ts", F.col("ts").cast("timestamp_ntz")), rules).collect())
     assert len(want) > 20
 
-    def streamed(name, files, delay):
+    def streamed(name, files, delay, per_batch=1):
         for k, part in enumerate(files):
             spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
-        s = xs.file_stream(spark, f"{tmp_path}/{name}", "parquet", schema=df.schema, max_files_per_trigger=1)
-        out, _ = xs.run_to_table(xs.stateful_alerts(xs.match_rules_stream(s, rules), delay), name)
+        s = xs.file_stream(spark, f"{tmp_path}/{name}", "parquet", schema=df.schema, max_files_per_trigger=per_batch)
+        with xs.keyed_state(spark):
+            out, _ = xs.run_to_table(xs.stateful_alerts(xs.match_rules_stream(s, rules), delay), name)
         return sorted((r.rule, r.event_id, r.event, r.key) for r in out.collect())
 
     assert streamed("one", [rows], "0 seconds") == want
+    shuffled = random.Random(5).sample(rows, len(rows))
+    assert streamed("batch", [shuffled[i::20] for i in range(20)], "0 seconds", per_batch=20) == want
     # each file holds points of its neighbours' times, up to 700 s out of order; a last late point moves the watermark on
     mixed = sorted(rows, key=lambda r: r[0] + random.Random(r[0]).randint(0, 100))
     end = [(9999, dt.datetime(2024, 1, 2), "other", {}, 0.0)]
