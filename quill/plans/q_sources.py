@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quill.operators import prep as pp
@@ -85,16 +86,49 @@ def q_scan_parquet(spark, d):
     return df.filter(F.col("lang") == "en").select("doc_id", "lang", "n_chars")
 
 
-@query("scan_yaml", "SELECT doc_id, lang, source FROM documents")
+YAML_SCHEMA = "doc_id bigint, lang string, source string, text string"
+
+
+def write_yaml(docs, p: str, bad: bool = False) -> None:
+    """One YAML document a row, the text as a quoted scalar; with ``bad``, each is followed by one that is no YAML."""
+    quoted = F.get(F.split(F.to_json(F.struct("text")), '^\\{"text":|\\}$'), 1)
+    y = docs.filter("text IS NOT NULL").select(F.concat(
+        F.format_string("---\ndoc_id: %d\nlang: %s\nsource: %s\ntext: ", "doc_id", "lang", "source"), quoted,
+        F.lit("\n---" + ("\nbroken: [" if bad else ""))).alias("value"))
+    y.write.text(p)
+
+
+@query("scan_yaml", "SELECT doc_id, lang, source, text FROM documents WHERE text IS NOT NULL")
 def q_scan_yaml(spark, d):
     """Multi-document YAML written by Spark (one document per input row)."""
     p = scratch(spark, "yaml")
-    y = table(spark, d, "documents").select(F.format_string("---\ndoc_id: %d\nlang: %s\nsource: %s\n---",
-                                                            "doc_id", "lang", "source").alias("value"))
-    y.write.text(p)
+    write_yaml(table(spark, d, "documents"), p)
     # the text writer names its files part-*.txt; the glob picks them up as YAML
-    return rd.read_yaml(spark, p, "doc_id bigint, lang string, source string", glob="*.txt").select(
-        "doc_id", "lang", "source")
+    return rd.read_yaml(spark, p, YAML_SCHEMA, glob="*.txt").select("doc_id", "lang", "source", "text")
+
+
+@query("yaml_error_policy", """
+SELECT 'skip' AS policy, count(text) AS documents, CAST(0 AS BIGINT) AS errors FROM documents
+UNION ALL SELECT 'log', count(text), count(text) FROM documents
+UNION ALL SELECT 'raise', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT)
+""")
+def q_yaml_error_policy(spark, d):
+    """S9 for S5: as many broken documents as sound ones, under every policy."""
+    p = scratch(spark, "yaml-bad")
+    write_yaml(table(spark, d, "documents"), p, bad=True)
+    read = lambda policy: rd.read_yaml(spark, p, YAML_SCHEMA, glob="*.txt", errors=policy)
+    skip = read("skip").agg(F.lit("skip").alias("policy"), F.count("doc_id").alias("documents"),
+                            F.count_if(F.col("doc_id").isNull()).alias("errors"))
+    log = read("log").agg(F.lit("log").alias("policy"), F.count("doc_id").alias("documents"),
+                          F.count("_corrupt_record").alias("errors"))
+    try:
+        fails = read("raise").agg(F.lit("raise").alias("policy"), F.count("doc_id").alias("documents"),
+                                  F.lit(0).cast("bigint").alias("errors")).collect()
+    except Exception as e:  # noqa: BLE001
+        if "YAML document in" not in str(e):
+            raise
+        fails = [("raise", None, None)]
+    return skip.unionByName(log).unionByName(spark.createDataFrame(fails, "policy string, documents long, errors long"))
 
 
 @query("load_by_extension", "SELECT doc_id, text, lang FROM documents")
@@ -105,9 +139,9 @@ def q_load_by_extension(spark, d):
 
 
 def _mixed_dir(spark, d):
-    """csv, json and parquet folders of the documents, and a text file of their ids."""
+    """csv, json and parquet folders of the documents, and text files of their ids, in Spark's own partitions."""
     p = scratch(spark, "dir")
-    dd = docs(spark, d).coalesce(1)
+    dd = docs(spark, d).sortWithinPartitions("doc_id")
     dd.filter("lang = 'en'").write.option("header", True).option("escape", '"').csv(f"{p}/csv")
     dd.filter("lang = 'fr'").write.json(f"{p}/json")
     dd.filter("lang = 'de'").write.parquet(f"{p}/parquet")
@@ -116,35 +150,39 @@ def _mixed_dir(spark, d):
 
 
 @query("scan_directory", """
-SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN lang <> 'es' THEN lang END AS lang,
-       CASE WHEN lang = 'es' THEN CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS INTEGER) END AS line_number
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN lang <> 'es' THEN lang END AS lang, CASE WHEN lang <> 'es' THEN text END AS text,
+       CASE WHEN lang = 'es' THEN true END AS line_number_fits
 FROM documents
 """)
 def q_scan_directory(spark, d):
-    """All formats of one folder; the rows of the text file carry their line number."""
-    p = scratch(spark, "dir")
-    dd = docs(spark, d).repartition(1).sortWithinPartitions("doc_id")
-    dd.filter("lang = 'en'").write.option("header", True).option("escape", '"').csv(f"{p}/csv")
-    dd.filter("lang = 'fr'").write.json(f"{p}/json")
-    dd.filter("lang = 'de'").write.parquet(f"{p}/parquet")
-    dd.filter("lang = 'es'").select(F.col("doc_id").cast("string")).write.text(f"{p}/txt")
-    df = rd.load_directory(spark, p)
+    """All formats of one folder; the lines of a text file (ids in order) carry their number in it."""
+    df = rd.load_directory(spark, _mixed_dir(spark, d))
     is_line = F.col("line_number").isNotNull()
-    return df.select(F.when(is_line, F.col("text")).otherwise(F.col("doc_id").cast("string")).alias("doc_id"), "lang",
-                     "line_number")
+    own = Window.partitionBy("_source_file").orderBy(F.col("text").cast("bigint"))
+    lines = df.filter(is_line).select(
+        F.col("text").alias("doc_id"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("text"),
+        (F.col("line_number") == F.row_number().over(own)).alias("line_number_fits"))
+    rest = df.filter(~is_line).select(F.col("doc_id").cast("string").alias("doc_id"), "lang", "text",
+                                      F.lit(None).cast("boolean").alias("line_number_fits"))
+    return rest.unionByName(lines)
 
 
 @query("load_stats", """
-SELECT 'run-2' AS run_id, CAST(4 AS BIGINT) AS files, count(*) AS records, CAST(0 AS BIGINT) AS errors, true AS timed FROM documents
+SELECT 'run-2' AS run_id, true AS all_files, count(*) AS records, CAST(0 AS BIGINT) AS errors, true AS timed FROM documents
 """)
 def q_load_stats(spark, d):
     """Stats of two loads appended to a stats table; the latest row is read back."""
-    p = scratch(spark, "stats")
-    loaded = rd.load_directory(spark, _mixed_dir(spark, d))
+    p, folder = scratch(spark, "stats"), _mixed_dir(spark, d)
+    loaded = rd.load_directory(spark, folder)
     rd.save_load_stats(rd.load_stats(loaded.filter("lang = 'en'")), p, "run-1")
     rd.save_load_stats(rd.load_stats(loaded), p, "run-2")
+    # files that hold rows, counted without the loader (a CSV file may be a header alone)
+    with_rows = spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(folder).select("path", "length")
+    files = with_rows.filter("length > 0").join(loaded.select(F.col("_source_file").alias("path")).distinct(), "path").agg(
+        F.count("*")).scalar()
     timed = (F.col("end_time") >= F.col("start_time")) & (F.col("duration_s") > 0)
-    return rd.last_load_stats(spark, p).select("run_id", "files", "records", "errors", timed.alias("timed"))
+    return rd.last_load_stats(spark, p).select("run_id", (F.col("files") == files).alias("all_files"), "records", "errors",
+                                              timed.alias("timed"))
 
 
 @query("load_union", "SELECT doc_id, CAST(length(text) AS BIGINT) AS n FROM documents")

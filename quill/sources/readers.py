@@ -20,11 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quill.functions.text import strip_text
+from quill.sources import csv_splits
 
 LOG = logging.getLogger(__name__)
 CORRUPT = "_corrupt_record"
 # Error policy of the reference loader -> Spark reader mode.
 ERROR_MODES = {"skip": "DROPMALFORMED", "log": "PERMISSIVE", "raise": "FAILFAST"}
+# Reader options that choose files; the others are the parser's.
+LISTING = ("pathGlobFilter", "recursiveFileLookup", "modifiedBefore", "modifiedAfter", "ignoreMissingFiles", "ignoreCorruptFiles")
 # Extensions the loader accepts, by reader.
 FORMATS = {".csv": "csv", ".json": "json", ".jsonl": "json", ".txt": "text", ".parquet": "parquet",
            ".yaml": "yaml", ".yml": "yaml"}
@@ -35,6 +38,13 @@ def with_provenance(df: DataFrame) -> DataFrame:
     return df.withColumn("_source_file", F.col("_metadata.file_path")).withColumn("_loaded_at", F.current_timestamp())
 
 
+def located(df: DataFrame) -> DataFrame:
+    """Provenance columns of a frame that a reader gave."""
+    if "_source_file" in df.columns:
+        return df.withColumn("_loaded_at", F.current_timestamp())
+    return with_provenance(df)
+
+
 def handle_error(message: str, errors: str) -> None:
     """``raise`` raises, ``log`` logs an error, ``skip`` leaves a debug line."""
     if errors == "raise":
@@ -58,16 +68,28 @@ def path_kind(spark: SparkSession, path: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str, header: bool = True, encoding: str = "utf-8",
-             schema: T.StructType | str | None = None, errors: str = "log", multiline: bool = True, **opts) -> DataFrame:
-    """CSV with a header row.
-
-    Quoted fields may hold line breaks; a file is then one task.  Files known
-    to have none are split by ``multiline=False``.
+             schema: T.StructType | str | None = None, errors: str = "log", multiline: bool = True,
+             provenance: bool = False, **opts) -> DataFrame:
+    """CSV with a header row; quoted fields may hold line breaks.
+
+    Records are cut out of the files' splits (:mod:`quill.sources.csv_splits`), so a large file is
+    many tasks.  Files known to have no quoted line breaks go through Spark's line reader
+    (``multiline=False``); a schema to be inferred, or another escape than the doubled quote, through
+    its multi-line reader, which takes a file a task.  ``provenance`` adds ``_source_file``.
     """
-    r = spark.read.options(header=header, encoding=encoding, multiLine=multiline, escape='"', mode=ERROR_MODES[errors], **opts)
+    listing = {k: opts.pop(k) for k in list(opts) if k in LISTING}
+    if multiline and not opts.get("inferSchema") and opts.get("escape", '"') == opts.get("quote", '"'):
+        opts.pop("escape", None)
+        opts.pop("inferSchema", None)
+        sep, quote = opts.pop("sep", opts.pop("delimiter", ",")), opts.pop("quote", '"')
+        df = csv_splits.read(spark, path, ERROR_MODES[errors], header, encoding, schema, sep, quote, opts, **listing)
+        return df if provenance else df.drop("_source_file")
+    r = spark.read.options(**{"header": header, "encoding": encoding, "multiLine": multiline, "escape": '"',
+                              "mode": ERROR_MODES[errors], **opts, **listing})
     if schema is not None:
         r = r.schema(schema)
-    return r.csv(path)
+    df = r.csv(path)
+    return df.withColumn("_source_file", F.col("_metadata.file_path")) if provenance else df
 
 
 def read_json(spark: SparkSession, path: str, multiline: bool = False, errors: str = "log",
@@ -102,40 +124,55 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _yaml_docs(it: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-    """Each row is one document of a file; a parsed list becomes one row an item."""
-    import yaml
-    for pdf in it:
-        rows = []
-        for path, at, text in zip(pdf["_source_file"], pdf["at"], pdf["value"], strict=True):
-            doc = yaml.safe_load(text.removeprefix("---"))
-            for j, rec in enumerate(doc if isinstance(doc, list) else [doc]):
-                if rec:
-                    rows.append((path, at, j, json.dumps(rec, default=str, ensure_ascii=False)))
-        yield pd.DataFrame(rows, columns=["_source_file", "doc", "item", "json"])
+def _yaml_docs(errors: str) -> Callable[[Iterable[pd.DataFrame]], Iterable[pd.DataFrame]]:
+    """Each row is one document of a file; a parsed list becomes one row an item.
+
+    A document that cannot be parsed goes by the error policy: the load fails, the document is left
+    out, or its text is kept in the corrupt-record column.
+    """
+    def run(it: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        import yaml
+        for pdf in it:
+            rows = []
+            for path, at, text in zip(pdf["_source_file"], pdf["at"], pdf["value"], strict=True):
+                try:
+                    doc = yaml.safe_load(text.removeprefix("---"))
+                except yaml.YAMLError as e:
+                    if errors == "raise":
+                        raise RuntimeError(f"YAML document in {path}: {e}") from e
+                    if errors == "log":
+                        rows.append((path, at, 0, None, text))
+                    continue
+                for j, rec in enumerate(doc if isinstance(doc, list) else [doc]):
+                    if rec:
+                        rows.append((path, at, j, json.dumps(rec, default=str, ensure_ascii=False), None))
+            yield pd.DataFrame(rows, columns=["_source_file", "doc", "item", "json", CORRUPT])
+    return run
 
 
 def read_yaml(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-              glob: str | None = None) -> DataFrame:
+              glob: str | None = None, errors: str = "log") -> DataFrame:
     """Multi-document YAML (empty documents dropped) -> JSON rows, parsed with ``schema``.
 
     Spark splits files at the document markers, so a task parses single
-    documents however large a file is; ``doc`` grows along a file.
+    documents however large a file is; ``doc`` grows along a file.  Under the
+    policy ``log``, documents that cannot be parsed are in the corrupt-record column.
     """
     r = spark.read.option("lineSep", "\n---").options(**({"pathGlobFilter": glob} if glob else {}))
     if not glob:
         r = r.option("recursiveFileLookup", "true")
     raw = r.text(path).select(F.col("_metadata.file_path").alias("_source_file"),
                               F.monotonically_increasing_id().alias("at"), "value")
-    docs = raw.mapInPandas(_yaml_docs, "_source_file string, doc long, item int, json string")
+    docs = raw.mapInPandas(_yaml_docs(errors), f"_source_file string, doc long, item int, json string, {CORRUPT} string")
+    more = [CORRUPT] if errors == "log" else []
     if schema is None:
-        return docs
-    return docs.select("_source_file", "doc", "item", F.from_json("json", schema).alias("r")).select(
-        "_source_file", "doc", "item", "r.*")
+        return docs.select("_source_file", "doc", "item", "json", *more)
+    return docs.select("_source_file", "doc", "item", F.from_json("json", schema).alias("r"), CORRUPT).select(
+        "_source_file", "doc", "item", "r.*", *more)
 
 
 def load_file(spark: SparkSession, path: str, file_format: str | None = None, errors: str = "log",
-              schema=None) -> DataFrame:
+              schema=None, **opts) -> DataFrame:
     """Dispatch by extension (or ``file_format``).
 
     A missing file or an unknown format goes by the error policy; under
@@ -148,13 +185,14 @@ def load_file(spark: SparkSession, path: str, file_format: str | None = None, er
     if fmt not in FORMATS.values():
         handle_error(f"unsupported format: {path}", errors)
         return nothing_loaded(spark)
-    return read_as(spark, path, fmt, errors, schema)
+    return read_as(spark, path, fmt, errors, schema, **opts)
 
 
-def read_as(spark: SparkSession, path: str, fmt: str, errors: str = "log", schema=None, **opts) -> DataFrame:
-    """The reader of a format."""
+def read_as(spark: SparkSession, path: str, fmt: str, errors: str = "log", schema=None, provenance: bool = False,
+            **opts) -> DataFrame:
+    """The reader of a format; with ``provenance`` the source file is a column or in ``_metadata``."""
     if fmt == "csv":
-        return read_csv(spark, path, errors=errors, schema=schema, **opts)
+        return read_csv(spark, path, errors=errors, schema=schema, provenance=provenance, **opts)
     if fmt == "json":
         r = spark.read.options(mode=ERROR_MODES[errors], columnNameOfCorruptRecord=CORRUPT, **opts)
         return (r.schema(schema) if schema is not None else r).json(path)
@@ -162,7 +200,7 @@ def read_as(spark: SparkSession, path: str, fmt: str, errors: str = "log", schem
         return read_text_lines(spark, path, **opts)
     if fmt == "parquet":
         return spark.read.options(**opts).parquet(path)
-    return read_yaml(spark, path, schema, **({"glob": opts["pathGlobFilter"]} if "pathGlobFilter" in opts else {}))
+    return read_yaml(spark, path, schema, opts.get("pathGlobFilter"), errors)
 
 
 def narrowed(pattern: str, ext: str) -> str | None:
@@ -207,9 +245,9 @@ def load_directory(spark: SparkSession, directory: str, pattern: str = "*", recu
             handle_error(f"unsupported format: {ext or 'no extension'} in {directory}", errors)
             continue
         opts = {"recursiveFileLookup": "true", "pathGlobFilter": glob} if recursive else {}
-        df = read_as(spark, directory if recursive else f"{directory.rstrip('/')}/{glob}", fmt, errors, **opts)
-        frames.append(df.withColumn("_loaded_at", F.current_timestamp()) if "_source_file" in df.columns
-                      else with_provenance(df))
+        df = read_as(spark, directory if recursive else f"{directory.rstrip('/')}/{glob}", fmt, errors, provenance=True,
+                     **opts)
+        frames.append(located(df))
     return union_all(frames) if frames else nothing_loaded(spark)
 
 
@@ -241,8 +279,8 @@ def load_batch(spark: SparkSession, sources: list, transform: Callable[[DataFram
         if kind == "missing":
             handle_error(f"invalid source: {s}", errors)
         elif kind == "file" or known:  # a folder named data.csv is what Spark writes for one file
-            df = load_file(spark, s, errors=errors)
-            frames.append(df if "_source_file" in df.columns else with_provenance(df))
+            df = load_file(spark, s, errors=errors, provenance=True)
+            frames.append(df if "_loaded_at" in df.columns else located(df))
         else:
             frames.append(load_directory(spark, s, errors=errors))
     out = union_all(frames) if frames else nothing_loaded(spark)

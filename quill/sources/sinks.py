@@ -108,23 +108,6 @@ def prediction_cache_rows(results: DataFrame, model_type: str = "sentiment") ->
         ag.sent_label().alias("prediction_data"), ag.sent_score().alias("confidence"), F.col("processed_at").alias("created_at"))
 
 
-def upsert_predictions(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Union, then the latest row per (text_hash, model_type) wins.
-
-    ``max_by`` aggregates map-side, so a hot key never lands whole in one task.
-    """
-    u = existing.unionByName(new)
-    latest = F.max_by(F.struct("prediction_data", "confidence", "created_at"),
-                      F.struct("created_at", "prediction_data", "confidence"))
-    return u.groupBy("text_hash", "model_type").agg(latest.alias("r")).select("text_hash", "model_type", "r.*")
-
-
-def lookup_predictions(requests: DataFrame, cache: DataFrame, as_of, max_age_hours: int = 24) -> DataFrame:
-    """Left join each request to a cached prediction newer than ``as_of - max_age``."""
-    fresh = cache.filter(F.col("created_at") > as_of - F.make_dt_interval(F.lit(0), F.lit(max_age_hours)))
-    return requests.join(fresh, ["text_hash", "model_type"], "left")
-
-
 def write_json(df: DataFrame, path: str, mode: str = "overwrite", **options) -> None:
     """JSON lines; nested structs written as they are, non-ASCII kept."""
     df.write.mode(mode).options(**options).json(path)
