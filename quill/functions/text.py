@@ -142,24 +142,30 @@ def _fold_udf(s: pd.Series) -> pd.Series:
 def fold_unicode(c: Column) -> Column:
     """NFKD + drop combining marks.
 
-    One JVM ``translate`` does the whole fold for almost every row; only rows
-    holding a character that expands to several characters (ligatures,
-    fractions, Hangul syllables, ...) are sent, alone, to the pandas UDF.
+    ASCII texts stay as they are; one JVM ``translate`` does the whole fold for
+    almost every other row.  Only rows holding a character that expands to
+    several characters (ligatures, fractions, Hangul syllables, ...) are sent,
+    alone, to the pandas UDF.
     """
     frm, to = fold_tables()
-    t = F.translate(c, frm, to)
+    t = F.when(F.octet_length(c) == F.length(c), c).otherwise(F.translate(c, frm, to))
     return F.coalesce(_fold_udf(F.when(F.instr(t, SENTINEL) > 0, c)), t)
 
 
 # ---------------------------------------------------------------------------
 # Cleaning (C2..C13)
 # ---------------------------------------------------------------------------
+def _where(c: Column, part: str, fn) -> Column:
+    """``fn`` applied to the texts that hold ``part``; a search for bytes is far cheaper than a pattern."""
+    return let(c, lambda x: F.when(F.contains(x, F.lit(part)), fn(x)).otherwise(x))
+
+
 def remove_urls(c: Column) -> Column:
-    return F.regexp_replace(c, URL_PATTERN, " ")
+    return _where(c, "http", lambda x: F.regexp_replace(x, URL_PATTERN, " "))
 
 
 def remove_emails(c: Column) -> Column:
-    return F.regexp_replace(c, J_EMAIL, " ")
+    return _where(c, "@", lambda x: F.regexp_replace(x, J_EMAIL, " "))
 
 
 def remove_numbers(c: Column) -> Column:
@@ -226,9 +232,13 @@ def clean_text(c: Column, *, lowercase: bool = True, remove_urls_: bool = True,
         c = remove_numbers(c)
     if remove_punctuation_:
         c = remove_punctuation(c)
-    if remove_special_chars_ and not remove_punctuation_:
+    special = remove_special_chars_ and not remove_punctuation_
+    if special and remove_extra_whitespace:
+        # what is neither letter nor digit is special or white space: both steps in one
+        c = F.trim(F.regexp_replace(c, "[^a-zA-Z0-9]+", " "))
+    elif special:
         c = remove_special_chars(c)
-    if remove_extra_whitespace:
+    elif remove_extra_whitespace:
         c = collapse_whitespace(c)
     if custom_stopwords:
         c = remove_stopwords(c, custom_stopwords)

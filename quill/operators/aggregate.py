@@ -9,6 +9,10 @@ window group limit on both sides of the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +20,7 @@ from quill.functions import text as tx
 from quill.functions.text import let, unnest
 from quill.functions.vectors import SENTIMENT_LABELS
 from quill.operators.entities import ENTITY_TYPES, entities_long
+from quill.session import staged
 
 TYPE_NAMES = sorted(set(ENTITY_TYPES.values()))
 
@@ -98,18 +103,23 @@ def ratio(a: str, b: str) -> Column:
     return F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
 
 
-def summary_stats(results: DataFrame) -> DataFrame:
-    """A2: one row of corpus statistics."""
+def summary_columns() -> list:
+    """The corpus statistics, from a row of sums."""
     var = (F.col("score2") - F.col("score") * F.col("score") / F.col("scored")) / (F.col("scored") - 1)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
-    return corpus_sums(results).select(
+    return [
         zero("docs").alias("total_documents"), ratio("ok", "docs").alias("success_rate"),
         (zero("docs") - zero("ok")).alias("failed_documents"), *[zero(f"n_{x}").alias(f"n_{x}") for x in SENTIMENT_LABELS],
         ratio("score", "scored").alias("avg_confidence"),
         F.when(F.col("scored") > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).otherwise(F.lit(0.0)).alias("std_confidence"),
         zero("ents").alias("total_entities"), ratio("ents", "with_ents").alias("avg_entities_per_doc"),
         ratio("chars", "texts").alias("avg_length"), ratio("words", "texts").alias("avg_words"),
-        ratio("time", "timed").alias("avg_processing_time"), "unique_entities", "entity_types")
+        ratio("time", "timed").alias("avg_processing_time"), "unique_entities", "entity_types"]
+
+
+def summary_stats(results: DataFrame) -> DataFrame:
+    """A2: one row of corpus statistics."""
+    return corpus_sums(results).select(*summary_columns())
 
 
 def agg_by_sentiment(results: DataFrame) -> DataFrame:
@@ -195,21 +205,55 @@ def entity_cooccurrence(results: DataFrame, min_count: int = 3) -> DataFrame:
     """Unordered pairs of distinct entity texts sharing documents.
 
     Exact pruning first: a pair can only reach ``min_count`` when both texts
-    occur in at least ``min_count`` documents.  The frequent texts of a document
-    become one sorted array, and its pairs are emitted row by row from there
-    and combined map-side; no self-join and no global order.
+    occur in at least ``min_count`` documents.  Those texts are numbered; the
+    numbers of a document meet as blocks of pairs, counted in the task and then
+    by Spark, and texts come back only for the pairs that stay.
     """
     total = _total(results)
     de = unnest(results, F.array_distinct(F.transform("entities", lambda e: e["text"])), "text", "document_id")
-    de = de.filter(F.col("text").isNotNull())
-    frequent = de.distinct().groupBy("text").agg(F.count("*").alias("df")).filter(F.col("df") >= min_count).select("text")
-    docs = de.join(frequent, "text", "left_semi").groupBy("document_id").agg(F.sort_array(F.collect_set("text")).alias("ts"))
-    heads = docs.select(F.posexplode("ts").alias("i", "entity1"), "ts").select(
-        "entity1", F.slice("ts", F.col("i") + 2, F.size("ts")).alias("rest"))
-    pairs = heads.select("entity1", F.explode("rest").alias("entity2"))
-    return (pairs.groupBy("entity1", "entity2").agg(F.count("*").cast("bigint").alias("co_occurrence_count"))
-            .filter(F.col("co_occurrence_count") >= min_count)
-            .withColumn("strength", F.col("co_occurrence_count") / total))
+    de = staged(de.filter(F.col("text").isNotNull()).distinct(), "entity-documents")
+    frequent = de.groupBy("text").agg(F.count("*").alias("df")).filter(F.col("df") >= min_count)
+    names = staged(frequent.select("text", F.monotonically_increasing_id().alias("id")), "entity-ids")
+    ids = de.join(names, "text").groupBy("document_id").agg(F.collect_list("id").alias("ids")).filter(F.size("ids") > 1)
+    pairs = ids.select("ids").mapInArrow(_pair_counts, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    pairs = pairs.filter(F.col("n") >= min_count)
+    name = lambda key, out: names.select(F.col("id").alias(key), F.col("text").alias(out))
+    named = pairs.join(name("a", "x"), "a").join(name("b", "y"), "b")
+    return named.select(F.least("x", "y").alias("entity1"), F.greatest("x", "y").alias("entity2"),
+                        F.col("n").cast("bigint").alias("co_occurrence_count"), (F.col("n") / total).alias("strength"))
+
+
+PAIR_ROWS = 1 << 20
+
+
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the pairs (a < b) within each row's ids, over about ``PAIR_ROWS`` pairs at a time."""
+    codes: list[np.ndarray] = []
+    size = 0
+
+    def counted() -> pa.RecordBatch:
+        pairs, n = np.unique(np.concatenate(codes), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(seen[pairs // len(seen)]), pa.array(seen[pairs % len(seen)]),
+                                           pa.array(n.astype(np.int64))], names=["a", "b", "n"])
+
+    for batch in batches:
+        col = batch.column(0)
+        seen, at = np.unique(col.flatten().to_numpy(), return_inverse=True)
+        ends = np.cumsum(col.value_lengths().to_numpy())
+        for lo, hi in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+            row = np.sort(at[lo:hi]).astype(np.int64)
+            step = max(1, PAIR_ROWS // len(row))
+            for i in range(0, len(row) - 1, step):
+                some = np.arange(i, min(i + step, len(row) - 1))
+                first, second = np.nonzero(some[:, None] < np.arange(i + 1, len(row))[None, :])
+                codes.append(row[some[first]] * len(seen) + row[i + 1 + second])
+                size += len(first)
+                if size >= PAIR_ROWS:
+                    yield counted()
+                    codes, size = [], 0
+        if codes:
+            yield counted()
+            codes, size = [], 0
 
 
 def metric_values(results: DataFrame, metric: str) -> DataFrame | None:

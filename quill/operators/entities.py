@@ -98,6 +98,13 @@ def extract_entities(text: Column, rules=None, score: float = 1.0) -> Column:
     return F.transform(F.sort_array(allp), lambda x: x["e"])
 
 
+def count_entities(text: Column, rules=None) -> Column:
+    """How many entities the rules find; no spans are built."""
+    rules = PATTERN_RULES if rules is None else rules
+    t = F.coalesce(text, F.lit(""))
+    return sum((F.regexp_count(t, F.lit(LINEAR_FORMS.get(p, p))) for _, p in rules), F.lit(0)).cast("bigint")
+
+
 def entities_long(results: DataFrame, keep=("processed_at",)) -> DataFrame:
     """results x posexplode(entities): one row per entity."""
     extra = [c for c in keep if c in results.columns]
@@ -227,66 +234,15 @@ def entity_relations(docs: DataFrame, key: str, text: str, entity_pattern: str =
             .select(key, "sent_no", "r.*"))
 
 
-TOKEN_PATTERN = r"[\p{L}\p{N}]+"
-
-
-def _token_spans_py(texts):
-    import regex
-    pat = regex.compile(TOKEN_PATTERN)
-    return [[{"text": m.group(), "start": m.start(), "end": m.end()} for m in pat.finditer(t or "")] for t in texts]
-
-
-_SPAN_SCHEMA = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("start", T.IntegerType()),
-                                         T.StructField("end", T.IntegerType())]))
-
+def extract_gazetteer(docs: DataFrame, key: str, text: str, gazetteer: DataFrame, **how) -> DataFrame:
+    """N1 (b): dictionary entities: leftmost-longest phrases of a (phrase, label) table, of any number of words.
 
-@F.pandas_udf(_SPAN_SCHEMA)
-def _token_spans_udf(texts: pd.Series) -> pd.Series:
-    return pd.Series(_token_spans_py(texts.tolist()))
-
-
-def token_spans(text: Column) -> Column:
-    """Word tokens with offsets, linear per text (Arrow-batched helper).
-
-    ``match_spans`` pays a logarithm for its prefix sums: right for entity
-    patterns, a waste for every word of a long document.
-    """
-    return _token_spans_udf(text)
-
-
-def phrase_spans(text: Column, max_n: int = 2) -> Column:
-    """Word n-grams (1..``max_n``) with character offsets: array<struct<text,start,end>>.
-
-    ``text`` of an n-gram is its lower-cased words joined by one blank, so it
-    can be hash-joined to a dictionary of phrases.
-    """
-    def gram_of(sp, k):
-        # one-argument lambda (a second parameter would be read as the element index)
-        return lambda i: F.struct(
-            F.lower(F.array_join(F.transform(F.slice(sp, i + 1, k), lambda s: s["text"]), " ")).alias("text"),
-            F.get(sp, i)["start"].alias("start"), F.get(sp, i + k - 1)["end"].alias("end"))
-
-    def grams(sp):
-        n = F.size(sp)
-        parts = []
-        for k in range(1, max_n + 1):
-            idx = F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
-            parts.append(F.transform(idx, gram_of(sp, k)))
-        return F.concat(*parts) if len(parts) > 1 else parts[0]
-    return let(token_spans(text), grams)
-
-
-def extract_gazetteer(docs: DataFrame, key: str, text: str, gazetteer: DataFrame, max_n: int = 2) -> DataFrame:
-    """N1 (b): dictionary entities: document n-grams hash-joined to a (phrase, label) table.
-
-    Spark broadcasts the dictionary when it is small.  Long form
-    (key, text, label, type, start, end).
+    Long form (key, text, label, type, start, end); a phrase of several labels is a row for each.
     """
-    grams = unnest(docs, phrase_spans(F.col(text), max_n), "g", key).select(
-        key, F.col("g.text").alias("phrase"), F.col("g.start").alias("start"), F.col("g.end").alias("end"))
-    hits = grams.join(gazetteer.select(F.lower("phrase").alias("phrase"), "label"), "phrase")
-    return hits.select(key, F.col("phrase").alias("text"), "label", entity_type(F.col("label")).alias("type"),
-                       "start", "end")
+    from quill.operators.phrases import match
+    m = match(docs, key, text, gazetteer, **how)
+    return m.withColumn("label", F.explode("labels")).select(
+        key, "text", "label", entity_type(F.col("label")).alias("type"), "start", "end")
 
 
 def extract_with_model(df: DataFrame, text: str, model_factory, out: str = "entities") -> DataFrame:

@@ -245,7 +245,7 @@ def cosine_topk(vectors: DataFrame, key: str, vec: str, query: DataFrame, k: int
             .orderBy(F.desc("score"), F.asc(key)).limit(k))
 
 
-# --- token ids (T5-T7) and language detection (T9) ------------------------------------------
+# --- token ids (T5-T7) ------------------------------------------------------------------------
 def build_vocab(docs: DataFrame, text: str, vocab_size: int = 30000, min_frequency: int = 2) -> DataFrame:
     """(token, id, count); ids after the reserved special tokens, by count desc then token."""
     toks = tx.unnest(docs, terms(F.col(text)), "token")
@@ -285,22 +285,6 @@ def decode_ids(encoded: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
     return out.select(key, F.coalesce(F.array_join(F.transform("s", lambda x: x["token"]), " "), F.lit("")).alias("text"))
 
 
-# Languages recognised by stop-word hits: code -> Spark ML stop-word list.
-LANGUAGES = {"de": "german", "en": "english", "es": "spanish", "fr": "french"}
-
-
-def detect_language(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Language with the most stop-word hits (ties by code); NULL without hits."""
-    rows = [(w, code) for code, name in LANGUAGES.items() for w in tx.default_stopwords(name)]
-    sw = docs.sparkSession.createDataFrame(rows, "word string, lang string")
-    toks = tx.unnest(docs, terms(F.col(text)), "word", key)
-    hits = toks.join(sw, "word").groupBy(key, "lang").agg(F.count("*").alias("n"))
-    # most hits, then the smallest code; at most len(LANGUAGES) rows per document
-    w = Window.partitionBy(key).orderBy(F.desc("n"), F.asc("lang"))
-    best = hits.withColumn("rk", F.row_number().over(w)).filter("rk = 1").select(key, F.col("lang").alias("detected"))
-    return docs.select(key).join(best, key, "left")
-
-
 # Parameter: coarse part-of-speech lexicon and suffix fallbacks.
 POS_LEXICON = {"the": "DET", "a": "DET", "an": "DET", "and": "CCONJ", "or": "CCONJ", "of": "ADP", "to": "ADP",
                "in": "ADP", "on": "ADP", "with": "ADP", "is": "VERB", "are": "VERB", "was": "VERB", "be": "VERB",

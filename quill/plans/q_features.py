@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from quill.functions import text as tx
 from quill.functions import vectors as vx
 from quill.operators import features as fe
+from quill.operators import language as la
+from quill.operators import search as se
 from quill.plans.catalog import query
 from quill.plans.q_results import round_doubles
 from quill.plans.sqlbits import lit
@@ -184,6 +186,18 @@ def q_cosine_topk(spark, d):
     return round_doubles(fe.cosine_topk(emb, "vec_id", "embedding", query_vec, 10))
 
 
+@query("cosine_topk_many", """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query, v.vec_id AS key, list_cosine_similarity(q.v, v.v) AS score FROM v q, v WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank FROM s)
+SELECT query, key, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 10
+""")
+def q_cosine_topk_many(spark, d):
+    """the ten nearest of every twentieth vector among all, by cells."""
+    emb = table(spark, d, "embeddings")
+    return round_doubles(se.cosine_topk_many(emb, emb.filter("vec_id % 20 = 0"), "vec_id", "embedding", 10).rows)
+
+
 @query("softmax", """
 WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings),
 e AS (SELECT vec_id, list_transform(v, lambda a: exp(a - list_max(v))) AS ex FROM x),
@@ -254,19 +268,42 @@ def q_decode_ids(spark, d):
     return fe.decode_ids(fe.encode_ids(docs(spark, d), "doc_id", "text", v, 512), "doc_id", v)
 
 
-def _stop_sql() -> str:
-    rows = [f"({lit(w)}, {lit(code)})" for code, name in fe.LANGUAGES.items() for w in tx.default_stopwords(name)]
-    return "sw(word, lang) AS (VALUES " + ", ".join(rows) + ")"
+HELD = "substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) IN ('0', '1', '2')"
+LANGUAGE_SQL = rf"""
+w AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS w FROM documents),
+g AS (SELECT doc_id, lang, substr(' ' || w || ' ', unnest(range(1, length(w) + 1)), 3) AS g FROM w),
+tc AS (SELECT lang, g, count(*) AS n FROM g WHERE NOT {HELD} AND lang IS NOT NULL GROUP BY ALL),
+top AS (SELECT g FROM tc GROUP BY g ORDER BY sum(n) DESC, g LIMIT {la.TRIGRAMS}),
+tt AS (SELECT lang, sum(n)::DOUBLE AS t FROM tc SEMI JOIN top USING (g) GROUP BY lang),
+pr AS (SELECT lang, count(*) AS c FROM documents WHERE NOT {HELD} AND lang IS NOT NULL AND text IS NOT NULL GROUP BY lang),
+m AS (SELECT lang, ln(c::DOUBLE / sum(c) OVER ()) AS prior, ln(coalesce(t, 0) + {la.SMOOTHING} * ((SELECT count(*) FROM top) + 1)) AS total
+      FROM pr LEFT JOIN tt USING (lang)),
+dc AS (SELECT doc_id, g, count(*) AS c FROM g GROUP BY ALL),
+sc AS (SELECT dc.doc_id, m.lang, m.prior + sum(dc.c * (ln(coalesce(tc.n, 0) + {la.SMOOTHING}) - m.total)) AS score
+       FROM dc CROSS JOIN m LEFT JOIN (SELECT * FROM tc SEMI JOIN top USING (g)) tc ON tc.g = dc.g AND tc.lang = m.lang GROUP BY dc.doc_id, m.lang, m.prior),
+be AS (SELECT doc_id, lang AS detected FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS rk FROM sc) WHERE rk = 1)
+"""
 
 
-@query("detect_language", f"""
-WITH {_stop_sql()},
-h AS (SELECT doc_id, lang, count(*) AS n FROM (SELECT doc_id, unnest({TERMS}) AS word FROM documents) JOIN sw USING (word) GROUP BY 1, 2),
-b AS (SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, lang) AS rk FROM h) WHERE rk = 1)
-SELECT d.doc_id, b.lang AS detected FROM documents d LEFT JOIN b USING (doc_id)
-""")
+@query("detect_language", f"WITH {LANGUAGE_SQL} SELECT d.doc_id, be.detected FROM documents d LEFT JOIN be USING (doc_id)")
 def q_detect_language(spark, d):
-    return fe.detect_language(docs(spark, d), "doc_id", "text")
+    """A model trained on thirteen sixteenths of the documents (by hash), applied to all."""
+    rows = docs(spark, d)
+    return la.detect(rows, "doc_id", "text", la.train(rows.filter(~la.held_out(F.col("doc_id"))), "text", "lang"))
+
+
+@query("language_accuracy", f"""
+WITH {LANGUAGE_SQL}
+SELECT d.lang, count(*) AS documents, count(*) FILTER (be.detected = d.lang) AS right
+FROM documents d LEFT JOIN be USING (doc_id) WHERE {HELD.replace('doc_id', 'd.doc_id')} GROUP BY d.lang
+""")
+def q_language_accuracy(spark, d):
+    """How many of the documents left out of training are told right."""
+    rows = docs(spark, d)
+    held = la.held_out(F.col("doc_id"))
+    found = la.detect(rows.filter(held), "doc_id", "text", la.train(rows.filter(~held), "text", "lang"))
+    return rows.select("doc_id", "lang").join(found, "doc_id").groupBy("lang").agg(
+        F.count("*").alias("documents"), F.count_if(F.col("detected") == F.col("lang")).alias("right"))
 
 
 def _pos_sql() -> str:

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quill.functions import text as tx
 from quill.functions import vectors as vx
 from quill.operators import aggregate as ag
+from quill.operators import bayes as nb
 from quill.operators import entities as en
+from quill.operators import incremental as inc
+from quill.operators import phrases as ph
 from quill.operators import sentiment as se
 from quill.plans import fixtures as fx
-from quill.plans.analyze import analyze, lexicon_scorer
+from quill.plans.analyze import analyze, trained_scorer
 from quill.plans.catalog import query
 from quill.plans.sqlbits import d_clean, d_word_count, d_words, lit
 from quill.plans.sqlfix import FX, LABEL_SQL, PROBS_SQL, TEXT_WORDS, lex_probs_sql
+from quill.session import scratch_path
 from quill.sources.tables import table
 
 
@@ -71,17 +77,45 @@ def rule_entities(spark, d):
 CLEAN_RULES = [("CARDINAL", r"[0-9]+"), ("ORG", r"[a-z]{12,}")]
 
 
-def flagship(docs: DataFrame) -> DataFrame:
-    """Documents through the analysis, flattened."""
-    res = analyze(docs, lexicon_scorer(fx.POSITIVE, fx.NEGATIVE, fx.NEUTRAL),
-                  lambda text: en.extract_entities(text, CLEAN_RULES))
-    return res.select("document_id", "clean", F.col("sentiment.label").alias("sentiment_label"),
-                      F.col("sentiment.score").alias("sentiment_score"), ag.n_entities().alias("n_entities"), "error")
+def sentiment_model(spark, d) -> nb.Model:
+    """M1: trained on the labelled documents' cleaned texts."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return nb.train(nb.labelled(docs, table(spark, d, "labels"), tx.clean_text(F.col("text"))))
 
 
+def flagship(spark, d, docs: DataFrame) -> DataFrame:
+    """Documents through the analysis with the trained scorer, flattened."""
+    res = analyze(docs, trained_scorer(sentiment_model(spark, d), spark), lambda text: en.extract_entities(text, CLEAN_RULES),
+                  counter=lambda text: en.count_entities(text, CLEAN_RULES))
+    return res.select("document_id", "clean", F.col("sentiment.label").alias("sentiment_label"),
+                      F.col("sentiment.score").alias("sentiment_score"), "n_entities", "error")
+
+
+NB_SQL = f"""
+lw AS (SELECT CASE WHEN toxic = 1 THEN 0 WHEN quality = 0 THEN 1 WHEN quality = 1 THEN 2 END AS y, {d_words('clean')} AS ws
+       FROM c JOIN labels USING (doc_id)),
+ly AS (SELECT * FROM lw WHERE y IS NOT NULL),
+cw AS (SELECT y, w, count(*) AS n FROM (SELECT y, unnest(ws) AS w FROM ly) GROUP BY ALL),
+vo AS (SELECT w FROM cw GROUP BY w ORDER BY sum(n) DESC, w LIMIT {nb.WORDS}),
+ct AS (SELECT k AS y, ln(coalesce(sum(n), 0) + {nb.SMOOTHING} * ((SELECT count(*) FROM vo) + 1)) AS total
+       FROM range(3) r(k) LEFT JOIN (SELECT * FROM cw SEMI JOIN vo USING (w)) x ON x.y = r.k GROUP BY k),
+cp AS (SELECT k AS y, ln(((SELECT count(*) FROM ly WHERE y = k) + {nb.SMOOTHING}) / ((SELECT count(*) FROM ly) + 3 * {nb.SMOOTHING})) AS prior
+       FROM range(3) r(k)),
+dw AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest({d_words('clean')}) AS w FROM c) GROUP BY ALL),
+dn AS (SELECT doc_id, sum(c) AS n FROM dw GROUP BY doc_id),
+kn AS (SELECT cw.* FROM cw SEMI JOIN vo USING (w)),
+ds AS (SELECT dw.doc_id, ct.y, sum(dw.c * (ln(coalesce(kn.n, 0) + {nb.SMOOTHING}) - ct.total)) AS s
+       FROM dw CROSS JOIN ct LEFT JOIN kn ON kn.w = dw.w AND kn.y = ct.y GROUP BY dw.doc_id, ct.y),
+dp AS (SELECT c.doc_id, cp.y, cp.prior + coalesce(ds.s, 0) / sqrt(greatest(coalesce(dn.n, 0), 1)) AS x
+       FROM c CROSS JOIN cp LEFT JOIN ds ON ds.doc_id = c.doc_id AND ds.y = cp.y LEFT JOIN dn ON dn.doc_id = c.doc_id),
+dx AS (SELECT doc_id, max(x) AS m FROM dp GROUP BY doc_id),
+de AS (SELECT dp.doc_id, max(exp(x - m)) FILTER (y = 0) AS e0, max(exp(x - m)) FILTER (y = 1) AS e1, max(exp(x - m)) FILTER (y = 2) AS e2
+       FROM dp JOIN dx USING (doc_id) GROUP BY dp.doc_id),
+pr AS (SELECT doc_id, e0 / (e0 + e1 + e2) AS p_neg, e1 / (e0 + e1 + e2) AS p_neu, e2 / (e0 + e1 + e2) AS p_pos FROM de)
+"""
 FLAGSHIP_SQL = f"""
-WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, doc_id, text, {d_clean('text')} AS clean FROM documents),
-h AS (SELECT *, {lex_probs_sql(d_words('clean'))} FROM c), p AS (SELECT *, {PROBS_SQL} FROM h), s AS (SELECT *, {LABEL_SQL} FROM p)
+WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, doc_id, text, {d_clean('text')} AS clean FROM documents), {NB_SQL},
+s AS (SELECT c.*, {LABEL_SQL} FROM c JOIN pr USING (doc_id))
 SELECT document_id, clean, label AS sentiment_label, round(score, 6) AS sentiment_score,
        CAST(len(regexp_extract_all(clean, '[0-9]+')) + len(regexp_extract_all(clean, '[a-z]{{12,}}')) AS BIGINT) AS n_entities,
        CASE WHEN text IS NULL THEN 'not_a_string' WHEN regexp_full_match(text, '\\s*') THEN 'empty' END AS error
@@ -91,7 +125,7 @@ FROM s
 
 @query("batch_analyze", FLAGSHIP_SQL)
 def q_batch_analyze(spark, d):
-    return round_doubles(flagship(table(spark, d, "documents")))
+    return round_doubles(flagship(spark, d, table(spark, d, "documents")))
 
 
 # --- M1..M7 -----------------------------------------------------------------
@@ -309,6 +343,65 @@ def q_summary_stats(spark, d):
     return round_doubles(ag.summary_stats(R(spark, d)))
 
 
+BATCHES = 3
+
+
+def batches_appended(spark, d) -> str:
+    """The results in three batches (by a hash of the id), one of them written twice."""
+    path = scratch_path(spark, f"batches/{uuid.uuid4().hex}")
+    r = R(spark, d).withColumn("batch", F.pmod(F.xxhash64("document_id"), F.lit(BATCHES)))
+    for k in (0, 1, 1, *range(2, BATCHES)):
+        inc.append_batch(r.filter(F.col("batch") == k).drop("batch"), path, k)
+    return path
+
+
+# Sketch columns are compared with the exact figure: within 3 % (a fortieth of the rank for the median).
+@query("incremental_summary", f"""
+WITH {FX}
+SELECT CAST(count(*) AS BIGINT) AS total_documents,
+       round(count(*) FILTER (WHERE coalesce(error, '') = '') / count(*), 6) AS success_rate,
+       CAST(count(*) FILTER (WHERE sent_label = 'negative') AS BIGINT) AS n_negative,
+       CAST(count(*) FILTER (WHERE sent_label = 'neutral') AS BIGINT) AS n_neutral,
+       CAST(count(*) FILTER (WHERE sent_label = 'positive') AS BIGINT) AS n_positive,
+       round(coalesce(avg(sent_score), 0), 6) AS avg_confidence, round(coalesce(stddev_samp(sent_score), 0), 6) AS std_confidence,
+       (SELECT string_agg(type || '=' || n, ', ' ORDER BY type) FROM (SELECT type, count(*) AS n FROM fx_ents GROUP BY type)) AS entity_types,
+       CAST(sum(n_entities) AS BIGINT) AS total_entities, round(avg(length(text)), 6) AS avg_length,
+       round(avg({d_word_count('text')}), 6) AS avg_words, round(avg(processing_time), 6) AS avg_processing_time,
+       true AS unique_entities_fit, true AS median_fits
+FROM fx_docs
+""")
+def q_incremental_summary(spark, d):
+    """A2 from the states of three batches; distinct texts and the median come from sketches."""
+    path = batches_appended(spark, d)
+    s = inc.refresh_summary(spark, path)
+    done = inc.all_results(spark, path)
+    exact = done.select(F.explode("entities.text").alias("t")).agg(F.countDistinct("t")).scalar()
+    med = s.select("median_confidence").scalar()
+    below = done.agg(F.avg((F.col("sentiment.score") < med).cast("double"))).scalar()
+    upto = done.agg(F.avg((F.col("sentiment.score") <= med).cast("double"))).scalar()
+    fit = F.abs(F.col("unique_entities") - exact) <= 0.03 * exact
+    return round_doubles(s.select(
+        "total_documents", "success_rate", "n_negative", "n_neutral", "n_positive", "avg_confidence", "std_confidence", "entity_types",
+        "total_entities", "avg_length", "avg_words", "avg_processing_time", fit.alias("unique_entities_fit"),
+        ((below <= 0.525) & (upto >= 0.475)).alias("median_fits")))
+
+
+@query("incremental_labels", f"""
+WITH {FX}
+SELECT coalesce(label, 'UNKNOWN') AS label, CAST(count(*) AS BIGINT) AS total_occurrences, true AS unique_entities_fit,
+       round(avg(coalesce(score, 0.0)), 6) AS avg_confidence,
+       round(count(DISTINCT document_id) / (SELECT count(*) FROM fx_docs), 6) AS document_coverage
+FROM fx_ents GROUP BY 1
+""")
+def q_incremental_labels(spark, d):
+    """A4 from the states of three batches."""
+    path = batches_appended(spark, d)
+    exact = ag.agg_by_entity_type(inc.all_results(spark, path)).select("label", F.col("unique_entities").alias("exact"))
+    fit = F.abs(F.col("unique_entities") - F.col("exact")) <= 0.03 * F.col("exact")
+    return round_doubles(inc.refresh_labels(spark, path).join(exact, "label").select(
+        "label", "total_occurrences", fit.alias("unique_entities_fit"), "avg_confidence", "document_coverage"))
+
+
 @query("agg_by_sentiment", f"""
 WITH {FX}
 SELECT sent_label AS sentiment, CAST(count(*) AS BIGINT) AS count,
@@ -552,44 +645,60 @@ def q_agg_by_window_entities(spark, d):
     return (ag.top_entities_by(r.withColumn("w", w.start.cast("timestamp_ntz")), F.col("w"), "window_start", 10))
 
 
-# Gazetteer: the 30 most frequent capitalised words and the 10 most frequent word pairs
-# of the corpus, derived from the documents (so the work grows with them).
+# Dictionary: the 30 most frequent capitalised words of the documents, and from every benchmark
+# text a phrase of each length from 2 to 10 words (so the work grows with both tables).
+PHRASE_SIZES = range(2, 11)
+PHRASE_LABELS = ["EVENT", "GPE", "PRODUCT"]
+
+
 def gazetteer(spark, d):
     docs = table(spark, d, "documents")
-    toks = docs.select(F.explode(F.regexp_extract_all("text", F.lit(en.TOKEN_PATTERN), 0)).alias("w"))
+    toks = docs.select(F.explode(F.regexp_extract_all("text", F.lit(ph.TOKEN_PATTERN), 0)).alias("w"))
     words = toks.filter(F.col("w").rlike("^[A-Z][a-z]+$")).select(F.lower("w").alias("phrase"))
-    top_w = (words.groupBy("phrase").agg(F.count("*").alias("n"))
-             .orderBy(F.desc("n"), F.asc("phrase")).limit(30).select("phrase", F.lit("ORG").alias("label")))
-    pairs = tx.unnest(docs, en.phrase_spans(F.col("text"), 2), "g").filter(F.col("g.text").contains(" "))
-    top_p = (pairs.groupBy(F.col("g.text").alias("phrase")).agg(F.count("*").alias("n"))
-             .orderBy(F.desc("n"), F.asc("phrase")).limit(10).select("phrase", F.lit("EVENT").alias("label")))
-    return top_w.unionByName(top_p)
-
-
-_TOK_SPANS = d_spans("documents", "doc_id", "text", en.TOKEN_PATTERN, "T")
+    top = (words.groupBy("phrase").agg(F.count("*").alias("n"))
+           .orderBy(F.desc("n"), F.asc("phrase")).limit(30).select("phrase", F.lit("ORG").alias("label")))
+    item = table(spark, d, "benchmark").select(
+        "item_id", F.transform(F.regexp_extract_all("text", F.lit(ph.TOKEN_PATTERN), 0), F.lower).alias("ws"),
+        F.explode(F.array(*[F.lit(n) for n in PHRASE_SIZES])).alias("n")).filter("size(ws) >= n")
+    at = ((F.col("item_id") * 7 + F.col("n") * 3) % (F.size("ws") - F.col("n") + 1)).cast("int") + 1
+    label = F.get(F.array(*[F.lit(x) for x in PHRASE_LABELS]), F.col("n") % len(PHRASE_LABELS))
+    phrases = item.select(F.array_join(F.slice("ws", at, F.col("n")), " ").alias("phrase"), label.alias("label"))
+    return top.unionByName(phrases)
+
+
+_TOK_SPANS = d_spans("documents", "doc_id", "text", ph.TOKEN_PATTERN, "T")
 GAZ_SQL = f"""
 t AS (SELECT id AS doc_id, lower(text) AS w, start_pos, end_pos,
              row_number() OVER (PARTITION BY id ORDER BY start_pos) AS i FROM ({_TOK_SPANS}) x),
-g AS (SELECT doc_id, w AS phrase, start_pos, end_pos FROM t
-      UNION ALL SELECT a.doc_id, a.w || ' ' || b.w, a.start_pos, b.end_pos FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.i = a.i + 1),
-cw AS (SELECT lower(w) AS phrase FROM (SELECT unnest(regexp_extract_all(text, {lit(en.TOKEN_PATTERN)})) AS w FROM documents)
+l AS (SELECT doc_id, list(w ORDER BY i) AS ws FROM t GROUP BY doc_id),
+g AS (SELECT t.doc_id, t.i, n, t.start_pos, array_to_string(list_slice(l.ws, t.i, t.i + n - 1), ' ') AS phrase
+      FROM t JOIN l USING (doc_id), range(1, {max(PHRASE_SIZES) + 1}) r(n) WHERE t.i + n - 1 <= len(l.ws)),
+cw AS (SELECT lower(w) AS phrase FROM (SELECT unnest(regexp_extract_all(text, {lit(ph.TOKEN_PATTERN)})) AS w FROM documents)
        WHERE regexp_full_match(w, '[A-Z][a-z]+')),
 tw AS (SELECT phrase, 'ORG' AS label FROM (SELECT phrase, count(*) AS n FROM cw GROUP BY 1 ORDER BY n DESC, phrase LIMIT 30)),
-tp AS (SELECT phrase, 'EVENT' AS label FROM (SELECT phrase, count(*) AS n FROM g WHERE phrase LIKE '% %' GROUP BY 1
-                                             ORDER BY n DESC, phrase LIMIT 10)),
-gz AS (SELECT * FROM tw UNION ALL SELECT * FROM tp)
+bw AS (SELECT item_id, list_transform(regexp_extract_all(text, {lit(ph.TOKEN_PATTERN)}), lambda x: lower(x)) AS ws FROM benchmark),
+bp AS (SELECT ws, n, (item_id * 7 + n * 3) % (len(ws) - n + 1) + 1 AS a FROM bw, range({min(PHRASE_SIZES)}, {max(PHRASE_SIZES) + 1}) r(n)
+       WHERE len(ws) >= n),
+gz AS (SELECT phrase, label FROM tw UNION SELECT array_to_string(list_slice(ws, a, a + n - 1), ' '), {PHRASE_LABELS}[n % {len(PHRASE_LABELS)} + 1] FROM bp),
+m AS (SELECT doc_id, i, max(n) AS n FROM g SEMI JOIN gz USING (phrase) GROUP BY doc_id, i),
+c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM m),
+s AS (SELECT doc_id, k, i, n, i + n AS free, true AS stays FROM c WHERE k = 1
+      UNION ALL SELECT c.doc_id, c.k, c.i, c.n, CASE WHEN c.i >= s.free THEN c.i + c.n ELSE s.free END, c.i >= s.free
+      FROM s JOIN c ON c.doc_id = s.doc_id AND c.k = s.k + 1)
 """
 
 
 @query("extract_gazetteer", f"""
-WITH {GAZ_SQL}
-SELECT g.doc_id, g.phrase AS text, gz.label, CASE gz.label WHEN 'ORG' THEN 'Organization' ELSE 'Event' END AS type,
-       CAST(g.start_pos AS INTEGER) AS start, CAST(g.end_pos AS INTEGER) AS "end"
-FROM g JOIN gz USING (phrase)
+WITH RECURSIVE {GAZ_SQL}
+SELECT g.doc_id, g.phrase AS text, gz.label,
+       CASE gz.label WHEN 'ORG' THEN 'Organization' WHEN 'EVENT' THEN 'Event' WHEN 'GPE' THEN 'Location' ELSE 'Product' END AS type,
+       CAST(g.start_pos AS INTEGER) AS start, CAST(e.end_pos AS INTEGER) AS "end"
+FROM s JOIN g ON g.doc_id = s.doc_id AND g.i = s.i AND g.n = s.n JOIN t e ON e.doc_id = s.doc_id AND e.i = s.i + s.n - 1
+JOIN gz ON gz.phrase = g.phrase WHERE s.stays
 """)
 def q_extract_gazetteer(spark, d):
-    """N1 (b): dictionary matching of word n-grams (n <= 2) with character offsets."""
-    return en.extract_gazetteer(table(spark, d, "documents"), "doc_id", "text", gazetteer(spark, d), 2)
+    """N1 (b): leftmost-longest dictionary phrases of one to ten words with character offsets."""
+    return en.extract_gazetteer(table(spark, d, "documents"), "doc_id", "text", gazetteer(spark, d))
 
 
 @query("score_model", f"""

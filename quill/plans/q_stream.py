@@ -137,7 +137,7 @@ def q_stream_analyze(spark, d):
         F.col("id").cast("bigint").alias("doc_id"), "text")
     base = scratch_path(spark, f"streams/analyze-{uuid.uuid4().hex[:8]}")
     sink = xs.AnalysisSink(base, export_every=1000)
-    q = (flagship(s).writeStream.foreachBatch(sink)
+    q = (flagship(spark, d, s).writeStream.foreachBatch(sink)
          .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
     xs.wait_to_end(q)
     return round_doubles(sink.results(spark))
@@ -157,7 +157,7 @@ def q_stream_analyze_totals(spark, d):
         F.col("id").cast("bigint").alias("doc_id"), "text")
     base = scratch_path(spark, f"streams/totals-{uuid.uuid4().hex[:8]}")
     sink = xs.AnalysisSink(base, export_every=100)
-    q = (flagship(s).writeStream.foreachBatch(sink)
+    q = (flagship(spark, d, s).writeStream.foreachBatch(sink)
          .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
     xs.wait_to_end(q)
     return sink.totals(spark).withColumn("exported", F.lit(len(sink.exports) >= 9))
@@ -243,7 +243,8 @@ def q_stream_alerts(spark, d):
     pts = s.select("event_id", "ts", F.col("event_type").alias("name"),
                    F.create_map(F.lit("k"), F.get_json_object("props", "$.k")).alias("labels"), "value")
     matched = xs.match_rules_stream(pts, rules_df(spark))
-    out, _ = xs.run_to_table(xs.stateful_alerts(matched), "alerts")
+    with xs.keyed_state(spark):
+        out, _ = xs.run_to_table(xs.stateful_alerts(matched), "alerts")
     return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quill.functions import text as tx
+from quill.operators import sentences as sn
 from quill.plans.catalog import query
 from quill.plans.sqlbits import d_clean, d_contractions, d_word_count, d_words, in_list, lit
 from quill.sources.tables import table
@@ -177,10 +178,46 @@ def q_tokenize_filtered(spark, d):
             .withColumn("pos", F.col("pos").cast("bigint")))
 
 
-@query("split_sentences", """
-WITH t AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM documents)
-SELECT doc_id, CAST(generate_subscripts(s, 1) - 1 AS BIGINT) AS sent_no, unnest(s) AS sentence FROM t
+# A period must follow a word this often before the word can be an abbreviation.
+ABBREVIATION_PERIODS = 5
+ABBREVIATION_SQL = rf"""
+h AS (SELECT lower(unnest(regexp_extract_all(text, '(?:^|[^\p{{L}}\p{{N}}])(\p{{L}}+(?:\.\p{{L}}+)*\.?)', 1))) AS hit FROM documents),
+c AS (SELECT rtrim(hit, '.') AS word, count(*) AS n, count(*) FILTER (ends_with(hit, '.')) AS k FROM h GROUP BY 1),
+r AS (SELECT sum(k)::DOUBLE / sum(n) AS p FROM c),
+z AS (SELECT word, n, k, length(replace(word, '.', '')) AS letters, length(word) - length(replace(word, '.', '')) + 1 AS inner_periods,
+             k * ln(p) + (n - k) * ln(1 - p) - k * ln({sn.ABBREVIATION_RATE}::DOUBLE) - (n - k) * ln({1 - sn.ABBREVIATION_RATE}::DOUBLE) AS d
+      FROM c, r WHERE k > 0),
+ab AS (SELECT word, n, k AS n_period, -2 * d * exp(-letters::DOUBLE) * inner_periods * pow(letters::DOUBLE, -(n - k)) AS score FROM z)
+"""
+
+
+def abbreviations(spark, d):
+    return sn.learn_abbreviations(docs(spark, d), "text", min_count=ABBREVIATION_PERIODS)
+
+
+@query("learn_abbreviations", f"""
+WITH {ABBREVIATION_SQL} SELECT word, n, n_period, round(score, 6) AS score FROM ab
+WHERE score >= {sn.THRESHOLD} AND n_period >= {ABBREVIATION_PERIODS}
+""")
+def q_learn_abbreviations(spark, d):
+    """The words whose periods do not end sentences, from counts over all documents."""
+    return abbreviations(spark, d).withColumn("score", F.round("score", 6))
+
+
+@query("split_sentences", rf"""
+WITH {ABBREVIATION_SQL},
+t AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])(\s+)', '\1' || chr(1) || '\2' || chr(1), 'g'), chr(1)) AS p FROM documents),
+u AS (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM t),
+l AS (SELECT *, lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM u),
+w AS (SELECT doc_id, i, CASE WHEN i % 2 = 1 THEN x
+        WHEN ends_with(before, '.') AND rtrim(lower(regexp_extract(before, '(?:^|[^\p{{L}}\p{{N}}])(\p{{L}}+(?:\.\p{{L}}+)*\.?)$', 1)), '.') IN
+             (SELECT word FROM ab WHERE score >= {sn.THRESHOLD} AND n_period >= {ABBREVIATION_PERIODS}) THEN x
+        ELSE chr(1) END AS x FROM l),
+s AS (SELECT doc_id, string_split(string_agg(x, '' ORDER BY i), chr(1)) AS s FROM w GROUP BY doc_id)
+SELECT doc_id, CAST(generate_subscripts(s, 1) - 1 AS BIGINT) AS sent_no, unnest(s) AS sentence FROM s
 """)
 def q_split_sentences(spark, d):
-    return (tx.unnest(docs(spark, d), tx.sentences(F.col("text")), "sentence", "doc_id", pos="sent_no")
+    """Sentences, with the abbreviations learned from the same documents; the list goes into the plan."""
+    known = [r["word"] for r in abbreviations(spark, d).select("word").collect()]
+    return (tx.unnest(docs(spark, d), sn.split_sentences(F.col("text"), known), "sentence", "doc_id", pos="sent_no")
             .withColumn("sent_no", F.col("sent_no").cast("bigint")))
