@@ -222,8 +222,12 @@ def evaluate_dataset(pred: DataFrame, k: int, path: str) -> DataFrame:
     pred.write.mode("overwrite").parquet(f"{path}/predictions")
     p = spark.read.schema(pred.schema).parquet(f"{path}/predictions")
     detail = prediction_detail(p, k)
+    # two classes have one AUC, more have both averages
+    aucs = {"roc_auc": auc_binary(p).withColumnRenamed("auc", "roc_auc")} if k == 2 else {
+        "roc_auc_ovr": auc_ovr(p, k).withColumnRenamed("auc_ovr", "roc_auc_ovr"),
+        "roc_auc_ovo": auc_ovo(p, k).withColumnRenamed("auc_ovo", "roc_auc_ovo")}
     tables = {"overall": overall(p), "per_class": per_class(p), "classification_report": classification_report(p),
-              "confusion_matrix": confusion_matrix(p), "auc_ovr": auc_ovr(p, k), "roc_points": roc_points(p, k),
+              "confusion_matrix": confusion_matrix(p), "roc_points": roc_points(p, k), **aucs,
               "pr_points": pr_points(p, k), "prediction_detail": detail, "high_conf_correct": high_conf_correct(detail),
               "high_conf_wrong": high_conf_wrong(detail), "low_conf": low_conf(detail), "summary": prediction_summary(detail)}
     for name, df in tables.items():
@@ -236,6 +240,6 @@ def evaluate_dataset(pred: DataFrame, k: int, path: str) -> DataFrame:
              for name in ("per_class", "confusion_matrix", "prediction_detail", "high_conf_correct", "roc_points")]
     out = as_rows(o, ["accuracy", "f1_macro", "f1_weighted"]).unionByName(
         as_rows(s, ["total_samples", "correct_predictions", "average_confidence", "confidence_std"]))
-    for df in sizes:
+    for df in [as_rows(read(name), [name]) for name in aucs] + sizes:
         out = out.unionByName(df)
     return out

@@ -54,14 +54,13 @@ def last_n(metrics: DataFrame, key: Column, n: int) -> DataFrame:
 def histograms(metrics: DataFrame, window: int = 1000, probs=(0.5, 0.9, 0.95, 0.99)) -> DataFrame:
     """K3: stats over the last ``window`` values of each metric key (name and labels); K4 percentile rule."""
     recent = last_n(metrics, metric_key(F.col("name"), F.col("labels")), window)
-    w = Window.partitionBy("key").orderBy("value", "event_id")
-    ranked = recent.withColumn("vr", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("key")))
-    pick = lambda p: F.max(F.when(F.col("vr") == F.least(F.floor(F.col("n") * F.lit(p)), F.col("n") - 1) + 1,
-                                  F.col("value")))
-    return ranked.groupBy("key").agg(
+    # at most ``window`` values a key: sorted as one array, in the partitioning that the window left
+    h = recent.groupBy("key").agg(
         F.count("*").cast("bigint").alias("count"), F.sum("value").alias("sum"), F.min("value").alias("min"),
-        F.max("value").alias("max"), F.avg("value").alias("avg"),
-        *[pick(p).alias(f"p{int(round(p * 100))}") for p in probs])
+        F.max("value").alias("max"), F.avg("value").alias("avg"), F.sort_array(F.collect_list("value")).alias("vs"))
+    n = F.size("vs")
+    pick = lambda p: F.get("vs", F.least(F.floor(n * F.lit(p)).cast("int"), n - 1))
+    return h.select("key", "count", "sum", "min", "max", "avg", *[pick(p).alias(f"p{int(round(p * 100))}") for p in probs])
 
 
 def percentile_floor(metrics: DataFrame, probs=(0.5, 0.9, 0.95, 0.99)) -> DataFrame:

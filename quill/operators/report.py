@@ -17,7 +17,7 @@ from quill.functions.vectors import SENTIMENT_LABELS
 from quill.operators import aggregate as ag
 from quill.operators import stats as st
 from quill.operators.entities import entities_long
-from quill.session import cut_lineage
+from quill.session import cut_lineage, staged
 
 
 def quality_metrics(results: DataFrame) -> DataFrame:
@@ -192,10 +192,9 @@ def network_edges(results: DataFrame, min_count: int = 5) -> DataFrame:
                     F.least(F.col("co_occurrence_count") / 2.0, F.lit(10.0)).alias("width"))
 
 
-def network_nodes(results: DataFrame, min_count: int = 5) -> DataFrame:
-    """G17 nodes: distinct edge ends on a circle, position by name order."""
-    e = ag.entity_cooccurrence(results, min_count)
-    nodes = e.select(F.explode(F.array("entity1", "entity2")).alias("node")).distinct()
+def network_nodes(edges: DataFrame) -> DataFrame:
+    """G17 nodes: distinct ends of the edges on a circle, position by name order."""
+    nodes = edges.select(F.explode(F.array("entity1", "entity2")).alias("node")).distinct()
     ranked = st.running_sums(nodes.withColumn("one", F.lit(1)), [], [F.col("node")], ["one"])
     n = ranked.select(F.max("cum_one")).scalar()
     ang = (F.col("cum_one") - 1) * F.lit(2 * math.pi) / n
@@ -203,6 +202,12 @@ def network_nodes(results: DataFrame, min_count: int = 5) -> DataFrame:
                          F.cos(ang).alias("x"), F.sin(ang).alias("y"))
 
 
+def network_tables(results: DataFrame, min_count: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Edges and nodes; the edges are built once."""
+    edges = staged(network_edges(results, min_count), "network-edges")
+    return edges, network_nodes(edges)
+
+
 def dashboard_tables(results: DataFrame) -> DataFrame:
     """The four dashboard panels as one tagged long table (panel, key, value).
 

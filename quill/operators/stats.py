@@ -21,7 +21,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quill.session import cut_lineage
+from quill.session import cut_lineage, staged
+
+# So many narrow rows are a window in one task.
+FEW_ROWS = 200_000
 
 
 def _parts(df: DataFrame, n: int | None) -> int:
@@ -34,8 +37,16 @@ def running_sums(d: DataFrame, group: Sequence[str], order: Sequence[Column], co
 
     ``d`` must have one row per (group, order key).  Distributed prefix sum:
     range partitions, per-partition totals, offsets from earlier partitions.
+    The rows are written once first, so nothing computes them twice; a table of
+    at most ``FEW_ROWS`` of them needs no more than a window (unless the number
+    of partitions is given).
     """
     group = list(group)
+    if n_parts is None:
+        d = staged(d, "running-sums")
+        if d.count() <= FEW_ROWS:
+            w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+            return d.select("*", *[F.sum(c).over(w).alias("cum_" + c) for c in cols])
     r = d.repartitionByRange(_parts(d, n_parts), *[F.col(g) for g in group], *order) \
          .withColumn("_pid", F.spark_partition_id())
     # Both branches below must see the same range assignment; a reliable
@@ -188,6 +199,10 @@ def previous_value(d: DataFrame, group: Sequence[str], order: Sequence[Column],
     partition (a table of one row per group and partition).
     """
     group = list(group)
+    if n_parts is None:
+        d = staged(d, "previous-value")
+        if d.count() <= FEW_ROWS:
+            return d.withColumn(out, F.lag(col).over(Window.partitionBy(*group).orderBy(*order)))
     r = d.repartitionByRange(_parts(d, n_parts), *[F.col(g) for g in group], *order) \
          .withColumn("_pid", F.spark_partition_id())
     r = cut_lineage(r)

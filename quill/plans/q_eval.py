@@ -322,6 +322,9 @@ UNION ALL SELECT 'total_samples', CAST(count(*) AS DOUBLE) FROM det
 UNION ALL SELECT 'correct_predictions', CAST(count(*) AS DOUBLE) FROM det WHERE correct
 UNION ALL SELECT 'average_confidence', round(avg(confidence), 6) FROM det
 UNION ALL SELECT 'confidence_std', round(stddev_samp(confidence), 6) FROM det
+UNION ALL SELECT 'roc_auc_ovr', round((""" + f"WITH {_OVR_SRC.lstrip(', ')}" + _auc_sql("s", "cls") + """ SELECT avg(auc) FROM auc), 6)
+UNION ALL SELECT 'roc_auc_ovo', round((""" + f"WITH {_OVO_SRC.lstrip(', ')}" + _auc_sql("s", "a, b") + """,
+  u AS (SELECT least(a, b) AS x, greatest(a, b) AS y, avg(auc) AS auc FROM auc GROUP BY 1, 2) SELECT avg(auc) FROM u), 6)
 UNION ALL SELECT 'rows_per_class', CAST(count(*) AS DOUBLE) FROM pcf
 UNION ALL SELECT 'rows_confusion_matrix', CAST(count(*) * count(*) AS DOUBLE) FROM pcf
 UNION ALL SELECT 'rows_prediction_detail', CAST(count(*) AS DOUBLE) FROM det

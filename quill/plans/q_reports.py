@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quill.functions import text as tx
@@ -12,7 +14,9 @@ from quill.plans.catalog import query
 from quill.plans.q_results import LEX_SQL, R, lexicon_df, round_doubles
 from quill.plans.sqlbits import d_word_count, lit
 from quill.plans.sqlfix import FX
+from quill.session import scratch_path, staged
 from quill.sources import sinks as sk
+from quill.sources.cache import PredictionCache
 
 
 @query("report_summary", f"""
@@ -232,7 +236,7 @@ r AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx, count(*) OVER (
 SELECT node, CAST(idx AS BIGINT) AS idx, round(cos(2 * pi() * idx / cnt), 6) AS x, round(sin(2 * pi() * idx / cnt), 6) AS y FROM r
 """)
 def q_network_nodes(spark, d):
-    return round_doubles(rp.network_nodes(R(spark, d), 5))
+    return round_doubles(rp.network_tables(R(spark, d), 5)[1])
 
 
 @query("dashboard_tables", f"""
@@ -342,16 +346,20 @@ u AS (SELECT text_hash, model_type, arg_max(prediction_data, (created_at, predic
 
 
 def _cache(spark, d):
-    rows = sk.prediction_cache_rows(R(spark, d))
+    """A bucketed cache: the older results first, then the newer ones over them."""
+    rows = staged(sk.prediction_cache_rows(R(spark, d)), "predictions")
     cut = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
-    return sk.upsert_predictions(rows.filter(F.col("created_at") < cut), rows.filter(F.col("created_at") >= cut))
+    cache = PredictionCache(spark, scratch_path(spark, f"cache/{uuid.uuid4().hex}"), buckets=8)
+    cache.upsert(rows.filter(F.col("created_at") < cut))
+    cache.upsert(rows.filter(F.col("created_at") >= cut))
+    return cache
 
 
 @query("prediction_upsert", _CACHE + """
 SELECT text_hash, model_type, prediction_data, round(confidence, 6) AS confidence, created_at FROM u
 """)
 def q_prediction_upsert(spark, d):
-    return round_doubles(_cache(spark, d).withColumn("created_at", F.col("created_at").cast("timestamp_ntz")))
+    return round_doubles(_cache(spark, d).rows())
 
 
 @query("prediction_lookup", _CACHE + """
@@ -362,7 +370,7 @@ FROM documents d LEFT JOIN u ON u.text_hash = md5(d.text) AND u.model_type = 'se
 def q_prediction_lookup(spark, d):
     from quill.sources.tables import table
     cache = _cache(spark, d)
-    as_of = cache.select(F.max("created_at")).scalar()
+    as_of = cache.rows().select(F.max("created_at")).scalar()
     req = table(spark, d, "documents").select("doc_id", F.md5("text").alias("text_hash"),
                                               F.lit("sentiment").alias("model_type"))
-    return round_doubles(sk.lookup_predictions(req, cache, as_of).select("doc_id", "prediction_data", "confidence"))
+    return round_doubles(cache.lookup(req, as_of).select("doc_id", "prediction_data", "confidence"))

@@ -37,7 +37,7 @@ def q_score_lr(spark, d):
 @query("grid_search", None)
 def q_grid_search(spark, d):
     train, valid, _ = splits(spark, d)
-    trials = tr.grid_search(spark, train, valid, {"reg_param": [0.0, 0.1], "max_iter": [10, 20]})
+    trials = tr.grid_search(spark, train, valid, {"reg_param": [0.0, 0.01, 0.1, 0.3], "max_iter": [20, 50]})
     best = tr.best_trial(trials).select(F.lit(-1).cast("bigint").alias("trial"), F.concat(F.lit("best "), "params").alias("params"), "score")
     return trials.unionByName(best)
 
@@ -45,4 +45,4 @@ def q_grid_search(spark, d):
 @query("random_search", None)
 def q_random_search(spark, d):
     train, valid, _ = splits(spark, d)
-    return tr.random_search(spark, train, valid, {"reg_param": (0.0, 0.3), "max_iter": [10, 20]}, seed=42)
+    return tr.random_search(spark, train, valid, {"reg_param": (0.0, 0.3), "max_iter": [20, 50]}, seed=42)
