@@ -18,7 +18,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,15 +88,22 @@ def train(rows: DataFrame, classes: int = 3, most: int = WORDS, smoothing: float
     return Model({r["word"]: i for i, r in enumerate(top)}, np.log(n + smoothing) - total, np.log(smoothing) - total, prior)
 
 
-def scorer(model: Model, spark) -> callable:
-    """Column of texts -> column of class probabilities."""
+SCORED = T.StructType([T.StructField("probs", T.ArrayType(T.DoubleType())), T.StructField("text", T.StringType())])
+
+
+def scorer(model: Model, spark: SparkSession):
+    """Column of texts -> column of (class probabilities, the text).
+
+    The text comes back so that what follows reads it from there, and an
+    expensive text (a cleaned one) is computed for the scorer alone.
+    """
     sent = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def probs(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(sent.value.probabilities(texts.tolist())))
+    @F.pandas_udf(SCORED)
+    def scored(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"probs": list(sent.value.probabilities(texts.tolist())), "text": texts})
 
-    return lambda text: probs(text)
+    return lambda text: scored(text)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, text: Column, key: str = "doc_id") -> DataFrame:

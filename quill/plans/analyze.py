@@ -30,8 +30,9 @@ def lexicon_scorer(positive, negative, neutral: float = 1.5, clean_col: str = "c
 
 def trained_scorer(model, spark, clean_col: str = "clean") -> Scorer:
     """Scorer of a trained model (:mod:`quill.operators.bayes`) over the cleaned text."""
-    probs = bayes.scorer(model, spark)
-    return lambda df: df.withColumn("probs", probs(F.col(clean_col)))
+    scored = bayes.scorer(model, spark)
+    return lambda df: df.withColumn("_scored", scored(F.col(clean_col))).withColumns(
+        {"probs": F.col("_scored.probs"), clean_col: F.col("_scored.text")})
 
 
 def analyze(docs: DataFrame, scorer: Scorer, extractor: Extractor, *, id_col: str = "doc_id",
