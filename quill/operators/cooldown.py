@@ -63,27 +63,31 @@ class _Block:
     def __init__(self, rule: str, block: int) -> None:
         self.rule, self.block, self.state, self.touched, self.fired = rule, block, RuleState(), set(), None
 
-    def report(self) -> pd.DataFrame:
+    def report(self) -> Iterator[pd.DataFrame]:
         rows = [(self.rule, self.block, "key", None, None, k, None, None, k in self.state.active) for k in sorted(self.touched)]
         if self.fired is not None:
             rows.append((self.rule, self.block, "last", None, self.fired, None, None, None, None))
-        return pd.DataFrame(rows, columns=_NAMES)
+        if rows:
+            yield pd.DataFrame(rows, columns=_NAMES)
 
 
 _NAMES = [f.split()[0] for f in REPORT.split(", ")]
 
 
 def _run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by (rule, block, entry first, ts, event_id); only the current block's state is held."""
+    """Rows come sorted by (rule, block, entry first, ts, event_id); only the current block's state is held.
+
+    No frame without rows is given out: Arrow makes chunked arrays of its columns, which Spark refuses.
+    """
     now = None
     for pdf in frames:
         at, names = [], []
-        ns = pdf["ts"].astype("datetime64[us]").astype("int64")
-        for i, (rule, block, entry, ts, stamp, key, cond, cool) in enumerate(zip(
-                pdf["rule"], pdf["block"], pdf["entry"], ns, pdf["ts"], pdf["key"], pdf["cond"], pdf["cooldown_s"], strict=True)):
+        us = pdf["ts"].astype("datetime64[us]").astype("int64")
+        for i, (rule, block, entry, ts, key, cond, cool) in enumerate(zip(
+                pdf["rule"], pdf["block"], pdf["entry"], us, pdf["key"], pdf["cond"], pdf["cooldown_s"], strict=True)):
             if now is None or rule != now.rule or block != now.block:
                 if now is not None:
-                    yield now.report()
+                    yield from now.report()
                 now = _Block(rule, block)
             if entry:
                 if key is None:
@@ -100,12 +104,13 @@ def _run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 at.append(i)
                 names.append(event)
                 if event == "fired":
-                    now.fired = stamp
-        out = pdf.iloc[at][["rule", "block", "event_id", "ts", "key", "value"]].copy()
-        out["what"], out["event"], out["active"] = "event", names, None
-        yield out[_NAMES]
+                    now.fired = pd.Timestamp(ts, unit="us")
+        if at:
+            out = pdf.iloc[at][["rule", "block", "event_id", "ts", "key", "value"]].copy()
+            out["what"], out["event"], out["active"] = "event", names, None
+            yield out[_NAMES]
     if now is not None:
-        yield now.report()
+        yield from now.report()
 
 
 def _reports(points: DataFrame, entries: DataFrame | None) -> DataFrame:

@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from quill.operators import alerts as al
+from quill.operators import cooldown
 from quill.operators import metrics as mt
 
 T0 = dt.datetime(2024, 1, 1)
@@ -51,6 +52,16 @@ def test_same_events_from_any_partitioning(spark):
     assert one == key(al.alert_events(points(spark, rows).orderBy(F.rand(3)).repartition(20), rules)) and len(one) > 20
 
 
+def test_long_stretches_without_events(spark):
+    """Frames of a task in which nothing fires or is resolved, at the start, in the middle and in a block of its own."""
+    hot = {0, 25_000, 25_001, 90_000}
+    pts = spark.range(100_000).selectExpr("'r' AS rule", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id) AS ts", "id AS event_id",
+                                          "'k' AS key", "1.0D AS value", f"id IN ({', '.join(map(str, hot))}) AS cond", "5L AS cooldown_s")
+    want = [(0, "fired"), (5, "resolved"), (25_000, "fired"), (25_005, "resolved"), (90_000, "fired"), (90_005, "resolved")]
+    for blocks in (None, 7):
+        assert sorted((r.event_id, r.event) for r in cooldown.run_rules(pts, blocks).events.collect()) == want
+
+
 def test_default_rules(spark):
     pts = points(spark, [(0, "system_cpu_percent", {}, 91.26), (1, "documents_processed_per_minute", {}, 4),
                          (2, "system_disk_percent", {}, 89)])
