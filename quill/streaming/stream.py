@@ -16,6 +16,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -318,55 +319,103 @@ STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+# Points of a waiting run (one state entry), and the points gathered before they are sorted and cut into runs.
+RUN_POINTS = 1 << 13
+GATHER_POINTS = 1 << 18
+POINT_NAMES = ["us", "event_id", "key", "value", "cond", "cooldown_s"]
+
+
 class AlertProcessor(StatefulProcessor):
     """The cooldown state machine of a rule (the grouping key) on a stream.
 
-    A point waits as one entry of a map state, found by its millisecond and its
-    number in it (the first also knows how many there are); a timer at that
-    millisecond takes it out.  Timers come in time order, whichever batch or file
-    brought the points, so what is in hand is the points of one millisecond.  The
-    last fire is a value, the active label sets are the keys of a map; what a
-    task has read of them it remembers until the batch ends.
+    Points wait in runs: up to ``RUN_POINTS`` of them in time order, as one Arrow
+    entry of a map state under their first millisecond, at which a timer is set.
+    So the calls to the state store grow with the runs.  The first timer that
+    expires merges the runs that begin by the watermark and evaluates their points
+    up to it; what is left of them waits again.  In hand are the runs that overlap
+    and a few more.  The last fire is a value, the active label sets are the keys
+    of a map; what a task has read of them it remembers until the batch ends.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last_fired", "us long")
         self.active = handle.getMapState("active", "key string", "since long")
-        self.waiting = handle.getMapState("waiting", "ms long, no long", "us long, event_id long, key string, value double, "
-                                                                         "cond boolean, cooldown_s long, n long")
+        self.waiting = handle.getMapState("waiting", "ms long, no long", "points binary")
+        self.runs = handle.getValueState("runs", "n long")
         self.rules: dict[str, RuleState] = {}
         self.read: set[tuple[str, str]] = set()
+        self.done: dict[str, int] = {}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
         for pdf in rows:
-            us = pdf["ts"].astype("datetime64[us]").astype("int64")
-            cols = [us, pdf["event_id"], pdf["key"], pdf["value"], pdf["cond"], pdf["cooldown_s"]]
-            of_ms: dict[int, list[tuple]] = {}
-            for t, e, k, v, c, s in zip(*cols, strict=True):
-                of_ms.setdefault(int(t) // 1000, []).append((int(t), int(e), k, float(v), bool(c), int(s)))
-            for ms, points in of_ms.items():
-                first = self.waiting.getValue((ms, 0))
-                n = first[6] if first is not None else 0
-                if first is not None:
-                    self.waiting.updateValue((ms, 0), (*first[:6], n + len(points)))
-                else:
-                    self.handle.registerTimer(ms)
-                for i, p in enumerate(points):
-                    self.waiting.updateValue((ms, n + i), (*p, len(points) if n + i == 0 else 0))
+            points = pdf[["event_id", "key", "value", "cooldown_s"]].copy()
+            points["us"] = pdf["ts"].astype("datetime64[us]").astype("int64")
+            points["cond"] = pdf["cond"].map(bool).astype(bool)
+            held.append(points[POINT_NAMES])
+            n += len(points)
+            if n >= GATHER_POINTS:
+                self._keep(held)
+                held, n = [], 0
+        self._keep(held)
         yield pd.DataFrame()
 
+    def _keep(self, frames: list[pd.DataFrame]) -> None:
+        """The points as waiting runs, each with a timer at its first millisecond."""
+        points = _in_order(frames)
+        if not len(points):
+            return
+        found = self.runs.get()
+        no = found[0] if found is not None else 0
+        for at in range(0, len(points), RUN_POINTS):
+            run = points.iloc[at:at + RUN_POINTS]
+            ms = int(run["us"].iloc[0]) // 1000
+            batch = pa.RecordBatch.from_pandas(run, preserve_index=False)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch)
+            self.waiting.updateValue((ms, no), (sink.getvalue().to_pybytes(),))
+            self.handle.registerTimer(ms)
+            no += 1
+        self.runs.update((no,))
+
+    def _take(self, run: tuple[int, int]) -> pd.DataFrame:
+        points = pa.ipc.open_stream(bytes(self.waiting.getValue(run)[0])).read_pandas()
+        self.waiting.removeKey(run)
+        return points
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        rule, ms = key[0], expiredTimerInfo.getExpiryTimeInMs()
-        points = [tuple(self.waiting.getValue((ms, 0)))]
-        points += [tuple(self.waiting.getValue((ms, i))) for i in range(1, points[0][6])]
-        for i in range(len(points)):
-            self.waiting.removeKey((ms, i))
+        rule = key[0]
+        bound = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        if self.done.get(rule) == bound:  # an earlier timer of this batch has seen to all of them
+            yield pd.DataFrame()
+            return
+        self.done[rule] = bound
+        due = sorted(tuple(k) for k in self.waiting.keys() if k[0] <= bound)
+        pool, size, left = [], 0, 0
+        for i, run in enumerate(due):
+            pool.append(self._take(run))
+            size += len(pool[-1])
+            last = i + 1 == len(due)
+            if last or size >= max(8 * RUN_POINTS, 2 * left):
+                end = bound + 1 if last else due[i + 1][0]  # later runs begin here
+                points = _in_order(pool)
+                ready = int(points["us"].searchsorted(end * 1000))
+                out = self._evaluate(rule, points.iloc[:ready])
+                if out:
+                    yield pd.DataFrame(out, columns=[f.name for f in ALERT_OUT.fields])
+                pool = [points.iloc[ready:]]
+                size = left = len(points) - ready
+        self._keep(pool)
+        yield pd.DataFrame()
+
+    def _evaluate(self, rule: str, points: pd.DataFrame) -> list[tuple]:
         if rule not in self.rules:
             found = self.last.get()
             self.rules[rule] = RuleState(found[0] if found is not None else None)
         state, out = self.rules[rule], []
-        for us, event_id, k, value, cond, cooldown_s, _ in sorted(points, key=lambda p: p[:2]):
+        for us, event_id, k, value, cond, cooldown_s in zip(*[points[c].tolist() for c in POINT_NAMES], strict=True):
             cooldown = cooldown_s * 1_000_000
             if not state.awake(us, cooldown):
                 continue
@@ -382,12 +431,17 @@ class AlertProcessor(StatefulProcessor):
                 self.active.removeKey((k,))
             if event:
                 out.append((rule, event_id, pd.Timestamp(us, unit="us"), k, event, value))
-        yield pd.DataFrame(out, columns=[f.name for f in ALERT_OUT.fields]) if out else pd.DataFrame()
+        return out
 
     def close(self) -> None:
         pass
 
 
+def _in_order(frames: list[pd.DataFrame]) -> pd.DataFrame:
+    points = pd.concat(frames, ignore_index=True) if frames else pd.DataFrame(columns=POINT_NAMES)
+    return points.sort_values(["us", "event_id"], kind="stable", ignore_index=True)
+
+
 def keyed_state(spark: SparkSession):
     """Queries started inside keep their state in RocksDB, which map states and timers need."""
     return setting(spark, STATE_STORE, ROCKSDB)

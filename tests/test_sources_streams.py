@@ -168,3 +168,101 @@ def test_csv_keeps_quotes_line_breaks_and_outer_blanks(spark, tmp_path):
     sk.write_csv(spark.createDataFrame(rows, "id long, text string"), f"{tmp_path}/c")
     got = rd.read_csv(spark, f"{tmp_path}/c", schema="id long, text string").collect()
     assert sorted((r.id, r.text) for r in got) == rows
+
+
+class _Value:
+    def __init__(self, calls):
+        self.calls, self.v = calls, None
+
+    def get(self):
+        self.calls.append("get")
+        return self.v
+
+    def update(self, v):
+        self.calls.append("update")
+        self.v = v
+
+
+class _Map(dict):
+    def __init__(self, calls):
+        super().__init__()
+        self.calls = calls
+
+    def getValue(self, k):
+        self.calls.append("getValue")
+        return self.get(k)
+
+    def updateValue(self, k, v):
+        self.calls.append("updateValue")
+        self[k] = v
+
+    def removeKey(self, k):
+        self.calls.append("removeKey")
+        self.pop(k, None)
+
+    def containsKey(self, k):
+        self.calls.append("containsKey")
+        return k in self
+
+
+class _Store:
+    """A state store in memory that counts its calls, and its timers."""
+
+    def __init__(self):
+        self.calls, self.states, self.timers = [], {}, set()
+
+    def getValueState(self, name, schema):
+        return self.states.setdefault(name, _Value(self.calls))
+
+    def getMapState(self, name, key, value, ttl=None):
+        return self.states.setdefault(name, _Map(self.calls))
+
+    def registerTimer(self, ms):
+        self.calls.append("registerTimer")
+        self.timers.add(ms)
+
+
+class _At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def test_waiting_points_cost_no_state_call_each(monkeypatch):
+    """Overlapping batches, runs cut by the watermark: the sequential events, with few calls to the state store."""
+    import random
+
+    import pandas as pd
+
+    from quill.operators.cooldown import RuleState
+    monkeypatch.setattr(xs, "RUN_POINTS", 500, raising=False)
+    monkeypatch.setattr(xs, "GATHER_POINTS", 4000, raising=False)
+    rng = random.Random(5)
+    batches = []
+    for b in range(4):  # batch b spans 20 s from 10 b s on: every one overlaps the next
+        batches.append([(b * 10_000_000 + rng.randrange(20_000_000), b * 10_000 + i, f"h={rng.randrange(9)}", rng.random())
+                        for i in range(10_000)])
+    batches[3].append((60_000_000, 99_999, "h=0", 1.0))
+    store, got = _Store(), []
+    for b, rows in enumerate([*batches, []]):
+        p = xs.AlertProcessor()
+        p.init(store)
+        chunk = [pd.DataFrame({"ts": pd.to_datetime([r[0] for r in part], unit="us"), "event_id": [r[1] for r in part],
+                               "key": [r[2] for r in part], "value": [r[3] for r in part], "cond": [r[3] > 0.9 for r in part],
+                               "cooldown_s": 1}) for part in (rows[i:i + 3000] for i in range(0, len(rows), 3000))]
+        wm = b * 10_000 - 1 if rows else 60_000
+        if chunk:
+            list(p.handleInputRows(("r",), iter(chunk), _At(wm)))
+        for ms in sorted(x for x in store.timers if x <= wm):
+            store.timers.discard(ms)
+            got += [r for f in p.handleExpiredTimer(("r",), _At(wm), _At(ms)) for r in f.itertuples(index=False)]
+    state, want = RuleState(), []
+    for us, e, k, v in sorted(r for rows in batches for r in rows):
+        if event := state.step(us, k, v > 0.9, 1_000_000):
+            want.append((e, event))
+    assert [(r.event_id, r.event) for r in got] == want and len(want) > 20
+    assert not store.states["waiting"] and not store.timers and len(store.calls) < 2000
