@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quill.functions.batches import short_batches
+
 TRIGRAMS = 50_000
 SMOOTHING = 0.5
 # Distinct trigrams a task counts before it hands them on.
@@ -78,7 +80,7 @@ def trigram_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(
                 zip(*flat, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["lang", "code", "n"])
 
-        for b in batches:
+        for b in short_batches(batches, 1):
             of, code = trigrams(b.column(1).to_pylist())
             names = np.array(b.column(0).to_pylist(), object)
             for x in sorted(set(names)):
@@ -124,7 +126,7 @@ def detect(docs: DataFrame, key: str, text: str, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in batches:
+        for b in short_batches(batches, 1):
             score, n = m.scores(b.column(1).to_pylist())
             best = [m.languages[i] if k else None for i, k in zip(score.argmax(axis=1).tolist(), n.tolist(), strict=True)] if m.languages \
                 else [None] * b.num_rows

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quill.functions.batches import short_batches
+
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 # Words of the phrases of one trie: some tens of megabytes in a task.
 TRIE_WORDS = 200_000
@@ -120,7 +122,7 @@ def phrase_words(text: str) -> list[str]:
 def _matcher(trie: Trie, names: list[str], final: bool):
     """(key, text) batches to (key, start, end, text, labels) of the matches; all longest ones unless ``final``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in short_batches(batches, 1):
             text, start, end, word = _tokens(b.column(1).to_pylist(), trie.words)
             first, size, phrase = trie.longest(word, text)
             if final:
