@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,3 +24,15 @@ def short_batches(batches: Iterator[pa.RecordBatch], texts: int, most: int = BAT
             end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
             yield b.slice(at, end - at)
             at = end
+
+
+def short_lists(texts: Sequence[str | None], most: int = BATCH_BYTES) -> Iterator[Sequence[str | None]]:
+    """The texts cut where their letters pass ``most``, at one text at least."""
+    at, letters = 0, 0
+    for i, t in enumerate(texts):
+        letters += len(t or "")
+        if letters > most and i > at:
+            yield texts[at:i]
+            at, letters = i, len(t or "")
+    if at < len(texts):
+        yield texts[at:]

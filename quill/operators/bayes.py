@@ -2,8 +2,8 @@
 
 Training counts the words of each class, combined in each task and then by
 Spark; the ``most`` words by total count are the model, the same size whatever
-the corpus.  Scoring is row-local, in Arrow batches: the words of a whole batch
-are looked up at once and their log weights added up by text.  The sum is
+the corpus.  Scoring is row-local, in Arrow batches cut by letters: the words of
+a cut are looked up at once and their log weights added up by text.  The sum is
 divided by the root of the number of words, as neighbouring words are not
 independent, and becomes probabilities with the class shares.
 """
@@ -22,9 +22,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quill.functions.batches import short_batches, short_lists
+
 WORDS, SMOOTHING = 20_000, 1.0
 # Distinct words a task counts before it hands them on.
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 
 
 class Model(NamedTuple):
@@ -48,6 +50,10 @@ class Model(NamedTuple):
         e = np.exp(score - score.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
+    def by_cuts(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The rows of :meth:`probabilities`; the words of a whole batch would take many times the memory of its texts."""
+        return [p for part in short_lists(texts) for p in self.probabilities(part)]
+
 
 def class_word_counts(rows: DataFrame) -> DataFrame:
     """(label, word, n) of the words between blanks in (label, text)."""
@@ -60,7 +66,7 @@ def class_word_counts(rows: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(
                 zip(*rows, strict=True), (pa.int32(), pa.string(), pa.int64()), strict=True)], names=["label", "word", "n"])
 
-        for b in batches:
+        for b in short_batches(batches, 1):
             for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 counts.setdefault(y, Counter()).update((text or "").split())
             if sum(map(len, counts.values())) > FLUSH:
@@ -101,7 +107,7 @@ def scorer(model: Model, spark: SparkSession):
 
     @F.pandas_udf(SCORED)
     def scored(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"probs": list(sent.value.probabilities(texts.tolist())), "text": texts})
+        return pd.DataFrame({"probs": sent.value.by_cuts(texts.tolist()), "text": texts})
 
     return lambda text: scored(text)
 
