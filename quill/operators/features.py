@@ -134,17 +134,20 @@ def lda_topics(docs: DataFrame, key: str, text: str, k: int = 50, max_features:
     from pyspark.ml.feature import CountVectorizer, StopWordsRemover
     from pyspark.ml.functions import vector_to_array
 
+    from quill.session import cut_lineage
+
     toks = docs.select(key, terms(F.col(text)).alias("toks"))
     sw = StopWordsRemover(inputCol="toks", outputCol="kept", stopWords=list(tx.default_stopwords(language)))
     kept = sw.transform(toks)
     cv = CountVectorizer(inputCol="kept", outputCol="features", vocabSize=max_features).fit(kept)
-    feats = cv.transform(kept)
+    # every iteration samples the counts: worked out of the texts once, in the same partitions
+    feats = cut_lineage(cv.transform(kept).select(key, "features"))
     model = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online").fit(feats)
     # a document with no vocabulary term gets the prior's uniform distribution (rows sum to 1)
     arr = vector_to_array("topicDistribution")
     uniform = F.array_repeat(F.lit(1.0 / k), k)
     arr = F.when(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x) > 0, arr).otherwise(uniform)
-    dist = model.transform(feats).select(key, F.posexplode(arr).alias("topic", "weight"))
+    dist = tx.unnest(model.transform(feats), arr, "weight", key, pos="topic")
     topics = model.describeTopics(10)
     vocab = docs.sparkSession.createDataFrame(list(enumerate(cv.vocabulary)), "term int, word string")
     words = topics.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t")).select(
