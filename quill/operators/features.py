@@ -140,9 +140,10 @@ def lda_topics(docs: DataFrame, key: str, text: str, k: int = 50, max_features:
     sw = StopWordsRemover(inputCol="toks", outputCol="kept", stopWords=list(tx.default_stopwords(language)))
     kept = sw.transform(toks)
     cv = CountVectorizer(inputCol="kept", outputCol="features", vocabSize=max_features).fit(kept)
+    feats = cv.transform(kept)
     # every iteration samples the counts: worked out of the texts once, in the same partitions
-    feats = cut_lineage(cv.transform(kept).select(key, "features"))
-    model = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online").fit(feats)
+    counts = cut_lineage(feats.select("features"))
+    model = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online").fit(counts)
     # a document with no vocabulary term gets the prior's uniform distribution (rows sum to 1)
     arr = vector_to_array("topicDistribution")
     uniform = F.array_repeat(F.lit(1.0 / k), k)
