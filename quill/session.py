@@ -18,6 +18,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Plans name whole paths, however long the folder's.
+    "spark.sql.maxMetadataStringLength": "2000",
     # Checkpoint files go when nothing refers to them any more.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Broadcast only small dimension frames; anything bigger shuffles.
