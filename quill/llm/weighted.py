@@ -28,7 +28,7 @@ next; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain
 
@@ -41,79 +41,127 @@ from pyspark.sql import functions as F
 
 SAMPLES = 64
 BLOCK_ROWS, MOST_BLOCKS = 1024, 1 << 16
-PAIR_ROWS, GATHER_ROWS, CHUNK_CHARS = 1 << 14, 1 << 15, 1 << 22
+TABLE_ROWS, GATHER_ROWS, CHUNK_CHARS = 1 << 18, 1 << 15, 1 << 22
+# Rows of a buffer that stays in a core's cache.
+KEY_ROWS, TAKE_ROWS = 256, 1 << 12
 LAST = (1 << 63) - 1
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def _mix(x: np.ndarray, spare: np.ndarray) -> None:
+    """Mixes 64-bit numbers in place."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, None)):
+        np.right_shift(x, np.uint64(shift), out=spare)
+        np.bitwise_xor(x, spare, out=x)
+        if factor:
+            np.multiply(x, np.uint64(factor), out=x)
 
 
-def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two uniforms in (0, 1) from the halves of a 64-bit hash."""
-    scale = 2.0 ** -32
-    return ((x >> np.uint64(32)).astype(np.float64) + 0.5) * scale, ((x & np.uint64(0xFFFFFFFF)).astype(np.float64) + 0.5) * scale
+def _uniform(half: np.ndarray, out: np.ndarray) -> None:
+    """Uniforms in (0, 1) from 32-bit halves of hashes."""
+    np.add(half, 0.5, out=out)
+    np.multiply(out, 2.0 ** -32, out=out)
+
+
+def _log_product(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """``a``: minus the logarithm of the product of the two uniforms of each hash; ``b`` is spare."""
+    halves = x.view(np.uint32).reshape(*x.shape, 2)
+    _uniform(halves[..., 1], a)
+    _uniform(halves[..., 0], b)
+    np.multiply(a, b, out=a)
+    np.log(a, out=a)
+    np.negative(a, out=a)
 
 
 def sample_keys(term: np.ndarray, weight: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
-    """For each (term hash, weight) and sample a 64-bit key: ln a in sortable form, then 32 bits of hash of (term, t)."""
+    """For each (term hash, weight) and sample a 64-bit key: ln a in sortable form, then 32 bits of hash of (term, t).
+
+    Works on ``KEY_ROWS`` rows at a time, in buffers that stay in a core's cache.
+    """
     out = np.empty((len(term), samples), np.uint64)
     k = np.arange(1, samples + 1, dtype=np.uint64) * STEP
     log_w = np.log(weight.astype(np.float64))[:, None]
-    for i in range(0, len(term), PAIR_ROWS // 16):
-        rows = slice(i, i + PAIR_ROWS // 16)
-        x = _mix(term[rows, None] + k)
-        u1, u2 = _halves(x)
-        y = _mix(x + STEP)
-        u3, u4 = _halves(y)
-        z = _mix(y + STEP)
-        b, _ = _halves(z)
-        r = -np.log(u1 * u2)
-        t = np.floor(log_w[rows] / r + b)
-        log_a = np.log(-np.log(u3 * u4)) - r * (t - b) - r
-        bits = log_a.astype(np.float32).view(np.uint32)
-        order = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31)).astype(np.uint64)
-        tag = _mix(z ^ (t.astype(np.int64).view(np.uint64) * STEP)) >> np.uint64(32)
-        out[rows] = (order << np.uint64(32)) | tag
+    numbers = [np.empty((KEY_ROWS, samples), np.uint64) for _ in range(2)]
+    reals = [np.empty((KEY_ROWS, samples)) for _ in range(4)]
+    for i in range(0, len(term), KEY_ROWS):
+        rows = slice(i, i + KEY_ROWS)
+        n = len(term[rows])
+        x, spare = (v[:n] for v in numbers)
+        r, c, b, t = (v[:n] for v in reals)
+        np.add(term[rows, None], k, out=x)
+        _mix(x, spare)
+        _log_product(x, r, t)
+        np.add(x, STEP, out=x)
+        _mix(x, spare)
+        _log_product(x, c, t)
+        np.log(c, out=c)
+        np.add(x, STEP, out=x)
+        _mix(x, spare)
+        _uniform(x.view(np.uint32).reshape(n, samples, 2)[..., 1], b)
+        np.divide(log_w[rows], r, out=t)
+        np.add(t, b, out=t)
+        np.floor(t, out=t)
+        np.subtract(t, b, out=b)
+        np.multiply(r, b, out=b)
+        np.subtract(c, b, out=c)
+        np.subtract(c, r, out=c)
+        np.multiply(t.astype(np.int64).view(np.uint64), STEP, out=spare)
+        np.bitwise_xor(x, spare, out=x)
+        _mix(x, spare)
+        bits = c.astype(np.float32).view(np.uint32)
+        halves = out[rows].view(np.uint32).reshape(n, samples, 2)
+        halves[..., 1] = bits ^ ((bits.view(np.int32) >> 31).view(np.uint32) | np.uint32(1 << 31))
+        halves[..., 0] = x.view(np.uint32).reshape(n, samples, 2)[..., 1]
     return out
 
 
-def signatures(texts: list[str | None], samples: int = SAMPLES) -> np.ndarray:
-    """Samples of each text as 16-bit values, a row a text; texts without words get zeros."""
-    bags = [Counter((t or "").encode("utf-8", "replace").split()) for t in texts]
-    sizes = list(map(len, bags))
-    total = sum(sizes)
-    sig = np.zeros((len(texts), samples), np.uint16)
+def _numbered(term: np.ndarray, weight: np.ndarray, terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (term, weight) as two columns, and the place of each pair among them; most weights are 1."""
+    single = weight == 1
+    seen = np.zeros(terms, bool)
+    seen[term[single]] = True
+    ones = np.flatnonzero(seen)
+    at = (np.cumsum(seen) - 1)[term]
+    base = int(weight.max()) + 1
+    pairs, place = np.unique(term[~single] * base + weight[~single], return_inverse=True)
+    at[~single] = place + len(ones)
+    return np.concatenate([ones, pairs // base]), np.concatenate([np.ones(len(ones), np.int64), pairs % base]), at
+
+
+def _signatures(raw: list[bytes], samples: int) -> tuple[np.ndarray, np.ndarray]:
+    """Samples of each UTF-8 text, and its number of distinct words."""
+    bags = [Counter(t.split()) for t in raw]
+    size = np.fromiter(map(len, bags), np.int64, len(bags))
+    total = int(size.sum())
+    sig = np.zeros((len(raw), samples), np.uint16)
     if not total:
-        return sig
-    vocabulary = dict.fromkeys(chain.from_iterable(bags))
-    number = dict(zip(vocabulary, range(len(vocabulary)), strict=True))
-    hashes = np.array([xxhash.xxh64_intdigest(w) for w in vocabulary], np.uint64)
+        return sig, size
+    number: defaultdict[bytes, int] = defaultdict()
+    number.default_factory = number.__len__
     term = np.fromiter(map(number.__getitem__, chain.from_iterable(bags)), np.int64, total)
     weight = np.fromiter(chain.from_iterable(b.values() for b in bags), np.int64, total)
-    base = int(weight.max()) + 1
-    pairs, at = np.unique(term * base + weight, return_inverse=True)
-    size = np.array(sizes)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
+    pair_term, pair_weight, at = _numbered(term, weight, len(number))
     ends = np.cumsum(size)
-    table = None
-    if len(pairs) <= PAIR_ROWS * 16:
-        table = sample_keys(hashes[pairs // base], pairs % base, samples)
+    table = sample_keys(hashes[pair_term], pair_weight, samples) if len(pair_term) <= TABLE_ROWS else None
     filled = np.flatnonzero(size)
-    cut = np.flatnonzero(np.diff((ends[filled] - 1) // GATHER_ROWS)) + 1
+    cut = np.flatnonzero(np.diff((ends[filled] - 1) // (GATHER_ROWS if table is None else TAKE_ROWS))) + 1
     for run in np.split(filled, cut):
         lo, hi = ends[run[0]] - size[run[0]], ends[run[-1]]
         part = at[lo:hi]
         if table is None:
             own, part = np.unique(part, return_inverse=True)
-            keys = sample_keys(hashes[pairs[own] // base], pairs[own] % base, samples)[part]
+            keys = sample_keys(hashes[pair_term[own]], pair_weight[own], samples)[part]
         else:
             keys = table[part]
         low = np.minimum.reduceat(keys, ends[run] - size[run] - lo, axis=0)
         sig[run] = (low & np.uint64(0xFFFF)).astype(np.uint16)
-    return sig
+    return sig, size
+
+
+def signatures(texts: list[str | None], samples: int = SAMPLES) -> np.ndarray:
+    """Samples of each text as 16-bit values, a row a text; texts without words get zeros."""
+    return _signatures([(t or "").encode("utf-8", "replace") for t in texts], samples)[0]
 
 
 def likeness(a: np.ndarray, b: np.ndarray, words_a: np.ndarray, words_b: np.ndarray) -> np.ndarray:
@@ -143,12 +191,13 @@ def _compare(ids: list, texts: list[str], samples: int) -> pa.RecordBatch:
     """Result rows of all texts but the last, each followed by the next one."""
     n = len(texts) - 1
     edited = [edited_text(texts[i], texts[i + 1]) for i in range(n)]
-    sig = signatures(texts + edited, samples)
-    has = np.array([bool(t.encode("utf-8", "replace").split(None, 1)) for t in texts + edited])
+    raw = [t.encode("utf-8", "replace") for t in texts + edited]
+    sig, n_words = _signatures(raw, samples)
+    has = n_words > 0
     own, nxt, edt = sig[:n], sig[1:n + 1], sig[n + 1:]
     return pa.RecordBatch.from_arrays([
         pa.array(ids[:n], pa.int64()), pa.array([len(t) for t in texts[:n]], pa.int64()),
-        pa.array([hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in edited], pa.string()),
+        pa.array([hashlib.sha256(t).hexdigest() for t in raw[n + 1:]], pa.string()),
         pa.array(_hex(own), pa.string()), pa.array(_hex(edt), pa.string()),
         pa.array(likeness(own, edt, has[:n], has[n + 1:])), pa.array(likeness(own, nxt, has[:n], has[1:n + 1]))],
         schema=ARROW)

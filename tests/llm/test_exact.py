@@ -2,10 +2,13 @@
 
 import gzip
 import hashlib
+import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from quill.llm import common, html, lines, mixing, pieces, pii, quality, queries, shards, simhash, warc, weighted
@@ -300,6 +303,36 @@ def test_weighted_collisions_follow_generalised_jaccard():
     assert (s[0] == s[4]).all() and not s[2].any() and not s[3].any()
 
 
+def test_weighted_keys_follow_the_formula_in_small_buffers():
+    n = 4 * weighted.KEY_ROWS + 3
+    term, weight = np.arange(1, n + 1, dtype=np.uint64) * weighted.STEP, np.arange(n) % 7 + 1
+    tracemalloc.start()
+    try:
+        got = weighted.sample_keys(term, weight)
+        peak = tracemalloc.get_traced_memory()[1] - got.nbytes
+    finally:
+        tracemalloc.stop()
+    assert peak < 2 << 20
+
+    def mix(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> shift)) * factor % (1 << 64)
+        return x ^ (x >> 31)
+
+    for i, k in ((0, 1), (7, 64), (n - 1, 33)):
+        hashes = [mix((int(term[i]) + k * int(weighted.STEP)) % (1 << 64))]
+        while len(hashes) < 3:
+            hashes.append(mix((hashes[-1] + int(weighted.STEP)) % (1 << 64)))
+        u = [((x >> s) % (1 << 32) + 0.5) / (1 << 32) for x in hashes for s in (32, 0)]
+        r, c, b = -math.log(u[0] * u[1]), -math.log(u[2] * u[3]), u[4]
+        t = math.floor(math.log(weight[i]) / r + b)
+        bits = int(np.float32(math.log(c) - r * (t - b) - r).view(np.uint32))
+        order = bits ^ (0xFFFFFFFF if bits >> 31 else 1 << 31)
+        key = int(got[i, k - 1])
+        assert abs((key >> 32) - order) <= 1  # the logarithms may differ by a last place
+        assert key % (1 << 32) == mix(hashes[2] ^ (t * int(weighted.STEP)) % (1 << 64)) >> 32
+
+
 def test_weighted_table(docs):
     df, rows = docs
     order = sorted(((weighted.LAST if d is None else d), t or "", d) for d, t, _ in rows)
