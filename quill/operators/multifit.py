@@ -19,26 +19,26 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quill.session import staged
 
 MEMORY, ARMIJO, HALVINGS = 10, 1e-4, 20
 # Entries of the (entry, trial) tables that a task works on at once.
 ENTRIES = 1 << 21
-SPARSE = T.StructType([T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("x", T.ArrayType(T.DoubleType()))])
+# A row as the passes read it: its used columns and their scaled values, each as one buffer of numbers.
+PACKED = "col binary, val binary, label double"
+# The fewest tasks of a pass, if there are rows for them.
+TASKS = 8
 
 
 def sparse_rows(df: DataFrame, features: str = "features", label: str = "label") -> DataFrame:
     """(at, x, label) of vectors, written once."""
-    @F.udf(SPARSE)
-    def parts(v):
-        at = v.indices if hasattr(v, "indices") else range(len(v))
-        return [int(i) for i in at], [float(x) for x in v.values]
-    return staged(df.select(parts(features).alias("p"), F.col(label).cast("double").alias("label")).select("p.at", "p.x", "label"),
-                  "sparse-rows")
+    p = df.select(F.unwrap_udt(features).alias("v"), F.col(label).cast("double").alias("label"))
+    dense = F.slice(F.sequence(F.lit(0), F.size("v.values")), 1, F.size("v.values"))
+    return staged(p.select(F.coalesce("v.indices", dense).alias("at"), F.col("v.values").alias("x"), "label"), "sparse-rows")
 
 
 class Scale(NamedTuple):
@@ -60,23 +60,59 @@ def scale_of(rows: DataFrame) -> Scale:
     return Scale(column, np.array([1 / d for _, d in found]))
 
 
+def _cuts(ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Runs of rows of a bounded number of entries: first row and the row after, first entry and the entry after."""
+    step = ENTRIES // 64
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(step, ends[-1] if len(ends) else 0, step)), [len(ends)]]))
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        yield lo, hi, (ends[lo - 1] if lo else 0), ends[hi - 1]
+
+
 def _entries(b: pa.RecordBatch, scale: Scale) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(row, column, scaled value, labels) of runs of rows; ``row`` numbers the rows of the run."""
     sizes = b.column(0).value_lengths().to_numpy(zero_copy_only=False)
     at, x = b.column(0).flatten().to_numpy(), b.column(1).flatten().to_numpy()
     label = b.column(2).to_numpy(zero_copy_only=False)
-    ends = np.cumsum(sizes)
     column = np.where(at < len(scale.column), scale.column[np.minimum(at, len(scale.column) - 1)], -1)
     row = np.repeat(np.arange(len(sizes)), sizes)
-    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(ENTRIES // 64, ends[-1] if len(ends) else 0, ENTRIES // 64)),
-                                     [len(sizes)]]))
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        a, z = (ends[lo - 1] if lo else 0), ends[hi - 1]
+    for lo, hi, a, z in _cuts(np.cumsum(sizes)):
         use = column[a:z] >= 0
         col = column[a:z][use]
         yield row[a:z][use] - lo, col, x[a:z][use] * scale.inverse[col], label[lo:hi]
 
 
+def packed(rows: DataFrame, scale: Scale) -> DataFrame:
+    """Sparse rows as ``PACKED``, written once: the passes neither convert arrays nor look columns up again."""
+    sent = rows.sparkSession.sparkContext.broadcast(scale)
+
+    def buffers(numbers: np.ndarray, ends: np.ndarray) -> pa.Array:
+        offsets = (ends * numbers.itemsize).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(numbers))])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, col, val, y in _entries(b, sent.value):
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(y)))])
+                yield pa.RecordBatch.from_arrays([buffers(col.astype(np.int32), ends), buffers(val, ends), pa.array(y)],
+                                                 names=["col", "val", "label"])
+    return staged(rows.mapInArrow(pack, PACKED), "packed-rows")
+
+
+def _numbers(c: pa.Array, dtype: type) -> np.ndarray:
+    """The numbers of all values of a binary column, one after the other."""
+    _, offsets, data = c.buffers()
+    at = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(c.type) else np.int32)[c.offset:c.offset + len(c) + 1]
+    return np.frombuffer(data, np.uint8)[at[0]:at[-1]].view(dtype) if data is not None else np.empty(0, dtype)
+
+
+def _unpacked(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """As ``_entries``, of packed rows."""
+    sizes = pc.binary_length(b.column(0)).to_numpy(zero_copy_only=False) // 4
+    col, val, label = _numbers(b.column(0), np.int32), _numbers(b.column(1), np.float64), b.column(2).to_numpy(zero_copy_only=False)
+    for lo, hi, a, z in _cuts(np.cumsum(sizes)):
+        yield np.repeat(np.arange(hi - lo), sizes[lo:hi]), col[a:z], val[a:z], label[lo:hi]
+
+
 def _margins(row: np.ndarray, col: np.ndarray, val: np.ndarray, n: int, w: np.ndarray) -> np.ndarray:
     """(row, trial): weights (trial, column; the last is the intercept) times features."""
     out = np.empty((n, len(w)))
@@ -89,8 +125,10 @@ class Fits:
     """All trials' weights (trial, column and intercept), and the passes it took to find them."""
 
     def __init__(self, rows: DataFrame, regs: Sequence[float], max_iter: Sequence[int], tol: float = 1e-6) -> None:
-        self.rows, self.scale = rows, scale_of(rows)
+        self.scale = scale_of(rows)
         self.n = rows.count()
+        # every task gives out a gradient of all trials, so there are as many tasks as run at once, whatever the rows
+        self.rows = packed(rows, self.scale).coalesce(max(TASKS, rows.sparkSession.sparkContext.defaultParallelism))
         self.regs, self.max_iter, self.tol = np.array(regs, float), np.array(max_iter, int), tol
         self.passes = 0
         self.weights = self._fit()
@@ -98,19 +136,19 @@ class Fits:
     def losses(self, w: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Loss and gradient of the active trials, one pass."""
         spark = self.rows.sparkSession
-        sent = spark.sparkContext.broadcast((w[active], self.scale))
+        sent = spark.sparkContext.broadcast(w[active])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            weights, scale = sent.value
+            weights = sent.value
             total = np.zeros((len(weights), weights.shape[1] + 1))
             for b in batches:
-                for row, col, val, y in _entries(b, scale):
+                for row, col, val, y in _unpacked(b):
                     z = _margins(row, col, val, len(y), weights)
                     s = np.where(y > 0.5, 1.0, -1.0)[:, None]
                     total[:, 0] += np.logaddexp(0, -s * z).sum(axis=0)
                     r = -s / (1 + np.exp(np.minimum(s * z, 700)))
-                    for t in range(len(weights)):
-                        total[t, 1:-1] += np.bincount(col, val * r[row, t], weights.shape[1] - 1)
+                    for t, own in enumerate(np.ascontiguousarray(r.T)):
+                        total[t, 1:-1] += np.bincount(col, val * own[row], weights.shape[1] - 1)
                     total[:, -1] += r.sum(axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(range(len(weights)), pa.int32()), pa.array([x.tobytes() for x in total])],
                                              names=["trial", "part"])

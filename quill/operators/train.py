@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quill.functions import vectors as vx
 from quill.operators import multifit as mf
-from quill.session import cut_lineage
+from quill.session import staged
 
 
 def text_features(num_features: int = 1 << 16) -> Pipeline:
@@ -62,8 +62,7 @@ def evaluate(model: PipelineModel, df: DataFrame) -> float:
 class Trials:
     """Trials over one training and validation set.
 
-    The features of a feature size are fitted and written once (checkpoint
-    folder).  Trials of two classes that differ in penalty and iterations are
+    The term counts of a feature size are written once (checkpoint folder).  Trials of two classes that differ in penalty and iterations are
     fitted together (:mod:`quill.operators.multifit`), the others one by one.
     A failed trial scores -1.
     """
@@ -74,10 +73,13 @@ class Trials:
         self.ready: dict[int, tuple[DataFrame, DataFrame]] = {}
 
     def features(self, num_features: int) -> tuple[DataFrame, DataFrame]:
+        """The texts are read and cut into words once; the weights of the terms come from the written counts."""
         if num_features not in self.ready:
-            model = text_features(num_features).fit(self.train)
-            self.ready[num_features] = tuple(
-                cut_lineage(model.transform(d).select("features", "label")) for d in (self.train, self.valid))
+            *counting, idf = text_features(num_features).getStages()
+            counter = PipelineModel(counting)
+            train, valid = (staged(counter.transform(d).select("tf", "label"), "term-counts") for d in (self.train, self.valid))
+            model = idf.fit(train)
+            self.ready[num_features] = tuple(model.transform(d).select("features", "label") for d in (train, valid))
         return self.ready[num_features]
 
     def score(self, params: dict) -> float:

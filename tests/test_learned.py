@@ -181,6 +181,30 @@ def test_passes_do_not_grow_with_the_trials(spark, sets):
     assert many.passes <= 2 * one.passes and many.weights.shape[0] == 20
 
 
+def test_packed_rows_are_the_sparse_rows(spark):
+    rows = spark.createDataFrame([([0, 3, 5], [1.0, 2.0, 4.0], 1.0), ([], [], 0.0), ([3], [6.0], 0.0), ([5], [1.0], 1.0), ([], [], 1.0)],
+                                 "at array<int>, x array<double>, label double").coalesce(1)
+    scale = mf.Scale(np.array([-1, -1, -1, 0, -1, 1]), np.array([0.5, 0.25]))
+    table = mf.packed(rows, scale).toArrow().combine_chunks()
+    for b in (table.to_batches()[0], table.slice(1).to_batches()[0], table.slice(4).to_batches()[0]):
+        (row, col, val, label), = mf._unpacked(b)
+        first = 5 - b.num_rows
+        want = [(r - first, c, v) for r, c, v in ((0, 0, 1.0), (0, 1, 1.0), (2, 0, 3.0), (3, 1, 0.25)) if r >= first]
+        assert [*zip(row.tolist(), col.tolist(), val.tolist(), strict=True)] == want
+        assert label.tolist() == [1.0, 0.0, 0.0, 1.0, 1.0][first:]
+
+
+def test_a_pass_has_as_many_tasks_whatever_the_rows(spark, sets):
+    rows = mf.sparse_rows(tr.Trials(*sets).features(256)[0]).repartition(40)
+    fits = mf.Fits(mf.staged(rows, "many-files"), [0.1], [3])
+    assert fits.rows.rdd.getNumPartitions() <= max(8, spark.sparkContext.defaultParallelism)
+
+
+def test_texts_are_cut_into_words_once(spark, sets):
+    for f in tr.Trials(*sets).features(256):
+        assert "term-counts" in "".join(f.inputFiles())
+
+
 def test_odd_trials(spark, sets):
     train, valid = sets
     trials = tr.Trials(train, valid)
